@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.chat_format import format_conversations, loss_text
 from graphloom.llm.exact_dedup import exact_dedup
+from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.sentencepiece_codec import encode_documents
 from graphloom.tables import table
@@ -73,6 +74,26 @@ FROM documents WHERE doc_id IS NOT NULL WINDOW w AS (PARTITION BY coalesce(text,
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents WHERE doc_id IS NOT NULL
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), hot AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k IN (SELECT k FROM hot)) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (k NOT IN (SELECT k FROM hot)), '')) AS kept_sha256
+FROM keyed GROUP BY doc_id
+"""
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
     return coded.select(
@@ -90,10 +111,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_line_dedup": op5_line_dedup,
         "op6_sentencepiece": op6_sentencepiece,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL}
