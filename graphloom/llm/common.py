@@ -61,6 +61,25 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) ->
         yield ids, texts
 
 
+def keyed_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list, list]]:
+    """As `text_chunks` with the third column besides: (ids, texts, third)."""
+    ids: list = []
+    texts: list = []
+    third: list = []
+    size = 0
+    for batch in batches:
+        for i, t, x in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            ids.append(i)
+            texts.append(t)
+            third.append(x)
+            size += len(t)
+            if size >= limit:
+                yield ids, texts, third
+                ids, texts, third, size = [], [], [], 0
+    if ids:
+        yield ids, texts, third
+
+
 def _texts(column: pa.Array) -> Iterator[str]:
     for start in range(0, len(column), 256):
         for x in column.slice(start, 256).to_pylist():

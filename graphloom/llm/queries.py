@@ -12,6 +12,7 @@ from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.sentencepiece_codec import encode_documents
+from graphloom.llm.substring_dedup import dedup_substrings
 from graphloom.tables import table
 
 
@@ -63,6 +64,31 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents WHERE doc_id IS NOT NULL
+), sized AS (SELECT *, len(words)::BIGINT AS n FROM docs),
+wins AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS w
+  FROM (SELECT doc_id, words, unnest(generate_series(1, n - 49)) AS i FROM sized WHERE n >= 50)
+), firsts AS (SELECT w, min(doc_id) AS first FROM wins GROUP BY w),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS pos FROM wins JOIN firsts USING (w) WHERE first < doc_id
+), word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM sized),
+kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS kept FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT s.doc_id, n AS n_words, n - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM sized s LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -110,6 +136,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op6_sentencepiece": op6_sentencepiece,
@@ -118,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL}
