@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.ann import ann_search
 from graphloom.llm.chat_format import format_conversations, loss_text
 from graphloom.llm.exact_dedup import exact_dedup
+from graphloom.llm.language_id import identify, train
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.sentencepiece_codec import encode_documents
@@ -89,6 +91,11 @@ FROM sized s LEFT JOIN kept USING (doc_id)
 """
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann_search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -133,14 +140,24 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = train(docs.where(~held_out & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_ann": op3_ann,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op6_sentencepiece": op6_sentencepiece,
         "op9_packing": op9_packing,
+        "op10_language_id": op10_language_id,
     }
 
 
