@@ -12,6 +12,7 @@ from graphloom.llm.chat_format import format_conversations, loss_text
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.language_id import identify, train
 from graphloom.llm.line_dedup import dedup_lines
+from graphloom.llm.ngram_join import jaccard_groups
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.sentencepiece_codec import encode_documents
 from graphloom.llm.substring_dedup import dedup_substrings
@@ -135,6 +136,31 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents WHERE doc_id IS NOT NULL
+), starts AS (
+  SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words)::BIGINT - 4))) AS i FROM docs WHERE len(words) > 0
+), shingles AS (SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM both JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * both.n >= 75 * (p.n + q.n - both.n)
+), edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
+FROM docs d JOIN reach ON d.doc_id = reach.x LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -156,10 +182,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op6_sentencepiece": op6_sentencepiece,
+        "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_ngram_join": OP8_SQL}
