@@ -59,7 +59,8 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
 
 def class_key(s: np.ndarray) -> int:
     """A 64-bit name of a set."""
-    return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s)) * GOLDEN]))[0].astype(np.int64))
+    total = int(mix(s).sum(dtype=np.uint64)) + len(s) * int(GOLDEN) & (1 << 64) - 1
+    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
 def needed(n: int, similarity: int) -> int:

@@ -148,10 +148,10 @@ WITH RECURSIVE docs AS (
   SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words)::BIGINT - 4))) AS i FROM docs WHERE len(words) > 0
 ), shingles AS (SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS s FROM starts),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-both AS (
+meets AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
-  SELECT x, y FROM both JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * both.n >= 75 * (p.n + q.n - both.n)
+  SELECT x, y FROM meets JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * meets.n >= 75 * (p.n + q.n - meets.n)
 ), edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach AS (
   SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x
