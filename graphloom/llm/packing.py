@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import ragged, text_chunks
 
-#: A unit ends where a character other than white space meets a space or a line feed: no token crosses that border.
-UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: A unit ends where a character other than white space meets a space or a line feed, or a letter or digit meets ASCII
+#: punctuation: no token crosses these borders.
+UNIT = re.compile(r"[ \n]*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[!-/:-@\[-`{-~ \n]|$)|[ \n]*[^ \n]+|[ \n]+")
 #: White space of other kinds; a text that holds one is encoded whole.
 OTHER_SPACE = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Units that a worker remembers at most.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 1_200_000
 
 PIECES = "doc_id long, start long, length long, bucket int, doc_tokens long, ids binary"
 
@@ -56,8 +58,8 @@ class UnitEncoder:
     def _reset(self):
         self.memo, self.starts, self.lengths, self.pool = _Memo(), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memo) > MEMO_UNITS:
@@ -72,10 +74,10 @@ class UnitEncoder:
             ends.append(len(places))
         if self.memo.new:
             found = self._whole(self.memo.new)
-            lengths = np.array([len(x) for x in found], np.int64)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.pool = np.concatenate([self.pool, *found])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
             self.memo.new = []
         at = np.array(places, np.int64)
         lengths = self.lengths[at]
@@ -83,7 +85,7 @@ class UnitEncoder:
         cuts = np.concatenate([[0], np.cumsum(lengths)])[np.array([0, *ends], np.int64)]
         out = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         for k, ids in zip(odd, self._whole(list(odd.values())), strict=True):
-            out[k] = ids
+            out[k] = np.array(ids, np.uint32)
         return out
 
 

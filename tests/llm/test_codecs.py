@@ -10,7 +10,7 @@ from graphloom.llm.sentencepiece_codec import encode_documents
 ODD = [
     "", " ", "  ", "a", " a", "a ", "a  b", "\n", "\n\n a \n", "tab\tand\r\nline", "x\x1cy z", "no\xa0break", "　wide  space",
     "▁marker ▁▁two", "don't we'll  they'RE 12345 6,789.00", "<|endoftext|> </s> <s> <unk>", "ﬁ① \U0001f600\U0001f469‍\U0001f469", "\x00nul\x00 b",
-    "word " * 3000, "nospace" * 2000, "é ́a", "   lead", "trail   ", "...  !!! ???", "日本語 テキスト", "a\u0085b c",
+    "word " * 3000, "nospace" * 2000, "é ́a", "   lead", "trail   ", "...  !!! ???", "日本語 テキスト", "word—,x y…! z²,3 naïve's ñ'll 12's a_b ab--cd 'tis i'm\u0301", "a\u0085b c",
 ]
 
 
