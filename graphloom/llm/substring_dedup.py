@@ -155,7 +155,8 @@ def occurrences(h: np.ndarray, starts: np.ndarray, width: int = WIDTH, rounds: i
         return {k: np.empty(0, np.int64) for k in ("doc", "a", "b", "sym", "ctx")}
     found.run(width, rounds)
     change = np.ones(len(w), bool)
-    change[1:] = (found.start[1:] != found.start[:-1]) | (found.level[1:] != found.level[:-1]) | (w[1:] != w[:-1] + 1)
+    moved = (found.start[1:] != found.start[:-1]) & (found.level[1:] > 0)  # at level 0 the anchor walks along a run of one word
+    change[1:] = moved | (found.key[1:] != found.key[:-1]) | (found.level[1:] != found.level[:-1]) | (w[1:] != w[:-1] + 1)
     heads = np.flatnonzero(change)
     a, b = w[heads], w[np.append(heads[1:], len(w)) - 1]
     ctx = combine(SpanHash(h).of(a, b + width), (found.start[heads] - a).astype(np.uint64))
@@ -188,7 +189,14 @@ def _windows(width: int):
                 at = ragged(a.astype(np.int64), (b - a + 1).astype(np.int64))
                 name = np.repeat(sym, b - a + 1)
                 win = SpanHash(h).of(at, at + width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(win), pa.array(np.full(len(at), i.as_py())), pa.array(np.full(len(at), tk.as_py())), pa.array(at.astype(np.int32))], names=["sym", "win", "id", "tk", "a"])
+                head = np.ones(len(at), bool)  # equal windows in a row, as in a run of one word, go as one
+                head[1:] = (win[1:] != win[:-1]) | (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1)
+                first = np.flatnonzero(head)
+                last = np.append(first[1:], len(at)) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name[first]), pa.array(win[first]), pa.array(np.full(len(first), i.as_py())), pa.array(np.full(len(first), tk.as_py())), pa.array(at[first].astype(np.int32)), pa.array(at[last].astype(np.int32))],
+                    names=["sym", "win", "id", "tk", "a", "b"],
+                )
 
     return windows
 
@@ -240,18 +248,18 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS, i
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null").withColumn("tk", F.xxhash64("text"))
     occ = materialize(base.mapInArrow(_scan(width, rounds), "sym long, ctx long, id long, tk long, a int, b int"), "occurrences")
     classes = materialize(occ.groupBy("sym", "ctx").agg(F.min("id").alias("first"), F.max("id").alias("last")), "classes")
-    several = classes.groupBy("sym").agg(F.count("*").alias("n")).where("n > 1").select("sym", F.lit(True).alias("several"))
+    several = classes.groupBy("sym").agg(F.count("*").alias("n"), F.min("first").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("sym", F.lit(True).alias("several"))
     wanted = classes.join(several, "sym", "left").where("several or first < last").select("sym", "ctx", "first", F.coalesce("several", F.lit(False)).alias("several"))
     met = materialize(occ.join(wanted, ["sym", "ctx"]).where("id > first or several").select("sym", "id", "tk", "a", "b", (F.col("id") > F.col("first")).alias("shared")), "met")
     discard(occ, classes)
     edges = materialize(met.where("not shared").groupBy("id", "tk").agg(F.collect_set(F.struct("sym", "a", "b")).alias("edges")), "edges")
     wins = materialize(
         base.join(_small(edges, F.size("edges")), ["id", "tk"]).select("id", "text", "tk", "edges")
-        .mapInArrow(_windows(width), "sym long, win long, id long, tk long, a int"), "windows"
+        .mapInArrow(_windows(width), "sym long, win long, id long, tk long, a int, b int"), "windows"
     )
     discard(edges)
     firsts = wins.groupBy("sym", "win").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    single = wins.join(firsts, ["sym", "win"]).where("id > first").select("id", "tk", "a", F.col("a").alias("b"))
+    single = wins.join(firsts, ["sym", "win"]).where("id > first").select("id", "tk", "a", "b")
     every = met.where("shared").select("id", "tk", "a", "b").unionByName(single)
     ranges = every.groupBy("id", "tk").agg(F.collect_set(F.struct("a", (F.col("b") + width).alias("e"))).alias("ranges"))
     out = materialize(ranges.mapInArrow(_merge, "id long, tk long, starts array<int>, ends array<int>"), "ranges")
