@@ -12,6 +12,7 @@ from graphloom.llm.chat_format import format_conversations, loss_text
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.language_id import identify, train
 from graphloom.llm.line_dedup import dedup_lines
+from graphloom.llm.lm_scoring import score_documents
 from graphloom.llm.ngram_join import jaccard_groups
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.sentencepiece_codec import encode_documents
@@ -136,6 +137,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -182,6 +189,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
         "op10_language_id": op10_language_id,
