@@ -1,3 +1,95 @@
-"""A corpus pipeline, stage by stage."""
-STAGES = []
+"""A corpus pipeline: language ID, line dedup, near-duplicate removal, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
+Parquet and read again as the next one's `docs`. All but the last return the
+columns of `docs`, with n_chars the length of the text that is left.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.language_id import UNDETERMINED, identify, train
+from graphloom.llm.line_dedup import dedup_lines
+from graphloom.llm.ngram_join import jaccard_groups
+from graphloom.llm.packing import pack_documents
+from graphloom.llm.substring_dedup import dedup_substrings
+from graphloom.scratch import scratch_root
+from graphloom.tables import table
+
+#: Ids of dropped documents up to this number (16 bytes each) are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _with_text(columns: list[str], row: str, text) -> list:
+    """The columns of a row struct, with another text and its length."""
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return [changed[c].alias(c) if c in changed else F.col(f"{row}.`{c}`").alias(c) for c in columns]
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that have a language; those without text or letters go."""
+    model = train(docs)
+    kept = identify(docs, model).where(F.col("lang_pred") != UNDETERMINED)
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that stand in ten documents or more; a document that had lines and loses all of its text goes."""
+    out = dedup_lines(docs, min_docs=10, min_chars=1)
+    left = out.where((F.col("n_dropped") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*_with_text(docs.columns, "row", F.when(F.col("n_dropped") == 0, F.col("row.text")).otherwise(F.col("kept"))))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect, the one with the smallest id stays."""
+    groups = jaccard_groups(docs)
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages of fifty words or more that a document with a smaller id has; others keep their text as it is."""
+    out = dedup_substrings(docs)
+    touched = out.where("n_removed > 0 and n_removed < n_words")
+    gone = out.where("n_removed > 0").select(F.col("doc_id").alias("_id")).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    same = docs.join(gone, docs.doc_id == gone._id, "left_anti").select(*docs.columns)
+    changed = touched.select(*(F.col("kept").alias(c) if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    return same.unionByName(changed)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths of the documents that are left."""
+    import public_tokenizers
+
+    pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("ngram_join", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("packing", packing_stage),
+]
+
+#: Language identification and tokenization are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{scratch_root(spark)}/graphloom/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+    return docs
