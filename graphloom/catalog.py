@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import base, documents
+from graphloom.plans import base, canon, documents, knowledge
+
+
+LOADED = (canon, documents, knowledge)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

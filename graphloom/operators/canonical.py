@@ -40,13 +40,13 @@ def _pairs(threshold: float):
         if not len(left) or not len(right):
             return out
         unit = []
-        for part in (left, right):
-            x = np.stack(part.vec.map(np.asarray).tolist()).astype(np.float64)
+        for vectors in (left.vec, right.vec2):
+            x = np.stack(vectors.map(np.asarray).tolist()).astype(np.float64)
             n = np.linalg.norm(x, axis=1, keepdims=True)
             unit.append(x / np.where(n == 0, 1, n))
         score = unit[0] @ unit[1].T
         i, j = np.nonzero(score >= threshold)
-        a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
+        a, b = left.id.to_numpy()[i], right.id2.to_numpy()[j]
         keep = a < b
         return pd.DataFrame({"a": a[keep], "b": b[keep], "score": score[i, j][keep]})
 
@@ -61,7 +61,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     # ids are compared inside a pair of blocks, so each unordered pair of vectors is met in both orders of its blocks
     left = dealt.withColumn("other", F.explode(every))
-    right = dealt.withColumnRenamed("k", "other").withColumn("k", F.explode(every))
+    right = dealt.select(F.col("id").alias("id2"), F.col("vec").alias("vec2"), F.col("k").alias("other"), F.explode(every).alias("k"))
     return left.groupBy("k", "other").cogroup(right.groupBy("k", "other")).applyInPandas(_pairs(threshold), "a long, b long, score double")
 
 
