@@ -47,7 +47,7 @@ def join_display_math(text: Column) -> Column:
 
 def escape_currency(text: Column) -> Column:
     r"""$15 becomes \$15 unless it is escaped or the dollar closes or opens mathematics."""
-    return F.regexp_replace(text, r"(?<![\\$\w])\$(?=[0-9][0-9,]*(?:\.[0-9]{2})?(?:[\s.,;:!?)]|$))(?![^$\n]*[=+^_\\][^$\n]*\$)", r"\\\\\$")
+    return F.regexp_replace(text, r"(?<![\\$\w])\$(?=[0-9][0-9,]*(?:\.[0-9]{2})?(?:[\s.,;:!?)]|$))(?![^$\n]*[=+^_\\][^$\n]*\$)", r"\\\$")
 
 
 def unicode_math_to_latex(text: Column) -> Column:

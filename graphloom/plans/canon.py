@@ -429,3 +429,94 @@ def m3(spark, sf):
 
 
 _ = components
+
+
+def _clusters(spark, sf):
+    """Spokes by name: each supplier of the star is a component of its own."""
+    t = star_triplets(spark, sf)
+    return t.select("source", C("subject").alias("component"), F.concat("source", F.lit("#"), C("fact_index").cast("string")).alias("uuid"), C("subject").alias("name"))
+
+
+_NAMES = "(SELECT l_linestatus AS source, s_name AS name, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
+
+
+@query("g18_entity_hubs", f"SELECT source, name, 0 AS n_aliases FROM {_NAMES}")
+def g18(spark, sf):
+    return graph.hubs(_clusters(spark, sf), "entity").select("source", "name", F.size("aliases").alias("n_aliases"))
+
+
+@query("g18_canonical_entities", f"SELECT source, name, n FROM {_NAMES}")
+def g18b(spark, sf):
+    hubs = graph.hubs(_clusters(spark, sf), "entity")
+    edges = graph.canonical_edges(_clusters(spark, sf), hubs)
+    return edges.groupBy("dst").agg(F.count("*").alias("n")).join(hubs.withColumnRenamed("uuid", "dst"), "dst").select("source", "name", "n")
+
+
+@query("g19_predicate_hubs", "SELECT DISTINCT l_linestatus AS source, l_returnflag AS name FROM lineitem")
+def g19(spark, sf):
+    t = star_triplets(spark, sf)
+    c = t.select("source", C("predicate").alias("component"), F.concat("source", F.lit("#"), C("fact_index").cast("string")).alias("uuid"), C("predicate").alias("name"))
+    return graph.hubs(c, "predicate").select("source", "name")
+
+
+def _hub_rows(spark, sf):
+    return _graph(spark, sf)[3]
+
+
+_DEF = "SELECT DISTINCT 's' || s_name AS hub, 'def ' || s_name AS text FROM supplier JOIN lineitem ON l_suppkey = s_suppkey"
+
+
+@query("g20_definitions", _DEF)
+def g20(spark, sf):
+    hubs = _hub_rows(spark, sf).where("uuid like 's%'")
+    return graph.definitions(hubs, F.concat(F.lit("def "), "name")).select("hub", "text")
+
+
+@query("g20_definition_edges", f"SELECT count(*) AS n, count(DISTINCT hub) AS hubs FROM ({_DEF})")
+def g20b(spark, sf):
+    e = graph.definition_edges(graph.definitions(_hub_rows(spark, sf).where("uuid like 's%'"), C("name")))
+    return e.agg(F.count_distinct("dst").alias("n"), F.count_distinct("src").alias("hubs"))
+
+
+def _community_rows(spark, sf):
+    m = communities.community_of_hubs(_nation_triplets(spark, sf))
+    return m.groupBy("source", "component").agg(F.array_sort(F.collect_list("hub")).alias("members"))
+
+
+@query("g21_communities", "SELECT 'world' AS source, (count(*) + 2)::INT AS n_members FROM nation GROUP BY n_regionkey")
+def g21(spark, sf):
+    return graph.communities(_community_rows(spark, sf)).select("source", "n_members")
+
+
+@query("g21_community_members", "SELECT 'n' || n_name AS dst FROM nation UNION ALL SELECT 'r' || r_name FROM region UNION ALL SELECT 'in' || r_regionkey FROM region")
+def g21b(spark, sf):
+    return graph.community_members(_community_rows(spark, sf)).select("dst")
+
+
+@query("g22_triplet_hub_edges", f"WITH {HUBT}, a AS (SELECT DISTINCT source, subj_hub, pred_hub, obj_hub FROM ht) SELECT 'CANONICAL_SUBJECT' AS type, subj_hub AS src, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT 'CANONICAL_PREDICATE', pred_hub, count(*) FROM a GROUP BY ALL UNION ALL SELECT 'CANONICAL_OBJECT', obj_hub, count(*) FROM a GROUP BY ALL")
+def g22(spark, sf):
+    out = None
+    for name, edges in graph.triplet_hub_edges(communities.triplet_hubs(_hub_triplets(spark, sf))).items():
+        one = edges.groupBy("src").agg(F.count("*").alias("n")).select(F.lit(name).alias("type"), "src", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("g23_fact_hubs", f"WITH {HUBT} SELECT min(concat_ws(' ', subj_name, pred_name, obj_name)) AS text FROM ht GROUP BY source, subj_hub, pred_hub, obj_hub")
+def g23(spark, sf):
+    return graph.fact_hubs(communities.triplet_hubs(_hub_triplets(spark, sf))).select("text")
+
+
+@query("h14_merge_into_hub", "SELECT label AS uuid, CASE WHEN label < 5 THEN 'new ' || label ELSE 'old' END AS text, label < 5 AS touched FROM (SELECT DISTINCT label FROM embeddings)")
+def h14(spark, sf):
+    hubs = _vectors(spark, sf).select(C("label").alias("uuid")).distinct()
+    old = hubs.select("uuid", F.lit("old").alias("text"), *(F.to_timestamp(F.lit("2019-01-01")).alias(c) for c in ("created_at", "modified_at")))
+    new = hubs.where("uuid < 5").select("uuid", F.concat(F.lit("new "), C("uuid").cast("string")).alias("text"))
+    return graph.upsert_vertices(old, new, F.to_timestamp(F.lit("2020-01-01"))).select("uuid", "text", (F.year("modified_at") == 2020).alias("touched"))
+
+
+@query("i10_community_summary", "SELECT 'region ' || r_name || chr(10) || array_to_string(list_sort(list('(' || n_name || ') --[in]--> (' || r_name || ')')), chr(10)) AS summary_text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def i10(spark, sf):
+    t = _nation_triplets(spark, sf)
+    m = communities.community_of_hubs(t)
+    return communities.community_summary(communities.community_definitions(t, m), communities.community_triplet_strings(t, m)).select("summary_text")
