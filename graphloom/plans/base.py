@@ -73,7 +73,10 @@ def star_triplets(spark: SparkSession, sf: str) -> DataFrame:
     """(source, fact_index, subject, predicate, object): who supplied what, by return flag."""
     li, s, p = (table(spark, sf, n) for n in ("lineitem", "supplier", "part"))
     joined = li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey)
-    return joined.select(F.col("l_linestatus").alias("source"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact_index"), F.col("s_name").alias("subject"), F.col("l_returnflag").alias("predicate"), F.col("p_name").alias("object"))
+    parts = F.struct(F.col("s_name").alias("subject"), F.col("l_returnflag").alias("predicate"), F.col("p_name").alias("object"))
+    # an order may have a line number twice: the smallest triplet stays
+    once = joined.groupBy(F.col("l_linestatus").alias("source"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact_index")).agg(F.min(parts).alias("t"))
+    return once.select("source", "fact_index", "t.subject", "t.predicate", "t.object")
 
 
 def star_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,8 +86,9 @@ def star_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 STAR = """
 star AS (
-  SELECT l_linestatus AS source, l_orderkey * 8 + l_linenumber AS fact_index, s_name AS subject, l_returnflag AS predicate, p_name AS object, l_orderkey AS node_id
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
+  SELECT source, fact_index, t.subject AS subject, t.predicate AS predicate, t.object AS object, node_id FROM (
+    SELECT l_linestatus AS source, l_orderkey * 8 + l_linenumber AS fact_index, l_orderkey AS node_id, min({'subject': s_name, 'predicate': l_returnflag, 'object': p_name}) AS t
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 )"""
 PLACED = STAR + f""", placed_t AS (
   SELECT *, {uuid5_sql("source || '#' || node_id")} AS node_uuid, {uuid5_sql("source || '#fact#' || node_id || '#' || fact_index")} AS fact_uuid FROM star

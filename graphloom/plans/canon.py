@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import providers
 from graphloom.operators import canonical, checks, communities, components, graph, search
-from graphloom.plans.base import NODES, nodes, query, star_triplets
+from graphloom.plans.base import NODES, STAR, nodes, query, star_triplets
 from graphloom.streaming import incremental
 from graphloom.tables import table
 
@@ -144,10 +144,10 @@ def _hub_triplets(spark, sf):
     return communities.canonical_hub_triplets(*_graph(spark, sf))
 
 
-HUBT = """ht AS (
-  SELECT l_linestatus AS source, l_linestatus || '#' || (l_orderkey * 8 + l_linenumber) AS triplet_uuid, 's' || s_name AS subj_hub, s_name AS subj_name, 'p' || l_returnflag AS pred_hub, l_returnflag AS pred_name,
-    'o' || p_name AS obj_hub, p_name AS obj_name, CASE WHEN length(s_name) % 2 = 0 THEN 'def ' || s_name END AS subj_def, CASE WHEN length(l_returnflag) % 2 = 0 THEN 'def ' || l_returnflag END AS pred_def, CASE WHEN length(p_name) % 2 = 0 THEN 'def ' || p_name END AS obj_def
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
+HUBT = STAR + """, ht AS (
+  SELECT source, source || '#' || fact_index AS triplet_uuid, 's' || subject AS subj_hub, subject AS subj_name, 'p' || predicate AS pred_hub, predicate AS pred_name,
+    'o' || object AS obj_hub, object AS obj_name, CASE WHEN length(subject) % 2 = 0 THEN 'def ' || subject END AS subj_def, CASE WHEN length(predicate) % 2 = 0 THEN 'def ' || predicate END AS pred_def, CASE WHEN length(object) % 2 = 0 THEN 'def ' || object END AS obj_def
+  FROM star)"""
 
 
 @query("i1_canonical_hub_triplets", f"WITH {HUBT} SELECT * FROM ht")
@@ -303,7 +303,7 @@ def k1(spark, sf):
     return checks.table_counts({n.title(): table(spark, sf, n) for n in ("nation", "region", "supplier")})
 
 
-@query("k2_resolved_triplets", "SELECT l_linestatus || '#' || (l_orderkey * 8 + l_linenumber) AS uuid, CASE WHEN l_linenumber <> 1 THEN s_name END AS subject, l_returnflag AS predicate, p_name AS object FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey")
+@query("k2_resolved_triplets", f"WITH {STAR} SELECT source || '#' || fact_index AS uuid, CASE WHEN fact_index % 8 <> 1 THEN subject END AS subject, predicate, object FROM star")
 def k2(spark, sf):
     t = _graph(spark, sf)[0]
     ends = {r: t.select(C("uuid").alias("triplet_uuid"), C(r).alias("name")) for r, _ in communities.ROLES}
@@ -437,7 +437,7 @@ def _clusters(spark, sf):
     return t.select("source", C("subject").alias("component"), F.concat("source", F.lit("#"), C("fact_index").cast("string")).alias("uuid"), C("subject").alias("name"))
 
 
-_NAMES = "(SELECT l_linestatus AS source, s_name AS name, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
+_NAMES = f"(WITH {STAR} SELECT source, subject AS name, count(*) AS n FROM star GROUP BY ALL)"
 
 
 @query("g18_entity_hubs", f"SELECT source, name, 0 AS n_aliases FROM {_NAMES}")
