@@ -41,6 +41,23 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(arr, categorize=False)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    if len(x) < 2:
+        return x.copy()
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values and how often each occurs."""
+    if not len(x):
+        return x, np.empty(0, np.int64)
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[first], np.diff(np.append(first, len(x)))
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list]]:
     """(ids, texts) of consecutive rows, about `limit` bytes at a time; a null text is empty.
 

@@ -1,19 +1,27 @@
 """N-gram Jaccard join: prefixes of shingles, with token combinations for frequent ones.
 
-A document's set holds the hashes of its five-word shingles. Sets are ordered
-rare shingles first. With similarity t, two sets of a linked pair share a
-shingle among the first n - ceil(t n) + 1 of each, and k of them among the first
-n - ceil(t n) + k. So a rare shingle in the prefix is an index entry by itself.
+A document's set holds the hashes of its five-word shingles. Sets are ordered:
+shingles that no other document has, then rare, then frequent ones. With
+similarity t, two sets of a linked pair share a shingle among the first
+n - ceil(t n) + 1 of each, and k of them among the first n - ceil(t n) + k. So a
+rare shingle in the prefix is an index entry by itself, and one that stands alone
+needs none: most documents have no entries at all. Which shingles stand alone is
+found by an exchange of Golomb-coded hashes and told to all tasks as a bitmap of
+fixed size; if a corpus fills it, more shingles count as rare, and links are
+still all found.
 Frequent ones come into a prefix only where a document has few others; in short
 documents, where such chance meetings are common, the prefix is extended by one
 and pairs of frequent shingles are indexed instead; long ones index them singly.
 Documents near the border between short and long do both, so that no pair falls
-between. Entries that meet are verified on the whole sets.
+between. Pairs that meet are first held against each other by bitmaps (one
+parity bit for each shingle, about): bits that differ never outnumber shingles
+that differ, so a pair with too many is no link. The rest are verified on the
+whole sets.
 
 Documents with equal sets are one class throughout, so copies are never paired.
-In each list of classes with the same entry all are first compared with one of
-them; what this links is contracted, and only classes of one list that are still
-in different components are compared with each other. Links between classes of
+In each list of classes with the same entry all are first compared with a few of
+them, twice; what this links is contracted, and only classes of one list that are
+still in different components are compared with each other. Links between classes of
 one component add nothing to the components and are not computed.
 """
 
@@ -27,18 +35,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import GOLDEN, combine, doc_words, hash_words, mix, text_chunks, windows_hash
+from graphloom.llm.common import GOLDEN, combine, counted, distinct, doc_words, hash_words, mix, text_chunks, windows_hash
+from graphloom.llm.exact_dedup import golomb_decode, golomb_encode
 from graphloom.operators.components import connected_components
 from graphloom.scratch import discard, materialize, shuffle_width
 
 WORDS, SIMILARITY = 5, 75
+#: Turns in which the classes of a list are compared with a few of them only, and these pivots.
+STARS, PIVOTS = 2, 4
+#: Classes of a list that are compared with each other in one task at most, about.
+LIST_BLOCK = 1024
+#: Rows of lists that one task of that comparison gets on average at most.
+TASK_ROWS = 50_000
 #: Sets of up to so many shingles are short.
 SHORT = 96
 #: Shingles that count as frequent at most (8 bytes each are sent to every task): those found in more documents than
 #: total shingles / FREQUENT, so there cannot be more.
 FREQUENT, LEAST_FREQUENT = 4_000_000, 16
+#: log2 of the bits of the map of shared shingles, bits of a hash in the exchange, and characters of text for one owner of it.
+MAP_BITS, HASH_BITS, OWNER_CHARS = 28, 40, 12_000_000
 #: Text read at a time to count shingles, and index entries that one owner gets on average at most.
-COUNT_BYTES, OWNER_ENTRIES = 16 << 20, 1_000_000
+COUNT_BYTES, OWNER_ENTRIES = 2 << 20, 1_000_000
 #: Ids up to this number (16 bytes each) are broadcast to fetch the texts of candidates; beyond it the fetch is a shuffle join.
 BROADCAST_IDS = 2_000_000
 
@@ -51,7 +68,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     out = []
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         if b - a >= words:
-            out.append(np.unique(grams[a : b - words + 1]))
+            out.append(distinct(grams[a : b - words + 1]))
         else:
             out.append(windows_hash(h[a:b], b - a) if b > a else np.empty(0, np.uint64))
     return out
@@ -63,63 +80,118 @@ def class_key(s: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bit for each of 2**k >= 2n slots: whether an odd number of the set's hashes fall there."""
+    size = max(256, 2 << (len(s) - 1).bit_length()) if len(s) else 256
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two parity bitmaps differ, the longer folded to the shorter: at most the shingles of one set only."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def needed(n: int, similarity: int) -> int:
     """Shingles that a set of n shares at least with any set it is linked to."""
     return -(-similarity * n // 100)
 
 
-def index_entries(s: np.ndarray, frequent: np.ndarray, similarity: int = SIMILARITY, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
-    """(entries by rare shingles, entries by frequent shingles or pairs of them) of a sorted set."""
+def index_entries(s: np.ndarray, shared: np.ndarray, frequent: np.ndarray, similarity: int = SIMILARITY, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+    """(entries by rare shingles, entries by frequent shingles or pairs of them) of a sorted set.
+
+    `shared` marks the shingles that other sets may have; `frequent` is sorted.
+    """
     n = len(s)
-    if not n:
-        return s, s
-    at = np.searchsorted(frequent, s)
-    often = (at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == s) if len(frequent) else np.zeros(n, bool)
-    order = np.concatenate([s[~often], s[often]])
-    n_rare = n - int(often.sum())
     size = n - needed(n, similarity) + 1
     pairs = 100 * n <= 100 * 100 * short // similarity
     singles = 100 * n > similarity * short
+    extended = min(n, size + 1) if pairs and n > 1 else size
+    alone = n - int(shared.sum())
+    if not n or alone >= extended:
+        return s[:0], s[:0]
+    rest = s[shared]
+    at = np.searchsorted(frequent, rest)
+    often = (at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == rest) if len(frequent) else np.zeros(len(rest), bool)
+    order = np.concatenate([rest[~often], rest[often]])  # what follows those that stand alone
+    n_rare = len(rest) - int(often.sum())
+    size, extended = size - alone, extended - alone
     entries = []
     if singles:
-        entries.append(order[n_rare:size])
-    extended = min(n, size + 1) if pairs and n > 1 else size
+        entries.append(order[n_rare : max(size, n_rare)])
     if pairs:
-        f = order[n_rare:extended]
+        f = order[n_rare : max(extended, n_rare)]
         i, j = np.triu_indices(len(f), 1)
         entries.append(combine(f[i] ^ GOLDEN, f[j]))
     return order[: min(n_rare, extended)], np.concatenate(entries)
 
 
-def _count(words: int):
+COUNTED = "shingle long, n long, owner int, k int, coded binary"
+
+
+def _count(words: int, owners: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each stretch of text: the number of shingles, those in several sets with how many, and all of them, coded for their owners."""
         for _, texts in text_chunks(batches, COUNT_BYTES):
             sets = shingle_sets(texts, words)
-            values, n = np.unique(np.concatenate(sets), return_counts=True)
+            _, firsts = np.unique(np.array([class_key(s) if len(s) else 0 for s in sets], np.int64), return_index=True)
+            values, n = counted(np.concatenate([sets[k] for k in firsts]))
             often = n > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *values[often].view(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], names=["shingle", "n"]
-            )
+            short = values >> np.uint64(64 - HASH_BITS)
+            coded = []
+            for part in (short, short[often]):  # what several sets have is sent twice
+                part = distinct(part)
+                cuts = np.searchsorted(part, np.arange(owners + 1, dtype=np.uint64) * np.uint64((1 << HASH_BITS) // owners + 1))
+                coded += [(o, b - a, *golomb_encode(part[a:b])) for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            yield _counted(1, n=[int(n.sum())])
+            yield _counted(int(often.sum()), shingle=values[often].view(np.int64), n=n[often])
+            if coded:
+                owner, size, k, blob = map(list, zip(*coded, strict=True))
+                yield _counted(len(coded), owner=owner, n=size, k=k, coded=blob)
 
     return count
 
 
-INDEX = "id long, n int, ck long, sig long, owner int, sigs binary, places binary, cks binary, ns binary"
+def _counted(rows: int, **columns) -> pa.RecordBatch:
+    kinds = {"shingle": pa.int64(), "n": pa.int64(), "owner": pa.int32(), "k": pa.int32(), "coded": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(rows, kind) for c, kind in kinds.items()], names=list(kinds))
+
+
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """An owner: its part of the map of hashes that it got more than once."""
+    values, n = counted(np.concatenate([golomb_decode(c, k, b) for c, k, b in zip(pdf.n, pdf.k, pdf.coded, strict=True)]))
+    slots = distinct((values[n > 1] >> np.uint64(HASH_BITS - MAP_BITS)).astype(np.int64))
+    first = int(slots[0]) // 8 if len(slots) else 0
+    bits = np.zeros((int(slots[-1]) // 8 - first + 1) * 8 if len(slots) else 0, np.uint8)
+    bits[slots - first * 8] = 1
+    return pd.DataFrame({"first": [first], "bits": [np.packbits(bits).tobytes()]})
+
+
+def is_shared(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    slot = (s >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+INDEX = "id long, n int, ck long, bits binary, sig long, owner int, sigs binary, places binary, cks binary, ns binary"
 
 
 def _index(words: int, similarity: int, owners: int, shared):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
-        for ids, texts in text_chunks(batches):
+        frequent, bitmap = shared.value
+        for ids, texts in text_chunks(batches, 2 << 20):
             sets = shingle_sets(texts, words)
             n = np.array([len(s) for s in sets], np.int32)
             ck = np.array([class_key(s) if len(s) else 0 for s in sets], np.int64)
             nulls = [None] * len(ids)
-            yield _batch(ids, n, ck, nulls, nulls, nulls, nulls, nulls, nulls)
+            yield _batch(ids, n, ck, [parity_bits(s) for s in sets], nulls, nulls, nulls, nulls, nulls, nulls)
             rare, place, fsig, fplace = [], [], [], []
             _, firsts = np.unique(ck, return_index=True)
             for k in firsts:
-                a, b = index_entries(sets[k], frequent, similarity)
+                a, b = index_entries(sets[k], is_shared(sets[k], bitmap), frequent, similarity)
                 rare.append(a)
                 place.append(np.full(len(a), k, np.uint32))
                 fsig.append(b)
@@ -127,7 +199,7 @@ def _index(words: int, similarity: int, owners: int, shared):
             fsig, fplace = np.concatenate(fsig), np.concatenate(fplace)
             if len(fsig):
                 nulls = [None] * len(fsig)
-                yield _batch(nulls, n[fplace], ck[fplace], fsig.view(np.int64), nulls, nulls, nulls, nulls, nulls)
+                yield _batch(nulls, n[fplace], ck[fplace], nulls, fsig.view(np.int64), nulls, nulls, nulls, nulls, nulls)
             rare, place = np.concatenate(rare), np.concatenate(place)
             order = np.argsort(rare)
             rare, place = rare[order], place[order]
@@ -141,14 +213,14 @@ def _index(words: int, similarity: int, owners: int, shared):
                     rows.append((o, rare[a:b].tobytes(), at.astype(np.uint32).tobytes(), ck[who].tobytes(), n[who].tobytes()))
             if rows:
                 nulls = [None] * len(rows)
-                yield _batch(nulls, nulls, nulls, nulls, *map(list, zip(*rows, strict=True)))
+                yield _batch(nulls, nulls, nulls, nulls, nulls, *map(list, zip(*rows, strict=True)))
 
     return index
 
 
 def _batch(*columns) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "ck", "sig", "owner", "sigs", "places", "cks", "ns"])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "ck", "bits", "sig", "owner", "sigs", "places", "cks", "ns"])
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -174,7 +246,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_chunks(batches):
+        for _, texts in text_chunks(batches, 2 << 20):
             found = shingle_sets(texts, words)
             lengths = np.array([len(s) for s in found], np.int64)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
@@ -189,12 +261,122 @@ def _fits(n: str, m: str, similarity: int) -> Column:
     return F.least(F.col(n), F.col(m)) * 100 >= F.greatest(F.col(n), F.col(m)) * similarity
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (u, v) whose sets are linked."""
+def _near(similarity: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose bitmaps do not rule out a link."""
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in range(2, 6)]
+            keep = [bits_apart(a, b) * (100 + similarity) <= (n + m) * (100 - similarity) for a, b, n, m in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return near
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    a = classes.select(F.col("ck").alias("u"), F.col("bits").alias("bu"), F.col("n").alias("nu"))
+    b = classes.select(F.col("ck").alias("v"), F.col("bits").alias("bv"), F.col("n").alias("nv"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "bu", "bv", "nu", "nv").mapInArrow(_near(similarity), "u long, v long")
+
+
+def _links(pairs: DataFrame, base: DataFrame, classes: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Pairs (u, v) whose sets are linked, as a written table; the sets are those of one document of each class."""
+    ends = pairs.select(F.col("u").alias("ck")).unionByName(pairs.select(F.col("v").alias("ck"))).distinct()
+    wanted = materialize(classes.join(ends, "ck", "left_semi").select(F.col("first").alias("id")), "wanted")
+    # rows that share an id may bring other sets along; they are in no pair or are equal
+    sets = materialize(base.join(_few(wanted), "id", "left_semi").mapInArrow(_sets(words), "ck long, items array<long>").dropDuplicates(["ck"]), "sets")
     a = sets.select(F.col("ck").alias("u"), F.col("items").alias("su"))
     b = sets.select(F.col("ck").alias("v"), F.col("items").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(a, "u").join(b, "v").where(both * 100 >= (F.size("su") + F.size("sv") - both) * similarity).select("u", "v")
+    linked = pairs.join(a, "u").join(b, "v").where(both * 100 >= (F.size("su") + F.size("sv") - both) * similarity).select("u", "v")
+    out = materialize(linked, "links")
+    discard(wanted, sets)
+    return out
+
+
+def _torn(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Lists (sig, ck, n, comp) that hold classes of several components."""
+    if labels is not None:
+        lists = lists.drop("comp").join(labels.withColumnRenamed("vertex", "ck"), "ck", "left").select("sig", "ck", "n", F.coalesce("component", "ck").alias("comp"))
+    torn = lists.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("sig")
+    return lists.join(torn, "sig", "left_semi")
+
+
+def _ordered(pairs: DataFrame, similarity: int) -> DataFrame:
+    fit = pairs.where("uc <> vc").where(_fits("un", "vn", similarity))
+    return fit.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _star_pairs(lists: DataFrame, turn: int, similarity: int) -> DataFrame:
+    """Each class of a list with a few pivots of the list, others each turn."""
+    one = F.struct("ck", "n", "comp")
+    pivots = [F.min_by(one, F.struct(F.xxhash64("ck", F.lit(turn * PIVOTS + k)), "ck")).alias(f"p{k}") for k in range(PIVOTS)]
+    heads = lists.groupBy("sig").agg(*pivots).select("sig", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
+    return _ordered(lists.join(heads, "sig").select(F.col("p.ck").alias("u"), F.col("p.n").alias("un"), F.col("p.comp").alias("uc"), F.col("ck").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc")), similarity)
+
+
+class _Bitmaps:
+    """The parity bitmaps of rows, by width."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.width = np.array([len(b) for b in blobs])
+        self.place, self.rows = np.zeros(len(blobs), np.int64), {}
+        for w in np.unique(self.width):
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[w] = np.frombuffer(b"".join(blobs[k] for k in at), np.uint64).reshape(len(at), -1)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of rows i and j; j's bitmaps are as wide as i's, or twice as wide and folded."""
+        out = np.zeros(len(i), np.int64)
+        for w in np.unique(self.width[i]):
+            for fold in (1, 2):
+                at = np.flatnonzero((self.width[i] == w) & (self.width[j] == w * fold))
+                for k in range(0, len(at), 8192):
+                    part = at[k : k + 8192]
+                    a, b = self.rows[w][self.place[i[part]]], self.rows[w * fold][self.place[j[part]]] if len(part) else None
+                    if fold == 2:
+                        b = b[:, : a.shape[1]] ^ b[:, a.shape[1] :]
+                    out[part] = np.bitwise_count(a ^ b).sum(axis=1)
+        return out
+
+
+def _compare(similarity: int):
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of some lists, or pairs of blocks of long ones: pairs of different components that their bitmaps do not rule out."""
+        pdf = pdf.sort_values(["sig", "bi", "bj", "n", "ck"])
+        n, ck, comp, block = (pdf[c].to_numpy().astype(np.int64) for c in ("n", "ck", "comp", "block"))
+        across = (pdf.bi != pdf.bj).to_numpy()
+        key = pdf[["sig", "bi", "bj"]].to_numpy().astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+        end = np.repeat(np.append(start[1:], len(ck)), np.diff(np.append(start, len(ck))))
+        bitmaps = _Bitmaps(pdf.bits.tolist())
+        rows, u, v = np.arange(len(ck)), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for step in range(1, int((end - rows).max())):  # each row with the row `step` places on in its list
+            i = rows[rows + step < end[rows]]
+            j = i + step
+            good = (comp[i] != comp[j]) & (n[j] * similarity <= n[i] * 100) & (~across[i] | (block[i] != block[j]))
+            rows = i[n[j] * similarity <= n[i] * 100]  # later rows are larger still
+            i, j = i[good], j[good]
+            near = bitmaps.apart(i, j) * (100 + similarity) <= (n[i] + n[j]) * (100 - similarity)
+            u.append(ck[i[near]])
+            v.append(ck[j[near]])
+            if not len(rows):
+                break
+        a, b = np.concatenate(u), np.concatenate(v)
+        return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)}).drop_duplicates()
+
+    return compare
+
+
+def _every_pair(lists: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of classes of a list that are in different components and may be linked. Long lists are compared block by block."""
+    blocks = lists.groupBy("sig").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
+    dealt = lists.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = other.join(classes.select("ck", "bits"), "ck").select("sig", "ck", "n", "comp", "bits", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    tasks = max(shuffle_width(lists.sparkSession), -(-lists.count() // TASK_ROWS))
+    bundle = F.pmod(F.xxhash64("sig", "bi", "bj"), F.lit(tasks)).alias("bundle")
+    return rows.groupBy(bundle).applyInPandas(_compare(similarity), "u long, v long").distinct()
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -214,50 +396,46 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, similarity: int = SIMILA
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    counts = materialize(base.mapInArrow(_count(words), "shingle long, n long"), "shingle-counts")
-    total = counts.where("shingle is null").agg(F.sum("n")).first()[0] or 0
+    chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
+    counters = max(shuffle_width(spark), -(-chars // OWNER_CHARS))
+    counts = materialize(base.mapInArrow(_count(words, counters), COUNTED), "shingle-counts")
+    total = counts.where("shingle is null and owner is null").agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_FREQUENT, -(-total // FREQUENT))
     often = counts.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("shingle")
     frequent = np.sort(np.array([r.shingle for r in often.toLocalIterator()], np.int64).view(np.uint64))
+    bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for r in counts.where("owner is not null").select("owner", "n", "k", "coded").groupBy("owner").applyInPandas(_shared, "first long, bits binary").toLocalIterator():
+        part = np.frombuffer(r.bits, np.uint8)
+        bitmap[r.first : r.first + len(part)] |= part
     discard(counts)
     owners = max(shuffle_width(spark), -(-total // (3 * OWNER_ENTRIES)))
-    shared = spark.sparkContext.broadcast(frequent)
+    shared = spark.sparkContext.broadcast((frequent, bitmap))
     indexed = materialize(base.mapInArrow(_index(words, similarity, owners, shared), INDEX), "index")
 
-    members = indexed.where("id is not null").select("id", "n", "ck")
+    members = indexed.where("id is not null").select("id", "n", "ck", "bits")
     by_owner = indexed.where("owner is not null").select("owner", "sigs", "places", "cks", "ns").groupBy("owner").applyInPandas(_meet, "sig long, ck long, n int")
     by_frequent = indexed.where("sig is not null").groupBy("sig", "ck").agg(F.min("n").alias("n"))
     lists = materialize(by_owner.unionByName(by_frequent), "lists")
-    heads = lists.groupBy("sig").agg(F.min(F.struct("ck", "n")).alias("head"), F.max("ck").alias("last")).where("head.ck < last")
-    starred = (
-        lists.join(heads, "sig").select(F.col("head.ck").alias("u"), F.col("head.n").alias("un"), F.col("ck").alias("v"), F.col("n").alias("vn"))
-        .where(F.col("u") != F.col("v")).where(_fits("un", "vn", similarity)).select("u", "v").distinct()
-    )
-    star = materialize(starred, "star-pairs")
-    classes = materialize(members.where("n > 0").groupBy("ck").agg(F.min("id").alias("first"), F.count("*").alias("n")), "classes")
-    met = lists.join(heads.select("sig"), "sig", "left_semi").select("ck").distinct()
-    wanted = materialize(classes.join(met, "ck", "left_semi").select(F.col("first").alias("id")), "wanted")
-    sets = materialize(base.join(_few(wanted), "id", "left_semi").mapInArrow(_sets(words), "ck long, items array<long>").dropDuplicates(["ck"]), "sets")
-
-    links = materialize(_verified(star, sets, similarity), "links")
-    labels = materialize(connected_components(links), "labels")
-    placed = lists.join(labels.withColumnRenamed("vertex", "ck"), "ck", "left").select("sig", "ck", "n", F.coalesce("component", "ck").alias("comp"))
-    torn = placed.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("sig")
-    open_lists = materialize(placed.join(torn, "sig", "left_semi"), "open-lists")
-    x = open_lists.select("sig", F.col("ck").alias("u"), F.col("n").alias("un"), F.col("comp").alias("uc"))
-    y = open_lists.select("sig", F.col("ck").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc"))
-    apart = (
-        x.join(y, "sig").where("u < v and uc <> vc").where(_fits("un", "vn", similarity)).select("u", "v").distinct()
-        .join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    )
-    more = materialize(_verified(apart, sets, similarity), "links")
-    discard(star, open_lists, sets, wanted, lists)
-    if not more.isEmpty():
-        labels = materialize(connected_components(links.unionByName(more)), "labels")
+    classes = materialize(members.where("n > 0").groupBy("ck").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
+    open_lists, links, labels, done = lists.withColumn("comp", F.col("ck")), None, None, None
+    for turn in (*range(STARS), None):
+        open_lists = materialize(_torn(open_lists, labels), "open-lists")
+        pairs = _every_pair(open_lists, classes, similarity) if turn is None else _star_pairs(open_lists, turn, similarity)
+        if done is not None:
+            pairs = pairs.join(done, ["u", "v"], "left_anti")
+        met = materialize(pairs, "met")
+        near = met if turn is None else materialize(_plausible(met, classes, similarity), "pairs")
+        if not near.isEmpty():
+            found = _links(near, base, classes, words, similarity)
+            links = found if links is None else links.unionByName(found)
+            labels = materialize(connected_components(links), "labels")
+        done = met if done is None else done.unionByName(met)
+    if labels is None:
+        labels = classes.limit(0).select(F.col("ck").alias("vertex"), F.col("ck").alias("component"))
     of_class = labels.withColumnRenamed("vertex", "ck").join(classes, "ck")
     of_component = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = of_class.join(of_component, "component").select("ck", "component_id")
-    final = classes.join(linked, "ck", "left").where("component_id is not null or n > 1").select("ck", F.coalesce("component_id", "first").alias("component_id"))
+    final = classes.join(linked, "ck", "left").where("component_id is not null or copies > 1").select("ck", F.coalesce("component_id", "first").alias("component_id"))
     return (
         members.withColumn("key", F.when(F.col("n") > 0, F.col("ck")))
         .join(final.withColumnRenamed("ck", "key"), "key", "left")

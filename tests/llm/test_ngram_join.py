@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.llm import ngram_join
-from graphloom.llm.ngram_join import index_entries, jaccard_groups
+from graphloom.llm.ngram_join import bits_apart, index_entries, jaccard_groups, parity_bits
 
 
 def brute(pairs, words=5):
@@ -58,6 +58,9 @@ def result(df):
 @pytest.mark.parametrize("seed, least", [(1, 16), (2, 2), (3, 10**9)])
 def test_against_brute_force(docs_of, monkeypatch, seed, least):
     monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", least)
+    if seed == 2:
+        monkeypatch.setattr(ngram_join, "LIST_BLOCK", 5)
+        monkeypatch.setattr(ngram_join, "STARS", 0)
     pairs = made(seed) + EDGE
     assert result(jaccard_groups(docs_of(pairs, ck="c", sig="s").repartition(3))) == brute(pairs)
 
@@ -85,5 +88,7 @@ def test_linked_sets_share_an_entry(data):
     if a == b or 100 * both < 75 * len(a | b):
         return
     frequent = np.array(sorted(rng.sample(pool, rng.choice([0, 40, 300, 400]))), np.uint64)
-    ea, eb = (index_entries(np.array(sorted(s), np.uint64), frequent) for s in (a, b))
+    noise = rng.choice([0, 0.3, 1])
+    ea, eb = (index_entries(np.array(sorted(s), np.uint64), np.array([x in a & b or hash(x) % 100 < 100 * noise for x in sorted(s)]), frequent) for s in (a, b))
+    assert bits_apart(*(parity_bits(np.array(sorted(s), np.uint64)) for s in (a, b))) <= len(a ^ b)
     assert set(ea[0].tolist()) & set(eb[0].tolist()) or set(ea[1].tolist()) & set(eb[1].tolist())
