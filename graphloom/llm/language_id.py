@@ -1,17 +1,19 @@
 """Language identification by families, then one-versus-one linear support vector machines.
 
 Features are hashed byte n-grams (1 to 3) of the whole text. From a bounded
-sample of labelled documents the languages' mean vectors are grouped into
-families (languages whose vectors are closer than those of an average pair),
-one-versus-one machines are fitted between families, and others between the
-languages of each family. A text is first given a family, then a language.
+sample of the labelled documents of every language the languages' mean vectors
+are grouped into families (languages whose vectors are closer than those of an
+average pair), one-versus-one machines are fitted between families, and others
+between the languages of each family. A text is first given a family, then a
+language. Means and machines are made in Spark groups: the driver holds one mean
+for each language and the machines, never the sample.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -19,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.scratch import discard, materialize
+
 #: Hash buckets of n-grams, and the lengths of n-grams.
 FEATURES, GRAMS = 4096, (1, 2, 3)
-#: Labelled documents of one language that the fit takes at most (by the hash of their id). A documented bound:
-#: the fit is on the driver, with FEATURES * 4 bytes for each document.
+#: Labelled documents of one language that the fit takes at most, about (by the hash of their id and text); every
+#: language takes part.
 SAMPLE_PER_LANGUAGE = 600
-#: Languages that are told apart at most: the most frequent ones.
-LANGUAGES = 64
+#: Documents of one family in the machines between families at most; each of its languages gives an equal part, one document at least.
+SAMPLE_PER_FAMILY = 3000
+#: Languages, and families, in a block: a Spark group fits the machines of two blocks.
+BLOCK, FAMILY_BLOCK = 4, 2
 
 UNDETERMINED = "und"
 
@@ -114,66 +120,103 @@ def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 40, c: float = 4.0)
 def group_families(means: np.ndarray) -> list[list[int]]:
     """Languages joined while the closest two groups are closer than the mean pair (average linkage)."""
     unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
-    near = unit @ unit.T
+    near = (unit @ unit.T).astype(np.float64)
     groups = [[k] for k in range(len(means))]
     if len(groups) < 3:
         return groups
     floor = near[np.triu_indices(len(means), 1)].mean()
+    size, total = np.ones(len(means)), near.copy()  # total: sums of the similarities between two groups
     while len(groups) > 2:
-        score, i, j = max((near[np.ix_(a, b)].mean(), i, j) for (i, a), (j, b) in combinations(enumerate(groups), 2))
-        if score <= floor:
+        mean = np.where(np.tri(len(groups), dtype=bool), -np.inf, total / np.outer(size, size))
+        i, j = divmod(mean.size - 1 - int(mean[::-1, ::-1].argmax()), len(groups))
+        if mean[i, j] <= floor:
             break
         groups[i] += groups.pop(j)
+        size[i] += size[j]
+        total[i] += total[j]
+        total[:, i] += total[:, j]
+        size, total = np.delete(size, j), np.delete(np.delete(total, j, 0), j, 1)
     return groups
 
 
-def fit_model(x: np.ndarray, langs: np.ndarray) -> LanguageModel:
-    names = sorted(set(langs))
-    if not names:
-        return LanguageModel([], [], [])
-    means = np.stack([x[langs == n].mean(axis=0) for n in names])
-    groups = group_families(means)
-    families = [[names[k] for k in g] for g in groups]
-    of = {n: k for k, g in enumerate(families) for n in g}
-    number = np.array([of[n] for n in langs])
-
-    def machine(positive: np.ndarray, negative: np.ndarray) -> tuple[np.ndarray, float]:
-        rows = positive | negative
-        return fit_machine(x[rows], np.where(positive[rows], 1, -1))
-
-    between = [(a, b, *machine(number == a, number == b)) for a, b in combinations(range(len(families)), 2)]
-    within = [[(a, b, *machine(langs == a, langs == b)) for a, b in combinations(g, 2)] for g in families]
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            b = whole.slice(at, 256)
+            x = features(b.column(0).to_pylist()).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), b.column(1), b.column(2)], names=["x", "lang", "h"])
+
+
+def _rows(blobs: pd.Series) -> np.ndarray:
+    return np.stack([np.frombuffer(v, np.float16) for v in blobs])
+
+
+def _rank(most: int):
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One language's sample in order, at most `most` documents, after a row of rank -1 with the mean."""
+        pdf = pdf.sort_values(["h", "x"]).head(most)
+        mean = _rows(pdf.x).astype(np.float32).mean(axis=0)
+        return pd.DataFrame({"lang": pdf.lang.iloc[0], "rank": np.arange(-1, len(pdf), dtype=np.int32), "x": [mean.tobytes(), *pdf.x]})
+
+    return rank
+
+
+def _fit_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The machines of each two classes of two blocks (of one, if they are the same)."""
+    pdf = pdf.sort_values(["lang", "rank"])
+    cls, block, x = pdf["class"].to_numpy(), pdf["block"].to_numpy(), _rows(pdf.x)
+    i, j = (int(pdf[c].iloc[0]) for c in ("i", "j"))
+    left, right = (sorted(set(cls[block == k])) for k in (i, j))
+    out = []
+    for a, b in combinations(left, 2) if i == j else product(left, right):
+        rows = (cls == a) | (cls == b)
+        w, bias = fit_machine(x[rows].astype(np.float32), np.where(cls[rows] == a, 1, -1))
+        out.append((int(pdf.level.iloc[0]), a, b, w.tobytes(), bias))
+    return pd.DataFrame(out, columns=["level", "a", "b", "w", "bias"])
+
+
+def _fit_families(sample: DataFrame, families: list[list[str]]) -> LanguageModel:
+    """Machines between families (level -1) and between the languages of family k (level k), from ranked rows of all languages."""
+    placed = []  # (language, level, class, its block, blocks of the level, documents of the language at most)
+    for k, names in enumerate(families):
+        if len(families) > 1:
+            placed += [(n, -1, k, k // FAMILY_BLOCK, -(-len(families) // FAMILY_BLOCK), max(1, SAMPLE_PER_FAMILY // len(names))) for n in names]
+        if len(names) > 1:
+            placed += [(n, k, c, c // BLOCK, -(-len(names) // BLOCK), None) for c, n in enumerate(names)]
+    between, within = [], [[] for _ in families]
+    if placed:
+        places = sample.sparkSession.createDataFrame(placed, "lang string, level int, class int, block int, blocks int, most int")
+        dealt = sample.join(F.broadcast(places), "lang").where("most is null or rank < most")
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("lang", "rank", "x", "level", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        machines = dealt.groupBy("level", "i", "j").applyInPandas(_fit_blocks, "level int, a int, b int, w binary, bias double")
+        for r in sorted(machines.collect(), key=lambda r: (r.level, r.a, r.b)):
+            w = np.frombuffer(r.w, np.float32)
+            if r.level < 0:
+                between.append((r.a, r.b, w, r.bias))
+            else:
+                within[r.level].append((families[r.level][r.a], families[r.level][r.b], w, r.bias))
     return LanguageModel(families, between, within)
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """A model from rows with a language and a text that has a letter.
+    """A model of every language from rows with a language and a text that has a letter.
 
-    At most `per_language` documents of a language are taken: those whose ids have the smallest hashes.
+    About `per_language` documents of a language are taken at most, by their hashes.
     """
     rows = labelled.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = [(r.lang, r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    if not sizes:
+    shares = materialize(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.0 * per_language) / F.count("*")).alias("share")), "language-shares")
+    picked = rows.join(F.broadcast(shares), "lang").where((F.pmod("h", F.lit(1 << 30)) / F.lit(1 << 30)) < F.col("share"))
+    found = picked.select("text", "lang", "h").mapInArrow(_extract, "x binary, lang string, h long")
+    sample = materialize(found.groupBy("lang").applyInPandas(_rank(per_language + per_language // 4), "lang string, rank int, x binary"), "language-sample")
+    means = {r.lang: np.frombuffer(r.x, np.float32) for r in sample.where("rank < 0").select("lang", "x").collect()}
+    names = sorted(means)
+    if not names:
         return LanguageModel([], [], [])
-    share = F.lit(None).cast("double")
-    for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.0 * per_language / n))).otherwise(share)
-    picked = rows.where((F.pmod("h", F.lit(1 << 30)) / F.lit(1 << 30)) < share)
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = features(b.column(0).to_pylist()).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), b.column(1), b.column(2)], names=["x", "lang", "h"])
-
-    got: dict[str, list] = {}
-    for r in picked.select("text", "lang", "h").mapInArrow(extract, "x binary, lang string, h long").collect():
-        got.setdefault(r.lang, []).append((r.h, bytes(r.x)))
-    x, langs = [], []
-    for lang in sorted(got):
-        for _, blob in sorted(got[lang])[: per_language + per_language // 4]:
-            x.append(np.frombuffer(blob, np.float16))
-            langs.append(lang)
-    return fit_model(np.stack(x).astype(np.float32), np.array(langs, object))
+    families = [[names[k] for k in g] for g in group_families(np.stack([means[n] for n in names]))]
+    model = _fit_families(sample.where("rank >= 0"), families)
+    discard(shares, sample)
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
