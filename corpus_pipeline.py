@@ -38,10 +38,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that stand in ten documents or more; a document that had lines and loses all of its text goes."""
+    """Drops lines that stand in ten documents or more; every document stays, with the text that is left (possibly empty)."""
     out = dedup_lines(docs, min_docs=10, min_chars=1)
-    left = out.where((F.col("n_dropped") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
-    return left.select(*_with_text(docs.columns, "row", F.when(F.col("n_dropped") == 0, F.col("row.text")).otherwise(F.col("kept"))))
+    return out.select(*_with_text(docs.columns, "row", F.when(F.col("n_dropped") == 0, F.col("row.text")).otherwise(F.col("kept"))))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +53,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of fifty words or more that a document with a smaller id has; others keep their text as it is."""
+    """Removes passages of fifty words or more that a document with a smaller id has, all of a text if need be; others keep their text as it is."""
     out = dedup_substrings(docs)
-    touched = out.where("n_removed > 0 and n_removed < n_words")
-    gone = out.where("n_removed > 0").select(F.col("doc_id").alias("_id")).distinct()
+    touched = out.where("n_removed > 0")
+    gone = touched.select(F.col("doc_id").alias("_id")).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     same = docs.join(gone, docs.doc_id == gone._id, "left_anti").select(*docs.columns)
