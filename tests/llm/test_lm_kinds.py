@@ -1,0 +1,37 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from graphloom.llm.language_id import features
+from graphloom.llm.lm_scoring import learn_kinds
+
+
+def texts():
+    """Six kinds of words; the last has one text in two hundred."""
+    rng = np.random.default_rng(5)
+    out = []
+    for k in range(4000):
+        kind = 5 if k % 200 == 199 else k % 5
+        a, b, c, d = "abcdefghijklmnopqrstuvwxyz"[4 * kind : 4 * kind + 4]
+        out.append((kind, " ".join(rng.choice([a + b, b + c + d, d + a], 40))))
+    return out
+
+
+def test_kinds_are_learned_from_every_text(docs_of):
+    rows = texts()
+    c = learn_kinds(docs_of([(k, t) for k, (_, t) in enumerate(rows)]).repartition(3), F.lit(True))
+    x, kind = features([t for _, t in rows]), np.array([k for k, _ in rows])
+    for k in range(6):
+        mean = x[kind == k].mean(axis=0)
+        mean /= np.linalg.norm(mean)
+        assert np.abs(c - mean).max(axis=1).min() < 1e-4
+
+
+def test_kinds_do_not_depend_on_order_and_partitions(docs_of):
+    docs = docs_of([(i, f"text {i % 50} of {'abcdefg'[i % 7] * 9}") for i in range(400)])
+    a = learn_kinds(docs.repartition(2), F.lit(True))
+    b = learn_kinds(docs.orderBy(F.desc("doc_id")).repartition(5), F.lit(True))
+    assert np.array_equal(a, b)
+
+
+def test_without_texts(docs_of):
+    assert learn_kinds(docs_of([(1, ""), (2, None)]), F.lit(True)).shape == learn_kinds(docs_of([(1, "a")]), F.lit(None).cast("boolean")).shape == (1, 4096)
