@@ -20,9 +20,17 @@ whole sets.
 
 Documents with equal sets are one class throughout, so copies are never paired.
 In each list of classes with the same entry all are first compared with a few of
-them, twice; what this links is contracted, and only classes of one list that are
-still in different components are compared with each other. Links between classes of
-one component add nothing to the components and are not computed.
+them; what this links is contracted, and lists within one component are
+done. In the lists that are left, the classes outside the list's main component
+are compared with all classes of the list, in cells of bounded size: a task gets
+the whole sets of a cell, counts what each two of them share and returns only
+links that join components, fewer than the cell has classes. Similar lists fall
+to the same task and are compared once. Links between classes of one component
+add nothing to the components and are not computed.
+
+Bounds: a shingle, and a class (an equal set), is named by 64 bits, so at 10**10
+distinct sets a few wrong merges are to be expected. A list whose classes stay
+in different components is compared in (its length / LIST_BLOCK)**2 / 2 cells.
 """
 
 from __future__ import annotations
@@ -35,18 +43,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import GOLDEN, combine, counted, distinct, doc_words, hash_words, mix, text_chunks, windows_hash
+from graphloom.llm.common import GOLDEN, combine, counted, distinct, doc_words, hash_words, mix, ragged, text_chunks, windows_hash
 from graphloom.llm.exact_dedup import golomb_decode, golomb_encode
 from graphloom.operators.components import connected_components
 from graphloom.scratch import discard, materialize, shuffle_width
 
 WORDS, SIMILARITY = 5, 75
 #: Turns in which the classes of a list are compared with a few of them only, and these pivots.
-STARS, PIVOTS = 2, 4
-#: Classes of a list that are compared with each other in one task at most, about.
-LIST_BLOCK = 1024
-#: Rows of lists that one task of that comparison gets on average at most.
-TASK_ROWS = 50_000
+STARS, PIVOTS = 1, 4
+#: Classes of a task's cell that are compared with each other whether or not they share a list.
+TOGETHER = 48
+#: Classes, and shingles of them, in a block of a list, about; two blocks make a cell, whose classes are compared in one task.
+LIST_BLOCK, BLOCK_SHINGLES = 1024, 400_000
+#: Lists longer than LIST_BLOCK and than rows / HOT_LISTS are told to all tasks; there cannot be more than HOT_LISTS of them.
+HOT_LISTS = 1_000_000
+#: Shingles of sets that one task of that comparison gets on average at most.
+TASK_SHINGLES = 4_000_000
 #: Sets of up to so many shingles are short.
 SHORT = 96
 #: Shingles that count as frequent at most (8 bytes each are sent to every task): those found in more documents than
@@ -176,7 +188,7 @@ def is_shared(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-INDEX = "id long, n int, ck long, bits binary, sig long, owner int, sigs binary, places binary, cks binary, ns binary"
+INDEX = "id long, n int, w int, ck long, bits binary, sig long, owner int, sigs binary, places binary, cks binary, ns binary"
 
 
 def _index(words: int, similarity: int, owners: int, shared):
@@ -187,11 +199,13 @@ def _index(words: int, similarity: int, owners: int, shared):
             n = np.array([len(s) for s in sets], np.int32)
             ck = np.array([class_key(s) if len(s) else 0 for s in sets], np.int64)
             nulls = [None] * len(ids)
-            yield _batch(ids, n, ck, [parity_bits(s) for s in sets], nulls, nulls, nulls, nulls, nulls, nulls)
+            yield _batch(ids, n, nulls, ck, [parity_bits(s) for s in sets], nulls, nulls, nulls, nulls, nulls, nulls)
             rare, place, fsig, fplace = [], [], [], []
             _, firsts = np.unique(ck, return_index=True)
+            w = np.zeros(len(ids), np.int32)
             for k in firsts:
                 a, b = index_entries(sets[k], is_shared(sets[k], bitmap), frequent, similarity)
+                w[k] = 1000 * (len(a) + len(b)) // max(n[k], 1)
                 rare.append(a)
                 place.append(np.full(len(a), k, np.uint32))
                 fsig.append(b)
@@ -199,7 +213,7 @@ def _index(words: int, similarity: int, owners: int, shared):
             fsig, fplace = np.concatenate(fsig), np.concatenate(fplace)
             if len(fsig):
                 nulls = [None] * len(fsig)
-                yield _batch(nulls, n[fplace], ck[fplace], nulls, fsig.view(np.int64), nulls, nulls, nulls, nulls, nulls)
+                yield _batch(nulls, n[fplace], w[fplace], ck[fplace], nulls, fsig.view(np.int64), nulls, nulls, nulls, nulls, nulls)
             rare, place = np.concatenate(rare), np.concatenate(place)
             order = np.argsort(rare)
             rare, place = rare[order], place[order]
@@ -210,17 +224,17 @@ def _index(words: int, similarity: int, owners: int, shared):
                 a, b = cuts[o], cuts[o + 1]
                 if a < b:
                     who, at = np.unique(place[a:b], return_inverse=True)
-                    rows.append((o, rare[a:b].tobytes(), at.astype(np.uint32).tobytes(), ck[who].tobytes(), n[who].tobytes()))
+                    rows.append((o, rare[a:b].tobytes(), at.astype(np.uint32).tobytes(), ck[who].tobytes(), np.stack([n[who], w[who]], axis=1).tobytes()))
             if rows:
                 nulls = [None] * len(rows)
-                yield _batch(nulls, nulls, nulls, nulls, nulls, *map(list, zip(*rows, strict=True)))
+                yield _batch(nulls, nulls, nulls, nulls, nulls, nulls, *map(list, zip(*rows, strict=True)))
 
     return index
 
 
 def _batch(*columns) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "ck", "bits", "sig", "owner", "sigs", "places", "cks", "ns"])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "w", "ck", "bits", "sig", "owner", "sigs", "places", "cks", "ns"])
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -230,7 +244,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
         at = np.frombuffer(p, np.uint32)
         sig.append(np.frombuffer(s, np.uint64))
         ck.append(np.frombuffer(c, np.int64)[at])
-        n.append(np.frombuffer(m, np.int32)[at])
+        n.append(np.frombuffer(m, np.int32).reshape(-1, 2)[at])
     sig, ck, n = np.concatenate(sig), np.concatenate(ck), np.concatenate(n)
     order = np.lexsort((ck, sig))
     sig, ck, n = sig[order], ck[order], n[order]
@@ -241,7 +255,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     same = sig[1:] == sig[:-1]
     shared[1:] |= same
     shared[:-1] |= same
-    return pd.DataFrame({"sig": sig[shared].view(np.int64), "ck": ck[shared], "n": n[shared]})
+    return pd.DataFrame({"sig": sig[shared].view(np.int64), "ck": ck[shared], "n": n[shared, 0], "w": n[shared, 1]})
 
 
 def _sets(words: int):
@@ -281,24 +295,41 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFra
 def _links(pairs: DataFrame, base: DataFrame, classes: DataFrame, words: int, similarity: int) -> DataFrame:
     """Pairs (u, v) whose sets are linked, as a written table; the sets are those of one document of each class."""
     ends = pairs.select(F.col("u").alias("ck")).unionByName(pairs.select(F.col("v").alias("ck"))).distinct()
-    wanted = materialize(classes.join(ends, "ck", "left_semi").select(F.col("first").alias("id")), "wanted")
-    # rows that share an id may bring other sets along; they are in no pair or are equal
-    sets = materialize(base.join(_few(wanted), "id", "left_semi").mapInArrow(_sets(words), "ck long, items array<long>").dropDuplicates(["ck"]), "sets")
+    sets = _set_table(ends, base, classes, words)
     a = sets.select(F.col("ck").alias("u"), F.col("items").alias("su"))
     b = sets.select(F.col("ck").alias("v"), F.col("items").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
     linked = pairs.join(a, "u").join(b, "v").where(both * 100 >= (F.size("su") + F.size("sv") - both) * similarity).select("u", "v")
     out = materialize(linked, "links")
-    discard(wanted, sets)
+    discard(sets)
     return out
 
 
+def _blocked(lists: DataFrame) -> DataFrame:
+    """Adds `block`: rows of lists longer than LIST_BLOCK are spread, so that no key (sig, block) has many rows."""
+    sizes = materialize(lists.groupBy("sig").agg(F.count("*").alias("size")).where(F.col("size") > LIST_BLOCK), "list-sizes")
+    limit = max(LIST_BLOCK, lists.count() // HOT_LISTS)
+    out = lists.join(F.broadcast(sizes.where(F.col("size") > limit)), "sig", "left")
+    if limit > LIST_BLOCK:
+        out = out.join(sizes.where(F.col("size") <= limit).withColumnRenamed("size", "other"), "sig", "left").withColumn("size", F.coalesce("size", "other")).drop("other")
+    block = F.when(F.col("size").isNull(), 0).otherwise(F.pmod(F.xxhash64("ck"), F.ceil(F.col("size") / LIST_BLOCK))).cast("int")
+    return out.withColumn("block", block).drop("size")
+
+
+def _of_lists(rows: DataFrame, *figures: Column) -> DataFrame:
+    """Figures of each list, one row for each of its blocks, to be joined by (sig, block)."""
+    return rows.groupBy("sig").agg(*figures, F.max("block").alias("_last")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
+
+
 def _torn(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Lists (sig, ck, n, comp) that hold classes of several components."""
+    """Lists (sig, block, ck, n, w, comp) that hold classes of several components."""
     if labels is not None:
-        lists = lists.drop("comp").join(labels.withColumnRenamed("vertex", "ck"), "ck", "left").select("sig", "ck", "n", F.coalesce("component", "ck").alias("comp"))
-    torn = lists.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("sig")
-    return lists.join(torn, "sig", "left_semi")
+        known = labels.select(F.col("vertex").alias("ck"), "component")
+        lists = lists.join(known, "ck", "left").select("sig", "block", "ck", "n", "w", F.coalesce("component", "ck").alias("comp"))
+    else:
+        lists = lists.withColumn("comp", F.col("ck"))
+    torn = _of_lists(lists, F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("sig", "block")
+    return lists.join(torn, ["sig", "block"], "left_semi")
 
 
 def _ordered(pairs: DataFrame, similarity: int) -> DataFrame:
@@ -307,76 +338,159 @@ def _ordered(pairs: DataFrame, similarity: int) -> DataFrame:
 
 
 def _star_pairs(lists: DataFrame, turn: int, similarity: int) -> DataFrame:
-    """Each class of a list with a few pivots of the list, others each turn."""
+    """Each class of a list with a few pivots of the list: the one with the most entries for its size, and others each turn."""
     one = F.struct("ck", "n", "comp")
-    pivots = [F.min_by(one, F.struct(F.xxhash64("ck", F.lit(turn * PIVOTS + k)), "ck")).alias(f"p{k}") for k in range(PIVOTS)]
-    heads = lists.groupBy("sig").agg(*pivots).select("sig", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
-    return _ordered(lists.join(heads, "sig").select(F.col("p.ck").alias("u"), F.col("p.n").alias("un"), F.col("p.comp").alias("uc"), F.col("ck").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc")), similarity)
-
-
-class _Bitmaps:
-    """The parity bitmaps of rows, by width."""
-
-    def __init__(self, blobs: list[bytes]):
-        self.width = np.array([len(b) for b in blobs])
-        self.place, self.rows = np.zeros(len(blobs), np.int64), {}
-        for w in np.unique(self.width):
-            at = np.flatnonzero(self.width == w)
-            self.place[at] = np.arange(len(at))
-            self.rows[w] = np.frombuffer(b"".join(blobs[k] for k in at), np.uint64).reshape(len(at), -1)
-
-    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Differing bits of rows i and j; j's bitmaps are as wide as i's, or twice as wide and folded."""
-        out = np.zeros(len(i), np.int64)
-        for w in np.unique(self.width[i]):
-            for fold in (1, 2):
-                at = np.flatnonzero((self.width[i] == w) & (self.width[j] == w * fold))
-                for k in range(0, len(at), 8192):
-                    part = at[k : k + 8192]
-                    a, b = self.rows[w][self.place[i[part]]], self.rows[w * fold][self.place[j[part]]] if len(part) else None
-                    if fold == 2:
-                        b = b[:, : a.shape[1]] ^ b[:, a.shape[1] :]
-                    out[part] = np.bitwise_count(a ^ b).sum(axis=1)
-        return out
+    pivots = [F.max_by(one, F.struct("w", F.xxhash64("ck", F.lit(turn)), "ck")).alias("p0")]
+    pivots += [F.min_by(one, F.struct(F.xxhash64("ck", F.lit(turn * PIVOTS + k)), "ck")).alias(f"p{k}") for k in range(1, PIVOTS)]
+    heads = _of_lists(lists, *pivots).select("sig", "block", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
+    return _ordered(lists.join(heads, ["sig", "block"]).select(F.col("p.ck").alias("u"), F.col("p.n").alias("un"), F.col("p.comp").alias("uc"), F.col("ck").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc")), similarity)
+
+
+def _cells(lists: DataFrame) -> DataFrame:
+    """Rows (cell, ck, n, comp) of all cells that hold several components.
+
+    A list's main component is that of its first pivot. Other classes (blocks x >= 0)
+    meet each other and those of the main component (blocks y < 0); these do not meet
+    among themselves. Numbers of blocks are powers of two and blocks go by the class,
+    so that similar lists have similar cells; a cell is named by its blocks and its
+    smallest class, so that these often have the same name.
+    """
+    main = _of_lists(lists, F.max_by("comp", F.struct("w", "ck")).alias("main"))
+    rows = lists.join(main, ["sig", "block"]).withColumn("inside", F.col("comp") == F.col("main"))
+
+    def blocks(inside: bool) -> Column:
+        n = F.when(F.col("inside") == inside, F.col("n"))
+        least = F.greatest(F.lit(1.0), F.count(n) / LIST_BLOCK, F.sum(n) / BLOCK_SHINGLES)
+        return F.pow(2.0, F.ceil(F.log2(least))).cast("int")
+
+    size = _of_lists(rows, blocks(True).alias("ins"), blocks(False).alias("outs"))
+    h = F.xxhash64("ck")
+    at = F.when(F.col("inside"), -1 - F.pmod(h, F.col("ins"))).otherwise(F.pmod(h, F.col("outs"))).cast("int")
+    out = lambda: F.sequence(F.lit(0), F.col("outs") - 1)
+    meets = F.when(F.col("inside"), out()).otherwise(F.concat(out(), F.transform(F.sequence(F.lit(1), F.col("ins")), lambda k: -k)))
+    dealt = rows.join(size, ["sig", "block"]).withColumn("at", at).withColumn("other", F.explode(meets))
+    x = F.when(F.col("at") < 0, F.col("other")).when(F.col("other") < 0, F.col("at")).otherwise(F.least("at", "other"))
+    y = F.when(F.col("at") < 0, F.col("at")).when(F.col("other") < 0, F.col("other")).otherwise(F.greatest("at", "other"))
+    placed = dealt.select("sig", x.alias("x"), y.alias("y"), "ck", "n", "comp")
+    names = placed.groupBy("sig", "x", "y").agg(F.min("ck").alias("least"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
+    cell = F.xxhash64("least", "x", "y").alias("cell")
+    return placed.join(names, ["sig", "x", "y"]).select("sig", cell, "ck", "n", "comp")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of some sets share."""
+    k = len(sets)
+    if k == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[0, both], [both, 0]])
+    lengths = np.array([len(s) for s in sets])
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(k), lengths)
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    often = np.diff(np.append(start, len(value)))
+    out = np.zeros((k, k), np.float32)
+    heavy = np.flatnonzero(often > max(8, k // 16))
+    for at in range(0, len(heavy), 2048):  # common values: a product of matrices
+        part = heavy[at : at + 2048]
+        has = np.zeros((k, len(part)), np.float32)
+        for c, v in enumerate(part):
+            has[row[start[v] : start[v] + often[v]], c] = 1
+        out += has @ has.T
+    light = out.reshape(-1)
+    few = often <= max(8, k // 16)
+    for step in range(1, int(often[few].max()) if few.any() else 1):  # each entry with the one `step` places on
+        go = few & (often > step)
+        i = ragged(start[go], often[go] - step)
+        light += np.bincount(row[i] * k + row[i + step], minlength=k * k)
+    out = np.triu(out, 1)
+    return (out + out.T).astype(np.int64)
+
+
+def joining_links(ck: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], similarity: int) -> list[tuple[int, int]]:
+    """Links that join the components of some classes as all their links do; fewer than there are components."""
+    n = np.array([len(s) for s in sets])
+    both = shared_counts(sets)
+    linked = both * (100 + similarity) >= (n[:, None] + n[None, :]) * similarity
+    out, open_ = [], np.ones(len(n), bool)
+    for first in range(len(n)):
+        if not open_[first]:
+            continue
+        open_[first] = False
+        seen, queue = {comp[first]}, [first]
+        while queue:
+            i = queue.pop()
+            for j in np.flatnonzero(linked[i] & open_).tolist():
+                open_[j] = False
+                queue.append(j)
+                if comp[j] not in seen:
+                    seen.add(comp[j])
+                    out.append((ck[i], ck[j]))
+    return out
+
+
+def _groups(lists: list[np.ndarray], classes: int) -> list[np.ndarray]:
+    """Classes to be compared at once: of few classes all, else those of lists that share most of their classes."""
+    if classes <= TOGETHER:
+        return [np.ones(classes, bool)]
+    groups: list[np.ndarray] = []
+    for who in sorted(lists, key=len, reverse=True):
+        for has in groups:
+            if has[who].sum() * 2 >= len(who):
+                has[who] = True
+                break
+        else:
+            groups.append(np.zeros(classes, bool))
+            groups[-1][who] = True
+    return groups
 
 
 def _compare(similarity: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of some lists, or pairs of blocks of long ones: pairs of different components that their bitmaps do not rule out."""
-        pdf = pdf.sort_values(["sig", "bi", "bj", "n", "ck"])
-        n, ck, comp, block = (pdf[c].to_numpy().astype(np.int64) for c in ("n", "ck", "comp", "block"))
-        across = (pdf.bi != pdf.bj).to_numpy()
-        key = pdf[["sig", "bi", "bj"]].to_numpy().astype(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        end = np.repeat(np.append(start[1:], len(ck)), np.diff(np.append(start, len(ck))))
-        bitmaps = _Bitmaps(pdf.bits.tolist())
-        rows, u, v = np.arange(len(ck)), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for step in range(1, int((end - rows).max())):  # each row with the row `step` places on in its list
-            i = rows[rows + step < end[rows]]
-            j = i + step
-            good = (comp[i] != comp[j]) & (n[j] * similarity <= n[i] * 100) & (~across[i] | (block[i] != block[j]))
-            rows = i[n[j] * similarity <= n[i] * 100]  # later rows are larger still
-            i, j = i[good], j[good]
-            near = bitmaps.apart(i, j) * (100 + similarity) <= (n[i] + n[j]) * (100 - similarity)
-            u.append(ck[i[near]])
-            v.append(ck[j[near]])
-            if not len(rows):
-                break
-        a, b = np.concatenate(u), np.concatenate(v)
-        return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)}).drop_duplicates()
+        """A task: the links that join components in its cells. Rows hold a cell's class in a list, or a class's set for a cell."""
+        whole = pdf.sig.isna().to_numpy()
+        known = pdf[whole].drop_duplicates(["cell", "ck"]).sort_values(["cell", "ck"])
+        rows = pdf[~whole].sort_values(["cell", "sig"])
+        cells, start = np.unique(known.cell.to_numpy(), return_index=True)
+        cks, comp, items = known.ck.to_numpy(), known.comp.to_numpy(np.int64), known["items"].to_numpy()
+        of_cell, sig, ck = rows.cell.to_numpy(), rows.sig.to_numpy(np.int64), rows.ck.to_numpy()
+        row_start = np.searchsorted(of_cell, cells)
+        out = []
+        for a, b, x, y in zip(start, np.append(start[1:], len(cks)), row_start, np.append(row_start[1:], len(ck)), strict=True):
+            who = np.searchsorted(cks[a:b], ck[x:y])
+            lists = np.split(who, np.flatnonzero(sig[x + 1 : y] != sig[x : y - 1]) + 1) if b - a > TOGETHER else []
+            for has in _groups(lists, b - a):
+                at = a + np.flatnonzero(has)
+                out += joining_links(cks[at], comp[at], [items[k] for k in at], similarity)
+        u, v = np.array(out, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
     return compare
 
 
-def _every_pair(lists: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of classes of a list that are in different components and may be linked. Long lists are compared block by block."""
-    blocks = lists.groupBy("sig").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
-    dealt = lists.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = other.join(classes.select("ck", "bits"), "ck").select("sig", "ck", "n", "comp", "bits", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    tasks = max(shuffle_width(lists.sparkSession), -(-lists.count() // TASK_ROWS))
-    bundle = F.pmod(F.xxhash64("sig", "bi", "bj"), F.lit(tasks)).alias("bundle")
-    return rows.groupBy(bundle).applyInPandas(_compare(similarity), "u long, v long").distinct()
+def _set_table(wanted: DataFrame, base: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(ck, items): the whole set of one document of each wanted class, as a written table."""
+    ids = materialize(classes.join(wanted, "ck", "left_semi").select(F.col("first").alias("id")), "wanted")
+    # rows that share an id may bring other sets along; they are in no pair or are equal
+    sets = materialize(base.join(_few(ids), "id", "left_semi").mapInArrow(_sets(words), "ck long, items array<long>").dropDuplicates(["ck"]), "sets")
+    discard(ids)
+    return sets
+
+
+def _joined_in_cells(lists: DataFrame, base: DataFrame, classes: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links (u, v) that join all components which links within a list connect, as a written table."""
+    cells = materialize(_cells(lists), "cells")
+    sets = _set_table(cells.select("ck").distinct(), base, classes, words)
+    needed_once = materialize(cells.select("cell", "ck", "n", "comp").distinct(), "cell-classes")
+    shingles = needed_once.agg(F.sum("n")).first()[0] or 0
+    tasks = max(shuffle_width(lists.sparkSession), -(-shingles // TASK_SHINGLES))
+    entries = cells.select("cell", "sig", "ck", F.lit(None).cast("long").alias("comp"), F.lit(None).cast("array<long>").alias("items"))
+    whole = needed_once.join(sets, "ck").select("cell", F.lit(None).cast("long").alias("sig"), "ck", "comp", "items")
+    bundle = F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("bundle")
+    out = materialize(entries.unionByName(whole).groupBy(bundle).applyInPandas(_compare(similarity), "u long, v long").distinct(), "links")
+    discard(cells, sets, needed_once)
+    return out
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -413,23 +527,30 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, similarity: int = SIMILA
     indexed = materialize(base.mapInArrow(_index(words, similarity, owners, shared), INDEX), "index")
 
     members = indexed.where("id is not null").select("id", "n", "ck", "bits")
-    by_owner = indexed.where("owner is not null").select("owner", "sigs", "places", "cks", "ns").groupBy("owner").applyInPandas(_meet, "sig long, ck long, n int")
-    by_frequent = indexed.where("sig is not null").groupBy("sig", "ck").agg(F.min("n").alias("n"))
-    lists = materialize(by_owner.unionByName(by_frequent), "lists")
+    by_owner = indexed.where("owner is not null").select("owner", "sigs", "places", "cks", "ns").groupBy("owner").applyInPandas(_meet, "sig long, ck long, n int, w int")
+    by_frequent = indexed.where("sig is not null").groupBy("sig", "ck").agg(F.min("n").alias("n"), F.max("w").alias("w"))
+    met = materialize(by_owner.unionByName(by_frequent), "lists")
+    lists = _blocked(met)
     classes = materialize(members.where("n > 0").groupBy("ck").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
-    open_lists, links, labels, done = lists.withColumn("comp", F.col("ck")), None, None, None
+    links, labels, done = None, None, None
     for turn in (*range(STARS), None):
-        open_lists = materialize(_torn(open_lists, labels), "open-lists")
-        pairs = _every_pair(open_lists, classes, similarity) if turn is None else _star_pairs(open_lists, turn, similarity)
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        met = materialize(pairs, "met")
-        near = met if turn is None else materialize(_plausible(met, classes, similarity), "pairs")
-        if not near.isEmpty():
+        open_lists = materialize(_torn(lists, labels), "open-lists")
+        if turn is None:
+            found = _joined_in_cells(open_lists, base, classes, words, similarity)
+        else:
+            pairs = _star_pairs(open_lists, turn, similarity)
+            pairs = materialize(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
+            done = pairs if done is None else done.unionByName(pairs)
+            near = materialize(_plausible(pairs, classes, similarity), "near")
             found = _links(near, base, classes, words, similarity)
+            discard(near)
+        discard(met)
+        met, lists = open_lists, open_lists.drop("comp")
+        if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = materialize(connected_components(links), "labels")
-        done = met if done is None else done.unionByName(met)
+    shared.unpersist()
+    discard(met)
     if labels is None:
         labels = classes.limit(0).select(F.col("ck").alias("vertex"), F.col("ck").alias("component"))
     of_class = labels.withColumnRenamed("vertex", "ck").join(classes, "ck")

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.llm import ngram_join
-from graphloom.llm.ngram_join import bits_apart, index_entries, jaccard_groups, parity_bits
+from graphloom.llm.ngram_join import bits_apart, index_entries, jaccard_groups, joining_links, parity_bits, shared_counts
 
 
 def brute(pairs, words=5):
@@ -60,11 +60,43 @@ def test_against_brute_force(docs_of, monkeypatch, seed, least):
     monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", least)
     if seed == 2:
         monkeypatch.setattr(ngram_join, "LIST_BLOCK", 5)
+        monkeypatch.setattr(ngram_join, "HOT_LISTS", 100)
+        monkeypatch.setattr(ngram_join, "TOGETHER", 3)
         monkeypatch.setattr(ngram_join, "STARS", 0)
     pairs = made(seed) + EDGE
     assert result(jaccard_groups(docs_of(pairs, ck="c", sig="s").repartition(3))) == brute(pairs)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_joining_links(seed):
+    rng = random.Random(seed)
+    base = [rng.randrange(2**60) for _ in range(60)]
+    sets = [np.array(sorted(rng.sample(base, rng.randrange(30, 60)) + [rng.randrange(2**60) for _ in range(rng.randrange(12))]), np.uint64) for _ in range(rng.choice([2, 3, 40, 150]))]
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    np.fill_diagonal(both, 0)
+    assert (shared_counts(sets) == both).all()
+    comp = np.array([rng.randrange(len(sets)) // 2 for _ in sets])
+
+    def merged(pairs):
+        label = {c: c for c in comp.tolist()}
+
+        def find(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for i, j in pairs:
+            p, q = find(comp[i]), find(comp[j])
+            label[max(p, q)] = min(p, q)
+        return [find(c) for c in comp.tolist()]
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if 175 * both[i, j] >= 75 * (len(sets[i]) + len(sets[j]))]
+    found = joining_links(np.arange(len(sets)), comp, sets, 75)
+    assert set(map(lambda e: tuple(sorted(map(int, e), reverse=True)), found)) <= set(every)
+    assert len(found) < max(2, len(set(comp.tolist())))
+    assert merged(found) == merged(every)
+
+
 def test_repeated_rows_and_empty_table(docs_of):
     t = "a b c d e f g h i j"
     rows = jaccard_groups(docs_of([(4, t), (4, t), (9, t), (5, "other")])).collect()
