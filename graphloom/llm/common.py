@@ -7,15 +7,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that a task works on at a time; one longer text makes a chunk alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch at most, as texts are long.
+BATCH_ROWS = 2000
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, for this and later queries."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: spreads every input bit over the output."""
     x = x.astype(np.uint64, copy=True)
@@ -126,12 +136,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
-def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-
-
 def windows_hash(h: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of `width` consecutive entries of h (by doubling, exact on equality)."""
     n = len(h) - width + 1

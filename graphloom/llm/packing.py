@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ragged, text_chunks
+from graphloom.llm.common import bound_batches, ragged, text_chunks
 
 #: A unit ends where a character other than white space meets a space or a line feed, or a letter or digit meets ASCII
 #: punctuation: no token crosses these borders.
 UNIT = re.compile(r"[ \n]*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[!-/:-@\[-`{-~ \n]|$)|[ \n]*[^ \n]+|[ \n]+")
-#: White space of other kinds; a text that holds one is encoded whole.
+#: White space of other kinds; a text that holds one, or an added token, is encoded whole.
 OTHER_SPACE = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Units that a worker remembers at most.
 MEMO_UNITS = 1_200_000
@@ -52,7 +52,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # an added token is found before the text is cut in words
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.odd = re.compile("|".join([OTHER_SPACE.pattern, *map(re.escape, added)]))
         self._reset()
 
     def _reset(self):
@@ -67,7 +69,7 @@ class UnitEncoder:
         places: list[int] = []
         ends, odd = [], {}
         for k, t in enumerate(texts):
-            if OTHER_SPACE.search(t):
+            if self.odd.search(t):
                 odd[k] = t
             else:
                 places.extend(map(self.memo.__getitem__, UNIT.findall(t)))
@@ -111,14 +113,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_length: int = 2048,
     A document is the ids of its whole text and `end_id`; a null or empty text is
     `end_id` alone. A row without id takes no part. A repeated row is packed
     again, as sequences of its own. `max_length` must be a power of two. Other
-    columns are ignored. The job has no shuffle: rows are cut where they are read.
+    columns are ignored. A long text is encoded whole in its task, in memory of
+    some times its size. An empty table gives an empty result. The job has no
+    shuffle: rows are cut where they are read.
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
+    bound_batches(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for ids, texts in text_chunks(batches, 2 << 20):
+        for ids, texts in text_chunks(batches):
             doc, start, length, total, blobs = [], [], [], [], []
             for i, tokens in zip(ids, enc.encode(texts), strict=True):
                 tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
