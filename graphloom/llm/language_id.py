@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import bound_batches
 from graphloom.scratch import discard, materialize
 
 #: Hash buckets of n-grams, and the lengths of n-grams.
@@ -204,6 +205,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     About `per_language` documents of a language are taken at most, by their hashes.
     """
+    bound_batches(labelled)
     rows = labelled.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     shares = materialize(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.0 * per_language) / F.count("*")).alias("share")), "language-shares")
     picked = rows.join(F.broadcast(shares), "lang").where((F.pmod("h", F.lit(1 << 30)) / F.lit(1 << 30)) < F.col("share"))
@@ -228,6 +230,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     may have any name.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("row")).where("doc_id is not null")
+    bound_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

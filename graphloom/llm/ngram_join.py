@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import GOLDEN, combine, counted, distinct, doc_words, hash_words, mix, ragged, text_chunks, windows_hash
+from graphloom.llm.common import GOLDEN, bound_batches, combine, counted, distinct, doc_words, hash_words, keyed_chunks, mix, ragged, text_chunks, windows_hash
 from graphloom.llm.exact_dedup import golomb_decode, golomb_encode
 from graphloom.operators.components import connected_components
 from graphloom.scratch import discard, materialize, shuffle_width
@@ -68,6 +68,8 @@ FREQUENT, LEAST_FREQUENT = 4_000_000, 16
 MAP_BITS, HASH_BITS, OWNER_CHARS = 28, 40, 12_000_000
 #: Text read at a time to count shingles, and index entries that one owner gets on average at most.
 COUNT_BYTES, OWNER_ENTRIES = 2 << 20, 1_000_000
+#: Classes of more copies than this and than rows / HOT_LISTS are joined by broadcast.
+HOT_COPIES = 10_000
 #: Ids up to this number (16 bytes each) are broadcast to fetch the texts of candidates; beyond it the fetch is a shuffle join.
 BROADCAST_IDS = 2_000_000
 
@@ -188,18 +190,18 @@ def is_shared(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-INDEX = "id long, n int, w int, ck long, bits binary, sig long, owner int, sigs binary, places binary, cks binary, ns binary"
+INDEX = "id long, tk long, n int, w int, ck long, bits binary, sig long, owner int, sigs binary, places binary, cks binary, ns binary"
 
 
 def _index(words: int, similarity: int, owners: int, shared):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, bitmap = shared.value
-        for ids, texts in text_chunks(batches, 2 << 20):
+        for ids, texts, tks in keyed_chunks(batches):
             sets = shingle_sets(texts, words)
             n = np.array([len(s) for s in sets], np.int32)
             ck = np.array([class_key(s) if len(s) else 0 for s in sets], np.int64)
             nulls = [None] * len(ids)
-            yield _batch(ids, n, nulls, ck, [parity_bits(s) for s in sets], nulls, nulls, nulls, nulls, nulls, nulls)
+            yield _batch(ids, tks, n, nulls, ck, [parity_bits(s) for s in sets], nulls, nulls, nulls, nulls, nulls, nulls)
             rare, place, fsig, fplace = [], [], [], []
             _, firsts = np.unique(ck, return_index=True)
             w = np.zeros(len(ids), np.int32)
@@ -213,7 +215,7 @@ def _index(words: int, similarity: int, owners: int, shared):
             fsig, fplace = np.concatenate(fsig), np.concatenate(fplace)
             if len(fsig):
                 nulls = [None] * len(fsig)
-                yield _batch(nulls, n[fplace], w[fplace], ck[fplace], nulls, fsig.view(np.int64), nulls, nulls, nulls, nulls, nulls)
+                yield _batch(nulls, nulls, n[fplace], w[fplace], ck[fplace], nulls, fsig.view(np.int64), nulls, nulls, nulls, nulls, nulls)
             rare, place = np.concatenate(rare), np.concatenate(place)
             order = np.argsort(rare)
             rare, place = rare[order], place[order]
@@ -227,14 +229,14 @@ def _index(words: int, similarity: int, owners: int, shared):
                     rows.append((o, rare[a:b].tobytes(), at.astype(np.uint32).tobytes(), ck[who].tobytes(), np.stack([n[who], w[who]], axis=1).tobytes()))
             if rows:
                 nulls = [None] * len(rows)
-                yield _batch(nulls, nulls, nulls, nulls, nulls, nulls, *map(list, zip(*rows, strict=True)))
+                yield _batch(nulls, nulls, nulls, nulls, nulls, nulls, nulls, *map(list, zip(*rows, strict=True)))
 
     return index
 
 
 def _batch(*columns) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "w", "ck", "bits", "sig", "owner", "sigs", "places", "cks", "ns"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "tk", "n", "w", "ck", "bits", "sig", "owner", "sigs", "places", "cks", "ns"])
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -260,7 +262,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_chunks(batches, 2 << 20):
+        for _, texts in text_chunks(batches):
             found = shingle_sets(texts, words)
             lengths = np.array([len(s) for s in found], np.int64)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
@@ -498,18 +500,22 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_shingles, component_id.
+    """One row for each row of `docs`: doc_id, n_shingles, component_id, text_key, first.
 
     A set holds the distinct `words`-word shingles of the whole text, A-Z
     lower-cased; with fewer words, the whole sequence as one. Sets are linked
     when 100 * intersection >= similarity * union; component_id is the smallest
     id that links lead to. A null text or one without words has an empty set,
-    is linked with nothing and is its own component. A row without id takes no
-    part; rows that share an id are compared as rows, and each is returned.
-    Other columns are ignored. An empty table gives an empty result.
+    is linked with nothing and is its own component. text_key is xxhash64 of the
+    text (null: empty); `first` marks the row of smallest id, then key, of each
+    component, with rows equal to it. A row without id takes no part; rows that
+    share an id are compared as rows, and each is returned. A long text is read
+    whole in one task, in memory of some dozen times its size. Other columns are
+    ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
+    bound_batches(docs)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null").withColumn("tk", F.xxhash64("text"))
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
     counters = max(shuffle_width(spark), -(-chars // OWNER_CHARS))
     counts = materialize(base.mapInArrow(_count(words, counters), COUNTED), "shingle-counts")
@@ -526,12 +532,12 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, similarity: int = SIMILA
     shared = spark.sparkContext.broadcast((frequent, bitmap))
     indexed = materialize(base.mapInArrow(_index(words, similarity, owners, shared), INDEX), "index")
 
-    members = indexed.where("id is not null").select("id", "n", "ck", "bits")
+    members = indexed.where("id is not null").select("id", "tk", "n", "ck", "bits")
     by_owner = indexed.where("owner is not null").select("owner", "sigs", "places", "cks", "ns").groupBy("owner").applyInPandas(_meet, "sig long, ck long, n int, w int")
     by_frequent = indexed.where("sig is not null").groupBy("sig", "ck").agg(F.min("n").alias("n"), F.max("w").alias("w"))
     met = materialize(by_owner.unionByName(by_frequent), "lists")
     lists = _blocked(met)
-    classes = materialize(members.where("n > 0").groupBy("ck").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
+    classes = materialize(members.where("n > 0").groupBy("ck").agg(F.min("id").alias("first"), F.min(F.struct("id", "tk")).alias("head"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
     links, labels, done = None, None, None
     for turn in (*range(STARS), None):
         open_lists = materialize(_torn(lists, labels), "open-lists")
@@ -554,11 +560,24 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, similarity: int = SIMILA
     if labels is None:
         labels = classes.limit(0).select(F.col("ck").alias("vertex"), F.col("ck").alias("component"))
     of_class = labels.withColumnRenamed("vertex", "ck").join(classes, "ck")
-    of_component = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = of_class.join(of_component, "component").select("ck", "component_id")
-    final = classes.join(linked, "ck", "left").where("component_id is not null or copies > 1").select("ck", F.coalesce("component_id", "first").alias("component_id"))
-    return (
-        members.withColumn("key", F.when(F.col("n") > 0, F.col("ck")))
-        .join(final.withColumnRenamed("ck", "key"), "key", "left")
-        .select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    of_component = of_class.groupBy("component").agg(F.min("head").alias("best"))
+    linked = of_class.join(_few(of_component), "component").select("ck", "best")
+    final = classes.join(linked, "ck", "left").where("best is not null or copies > 1").select("ck", "copies", F.coalesce("best", "head").alias("best"))
+    return _of_rows(members, materialize(final, "components"))
+
+
+def _of_rows(members: DataFrame, final: DataFrame) -> DataFrame:
+    """A row for each document, from the first document of its component; classes of many copies are joined apart."""
+    limit = max(HOT_COPIES, members.count() // HOT_LISTS)
+    hot = F.broadcast(final.where(F.col("copies") > limit).select("ck", "best"))
+    some = members.where("n > 0")
+    own = F.struct("id", "tk").alias("best")
+    every = (
+        members.where("n = 0").withColumn("best", own)
+        .unionByName(some.join(hot, "ck"))
+        .unionByName(some.join(hot, "ck", "left_anti").join(final.where(F.col("copies") <= limit).select("ck", F.col("best").alias("of")), "ck", "left").withColumn("best", F.coalesce("of", own)).drop("of"))
+    )
+    return every.select(
+        F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("best.id").alias("component_id"),
+        F.col("tk").alias("text_key"), (F.struct("id", "tk") == F.col("best")).alias("first"),
     )

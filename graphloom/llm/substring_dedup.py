@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import combine, doc_words, hash_words, keyed_chunks, mix, ragged
+from graphloom.llm.common import bound_batches, combine, doc_words, hash_words, keyed_chunks, mix, ragged
 from graphloom.scratch import discard, materialize
 
 WIDTH = 50
@@ -94,14 +94,15 @@ class _Anchors:
         index[self.n] = n
         a, b = index[left], index[right]
         order = mix(sym ^ _salt(100 + level))
-        best = [np.arange(n)]
-        for k in range(int((b - a).max()).bit_length() - 1):
-            x, y = best[-1][: n - (1 << k)], best[-1][1 << k :]
-            best.append(np.concatenate([np.where(order[x] <= order[y], x, y), best[-1][n - (1 << k) :]]))
-        table = np.stack(best)
-        k = np.frexp(b - a)[1] - 1
-        x, y = table[k, a], table[k, b - (1 << k)]
-        at = np.where(order[x] <= order[y], x, y)
+        best, at = np.arange(n), np.empty(len(a), np.int64)
+        level_of = np.frexp(b - a)[1] - 1
+        for k in range(int(level_of.max()) + 1):  # best: the least of 2**k symbols from each on
+            if k:
+                x, y = best[: n - (1 << k >> 1)], best[1 << k >> 1 :]
+                best = np.concatenate([np.where(order[x] <= order[y], x, y), best[n - (1 << k >> 1) :]])
+            some = np.flatnonzero(level_of == k)
+            x, y = best[a[some]], best[b[some] - (1 << k)]
+            at[some] = np.where(order[x] <= order[y], x, y)
         p = pos[at]
         name = mix(sym[at] ^ _salt(level))
         if level:  # the words on both sides lie within the window too
@@ -218,24 +219,27 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, kind), pa.array(ends, kind)], names=["id", "tk", "starts", "ends"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words outside the ranges, joined by one space."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            total, removed, kept = [], [], []
-            for t, s, e in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                words = t.encode("utf-8", "surrogatepass").split()
-                total.append(len(words))
-                if s:
-                    left, done = [], 0
-                    for x, y in zip(s, e, strict=True):
-                        left += words[done:x]
-                        done = y
-                    words = left + words[done:]
-                removed.append(total[-1] - len(words))
-                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), batch.column(4)], names=["doc_id", "n_words", "n_removed", "kept", "rest"])
+def _cut(as_it_was: bool):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words outside the ranges, joined by one space; if `as_it_was`, a text that loses none stays as it came."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                total, removed, kept = [], [], []
+                for t, s, e in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                    words = (t or "").encode("utf-8", "surrogatepass").split()
+                    total.append(len(words))
+                    if s:
+                        left, done = [], 0
+                        for x, y in zip(s, e, strict=True):
+                            left += words[done:x]
+                            done = y
+                        words = left + words[done:]
+                    removed.append(total[-1] - len(words))
+                    kept.append(t if as_it_was and not removed[-1] else b" ".join(words).decode("utf-8", "surrogatepass"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), batch.column(4)], names=["doc_id", "n_words", "n_removed", "kept", "rest"])
+
+    return cut
 
 
 def _small(df: DataFrame, count) -> DataFrame:
@@ -267,21 +271,24 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS, i
     return out
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", as_it_was: bool = False) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_words, n_removed, kept, rest (the other columns).
 
     A window is `width` consecutive words of one document; words are runs of
     characters other than space and \\t to \\r. Words covered by a window whose
     words also stand in a document with a smaller id are removed; `kept` joins
-    the others by one space. A null text has no words. A document shorter than
-    a window loses nothing. A row without id takes no part; rows that share an
+    the others by one space; with `as_it_was`, a text that loses no word stays as
+    it came, null too. A null text has no words. A document shorter than a window
+    loses nothing. A long text is read whole in one task; its arrays take about a
+    hundred bytes a word. A row without id takes no part; rows that share an
     id are one document for the comparison, and each is returned with its own
     text. Extra columns may have any name. An empty table gives an empty result.
     """
+    bound_batches(docs)
     ranges = repeated_ranges(docs, width, rounds, id_col, text_col)
     others = [c for c in docs.columns if c != text_col]
     rest = F.struct(*(F.col(f"`{c}`") for c in others))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest")).where("id is not null").withColumn("tk", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("rest")).where("id is not null").withColumn("tk", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = rows.join(_small(ranges, F.size("starts")), ["id", "tk"], "left").select("id", "text", "starts", "ends", "rest")
     kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), joined.schema["rest"]])
-    return joined.mapInArrow(_cut, kinds)
+    return joined.mapInArrow(_cut(as_it_was), kinds)
