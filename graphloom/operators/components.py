@@ -1,5 +1,7 @@
 """Connected components by alternating large-star and small-star contraction.
 
+First each task replaces its own edges by stars, one for each component of them,
+so few rounds are left and none of them sees more edges than vertices a task.
 Each round is two grouped minima and a join; the edge set is written to the
 shared folder after each round, so a lost executor costs one round at most. No
 edge or label passes through the driver, which sees only a count and a checksum.
@@ -7,11 +9,19 @@ edge or label passes through the driver, which sees only a count and a checksum.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.scratch import discard, materialize
 
+#: Edges that a task replaces by stars at first, about.
+TASK_EDGES = 500_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,6 +36,36 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return side.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For vertices 0..n-1 and edges (u, v): the smallest vertex of each one's component."""
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        open_ = a != b
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars around the smallest vertex of each component."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    ends = pa.chunked_array(table.column(0).chunks + table.column(1).chunks).combine_chunks()
+    names = ends.unique()
+    names = names.take(pa.compute.sort_indices(names))
+    at = pa.compute.index_in(ends, value_set=names).to_numpy()
+    label = forest(at[: table.num_rows].astype(np.int64), at[table.num_rows :].astype(np.int64), len(names))
+    leaf = np.flatnonzero(label != np.arange(len(names)))
+    for k in range(0, len(leaf), 10_000):
+        some = leaf[k : k + 10_000]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), names.take(pa.array(label[some]))], schema=held[0].schema)
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
     """(vertex, component): component is the smallest vertex that can be reached.
 
@@ -38,16 +78,18 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     alone = pairs.where("u = v").select("u")
     if vertices is not None:
         alone = alone.unionByName(vertices.select(F.col(vertices.columns[0]).alias("u")).where("u is not null"))
-    current = materialize(pairs.where("u <> v").distinct(), "component-edges")
-    seen = None
+    held = materialize(pairs.where("u <> v"), "component-edges")
+    current = materialize(held.coalesce(max(1, held.count() // TASK_EDGES)).mapInArrow(_stars, held.schema), "component-edges")
+    discard(held)
+    state = lambda edges: tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v"))).first())
+    seen = state(current)
     for _ in range(max_rounds):
         new = materialize(_small_star(_large_star(current)).distinct(), "component-edges")
         discard(current)
         current = new
-        state = tuple(current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v"))).first())
-        if state == seen:
+        before, seen = seen, state(current)
+        if before == seen:
             break
-        seen = state
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     labelled = current.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("vertex"), F.col("v").alias("component")))
