@@ -7,7 +7,7 @@ n - ceil(t n) + 1 of each, and k of them among the first n - ceil(t n) + k. So a
 rare shingle in the prefix is an index entry by itself, and one that stands alone
 needs none: most documents have no entries at all. Which shingles stand alone is
 found by an exchange of Golomb-coded hashes and told to all tasks as a bitmap of
-fixed size; if a corpus fills it, more shingles count as rare, and links are
+bounded size; if a corpus fills it, more shingles count as rare, and links are
 still all found.
 Frequent ones come into a prefix only where a document has few others; in short
 documents, where such chance meetings are common, the prefix is extended by one
@@ -22,9 +22,10 @@ Documents with equal sets are one class throughout, so copies are never paired.
 In each list of classes with the same entry all are first compared with a few of
 them; what this links is contracted, and lists within one component are
 done. In the lists that are left, the classes outside the list's main component
-are compared with all classes of the list, in cells of bounded size: a task gets
-the whole sets of a cell, counts what each two of them share and returns only
-links that join components, fewer than the cell has classes. Similar lists fall
+are compared with all classes of the list, in cells of bounded size: first by
+bitmaps, which leaves the classes that may be linked with another of the cell,
+then a task gets their whole sets, counts what each two of them share and returns
+only links that join components, fewer than the cell has classes. Similar lists fall
 to the same task and are compared once. Links between classes of one component
 add nothing to the components and are not computed.
 
@@ -64,8 +65,9 @@ SHORT = 96
 #: Shingles that count as frequent at most (8 bytes each are sent to every task): those found in more documents than
 #: total shingles / FREQUENT, so there cannot be more.
 FREQUENT, LEAST_FREQUENT = 4_000_000, 16
-#: log2 of the bits of the map of shared shingles, bits of a hash in the exchange, and characters of text for one owner of it.
-MAP_BITS, HASH_BITS, OWNER_CHARS = 28, 40, 12_000_000
+#: log2 of the bits of the map of shared shingles (a quarter of all shingles, between these), bits of a hash in the exchange, and
+#: characters of text for one owner of it.
+MAP_BITS, HASH_BITS, OWNER_CHARS = (20, 28), 40, 12_000_000
 #: Text read at a time to count shingles, and index entries that one owner gets on average at most.
 COUNT_BYTES, OWNER_ENTRIES = 2 << 20, 1_000_000
 #: Classes of more copies than this and than rows / HOT_LISTS are joined by broadcast.
@@ -175,18 +177,21 @@ def _counted(rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(rows, kind) for c, kind in kinds.items()], names=list(kinds))
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """An owner: its part of the map of hashes that it got more than once."""
-    values, n = counted(np.concatenate([golomb_decode(c, k, b) for c, k, b in zip(pdf.n, pdf.k, pdf.coded, strict=True)]))
-    slots = distinct((values[n > 1] >> np.uint64(HASH_BITS - MAP_BITS)).astype(np.int64))
-    first = int(slots[0]) // 8 if len(slots) else 0
-    bits = np.zeros((int(slots[-1]) // 8 - first + 1) * 8 if len(slots) else 0, np.uint8)
-    bits[slots - first * 8] = 1
-    return pd.DataFrame({"first": [first], "bits": [np.packbits(bits).tobytes()]})
+def _shared(map_bits: int):
+    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
+        """An owner: its part of the map of hashes that it got more than once."""
+        values, n = counted(np.concatenate([golomb_decode(c, k, b) for c, k, b in zip(pdf.n, pdf.k, pdf.coded, strict=True)]))
+        slots = distinct((values[n > 1] >> np.uint64(HASH_BITS - map_bits)).astype(np.int64))
+        first = int(slots[0]) // 8 if len(slots) else 0
+        bits = np.zeros((int(slots[-1]) // 8 - first + 1) * 8 if len(slots) else 0, np.uint8)
+        bits[slots - first * 8] = 1
+        return pd.DataFrame({"first": [first], "bits": [np.packbits(bits).tobytes()]})
+
+    return shared
 
 
 def is_shared(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    slot = (s >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    slot = (s >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)).astype(np.int64)
     return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -448,22 +453,77 @@ def _groups(lists: list[np.ndarray], classes: int) -> list[np.ndarray]:
     return groups
 
 
+class _Cells:
+    """The cells of a task. Rows hold a cell's class in a list, or (sig is null) what is known of a class for a cell."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        whole = pdf.sig.isna().to_numpy()
+        self.known = pdf[whole].drop_duplicates(["cell", "ck"]).sort_values(["cell", "ck"])
+        self.rows = pdf[~whole].sort_values(["cell", "sig"])
+
+    def groups(self) -> Iterator[np.ndarray]:
+        """Places in `known` of classes that are to be compared with each other."""
+        of_cell, cks = self.known.cell.to_numpy(), self.known.ck.to_numpy()
+        row_cell, sig, ck = self.rows.cell.to_numpy(), self.rows.sig.to_numpy(np.int64), self.rows.ck.to_numpy()
+        cells, start = np.unique(of_cell, return_index=True)
+        row_start = np.searchsorted(row_cell, cells)
+        for a, b, x, y in zip(start, np.append(start[1:], len(cks)), row_start, np.append(row_start[1:], len(ck)), strict=True):
+            if b - a <= TOGETHER:
+                yield np.arange(a, b)
+                continue
+            at = np.minimum(np.searchsorted(cks[a:b], ck[x:y]), b - a - 1)
+            here = cks[a:b][at] == ck[x:y]
+            at, own = at[here], sig[x:y][here]
+            for has in _groups(np.split(at, np.flatnonzero(own[1:] != own[:-1]) + 1), b - a):
+                yield a + np.flatnonzero(has)
+
+
+def _stacked(bits: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(bits[k] for k in rows), np.uint64).reshape(len(rows), width // 8)
+
+
+def _apart(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits row x of a and row y of b differ, for each x and y."""
+    step = max(1, 2_000_000 // a.shape[1])
+    parts = [np.bitwise_count(a[x[k : k + step]] ^ b[y[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+def _may_link(similarity: int):
+    def may_link(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A task: the classes of its cells that, by their bitmaps, may be linked with one of another component there."""
+        cells = _Cells(pdf)
+        n, comp, bits = cells.known.n.to_numpy(np.int64), cells.known.comp.to_numpy(np.int64), cells.known.bits.to_numpy()
+        found = np.zeros(len(n), bool)
+        for at in cells.groups():
+            at = at[np.argsort(n[at], kind="stable")]
+            width = np.array([len(bits[k]) for k in at])
+            for w in np.unique(width):  # each width with itself and the next larger one, folded; sizes further apart cannot be linked
+                own, next_ = at[width == w], at[width == 2 * w]
+                words = _stacked(bits, own, w)
+                wide = _stacked(bits, next_, 2 * w)
+                other, words_of = np.concatenate([own, next_]), np.concatenate([words, wide[:, : w // 8] ^ wide[:, w // 8 :]])
+                step = max(1, 1_000_000 // len(other))
+                for k in range(0, len(own), step):
+                    i = own[k : k + step]
+                    small, large = np.minimum(n[i][:, None], n[other][None, :]), np.maximum(n[i][:, None], n[other][None, :])
+                    x, y = np.nonzero((small * 100 >= large * similarity) & (comp[i][:, None] != comp[other][None, :]))
+                    near = _apart(words, k + x, words_of, y) * (100 + similarity) <= (n[i[x]] + n[other[y]]) * (100 - similarity)
+                    found[i[x[near]]] = True
+                    found[other[y[near]]] = True
+        return cells.known.loc[found, ["cell", "ck", "comp"]].astype(np.int64)
+
+    return may_link
+
+
 def _compare(similarity: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A task: the links that join components in its cells. Rows hold a cell's class in a list, or a class's set for a cell."""
-        whole = pdf.sig.isna().to_numpy()
-        known = pdf[whole].drop_duplicates(["cell", "ck"]).sort_values(["cell", "ck"])
-        rows = pdf[~whole].sort_values(["cell", "sig"])
-        cells, start = np.unique(known.cell.to_numpy(), return_index=True)
-        cks, comp, items = known.ck.to_numpy(), known.comp.to_numpy(np.int64), known["items"].to_numpy()
-        of_cell, sig, ck = rows.cell.to_numpy(), rows.sig.to_numpy(np.int64), rows.ck.to_numpy()
-        row_start = np.searchsorted(of_cell, cells)
+        """A task: the links that join components in its cells."""
+        cells = _Cells(pdf)
+        cks, comp, items = cells.known.ck.to_numpy(), cells.known.comp.to_numpy(np.int64), cells.known["items"].to_numpy()
         out = []
-        for a, b, x, y in zip(start, np.append(start[1:], len(cks)), row_start, np.append(row_start[1:], len(ck)), strict=True):
-            who = np.searchsorted(cks[a:b], ck[x:y])
-            lists = np.split(who, np.flatnonzero(sig[x + 1 : y] != sig[x : y - 1]) + 1) if b - a > TOGETHER else []
-            for has in _groups(lists, b - a):
-                at = a + np.flatnonzero(has)
+        for at in cells.groups():
+            if len(at) > 1:
                 out += joining_links(cks[at], comp[at], [items[k] for k in at], similarity)
         u, v = np.array(out, np.int64).reshape(-1, 2).T
         return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
@@ -480,18 +540,24 @@ def _set_table(wanted: DataFrame, base: DataFrame, classes: DataFrame, words: in
     return sets
 
 
+def _in_cells(known: DataFrame, rows: DataFrame, weight: Column, work, schema: str) -> DataFrame:
+    """`work` on all cells, in tasks of bounded weight. Both tables hold cell and ck, `known` what is to be known of a class, `rows` its lists."""
+    total = known.agg(F.sum(weight)).first()[0] or 0
+    tasks = max(shuffle_width(known.sparkSession), -(-total // TASK_SHINGLES))
+    both = rows.select("cell", "sig", "ck").unionByName(known.withColumn("sig", F.lit(None).cast("long")), allowMissingColumns=True)
+    return both.groupBy(F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("bundle")).applyInPandas(work, schema)
+
+
 def _joined_in_cells(lists: DataFrame, base: DataFrame, classes: DataFrame, words: int, similarity: int) -> DataFrame:
     """Links (u, v) that join all components which links within a list connect, as a written table."""
     cells = materialize(_cells(lists), "cells")
-    sets = _set_table(cells.select("ck").distinct(), base, classes, words)
-    needed_once = materialize(cells.select("cell", "ck", "n", "comp").distinct(), "cell-classes")
-    shingles = needed_once.agg(F.sum("n")).first()[0] or 0
-    tasks = max(shuffle_width(lists.sparkSession), -(-shingles // TASK_SHINGLES))
-    entries = cells.select("cell", "sig", "ck", F.lit(None).cast("long").alias("comp"), F.lit(None).cast("array<long>").alias("items"))
-    whole = needed_once.join(sets, "ck").select("cell", F.lit(None).cast("long").alias("sig"), "ck", "comp", "items")
-    bundle = F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("bundle")
-    out = materialize(entries.unionByName(whole).groupBy(bundle).applyInPandas(_compare(similarity), "u long, v long").distinct(), "links")
-    discard(cells, sets, needed_once)
+    known = materialize(cells.select("cell", "ck", "n", "comp").distinct().join(classes.select("ck", "bits"), "ck"), "cell-classes")
+    near = materialize(_in_cells(known, cells, F.octet_length("bits") / 8, _may_link(similarity), "cell long, ck long, comp long"), "cell-near")
+    sets = _set_table(near.select("ck").distinct(), base, classes, words)
+    whole = materialize(near.join(sets, "ck"), "cell-sets")
+    left = cells.join(near.select("cell", "ck"), ["cell", "ck"], "left_semi")
+    out = materialize(_in_cells(whole, left, F.size("items"), _compare(similarity), "u long, v long").distinct(), "links")
+    discard(cells, known, near, sets, whole)
     return out
 
 
@@ -522,14 +588,17 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, similarity: int = SIMILA
     total = counts.where("shingle is null and owner is null").agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_FREQUENT, -(-total // FREQUENT))
     often = counts.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("shingle")
-    frequent = np.sort(np.array([r.shingle for r in often.toLocalIterator()], np.int64).view(np.uint64))
-    bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for r in counts.where("owner is not null").select("owner", "n", "k", "coded").groupBy("owner").applyInPandas(_shared, "first long, bits binary").toLocalIterator():
-        part = np.frombuffer(r.bits, np.uint8)
-        bitmap[r.first : r.first + len(part)] |= part
+    frequent = np.sort(often.toArrow().column("shingle").to_numpy().view(np.uint64))
+    map_bits = min(max(MAP_BITS[0], (total // 4).bit_length()), MAP_BITS[1])
+    bitmap = np.zeros(1 << (map_bits - 3), np.uint8)
+    parts = counts.where("owner is not null").select("owner", "n", "k", "coded").groupBy("owner").applyInPandas(_shared(map_bits), "first long, bits binary").toArrow()
+    for first, bits in zip(parts.column("first").to_pylist(), parts.column("bits"), strict=True):
+        part = np.frombuffer(bits.as_buffer(), np.uint8)
+        bitmap[first : first + len(part)] |= part
     discard(counts)
     owners = max(shuffle_width(spark), -(-total // (3 * OWNER_ENTRIES)))
     shared = spark.sparkContext.broadcast((frequent, bitmap))
+    del bitmap, parts
     indexed = materialize(base.mapInArrow(_index(words, similarity, owners, shared), INDEX), "index")
 
     members = indexed.where("id is not null").select("id", "tk", "n", "ck", "bits")
