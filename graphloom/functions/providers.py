@@ -48,39 +48,58 @@ def fold_per_stream(rows: DataFrame, step: Callable, initial: Callable, schema:
 def bank_spans(nodes: DataFrame, find: Callable[[list], list[tuple[int, int]]], budget: int = 2000, cap: int = 8000) -> DataFrame:
     """Spans (source, start, end) by an external decider over look-ahead windows.
 
-    A span is kept if a node follows it in the window; else the window is read
-    again at twice the size, up to the cap. `find` gets [(id, content)] and
-    returns (start, end) positions.
+    A window holds whole nodes from the cursor while the budget holds, one at
+    least. `find` gets [(id, content)] and returns (start, end) positions, which
+    are clamped into the window and taken in order. Spans that a node of the
+    window follows are kept, and the cursor moves behind the last of them; if
+    there is none the window is read again at twice the size. At the cap and at
+    the end of the stream all spans are kept and the cursor moves to the window's
+    end; a window without spans is passed over. What `find` says decides where the
+    next window starts, so a stream is read in order, a window at a time.
     """
 
-    def initial():
-        return [], 0
-
-    def settle(held, limit, last):
-        """Spans that are bounded, and what is left of the window."""
-        spans = sorted((max(0, s), min(len(held) - 1, max(s, e))) for s, e in find([(i, c) for i, c, _ in held]) if s < len(held))
-        done = [s for s in spans if last or s[1] < len(held) - 1 or limit >= cap]
-        out = [(held[s][0], held[e][0]) for s, e in done]
-        after = max((e for _, e in done), default=-1) + 1 if spans and done else (0 if spans and limit < cap else len(held))
-        return out, held[after:]
+    def advance(source, held, size, ended):
+        """Spans found from the held nodes on; changes `held`, returns the size of the next window."""
+        out = []
+        while held:
+            n, total = 0, 0
+            while n < len(held) and (not n or total + held[n][2] <= size):
+                total += held[n][2]
+                n += 1
+            if n == len(held) and not ended:
+                break  # the window may hold more
+            last = n - 1
+            spans = [(max(0, min(s, last)), max(0, min(e, last))) for s, e in find([(i, c) for i, c, _ in held[:n]])]
+            spans = [(s, max(s, e)) for s, e in spans]
+            bounded = [x for x in spans if x[1] < last]
+            if not spans or (ended and n == len(held)) or size >= cap:
+                done, step = spans, n
+            elif bounded:
+                done, step = bounded, bounded[-1][1] + 1
+            else:
+                size *= 2
+                continue
+            out += [(source, held[s][0], held[e][0]) for s, e in done]
+            del held[:step]
+            size = budget
+        return out, size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held, limit = None, [], budget
+        current, held, size, weight = None, [], budget, 0
+        names = ["source", "start", "end"]
         for b in batches:
             out = []
             for source, i, c in zip(b.source, b.id, b.content, strict=True):
                 if source != current:
-                    if held:
-                        out += [(current, *x) for x in settle(held, cap, True)[0]]
-                    current, held, limit = source, [], budget
+                    out += advance(current, held, size, True)[0]
+                    current, held, size, weight = source, [], budget, 0
                 held.append((i, c, len(c or "") // 4 + 1))
-                if sum(t for *_, t in held) >= limit:
-                    n = len(held)
-                    found, held = settle(held, limit, False)
-                    out += [(current, *x) for x in found]
-                    limit = budget if len(held) < n else min(cap, 2 * limit)
-            yield pd.DataFrame(out, columns=["source", "start", "end"])
-        if held:
-            yield pd.DataFrame([(current, *x) for x in settle(held, cap, True)[0]], columns=["source", "start", "end"])
+                weight += held[-1][2]
+                if weight > size:
+                    found, size = advance(source, held, size, False)
+                    out += found
+                    weight = sum(t for *_, t in held)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(advance(current, held, size, True)[0], columns=names)
 
     return nodes.select("source", "id", "content").repartition("source").sortWithinPartitions("source", "id").mapInPandas(run, "source string, start long, end long")

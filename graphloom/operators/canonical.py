@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
+from graphloom.scratch import materialize
 
 THRESHOLD, TOP_K, MIN_SCORE = 0.85, 5, 0.7
 #: Vectors of a block in the pairwise comparison.
@@ -96,10 +97,13 @@ def candidate_hubs(cluster_vectors: DataFrame, definitions: DataFrame, top_k: in
         if len(left) and len(right):
             m = [np.stack(p.vec.map(np.asarray).tolist()).astype(np.float64) for p in (left, right)]
             m = [x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n) for x in m]
+            hubs = right.hub.to_numpy()
+            by_key = np.argsort(np.argsort(hubs, kind="stable"), kind="stable")
             for cid, row in zip(left.cid, m[0] @ m[1].T, strict=True):
                 s = row if score_scale == "cosine" else (1 + row) / 2
-                order = sorted(np.flatnonzero(s >= min_score), key=lambda k: (-s[k], right.hub.iloc[k]))[:top_k]
-                out += [(cid, right.hub.iloc[k], float(s[k])) for k in order]
+                near = np.flatnonzero(s >= max(min_score, np.partition(s, max(0, len(s) - top_k))[max(0, len(s) - top_k)]))
+                near = near[np.lexsort((by_key[near], -s[near]))][:top_k]
+                out += [(cid, hubs[k], float(s[k])) for k in near]
         return pd.DataFrame(out, columns=["cluster_id", "hub_uuid", "score"])
 
     left = cluster_vectors.select(F.col("cluster_id").cast("long").alias("cid"), F.col("centroid").alias("vec"))
@@ -140,10 +144,10 @@ def canonicalize_report(aligned: DataFrame) -> DataFrame:
 
 
 def canonicalize(spokes: DataFrame, hub_definitions: DataFrame, threshold: float = THRESHOLD, cut: float = THRESHOLD) -> DataFrame:
-    """Spokes (id, name, description, embedding, pos) in clusters, aligned with hubs: (cluster_id, display_name, definition, hub_uuid, review)."""
-    placed = spokes.join(clusters(spokes, threshold).select(F.col("vertex").alias("id"), F.col("component").alias("cluster_id")), "id")
-    centres = centroid(placed, "cluster_id")
+    """Spokes (id, name, description, embedding, pos) in clusters, aligned with hubs: (cluster_id, display_name, definition, hub_uuid, review, centroid)."""
+    placed = materialize(spokes.join(clusters(spokes, threshold).select(F.col("vertex").alias("id"), F.col("component").alias("cluster_id")), "id"), "spokes")
+    centres = materialize(centroid(placed, "cluster_id"), "centres")
     found = candidate_hubs(centres, hub_definitions)
     aligned = align_clusters(centres.select("cluster_id"), found, alignment_rule(found, cut))
     text = display_name(placed, "cluster_id").join(descriptions_of(placed, "cluster_id"), "cluster_id")
-    return aligned.join(text, "cluster_id").select("cluster_id", "display_name", new_definition(F.col("descriptions"), F.col("display_name")).alias("definition"), "hub_uuid", "review")
+    return aligned.join(text, "cluster_id").join(centres, "cluster_id").select("cluster_id", "display_name", new_definition(F.col("descriptions"), F.col("display_name")).alias("definition"), "hub_uuid", "review", "centroid")

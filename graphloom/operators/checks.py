@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import connected_components
 from graphloom.operators.text import apply_edits, strip
+from graphloom.scratch import materialize
 
 
 def table_counts(tables: dict[str, DataFrame], name: str = "label") -> DataFrame:
@@ -33,9 +35,20 @@ def resolved_assertions(assertions: DataFrame, hubs: DataFrame) -> DataFrame:
 
 
 def longest_chain(next_edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(source, length): edges of the NEXT path of each book; a book is one chain, so its edges are counted."""
-    joined = nodes.select(F.col("uuid").alias("src"), "source").join(next_edges, "src", "left")
-    return joined.groupBy("source").agg(F.count("dst").alias("length"))
+    """(source, length): edges of the longest NEXT path of each book, 0 without edges.
+
+    Components are found first. One without branches and with a vertex more than
+    edges is a path; a book in which NEXT branches or runs in a circle has no
+    length (null).
+    """
+    edges = materialize(next_edges.select("src", "dst").distinct(), "next-edges")
+    parts = connected_components(edges, nodes.select("uuid"))
+    degree = edges.select(F.col("src").alias("vertex"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("vertex"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    degree = degree.groupBy("vertex").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    known = parts.join(degree, "vertex", "left").join(nodes.select(F.col("uuid").alias("vertex"), "source"), "vertex")
+    each = known.groupBy("source", "component").agg(F.count("*").alias("n"), F.coalesce(F.sum("o"), F.lit(0)).alias("e"), F.max(F.greatest("o", "i")).alias("most"))
+    fine = (F.coalesce("most", F.lit(0)) <= 1) & (F.col("e") == F.col("n") - 1)
+    return each.groupBy("source").agg(F.when(F.bool_and(fine), F.max("e")).alias("length"))
 
 
 def walk_stream(nodes: DataFrame, source: str) -> DataFrame:
@@ -48,19 +61,22 @@ def community_overview(communities: DataFrame) -> DataFrame:
 
 
 def type_histogram(rows: DataFrame, kind: str = "type") -> DataFrame:
-    """(type, n), most common first; null counts as `?`."""
-    return rows.groupBy(F.coalesce(kind, F.lit("?")).alias("type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
+    """(type, n), most common first; null and the empty string count as `?`."""
+    known = F.when(F.col(kind) != "", F.col(kind))
+    return rows.groupBy(F.coalesce(known, F.lit("?")).alias("type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
 
 
 def histogram_line(rows: DataFrame, kind: str = "type") -> DataFrame:
+    """One row: `a=2 b=1`, most common first; `none` without rows."""
     h = type_histogram(rows, kind)
-    return h.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "type"))), lambda x: F.concat(x.type, F.lit("="), (-x.k).cast("string"))), ", ").alias("line"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "type"))), lambda x: F.concat(x.type, F.lit("="), (-x.k).cast("string"))), " ")
+    return h.agg(F.when(F.count("*") == 0, F.lit("none")).otherwise(line).alias("line"))
 
 
 def snippet(text: Column, limit: int = 80) -> Column:
-    """White space collapsed, cut to the limit with an ellipsis."""
+    """White space collapsed; beyond the limit so many characters and an ellipsis."""
     flat = strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
+    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("…"))).otherwise(flat)
 
 
 def stage_metrics(df: DataFrame, name: str):

@@ -10,11 +10,17 @@ from graphloom.operators import keys
 ROLES = ("subject", "object")
 
 
-def upsert_vertices(current: DataFrame, rows: DataFrame, now: Column, key: str = "uuid") -> DataFrame:
-    """`current` with `rows` merged by key: supplied values win over old ones, nulls leave them; stamps as on insert or update."""
+def upsert_vertices(current: DataFrame, rows: DataFrame, now: Column, key: str = "uuid", order: Column | None = None) -> DataFrame:
+    """`current` with `rows` merged by key: supplied values win over old ones, nulls leave them; stamps as on insert or update.
+
+    Rows that share a key apply one after another by `order` (as they are read, if
+    there is none): each property takes its last value that is not null.
+    """
     values = [c for c in rows.columns if c != key]
     known = [c for c in current.columns if c not in (key, "created_at", "modified_at")]
-    new = rows.dropDuplicates([key]).select(key, *(F.col(c).alias(f"_{c}") for c in values), F.lit(True).alias("_new"))
+    ranked = rows.withColumn("_order", F.monotonically_increasing_id() if order is None else order)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(f"_{c}") for c in values]
+    new = ranked.groupBy(key).agg(*last, F.lit(True).alias("_new"))
     joined = current.join(new, key, "full_outer")
     every = [*known, *(c for c in values if c not in known)]
     merged = [F.coalesce(*(x for x in (F.col(f"_{c}") if c in values else None, F.col(c) if c in known else None) if x is not None)).alias(c) for c in every]
@@ -189,3 +195,8 @@ def triplet_hub_edges(assertions: DataFrame) -> dict[str, DataFrame]:
 
 def fact_hubs(assertions: DataFrame) -> DataFrame:
     return assertions.select(keys.fact_hub_key(F.col("uuid")).alias("uuid"), F.col("uuid").alias("triplet_hub"), F.col("fact_text").alias("text"))
+
+
+def fact_hub_edges(fact_hub_table: DataFrame) -> DataFrame:
+    """HAS_FACT: assertion to its fact."""
+    return fact_hub_table.select(F.col("triplet_hub").alias("src"), F.col("uuid").alias("dst"))

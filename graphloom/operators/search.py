@@ -41,14 +41,39 @@ def _rank(k: int, round_to: int):
     return rank
 
 
-def knn_join(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector_col: str = "embedding", round_to: int = 12) -> DataFrame:
-    """(query_id, item_id, score, rank): the k nearest items of each query, in blocks of queries and items."""
-    left = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).alias("vec")).where("vec is not null")
-    right = items.select(F.col(item_id).cast("long").alias("item"), F.col(vector_col).alias("vec")).where("vec is not null")
+def _met(queries: DataFrame, items: DataFrame, work, query_id: str, item_id: str, vector_col: str, within: str | None) -> DataFrame:
+    """`work` on blocks of queries and items; with `within`, of one value of this column at a time."""
+    scope = (F.lit(0) if within is None else F.col(within)).alias("scope")
+    left = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).alias("vec"), scope).where("vec is not null")
+    right = items.select(F.col(item_id).cast("long").alias("item"), F.col(vector_col).alias("vec"), scope).where("vec is not null")
     nl, nr = max(1, -(-left.count() // QUERY_BLOCK)), max(1, -(-right.count() // (8 * QUERY_BLOCK)))
     a = left.withColumn("i", F.pmod(F.xxhash64("q"), F.lit(nl)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
     b = right.withColumn("j", F.pmod(F.xxhash64("item"), F.lit(nr)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
-    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(_rank(k, round_to), "query_id long, item_id long, score double")
+    by = ["scope", "i", "j"]
+    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(work, "query_id long, item_id long, score double")
+
+
+def block_scores(queries: DataFrame, items: DataFrame, threshold: float, query_id: str = "query_id", item_id: str = "item_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, item_id, score) of all pairs of at least this cosine: a product of matrices for each two blocks."""
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        m = [np.stack(p.vec.map(np.asarray).tolist()).astype(np.float64) for p in (left, right)]
+        m = [x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n) for x in m]
+        s = m[0] @ m[1].T
+        i, j = np.nonzero(s >= threshold)
+        return pd.DataFrame({"query_id": left.q.to_numpy()[i], "item_id": right.item.to_numpy()[j], "score": s[i, j]})
+
+    return _met(queries, items, work, query_id, item_id, vector_col, None)
+
+
+def knn_join(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector_col: str = "embedding", round_to: int = 12, within: str | None = None) -> DataFrame:
+    """(query_id, item_id, score, rank): the k nearest items of each query, in blocks of queries and items.
+
+    With `within`, only items that have the query's value of this column.
+    """
+    found = _met(queries, items, _rank(k, round_to), query_id, item_id, vector_col, within)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", round_to)), "item_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -87,6 +112,15 @@ def search(tables: dict[str, DataFrame], target: str, query: list[float], query_
     return found.withColumn("_r", token_overlap(F.lit(query_text), F.col("text"))).orderBy(F.desc("_r"), F.desc("score"), "uuid").limit(n).drop("_r")
 
 
+def search_many(tables: dict[str, DataFrame], target: str, queries: DataFrame, k: int = TOP_K, n: int = TOP_N) -> DataFrame:
+    """(query_id, item_id, rank, score): `search` for a table of queries (query_id, embedding, text)."""
+    if target not in TARGETS:
+        raise ValueError(f"unknown target: {target}")
+    found = knn_join(queries, tables[target], k, "query_id", "uuid")
+    texts = found.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(tables[target].select(F.col("uuid").alias("item_id"), F.col("text").alias("_t")), "item_id")
+    return rerank(found, texts.select("query_id", "item_id", token_overlap(F.col("_q"), F.col("_t")).alias("relevance")), n)
+
+
 def expand_communities(found: DataFrame, members: DataFrame, hub_triplets: DataFrame) -> DataFrame:
     """(component, hubs, triplets) of found communities: member hubs, and triplets whose three hubs are members."""
     inside = members.join(found.select("source", "component"), ["source", "component"], "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.text import strip
+from graphloom.scratch import materialize
 
 #: Block types that are passed over at page edges.
 NOT_MERGEABLE = ["bibliographic", "note"]
@@ -44,15 +45,27 @@ def mergeable_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def _pages(blocks: DataFrame) -> DataFrame:
-    """For each page: its blocks' edges among mergeable ones, null where there are none."""
-    edge = F.when(~F.col("type").isin(NOT_MERGEABLE), F.struct("pos", "content"))
-    return blocks.groupBy("source", "segment_index").agg(F.array_sort(F.collect_list(edge)).alias("m"))
+    """For each page: its first two and last two mergeable blocks."""
+    rows = mergeable_blocks(blocks).select("source", "segment_index", "pos", "content")
+    key, by = Window.partitionBy("source", "segment_index"), F.col("pos")
+    ranked = rows.withColumn("up", F.row_number().over(key.orderBy(by))).withColumn("down", F.row_number().over(key.orderBy(by.desc())))
+    one = lambda c, k: F.first(F.when(F.col(c) == k, F.struct("pos", "content")), ignorenulls=True)
+    return ranked.where("up <= 2 or down <= 2").groupBy("source", "segment_index").agg(one("up", 1).alias("head"), one("up", 2).content.alias("second"), one("down", 1).alias("tail"), one("down", 2).content.alias("last_but_one"))
+
+
+def _following(pages: DataFrame, span: int = 4096) -> DataFrame:
+    """(source, top_index, bottom_index): each page and the next one of its book; spans of indices are linked apart and then joined."""
+    cut = pages.select("source", "segment_index", F.floor(F.col("segment_index") / span).alias("s"))
+    inner = cut.withColumn("next", F.lead("segment_index").over(Window.partitionBy("source", "s").orderBy("segment_index")))
+    ends = cut.groupBy("source", "s").agg(F.min("segment_index").alias("first"), F.max("segment_index").alias("segment_index"))
+    hops = ends.select("source", "segment_index", F.lead("first").over(Window.partitionBy("source").orderBy("s")).alias("hop"))
+    return inner.join(hops, ["source", "segment_index"], "left").select("source", F.col("segment_index").alias("top_index"), F.coalesce("next", "hop").alias("bottom_index"))
 
 
 def seam_pairs(pages: DataFrame, blocks: DataFrame, parity: int) -> DataFrame:
     """Adjacent pages whose upper index has this parity, both with a mergeable block: (source, top_index, bottom_index)."""
     has = mergeable_blocks(blocks).select("source", "segment_index").distinct()
-    top = pages.select("source", F.col("segment_index").alias("top_index"), F.lead("segment_index").over(Window.partitionBy("source").orderBy("segment_index")).alias("bottom_index"))
+    top = _following(pages)
     return (
         top.where((F.col("top_index") % 2 == parity) & F.col("bottom_index").isNotNull())
         .join(has.withColumnRenamed("segment_index", "top_index"), ["source", "top_index"], "left_semi")
@@ -64,8 +77,8 @@ def seam_pairs(pages: DataFrame, blocks: DataFrame, parity: int) -> DataFrame:
 def seam_edges(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Tail and head of each pair with the block before and after as context."""
     edges = _pages(blocks)
-    top = edges.select("source", F.col("segment_index").alias("top_index"), F.element_at("m", -1).alias("tail"), F.get("m", F.size("m") - 2).content.alias("context_before"))
-    bottom = edges.select("source", F.col("segment_index").alias("bottom_index"), F.get("m", F.lit(0)).alias("head"), F.get("m", F.lit(1)).content.alias("context_after"))
+    top = edges.select("source", F.col("segment_index").alias("top_index"), "tail", F.col("last_but_one").alias("context_before"))
+    bottom = edges.select("source", F.col("segment_index").alias("bottom_index"), "head", F.col("second").alias("context_after"))
     joined = pairs.join(top, ["source", "top_index"]).join(bottom, ["source", "bottom_index"])
     return joined.select("source", "top_index", "bottom_index", F.col("tail.pos").alias("tail_pos"), F.col("tail.content").alias("tail"), F.col("head.pos").alias("head_pos"), F.col("head.content").alias("head"), "context_before", "context_after")
 
@@ -100,9 +113,10 @@ def _heal(pages: DataFrame, blocks: DataFrame, parity: int, decide) -> DataFrame
 
 def heal_seams(blocks: DataFrame, decide=seam_decisions) -> DataFrame:
     """Even seams, then odd seams on what the first pass left. `decide` turns edges into (source, top_index, is_split, merged)."""
+    blocks = materialize(blocks, "blocks")
     pages = blocks.select("source", "segment_index").distinct()
     for parity in (0, 1):
-        blocks = _heal(pages, blocks, parity, decide)
+        blocks = materialize(_heal(pages, blocks, parity, decide), "healed")
     return blocks
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.stream import blocked_running_sum
+from graphloom.operators.stream import SPAN, blocked_running_sum
 from graphloom.operators.text import strip
+from graphloom.scratch import materialize
 
 #: Budgets in tokens; fixed values.
 LOOKAHEAD, LOOKAHEAD_CAP, FACT_WINDOW, BEFORE, AFTER, TILE = 2000, 8000, 600, 400, 400, 2000
@@ -34,16 +36,49 @@ def lookahead_window(nodes: DataFrame, cursors: DataFrame, budget: int = LOOKAHE
     return joined.where((F.col("id") == F.col("cursor")) | (F.col("before") + F.col("tokens") - F.col("origin") <= budget)).select("source", "cursor", "id")
 
 
+def _through(filled: np.ndarray, tokens: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """For windows filled so far (0: none begun): how full the last one is after these tokens, and how many were closed."""
+    closed = np.zeros(len(filled), np.int64)
+    for t in tokens:
+        over = (filled > 0) & (filled + t > budget)
+        closed += over
+        filled = np.minimum(np.where(over, t, filled + t), budget)  # a fuller window takes nothing more either
+    return filled, closed
+
+
+def _fold(budget: int):
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What a span does to a window of any fill."""
+        filled, closed = _through(np.arange(budget + 1), pdf.sort_values("id").tokens.to_numpy(), budget)
+        return pd.DataFrame({"source": pdf.source.iloc[:1], "span": pdf.span.iloc[:1], "filled": [filled.astype(np.int32).tobytes()], "closed": [closed.astype(np.int32).tobytes()]})
+
+    return fold
+
+
+def _enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted spans in: the fill and the number of the window with which each is entered."""
+    source, fill, window = None, 0, 0
+    for b in batches:
+        out = []
+        for s, filled, closed in zip(b.source, b.filled, b.closed, strict=True):
+            if s != source:
+                source, fill, window = s, 0, 0
+            out.append((fill, window))
+            window += int(np.frombuffer(closed, np.int32)[fill])
+            fill = int(np.frombuffer(filled, np.int32)[fill])
+        yield pd.DataFrame({"source": b.source, "span": b.span, "fill": [x for x, _ in out], "first": [x for _, x in out]})
+
+
 def _pack(budget: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted (source, id, tokens) in; a window closes before the node that would exceed the budget."""
-        source, window, filled = None, 0, 0
+        """Sorted rows (source, span, id, tokens, fill, first) in; a window closes before the node that would exceed the budget."""
+        at, window, filled = None, 0, 0
         for b in batches:
             out = []
-            for s, t in zip(b.source, b.tokens, strict=True):
-                if s != source:
-                    source, window, filled = s, 0, 0
-                elif filled + t > budget:
+            for s, k, t, fill, first in zip(b.source, b.span, b.tokens, b.fill, b["first"], strict=True):
+                if (s, k) != at:
+                    at, window, filled = (s, k), first, fill
+                if filled and filled + t > budget:
                     window, filled = window + 1, 0
                 filled += t
                 out.append(window)
@@ -52,10 +87,18 @@ def _pack(budget: int):
     return pack
 
 
-def pack_windows(weighed: DataFrame, budget: int) -> DataFrame:
-    """(source, id, window_id): greedy windows. A book streams through one task as integers, with constant memory."""
-    rows = weighed.select("source", "id", "tokens").repartition("source").sortWithinPartitions("source", "id")
-    return rows.mapInPandas(_pack(budget), "source string, id long, window_id int")
+def pack_windows(weighed: DataFrame, budget: int, span: int = SPAN) -> DataFrame:
+    """(source, id, window_id): greedy windows.
+
+    A book's nodes are cut into spans of ids. Each span is folded for every fill
+    with which a window may enter it; one row a span then passes in order, which
+    tells each span its fill, and the spans are packed apart.
+    """
+    rows = materialize(weighed.select("source", "id", "tokens", F.floor(F.col("id") / span).alias("span")), "weights")
+    maps = rows.groupBy("source", "span").applyInPandas(_fold(budget), "source string, span long, filled binary, closed binary")
+    entries = maps.repartition("source").sortWithinPartitions("source", "span").mapInPandas(_enter, "source string, span long, fill long, first long")
+    placed = rows.join(materialize(entries, "entries"), ["source", "span"]).repartition("source", "span").sortWithinPartitions("source", "span", "id")
+    return placed.mapInPandas(_pack(budget), "source string, id long, window_id int")
 
 
 def eligible(nodes: DataFrame) -> DataFrame:
@@ -72,34 +115,36 @@ def tiled_windows(nodes: DataFrame, budget: int = TILE) -> DataFrame:
     return pack_windows(_weighed(nodes), budget)
 
 
-def _context(nodes: DataFrame, budget: int, forward: bool) -> DataFrame:
+def _context(nodes: DataFrame, budget: int, forward: bool, cursors: DataFrame | None = None) -> DataFrame:
     weight = F.when(strip(F.coalesce("content", F.lit(""))) == "", 0).otherwise(estimate_tokens(F.col("content")))
     summed = blocked_running_sum(nodes.withColumn("_w", weight.cast("long")), "source", "id", "_w", "_e").withColumn("_i", F.col("_e") + F.col("_w"))
     # sums are cut into cells of one budget: the context lies in the cursor's cell and the neighbour's
     far = F.col("_i") if forward else F.col("_e")
     one = summed.select("source", F.col("id").alias("cid"), "content", "_w", far.alias("sum"), F.floor(far / budget).alias("cell")).where("_w > 0")
     step = 1 if forward else -1
-    cursor = summed.select("source", "id", far.alias("at"), F.explode(F.array(F.floor(far / budget), F.floor(far / budget) + step)).alias("cell"))
+    asked = summed if cursors is None else summed.join(cursors, ["source", "id"], "left_semi")
+    cursor = asked.select("source", "id", far.alias("at"), F.explode(F.array(F.floor(far / budget), F.floor(far / budget) + step)).alias("cell"))
     inside = (F.col("cid") > F.col("id")) & (F.col("sum") - F.col("at") <= budget) if forward else (F.col("cid") < F.col("id")) & (F.col("at") - F.col("sum") <= budget)
     met = cursor.join(one, ["source", "cell"]).where(inside)
     text = F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("cid", "content"))), lambda x: x.content))
     return met.groupBy("source", "id").agg(text.alias("context"))
 
 
-def context_before(nodes: DataFrame, budget: int = BEFORE) -> DataFrame:
-    """(source, id, context): the run of nodes before each node that fits the budget; nodes without one have no row."""
-    return _context(nodes, budget, forward=False)
+def context_before(nodes: DataFrame, budget: int = BEFORE, cursors: DataFrame | None = None) -> DataFrame:
+    """(source, id, context): the run of nodes before each node (of `cursors`: source, id) that fits the budget; nodes without one have no row."""
+    return _context(nodes, budget, False, cursors)
 
 
-def context_after(nodes: DataFrame, budget: int = AFTER) -> DataFrame:
-    return _context(nodes, budget, forward=True)
+def context_after(nodes: DataFrame, budget: int = AFTER, cursors: DataFrame | None = None) -> DataFrame:
+    return _context(nodes, budget, True, cursors)
 
 
 def windows_with_context(nodes: DataFrame, budget: int = FACT_WINDOW, before: int = BEFORE, after: int = AFTER) -> DataFrame:
     """(source, window_id, first_id, last_id, n, before, after)."""
-    edges = fixed_windows(nodes, budget).groupBy("source", "window_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
-    b = context_before(nodes, before).select("source", F.col("id").alias("first_id"), F.col("context").alias("before"))
-    a = context_after(nodes, after).select("source", F.col("id").alias("last_id"), F.col("context").alias("after"))
+    nodes = materialize(nodes, "nodes")
+    edges = materialize(fixed_windows(nodes, budget).groupBy("source", "window_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n")), "window-ends")
+    b = context_before(nodes, before, edges.select("source", F.col("first_id").alias("id"))).select("source", F.col("id").alias("first_id"), F.col("context").alias("before"))
+    a = context_after(nodes, after, edges.select("source", F.col("last_id").alias("id"))).select("source", F.col("id").alias("last_id"), F.col("context").alias("after"))
     return edges.join(b, ["source", "first_id"], "left").join(a, ["source", "last_id"], "left")
 
 

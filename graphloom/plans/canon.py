@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import providers
-from graphloom.operators import canonical, checks, communities, components, graph, search
-from graphloom.plans.base import NODES, STAR, nodes, query, star_triplets
+from graphloom.operators import canonical, checks, communities, graph, search, semantics
+from graphloom.plans.base import NODES, STAR, nodes, query, star_triplets, uuid5_sql
+from graphloom.scratch import materialize
 from graphloom.streaming import incremental
 from graphloom.tables import table
 
@@ -31,7 +32,7 @@ def h2(spark, sf):
     return canonical.uncanonicalized(v, v.where("uuid % 5 = 0").select(C("uuid").alias("src")), "3").select("uuid")
 
 
-@query("h3_require_embeddings")
+@query("h3_require_embeddings", "SELECT vec_id AS uuid, len(embedding)::INT AS n FROM embeddings")
 def h3(spark, sf):
     return canonical.require_embeddings(_vectors(spark, sf).withColumnRenamed("id", "uuid")).select("uuid", F.size("embedding").alias("n"))
 
@@ -75,12 +76,21 @@ def h9(spark, sf):
     return canonical.descriptions_of(d)
 
 
-CAND = f"cand AS (SELECT * FROM (SELECT a.vec_id AS cluster_id, b.vec_id::VARCHAR AS hub_uuid, {COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id::VARCHAR) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 7 = 0 AND b.vec_id % 3 = 1 WHERE {COS} >= 0.2) WHERE rank <= 5)"
+HUBV = "hubv AS (SELECT label, list(x ORDER BY dim) AS v FROM (SELECT label, dim, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL) GROUP BY label)"
+HCOS = "list_cosine_similarity(a.embedding::DOUBLE[], b.v)"
+CAND = f"{HUBV}, cand AS (SELECT * FROM (SELECT a.vec_id AS cluster_id, 'hub' || b.label AS hub_uuid, {HCOS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {HCOS} DESC, 'hub' || b.label) AS rank FROM embeddings a CROSS JOIN hubv b WHERE {HCOS} >= 0.2) WHERE rank <= 5)"
+
+
+def _hub_vectors(spark, sf):
+    """A hub for each label: the centroid of all its vectors."""
+    c = canonical.centroid(_vectors(spark, sf).withColumnRenamed("label", "component"))
+    return c.select(F.concat(F.lit("hub"), C("component").cast("string")).alias("hub_uuid"), C("centroid").alias("embedding"))
 
 
 def _candidates(spark, sf):
-    v = _vectors(spark, sf)
-    return canonical.candidate_hubs(v.where("id % 7 = 0").select(C("id").alias("cluster_id"), C("embedding").alias("centroid")), v.where("id % 3 = 1").select(C("id").cast("string").alias("hub_uuid"), "embedding"), 5, 0.2)
+    """Every vector is a cluster of its own."""
+    v = _vectors(spark, sf).select(C("id").alias("cluster_id"), C("embedding").alias("centroid"))
+    return canonical.candidate_hubs(v, _hub_vectors(spark, sf), 5, 0.2)
 
 
 @query("h10_candidate_hubs", f"WITH {CAND} SELECT cluster_id, hub_uuid, rank FROM cand")
@@ -91,10 +101,10 @@ def h10(spark, sf):
 def _aligned(spark, sf):
     c = _candidates(spark, sf)
     d = c.select("cluster_id", "hub_uuid", F.when(C("score") >= 0.3, "Merge").when(C("score") >= 0.25, "Review").otherwise("New").alias("decision"))
-    return canonical.align_clusters(_vectors(spark, sf).where("id % 7 = 0").select(C("id").alias("cluster_id")), c, d)
+    return canonical.align_clusters(_vectors(spark, sf).select(C("id").alias("cluster_id")), c, d)
 
 
-ALIGNED = f"WITH {CAND}, al AS (SELECT e.vec_id AS cluster_id, arg_min(hub_uuid, rank) FILTER (score >= 0.3) AS hub_uuid, count(*) FILTER (score < 0.3 AND score >= 0.25) AS review FROM embeddings e LEFT JOIN cand ON cluster_id = e.vec_id WHERE e.vec_id % 7 = 0 GROUP BY e.vec_id)"
+ALIGNED = f"WITH {CAND}, al AS (SELECT e.vec_id AS cluster_id, arg_min(hub_uuid, rank) FILTER (score >= 0.3) AS hub_uuid, count(*) FILTER (score < 0.3 AND score >= 0.25) AS review FROM embeddings e LEFT JOIN cand ON cluster_id = e.vec_id GROUP BY e.vec_id)"
 
 
 @query("h11_align_cluster", f"{ALIGNED} SELECT * FROM al")
@@ -120,8 +130,7 @@ def _spokes(spark, sf):
 
 @query("h15_canonicalize")
 def h15(spark, sf):
-    v = _vectors(spark, sf)
-    return canonical.canonicalize(_spokes(spark, sf), v.where("id % 3 = 1").select(C("id").cast("string").alias("hub_uuid"), "embedding"), T, 0.9)
+    return canonical.canonicalize(_spokes(spark, sf), _hub_vectors(spark, sf), T, 0.9).drop("centroid")
 
 
 @query("h16_canonicalize_report", f"{ALIGNED} SELECT count(hub_uuid) AS merged, count(*) - count(hub_uuid) AS new, count(*) FILTER (review > 0) AS review, count(*) AS total FROM al")
@@ -150,6 +159,9 @@ HUBT = STAR + """, ht AS (
   FROM star)"""
 
 
+THUB = uuid5_sql("source || '#triplet_hub#' || subj_hub || '#' || pred_hub || '#' || obj_hub")
+
+
 @query("i1_canonical_hub_triplets", f"WITH {HUBT} SELECT * FROM ht")
 def i1(spark, sf):
     return _hub_triplets(spark, sf)
@@ -160,10 +172,9 @@ def i2(spark, sf):
     return communities.triplet_hubs(_hub_triplets(spark, sf)).drop("uuid")
 
 
-@query("i3_supported_by", f"WITH {HUBT} SELECT count(DISTINCT (source, subj_hub, pred_hub, obj_hub)) AS hubs, count(*) AS n FROM ht")
+@query("i3_supported_by", f"WITH {HUBT} SELECT DISTINCT {THUB} AS src, triplet_uuid AS dst FROM ht")
 def i3(spark, sf):
-    s = communities.supported_by(_hub_triplets(spark, sf))
-    return s.agg(F.count_distinct("src").alias("hubs"), F.count("*").alias("n"))
+    return communities.supported_by(_hub_triplets(spark, sf)).select("src", "dst")
 
 
 @query("i4_support_count", f"WITH {HUBT} SELECT count(DISTINCT (source, subj_hub, pred_hub, obj_hub)) AS assertions, count(DISTINCT triplet_uuid) AS triplets FROM ht")
@@ -179,49 +190,48 @@ def i5(spark, sf):
     return communities.hub_adjacency(_hub_triplets(spark, sf))
 
 
-def _nation_triplets(spark, sf):
-    """A graph of several components: nation, its region, and the region's first letter."""
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    j = n.join(r, n.n_regionkey == r.r_regionkey)
-    return j.select(
-        F.lit("world").alias("source"), C("n_nationkey").cast("string").alias("triplet_uuid"), F.concat(F.lit("n"), "n_name").alias("subj_hub"), C("n_name").alias("subj_name"), F.concat(F.lit("in"), C("r_regionkey").cast("string")).alias("pred_hub"), F.lit("in").alias("pred_name"),
-        F.concat(F.lit("r"), "r_name").alias("obj_hub"), C("r_name").alias("obj_name"), F.lit(None).cast("string").alias("subj_def"), F.lit(None).cast("string").alias("pred_def"), F.concat(F.lit("region "), "r_name").alias("obj_def"),
+def _order_triplets(spark, sf):
+    """A graph of many components: each customer with their orders and what state these are in."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    key, order = C("c_custkey").cast("string"), C("o_orderkey").cast("string")
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        C("c_mktsegment").alias("source"), order.alias("triplet_uuid"), F.concat(F.lit("c"), key).alias("subj_hub"), C("c_name").alias("subj_name"), F.concat(F.lit("p"), key, "o_orderstatus").alias("pred_hub"), C("o_orderstatus").alias("pred_name"),
+        F.concat(F.lit("o"), order).alias("obj_hub"), F.concat(F.lit("order "), order).alias("obj_name"), F.lit(None).cast("string").alias("subj_def"), F.lit(None).cast("string").alias("pred_def"), C("o_orderpriority").alias("obj_def"),
     )
 
 
-@query("i6_communities", "SELECT 'world' AS source, count(*) + 2 AS n_hubs FROM nation GROUP BY n_regionkey")
+OT = "ot AS (SELECT c_mktsegment AS source, c_custkey AS g, o_orderkey AS k, c_name AS name, o_orderstatus AS st, o_orderpriority AS pr FROM orders JOIN customer ON o_custkey = c_custkey)"
+LINE = "'(' || name || ') --[' || st || ']--> (order ' || k || ')'"
+N_HUBS = "1 + count(DISTINCT st) + count(DISTINCT k)"
+COMMUNITY = f"{OT}, cm AS (SELECT source, g, {N_HUBS} AS n_hubs, count(DISTINCT k) AS n_triplets, array_to_string(list_concat(list_sort(list(DISTINCT pr)), list_sort(list(DISTINCT {LINE}))), chr(10))[1:2000] AS summary_text FROM ot GROUP BY ALL)"
+
+
+@query("i6_communities", f"WITH {OT} SELECT source, 'c' || g AS component, {N_HUBS} AS n_hubs FROM ot GROUP BY source, g")
 def i6(spark, sf):
-    m = communities.community_of_hubs(_nation_triplets(spark, sf))
-    return m.groupBy("source", "component").agg(F.count("*").alias("n_hubs")).select("source", "n_hubs")
+    return communities.community_of_hubs(_order_triplets(spark, sf)).groupBy("source", "component").agg(F.count("*").alias("n_hubs"))
 
 
-@query("i7_community_triplets", "SELECT count(*) AS n FROM nation GROUP BY n_regionkey")
+@query("i7_community_triplets", f"WITH {OT} SELECT DISTINCT source, 'c' || g AS component, k::VARCHAR AS triplet_uuid FROM ot")
 def i7(spark, sf):
-    t = _nation_triplets(spark, sf)
-    return communities.community_triplets(t, communities.community_of_hubs(t)).groupBy("component").agg(F.count("*").alias("n")).select("n")
+    t = _order_triplets(spark, sf)
+    return communities.community_triplets(t, communities.community_of_hubs(t))
 
 
-@query("i8_community_definitions", "SELECT ['region ' || r_name] AS definitions FROM region")
+@query("i8_community_definitions", f"WITH {OT} SELECT source, 'c' || g AS component, list_sort(list(DISTINCT pr)) AS definitions FROM ot GROUP BY source, g")
 def i8(spark, sf):
-    t = _nation_triplets(spark, sf)
-    return communities.community_definitions(t, communities.community_of_hubs(t)).select("definitions")
+    t = _order_triplets(spark, sf)
+    return communities.community_definitions(t, communities.community_of_hubs(t))
 
 
-@query("i9_community_triplet_strings", "SELECT list_sort(list('(' || n_name || ') --[in]--> (' || r_name || ')')) AS lines FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("i9_community_triplet_strings", f"WITH {OT} SELECT source, 'c' || g AS component, list_sort(list(DISTINCT {LINE})) AS lines FROM ot GROUP BY source, g")
 def i9(spark, sf):
-    t = _nation_triplets(spark, sf)
-    return communities.community_triplet_strings(t, communities.community_of_hubs(t)).select("lines")
+    t = _order_triplets(spark, sf)
+    return communities.community_triplet_strings(t, communities.community_of_hubs(t))
 
 
-@query("i11_build_communities")
+@query("i11_build_communities", f"WITH {COMMUNITY} SELECT source, 'c' || g AS component, n_hubs, n_triplets, summary_text FROM cm")
 def i11(spark, sf):
-    return communities.build_communities(_nation_triplets(spark, sf))
-
-
-@query("j1_top_k", f"SELECT b.vec_id AS uuid FROM embeddings a JOIN embeddings b ON a.vec_id = 0 WHERE {COS} >= 0.1 ORDER BY {COS} DESC, b.vec_id LIMIT 10")
-def j1(spark, sf):
-    v = _vectors(spark, sf).withColumnRenamed("id", "uuid")
-    return search.top_k(v, list(v.where("uuid = 0").first().embedding), 10, 0.1).select("uuid")
+    return communities.build_communities(_order_triplets(spark, sf))
 
 
 KNN = f"knn AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 12) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0) WHERE rank <= 5)"
@@ -237,13 +247,26 @@ def j2(spark, sf):
     return _knn(spark, sf).select("query_id", "item_id", "rank")
 
 
-for _name, _label, _k in (("j3_search_communities", 1, 20), ("j4_search_hub_definitions", 2, 10), ("j5_search_nodes", 3, 15)):
+def _asked(threshold: str, k: int, where: str = "true") -> str:
+    return f"SELECT query_id, uuid, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS uuid, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 12) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND {where} WHERE {COS} >= {threshold}) WHERE rank <= {k}"
 
-    def _search(spark, sf, label=_label, k=_k):
-        v = _vectors(spark, sf).select(C("id").alias("uuid"), "embedding", C("label").cast("string").alias("source"))
-        return search.search_table(v, list(v.where("uuid = 0").first().embedding), str(label), k).select("uuid")
 
-    query(_name, f"SELECT b.vec_id AS uuid FROM embeddings a JOIN embeddings b ON a.vec_id = 0 AND b.label = {_label} ORDER BY {COS} DESC, b.vec_id LIMIT {_k}")(_search)
+@query("j1_top_k", _asked("0.1", 10))
+def j1(spark, sf):
+    v = _vectors(spark, sf)
+    found = search.knn_join(v.where("id % 20 = 0"), v, 10, "id", "id").where("score >= 0.1")
+    return found.select("query_id", C("item_id").alias("uuid"), "rank")
+
+
+for _name, _k, _which in (("j3_search_communities", 20, 1), ("j4_search_hub_definitions", 10, 2), ("j5_search_nodes", 15, 3)):
+
+    def _search(spark, sf, k=_k, which=_which):
+        """Every twentieth vector as a query, each within the book that lies `which` after its own."""
+        v = _vectors(spark, sf).withColumn("source", C("label").cast("string"))
+        queries = v.where("id % 20 = 0").withColumn("source", ((C("label") + which) % 10).cast("string"))
+        return search.knn_join(queries, v, k, "id", "id", within="source").select("query_id", C("item_id").alias("uuid"), "rank")
+
+    query(_name, _asked("-2", _k, f"b.label = (a.label + {_which}) % 10"))(_search)
 
 
 @query("j6_rerank", f"WITH {KNN} SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY (item_id % 10)::DOUBLE DESC, rank) AS rank FROM knn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY (item_id % 10)::DOUBLE DESC, rank) <= 3")
@@ -259,17 +282,23 @@ def j7(spark, sf):
     return search.judge(k, v).select("query_id", "item_id", "rank", "judge_relevant")
 
 
-@query("j8_search")
+SHARE = "len(list_intersect(list_distinct(string_split(a.text, ' ')), list_distinct(string_split(b.text, ' '))))::DOUBLE / greatest(len(list_distinct(string_split(a.text, ' '))), 1)"
+
+
+@query("j8_search", f"""WITH v AS (SELECT vec_id, embedding, label, 'text ' || vec_id || ' of ' || label AS text FROM embeddings),
+near AS (SELECT a.vec_id AS query_id, b.vec_id AS uuid, {SHARE} AS r, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 12) DESC, b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id % 20 = 0)
+SELECT query_id, uuid, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, rank) AS rank FROM near WHERE rank <= 20 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC, rank) <= 5""")
 def j8(spark, sf):
-    v = _vectors(spark, sf).select(C("id").alias("uuid"), "embedding", C("label").cast("string").alias("source"), F.concat(F.lit("text "), C("id").cast("string")).alias("text"))
-    return search.search({"node": v}, "node", list(v.where("uuid = 0").first().embedding), "text 10").select("uuid", "source")
+    text = F.concat(F.lit("text "), C("id").cast("string"), F.lit(" of "), C("label").cast("string"))
+    v = _vectors(spark, sf).select(C("id").alias("uuid"), "embedding", text.alias("text"))
+    return search.search_many({"node": v}, "node", v.where("uuid % 20 = 0").withColumnRenamed("uuid", "query_id")).select("query_id", C("item_id").alias("uuid"), "rank")
 
 
-@query("j9_expand_communities", "SELECT count(*) + 2 AS n_hubs, count(*) AS n_triplets FROM nation GROUP BY n_regionkey")
+@query("j9_expand_communities", f"WITH {OT} SELECT source, 'c' || g AS component, {N_HUBS} AS n_hubs, count(DISTINCT k) AS n_triplets FROM ot GROUP BY source, g")
 def j9(spark, sf):
-    t = _nation_triplets(spark, sf)
+    t = _order_triplets(spark, sf)
     m = communities.community_of_hubs(t)
-    return search.expand_communities(m.select("source", "component").distinct(), m, t).select("n_hubs", "n_triplets")
+    return search.expand_communities(m.select("source", "component").distinct(), m, t).select("source", "component", "n_hubs", "n_triplets")
 
 
 @query("j10_expand_entity_hubs", f"WITH {HUBT} SELECT subj_hub AS hub, triplet_uuid FROM ht WHERE subj_hub LIKE '%1' UNION SELECT obj_hub, triplet_uuid FROM ht WHERE obj_hub LIKE '%1'")
@@ -283,13 +312,13 @@ def j11(spark, sf):
     return search.expand_predicate_hubs(_graph(spark, sf)[3].where("uuid = 'pA'").select(C("uuid").alias("hub")), _hub_triplets(spark, sf))
 
 
-@query("j12_hubs_in_community", "SELECT 'n' || n_name AS hub, n_name AS name, NULL AS definition FROM nation UNION ALL SELECT 'r' || r_name, r_name, 'region ' || r_name FROM region UNION ALL SELECT 'in' || r_regionkey, 'in', NULL FROM region")
+@query("j12_hubs_in_community", f"WITH {OT} SELECT DISTINCT source, 'c' || g AS component, 'c' || g AS hub, name, NULL AS definition FROM ot UNION ALL SELECT DISTINCT source, 'c' || g, 'p' || g || st, st, NULL FROM ot UNION ALL SELECT DISTINCT source, 'c' || g, 'o' || k, 'order ' || k, pr FROM ot")
 def j12(spark, sf):
-    t = _nation_triplets(spark, sf)
+    t = _order_triplets(spark, sf)
     hubs = F.array(*(F.struct(C(f"{s}_hub").alias("uuid"), F.lit(r).alias("label"), C(f"{s}_name").alias("name")) for r, s in communities.ROLES))
     named = t.select(F.explode(hubs).alias("h")).select("h.*").distinct()
     defs = t.select(C("obj_hub").alias("hub"), C("obj_def").alias("text")).distinct()
-    return search.hubs_in_community(communities.community_of_hubs(t), named, defs).select("hub", "name", "definition")
+    return search.hubs_in_community(communities.community_of_hubs(t), named, defs).select("source", "component", "hub", "name", "definition")
 
 
 @query("j13_relation_types", "SELECT unnest(['CANONICAL', 'HAS_OBJECT', 'HAS_SUBJECT']) AS type")
@@ -328,26 +357,27 @@ def k5(spark, sf):
     return checks.walk_stream(graph.nodes(nodes(spark, sf)), "src1").select("index", "content")
 
 
-@query("k6_community_overview")
+@query("k6_community_overview", f"WITH {COMMUNITY} SELECT source, 'c' || g AS component, summary_text[1:120] AS summary, 64 AS vector_size FROM cm")
 def k6(spark, sf):
-    c = communities.build_communities(_nation_triplets(spark, sf))
-    return checks.community_overview(c.withColumn("summary_embedding", F.array(F.lit(0.0))))
+    c = semantics.attach_embeddings(communities.build_communities(_order_triplets(spark, sf)), "summary_text").withColumnRenamed("embedding", "summary_embedding")
+    return checks.community_overview(c)
 
 
-@query("k7_type_histogram", "SELECT coalesce(CASE WHEN doc_id % 9 = 0 THEN NULL ELSE lang END, '?') AS type, count(*) AS n FROM documents GROUP BY 1")
+@query("k7_type_histogram", "SELECT CASE WHEN doc_id % 9 = 0 OR doc_id % 7 = 0 THEN '?' ELSE lang END AS type, count(*) AS n FROM documents GROUP BY 1")
 def k7(spark, sf):
-    return checks.type_histogram(table(spark, sf, "documents").select(F.when(C("doc_id") % 9 != 0, C("lang")).alias("type")))
+    return checks.type_histogram(table(spark, sf, "documents").select(F.when(C("doc_id") % 7 == 0, "").when(C("doc_id") % 9 != 0, C("lang")).alias("type")))
 
 
-@query("k8_snippet", r"WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 80 THEN t[1:79] || '…' ELSE t END AS snippet FROM f")
+@query("k8_snippet", r"WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 80 THEN t[1:80] || '…' ELSE t END AS snippet FROM f")
 def k8(spark, sf):
     return table(spark, sf, "documents").select("doc_id", checks.snippet(C("text")).alias("snippet"))
 
 
-@query("k9_stage_metrics", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+@query("k9_stage_metrics", "SELECT lang, count(*) AS n, (SELECT count(*) FROM documents) AS rows_seen FROM documents GROUP BY lang")
 def k9(spark, sf):
-    out, _ = checks.stage_metrics(table(spark, sf, "documents"), "k9")
-    return out.groupBy("lang").agg(F.count("*").alias("n"))
+    out, seen = checks.stage_metrics(table(spark, sf, "documents"), "k9")
+    counts = materialize(out.groupBy("lang").agg(F.count("*").alias("n")), "counts")
+    return counts.withColumn("rows_seen", F.lit(seen.get["rows"]).cast("long"))
 
 
 def _records(spark, sf):
@@ -368,15 +398,15 @@ def k11(spark, sf):
     return checks.split_leakage(_records(spark, sf))
 
 
-@query("k12_split_coverage", "WITH g AS (SELECT DISTINCT n_name, n_regionkey FROM nation), s AS (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey < 40) SELECT n_name, c_mktsegment FROM g CROSS JOIN s EXCEPT SELECT n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 40 AND n_name IN (SELECT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 40) EXCEPT SELECT n_name, c_mktsegment FROM g CROSS JOIN s WHERE n_name NOT IN (SELECT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 40)")
+@query("k12_split_coverage", "WITH c AS (SELECT c_custkey // 5 AS grp, c_mktsegment AS split FROM customer) SELECT g.grp, s.split FROM (SELECT DISTINCT grp FROM c) g CROSS JOIN (SELECT DISTINCT split FROM c) s EXCEPT SELECT grp, split FROM c")
 def k12(spark, sf):
-    c, n = table(spark, sf, "customer").where("c_custkey < 40"), table(spark, sf, "nation")
-    return checks.split_coverage(c.join(n, c.c_nationkey == n.n_nationkey), "n_name", "c_mktsegment")
+    return checks.split_coverage(table(spark, sf, "customer").select(F.floor(C("c_custkey") / 5).alias("grp"), C("c_mktsegment").alias("split")), "grp")
 
 
-@query("k13_edit_class_counts", "SELECT 'order' AS class, count(*) AS n FROM documents")
+@query("k13_edit_class_counts", "SELECT class, count(*) AS n FROM (SELECT unnest(string_split(props, ',')) AS class FROM events) GROUP BY class")
 def k13(spark, sf):
-    return checks.edit_class_counts(_records(spark, sf))
+    edits = F.transform(F.split("props", ","), lambda p: F.struct(p.alias("class"), F.lit("a").alias("before"), F.lit("b").alias("after")))
+    return checks.edit_class_counts(table(spark, sf, "events").select(edits.alias("edits")))
 
 
 @query("k14_discard_keep_eval", "SELECT avg((NOT contains(text, 'the'))::INT::DOUBLE) AS discard_gone, avg(contains(text, 'de')::INT::DOUBLE) AS keep_there FROM documents")
@@ -410,16 +440,16 @@ def l3(spark, sf):
     return providers.fold_per_stream(nodes(spark, sf), _add, int, "source string, id long, total long")
 
 
-@query("l4_vector_kernels", f"WITH {KNN} SELECT query_id, min(item_id) AS first FROM knn GROUP BY query_id")
+@query("l4_vector_kernels", f"SELECT a.vec_id AS query_id, count(*) AS near, round(max({COS}), 9) AS best FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND {COS} >= 0.05 GROUP BY a.vec_id")
 def l4(spark, sf):
-    return _knn(spark, sf).groupBy("query_id").agg(F.min("item_id").alias("first"))
+    v = _vectors(spark, sf)
+    scores = search.block_scores(v.where("id % 20 = 0"), v, 0.05, "id", "id").where("query_id <> item_id")
+    return scores.groupBy("query_id").agg(F.count("*").alias("near"), F.round(F.max("score"), 9).alias("best"))
 
 
 @query("m2_incremental_canonicalize")
 def m2(spark, sf):
-    v = _vectors(spark, sf)
-    hubs = v.where("id % 3 = 1").select(C("id").cast("string").alias("hub_uuid"), "embedding")
-    return incremental.incremental_canonicalize(_spokes(spark, sf), hubs, T, 0.9)[1].select("hub_uuid")
+    return incremental.incremental_canonicalize(_spokes(spark, sf), _hub_vectors(spark, sf), T, 0.9)[1].select("hub_uuid")
 
 
 @query("m3_append_results", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
@@ -428,8 +458,6 @@ def m3(spark, sf):
     return incremental.append_results(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0"))
 
 
-_ = components
-
 
 def _clusters(spark, sf):
     """Spokes by name: each supplier of the star is a component of its own."""
@@ -437,26 +465,29 @@ def _clusters(spark, sf):
     return t.select("source", C("subject").alias("component"), F.concat("source", F.lit("#"), C("fact_index").cast("string")).alias("uuid"), C("subject").alias("name"))
 
 
-_NAMES = f"(WITH {STAR} SELECT source, subject AS name, count(*) AS n FROM star GROUP BY ALL)"
+def _names(role: str) -> str:
+    return f"(WITH {STAR} SELECT source, {role} AS name, count(*) AS n, min(source || '#' || fact_index) AS first FROM star GROUP BY ALL)"
+
 
+def _hub_sql(kind: str) -> str:
+    return uuid5_sql(f"source || '#{kind}_hub#' || array_to_string(list_sort([first, n::VARCHAR]), '#')")
 
-@query("g18_entity_hubs", f"SELECT source, name, 0 AS n_aliases FROM {_NAMES}")
+
+@query("g18_entity_hubs", f"SELECT {_hub_sql('entity')} AS uuid, source, name, 0 AS n_aliases FROM {_names('subject')}")
 def g18(spark, sf):
-    return graph.hubs(_clusters(spark, sf), "entity").select("source", "name", F.size("aliases").alias("n_aliases"))
+    return graph.hubs(_clusters(spark, sf), "entity").select("uuid", "source", "name", F.size("aliases").alias("n_aliases"))
 
 
-@query("g18_canonical_entities", f"SELECT source, name, n FROM {_NAMES}")
+@query("g18_canonical_entities", f"WITH {STAR}, h AS (SELECT *, {_hub_sql('entity')} AS dst FROM {_names('subject')}) SELECT s.source || '#' || fact_index AS src, dst FROM star s JOIN h ON h.source = s.source AND h.name = s.subject")
 def g18b(spark, sf):
-    hubs = graph.hubs(_clusters(spark, sf), "entity")
-    edges = graph.canonical_edges(_clusters(spark, sf), hubs)
-    return edges.groupBy("dst").agg(F.count("*").alias("n")).join(hubs.withColumnRenamed("uuid", "dst"), "dst").select("source", "name", "n")
+    return graph.canonical_edges(_clusters(spark, sf), graph.hubs(_clusters(spark, sf), "entity"))
 
 
-@query("g19_predicate_hubs", "SELECT DISTINCT l_linestatus AS source, l_returnflag AS name FROM lineitem")
+@query("g19_predicate_hubs", f"SELECT {_hub_sql('predicate')} AS uuid, source, name FROM {_names('predicate')}")
 def g19(spark, sf):
     t = star_triplets(spark, sf)
     c = t.select("source", C("predicate").alias("component"), F.concat("source", F.lit("#"), C("fact_index").cast("string")).alias("uuid"), C("predicate").alias("name"))
-    return graph.hubs(c, "predicate").select("source", "name")
+    return graph.hubs(c, "predicate").select("uuid", "source", "name")
 
 
 def _hub_rows(spark, sf):
@@ -472,36 +503,43 @@ def g20(spark, sf):
     return graph.definitions(hubs, F.concat(F.lit("def "), "name")).select("hub", "text")
 
 
-@query("g20_definition_edges", f"SELECT count(*) AS n, count(DISTINCT hub) AS hubs FROM ({_DEF})")
+@query("g20_definition_edges", f"SELECT hub AS src, {uuid5_sql('hub || chr(35) || ' + chr(39) + 'definition' + chr(39))} AS dst FROM ({_DEF})")
 def g20b(spark, sf):
-    e = graph.definition_edges(graph.definitions(_hub_rows(spark, sf).where("uuid like 's%'"), C("name")))
-    return e.agg(F.count_distinct("dst").alias("n"), F.count_distinct("src").alias("hubs"))
+    return graph.definition_edges(graph.definitions(_hub_rows(spark, sf).where("uuid like 's%'"), C("name")))
 
 
 def _community_rows(spark, sf):
-    m = communities.community_of_hubs(_nation_triplets(spark, sf))
+    m = communities.community_of_hubs(_order_triplets(spark, sf))
     return m.groupBy("source", "component").agg(F.array_sort(F.collect_list("hub")).alias("members"))
 
 
-@query("g21_communities", "SELECT 'world' AS source, (count(*) + 2)::INT AS n_members FROM nation GROUP BY n_regionkey")
+_MEMBERS = f"{OT}, mb AS (SELECT source, g, list_sort(list(DISTINCT hub)) AS members FROM (SELECT source, g, unnest(['c' || g, 'p' || g || st, 'o' || k]) AS hub FROM ot) GROUP BY source, g), named AS (SELECT *, {uuid5_sql(chr(115) + 'ource || ' + chr(39) + '#community#' + chr(39) + ' || array_to_string(members, ' + chr(39) + '#' + chr(39) + ')')} AS uuid FROM mb)"
+
+
+@query("g21_communities", f"WITH {_MEMBERS} SELECT uuid, source, len(members)::INT AS n_members FROM named")
 def g21(spark, sf):
-    return graph.communities(_community_rows(spark, sf)).select("source", "n_members")
+    return graph.communities(_community_rows(spark, sf)).select("uuid", "source", "n_members")
 
 
-@query("g21_community_members", "SELECT 'n' || n_name AS dst FROM nation UNION ALL SELECT 'r' || r_name FROM region UNION ALL SELECT 'in' || r_regionkey FROM region")
+@query("g21_community_members", f"WITH {_MEMBERS} SELECT uuid AS src, unnest(members) AS dst FROM named")
 def g21b(spark, sf):
-    return graph.community_members(_community_rows(spark, sf)).select("dst")
+    return graph.community_members(_community_rows(spark, sf))
 
 
-@query("g22_triplet_hub_edges", f"WITH {HUBT}, a AS (SELECT DISTINCT source, subj_hub, pred_hub, obj_hub FROM ht) SELECT 'CANONICAL_SUBJECT' AS type, subj_hub AS src, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT 'CANONICAL_PREDICATE', pred_hub, count(*) FROM a GROUP BY ALL UNION ALL SELECT 'CANONICAL_OBJECT', obj_hub, count(*) FROM a GROUP BY ALL")
+@query("g22_triplet_hub_edges", f"WITH {HUBT}, a AS (SELECT DISTINCT source, subj_hub, pred_hub, obj_hub FROM ht), k AS (SELECT *, {THUB} AS dst FROM a) SELECT 'CANONICAL_SUBJECT' AS type, subj_hub AS src, dst FROM k UNION ALL SELECT 'CANONICAL_PREDICATE', pred_hub, dst FROM k UNION ALL SELECT 'CANONICAL_OBJECT', obj_hub, dst FROM k")
 def g22(spark, sf):
     out = None
     for name, edges in graph.triplet_hub_edges(communities.triplet_hubs(_hub_triplets(spark, sf))).items():
-        one = edges.groupBy("src").agg(F.count("*").alias("n")).select(F.lit(name).alias("type"), "src", "n")
+        one = edges.select(F.lit(name).alias("type"), "src", "dst")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query("g23_has_fact", f"WITH {HUBT}, a AS (SELECT DISTINCT source, subj_hub, pred_hub, obj_hub FROM ht), k AS (SELECT {THUB} AS src FROM a) SELECT src, {uuid5_sql('src || chr(35) || ' + chr(39) + 'fact_hub' + chr(39))} AS dst FROM k")
+def g23b(spark, sf):
+    return graph.fact_hub_edges(graph.fact_hubs(communities.triplet_hubs(_hub_triplets(spark, sf))))
+
+
 @query("g23_fact_hubs", f"WITH {HUBT} SELECT min(concat_ws(' ', subj_name, pred_name, obj_name)) AS text FROM ht GROUP BY source, subj_hub, pred_hub, obj_hub")
 def g23(spark, sf):
     return graph.fact_hubs(communities.triplet_hubs(_hub_triplets(spark, sf))).select("text")
@@ -515,8 +553,8 @@ def h14(spark, sf):
     return graph.upsert_vertices(old, new, F.to_timestamp(F.lit("2020-01-01"))).select("uuid", "text", (F.year("modified_at") == 2020).alias("touched"))
 
 
-@query("i10_community_summary", "SELECT 'region ' || r_name || chr(10) || array_to_string(list_sort(list('(' || n_name || ') --[in]--> (' || r_name || ')')), chr(10)) AS summary_text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("i10_community_summary", f"WITH {COMMUNITY} SELECT source, 'c' || g AS component, summary_text FROM cm")
 def i10(spark, sf):
-    t = _nation_triplets(spark, sf)
+    t = _order_triplets(spark, sf)
     m = communities.community_of_hubs(t)
-    return communities.community_summary(communities.community_definitions(t, m), communities.community_triplet_strings(t, m)).select("summary_text")
+    return communities.community_summary(communities.community_definitions(t, m), communities.community_triplet_strings(t, m))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import stream, text, windows
-from graphloom.plans.base import BLOCKS, NODES, TYPE_SQL, WEIGHED, blocks, nodes, pages, query, strip_sql, uuid5_sql
+from graphloom.plans.base import BLOCKS, NODES, WEIGHED, blocks, nodes, pages, query, strip_sql, uuid5_sql
 from graphloom.sources import io
 from graphloom.tables import table
 
@@ -25,11 +25,11 @@ def a1(spark, sf):
     return io.read_ocr_pages(_responses(spark, sf)).select("source", "segment_index", "markdown", "footer")
 
 
-@query("a2_rewrite_figure_refs")
+@query("a2_rewrite_figure_refs", "SELECT page_id, html || ' ![1]() and ![2]() and ![1]() and ![x](other)' AS markdown FROM pages")
 def a2(spark, sf):
     p = table(spark, sf, "pages")
     fig = lambda k: F.concat(F.lit("![f](img-"), (F.col("page_id") + k).cast("string"), F.lit(")"))
-    md = F.concat(fig(1), F.lit(" and "), fig(0), F.lit(" and "), fig(1), F.lit(" and ![x](other)"))
+    md = F.concat("html", F.lit(" "), fig(1), F.lit(" and "), fig(0), F.lit(" and "), fig(1), F.lit(" and ![x](other)"))
     known = F.array(*(F.concat(F.lit("img-"), (F.col("page_id") + k).cast("string")) for k in (0, 1, 2)))
     return p.select("page_id", io.rewrite_figure_refs(md, known).alias("markdown"))
 
@@ -45,7 +45,7 @@ def a4(spark, sf):
     return io.select_pages(io.read_ocr_pages(_responses(spark, sf)), [1, 4, 7]).select("source", "segment_index", "footer")
 
 
-@query("a5_pictures")
+@query("a5_pictures", "SELECT (page_id // 10)::VARCHAR AS source, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS segment_index, 1 AS index, 'img-' || page_id AS image_id FROM pages")
 def a5(spark, sf):
     return io.pictures(io.read_ocr_pages(_responses(spark, sf)))
 
@@ -61,18 +61,15 @@ def a7(spark, sf):
     return io.source_table(books)
 
 
-FIRST = "substr(text, 1, 40)"
-
-
-@query("b1_math_delimiters", rf"SELECT doc_id, replace(replace(replace(replace('\(' || {FIRST} || '\) \[' || lang || '\]', '\(', '$'), '\)', '$'), '\[', '$$'), '\]', '$$') AS content FROM documents")
+@query("b1_math_delimiters", rf"SELECT doc_id, replace(replace(replace(replace('\(' || text || '\) \[' || lang || '\]', '\(', '$'), '\)', '$'), '\[', '$$'), '\]', '$$') AS content FROM documents")
 def b1(spark, sf):
-    made = F.concat(F.lit("\\("), F.substring("text", 1, 40), F.lit("\\) \\["), "lang", F.lit("\\]"))
+    made = F.concat(F.lit("\\("), "text", F.lit("\\) \\["), "lang", F.lit("\\]"))
     return table(spark, sf, "documents").select("doc_id", text.math_delimiters(made).alias("content"))
 
 
-@query("b2_join_display_math")
+@query("b2_join_display_math", "SELECT doc_id, text || '$$a_' || doc_id || chr(10) || '= b$$' || chr(10) || '$$c$$' AS content FROM documents")
 def b2(spark, sf):
-    made = F.concat(F.lit("$$a_"), F.col("doc_id").cast("string"), F.lit("$$\n$$= b$$\n$$c$$"))
+    made = F.concat("text", F.lit("$$a_"), F.col("doc_id").cast("string"), F.lit("$$\n$$= b$$\n$$c$$"))
     return table(spark, sf, "documents").select("doc_id", text.join_display_math(made).alias("content"))
 
 
@@ -82,9 +79,9 @@ def b3(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.escape_currency(made).alias("content"))
 
 
-@query("b4_unicode_math", rf"SELECT doc_id, replace(replace(replace(replace('α≤' || {FIRST} || '²₃', 'α', '\alpha '), '≤', '\le '), '²', '^{{2}}'), '₃', '_{{3}}') AS content FROM documents")
+@query("b4_unicode_math", rf"SELECT doc_id, replace(replace(replace(replace('α≤' || text || '²₃', 'α', '\alpha '), '≤', '\le '), '²', '^{{2}}'), '₃', '_{{3}}') AS content FROM documents")
 def b4(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.unicode_math_to_latex(F.concat(F.lit("α≤"), F.substring("text", 1, 40), F.lit("²₃"))).alias("content"))
+    return table(spark, sf, "documents").select("doc_id", text.unicode_math_to_latex(F.concat(F.lit("α≤"), "text", F.lit("²₃"))).alias("content"))
 
 
 @query("b5_part_markers", r"SELECT doc_id, '(a) ' || lang || chr(10) || '(b) ' || source || chr(10) || '(c) x. y' AS content FROM documents")
@@ -122,7 +119,7 @@ def b9(spark, sf):
     return kept.select("source", "segment_index", "pos", F.lit(True).alias("kept")).unionByName(gone.select("source", "segment_index", "pos", F.lit(False).alias("kept")))
 
 
-@query("b10_validate_types")
+@query("b10_validate_types", "SELECT doc_id, 'Poem' AS type FROM documents WHERE doc_id % 10 = 0")
 def b10(spark, sf):
     return text.invalid_types(table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "Poem").otherwise(" Table ").alias("type")))
 
@@ -140,13 +137,13 @@ def b12(spark, sf):
     return text.discard_audit(text.partition_furniture(_odd(spark, sf))[1]).select("source", "segment_index", "n")
 
 
-@query("b13_split_references")
+@query("b13_split_references", r"SELECT source, doc_id AS id, unnest([0, 1, 2]) AS pos, unnest([text, '[1] ' || lang || ', 1999.', '[2] ' || source]) AS work FROM (SELECT source, doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents)")
 def b13(spark, sf):
-    made = F.concat(F.lit("[1] "), F.col("lang"), F.lit(", 1999. [2] "), F.col("source"))
+    made = F.concat(F.col("text"), F.lit("\n[1] "), F.col("lang"), F.lit(", 1999. [2] "), F.col("source"))
     return text.split_references(table(spark, sf, "documents").select("source", F.col("doc_id").alias("id"), made.alias("content")))
 
 
-@query("b14_apply_edits")
+@query("b14_apply_edits", "SELECT doc_id, md5(replace(replace(text, 'the', 'THE'), 'THE ', 'an ')) AS edited FROM documents")
 def b14(spark, sf):
     edits = F.array(F.struct(F.lit("the").alias("before"), F.lit("THE").alias("after")), F.struct(F.lit("THE ").alias("before"), F.lit("an ").alias("after")))
     return table(spark, sf, "documents").select("doc_id", F.md5(text.apply_edits(F.col("text"), edits)).alias("edited"))
@@ -212,7 +209,23 @@ def c5(spark, sf):
     return _edges(spark, sf).select("source", "top_index", stream.join_halves(tail, F.col("head")).alias("merged"))
 
 
-@query("c6_heal_seams")
+def _pass(blocks: str, parity: int, n: int) -> str:
+    """A pass over seams of one parity as common table expressions: healed{n} of {blocks}."""
+    join = r"""CASE WHEN regexp_matches(a, '\p{L}-$') THEN regexp_replace(a, '-$', '') || b WHEN regexp_matches(a, '\$\$$') AND regexp_matches(b, '^\$\$') THEN a[:-3] || ' ' || b[3:]
+      WHEN regexp_matches(a, '\$$') AND regexp_matches(b, '^\$') THEN a[:-2] || ' ' || b[2:] WHEN regexp_matches(a, '```$') AND regexp_matches(b, '^```') THEN a[:-4] || ' ' || b[4:] ELSE a || ' ' || b END"""
+    return f"""pg{n} AS (SELECT source, segment_index AS t, lead(segment_index) OVER (PARTITION BY source ORDER BY segment_index) AS b FROM (SELECT DISTINCT source, segment_index FROM blocks)),
+m{n} AS (SELECT *, row_number() OVER (PARTITION BY source, segment_index ORDER BY pos) AS up, row_number() OVER (PARTITION BY source, segment_index ORDER BY pos DESC) AS down FROM {blocks} WHERE type NOT IN ('bibliographic', 'note')),
+e{n} AS (SELECT p.source, p.t, p.b AS next, x.pos AS tail_pos, y.pos AS head_pos, x.content AS tail, y.content AS head, regexp_replace(x.content, '\\s+$', '') AS a, regexp_replace(y.content, '^\\s+', '') AS b
+  FROM pg{n} p JOIN m{n} x ON x.source = p.source AND x.segment_index = p.t AND x.down = 1 JOIN m{n} y ON y.source = p.source AND y.segment_index = p.b AND y.up = 1 WHERE p.t % 2 = {parity}),
+agreed{n} AS (SELECT *, {join} AS merged FROM e{n} WHERE {JUDGE}),
+healed{n} AS (SELECT k.* REPLACE (coalesce(merged, content) AS content) FROM {blocks} k LEFT JOIN agreed{n} g ON g.source = k.source AND g.t = k.segment_index AND g.tail_pos = k.pos
+  WHERE NOT EXISTS (SELECT 1 FROM agreed{n} h WHERE h.source = k.source AND h.next = k.segment_index AND h.head_pos = k.pos))"""
+
+
+HEALED = f"WITH {BLOCKS}, {_pass('blocks', 0, 0)}, {_pass('healed0', 1, 1)} SELECT source, segment_index, pos, content FROM healed1"
+
+
+@query("c6_heal_seams", HEALED)
 def c6(spark, sf):
     return stream.heal_seams(blocks(spark, sf)).select("source", "segment_index", "pos", "content")
 
@@ -228,15 +241,22 @@ def _packed(spark, sf):
     return nodes(spark, sf).withColumn("content", F.when(F.col("id") % 5 == 0, made).otherwise(F.col("content")))
 
 
-@query("c8_split_packed", f"WITH {NODES}, p AS (SELECT source, id FROM nodes WHERE id % 5 = 0) SELECT source, id, 0 AS piece, NULL AS number, 'Lead' AS body FROM p UNION ALL SELECT source, id, 1, id::VARCHAR, 'first' FROM p UNION ALL SELECT source, id, 2, (id + 1)::VARCHAR, 'second' FROM p")
+PACKED = NODES + r""", packed AS (SELECT source, id, segment_index, CASE WHEN id % 5 = 0 THEN 'Lead' || chr(10) || id || ' first' || chr(10) || (id + 1) || '. second' ELSE content END AS content FROM nodes),
+cut AS (SELECT *, string_split(regexp_replace(content, '\n(\s*[0-9]+[.)]? )', chr(1) || '\1', 'g'), chr(1)) AS parts FROM packed),
+pieces AS (SELECT source, id, segment_index, list_filter(parts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') AS parts FROM cut),
+several AS (SELECT *, len(list_filter(parts, lambda x: regexp_matches(x, '^\s*[0-9]+[.)]? '))) >= 2 AS many FROM pieces)"""
+
+
+@query("c8_split_packed", f"""WITH {PACKED}, each AS (SELECT source, id, unnest(parts) AS t, generate_subscripts(parts, 1) - 1 AS piece FROM several WHERE many)
+SELECT source, id, piece, nullif(regexp_extract(t, '^\\s*([0-9]+)[.)]? ', 1), '') AS number, {strip_sql("regexp_replace(t, '^\\s*[0-9]+[.)]? ', '')")} AS body FROM each""")
 def c8(spark, sf):
-    return stream.packed_pieces(_packed(spark, sf).where("id % 5 = 0"))
+    return stream.packed_pieces(_packed(spark, sf))
 
 
-@query("c9_rebuild_stream", f"WITH {NODES}, e AS (SELECT source, id, segment_index, unnest(CASE WHEN id % 5 = 0 THEN [0, 1, 2] ELSE [0] END) AS piece FROM nodes) SELECT source, segment_index, row_number() OVER (PARTITION BY source ORDER BY id, piece) - 1 AS id FROM e")
+@query("c9_rebuild_stream", f"WITH {PACKED}, e AS (SELECT source, id, segment_index, unnest(range(CASE WHEN many THEN len(parts) ELSE 1 END)) AS piece FROM several) SELECT source, segment_index, row_number() OVER (PARTITION BY source ORDER BY id, piece) - 1 AS id FROM e")
 def c9(spark, sf):
     n = _packed(spark, sf)
-    return stream.rebuild_stream(n, stream.packed_pieces(n.where("id % 5 = 0"))).select("source", "segment_index", "id")
+    return stream.rebuild_stream(n, stream.packed_pieces(n)).select("source", "segment_index", "id")
 
 
 def _led(spark, sf):
@@ -246,9 +266,10 @@ def _led(spark, sf):
     return stream.tag_lead_ins(nodes(spark, sf).withColumn("content", made))
 
 
-@query("c10_tag_lead_ins", f"WITH {NODES} SELECT source, id FROM nodes WHERE id % 11 = 0")
+@query("c10_tag_lead_ins", rf"""WITH {NODES}, led AS (SELECT source, id, CASE WHEN id % 11 = 0 THEN 'In Exercises 1-3, find the sum.' WHEN id % 11 <= 3 THEN (id % 11) || '. item' ELSE content END AS content FROM nodes)
+SELECT source, id FROM led WHERE regexp_matches(content, '(?i)^(?:in|for) (?:exercises?|problems?)\b|^(?:find|solve|compute|evaluate|determine|use)\b.*:$') AND NOT regexp_matches(content, '^\s*[0-9]+[.)]? ')""")
 def c10(spark, sf):
-    return _led(spark, sf).where("type = 'instruction' and id % 11 = 0").select("source", "id")
+    return _led(spark, sf).where("type = 'instruction'").select("source", "id")
 
 
 @query("c11_lead_in_candidates", f"WITH {NODES} SELECT source, id - id % 11 AS lead_in_id, id, (id % 11 - 1)::INT AS position FROM nodes WHERE id % 11 <> 0")
@@ -428,5 +449,3 @@ def d9(spark, sf):
     n = nodes(spark, sf)
     return windows.window_view(windows.fixed_windows(n), n)
 
-
-_ = TYPE_SQL

@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, keys, semantics, stream
+from graphloom.operators import graph, keys, semantics
 from graphloom.plans.base import NODES, PLACED, STAR, nodes, placed, query, star_facts, star_triplets, strip_sql, uuid5_sql
 from graphloom.tables import table
 
-NOW = "timestamp '2020-01-01 00:00:00'"
+FACTS = NODES + rf""", said AS (SELECT source, id, string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM nodes WHERE type NOT IN ('header', 'bibliographic', 'caption')),
+sentences AS (SELECT source, id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS raw FROM said),
+facts AS (SELECT source, id, pos, {strip_sql('raw')} AS text, row_number() OVER (PARTITION BY source ORDER BY id, pos) - 1 AS index FROM sentences WHERE {strip_sql('raw')} <> '')"""
+VERB = f"'^(.+?) ({'|'.join(semantics.VERBS)}) (.+?)[.!?]?$'"
 
 
 def _facts(spark, sf):
     return semantics.index_facts(semantics.extract_facts(nodes(spark, sf)))
 
 
-@query("e1_extract_facts")
+@query("e1_extract_facts", f"WITH {FACTS} SELECT source, id, pos, text FROM facts")
 def e1(spark, sf):
     return semantics.extract_facts(nodes(spark, sf)).select("source", "id", "pos", "text")
 
 
-@query("e2_index_facts")
+@query("e2_index_facts", f"WITH {FACTS} SELECT source, id, index, text FROM facts")
 def e2(spark, sf):
     return _facts(spark, sf).select("source", "id", "index", "text")
 
@@ -31,7 +34,7 @@ def e3(spark, sf):
     return semantics.dedup_facts(t)
 
 
-@query("e4_extract_triplets")
+@query("e4_extract_triplets", f"WITH {FACTS}, t AS (SELECT source, index AS fact_index, regexp_extract(text, {VERB}, 1) AS subject, regexp_extract(text, {VERB}, 2) AS predicate, regexp_extract(text, {VERB}, 3) AS object FROM facts) SELECT * FROM t WHERE subject <> '' AND object <> ''")
 def e4(spark, sf):
     return semantics.extract_triplets(_facts(spark, sf))
 
@@ -226,10 +229,27 @@ def g9(spark, sf):
     return graph.procedures(_spans(spark, sf))
 
 
-@query("g10_acts")
-def g10(spark, sf):
+def _acts(spark, sf):
     steps = _spans(spark, sf).select("source", keys.statement_key(C("source"), C("block")).alias("statement"), keys.procedure_key(C("source"), C("block"), C("index")).alias("procedure"), F.explode("members").alias("step"))
-    return graph.act_edges(graph.acts(steps))[1]
+    return graph.acts(steps)
+
+
+_act = lambda step: uuid5_sql(f"source || '#act#' || {_ST} || '#' || {_PR} || '#' || ({step})")
+
+
+@query("g10_acts", f"SELECT {_act('m')} AS uuid, source, {_PR} AS procedure, m AS step FROM (SELECT source, doc_id, unnest([doc_id, doc_id + 1]) AS m FROM documents)")
+def g10(spark, sf):
+    return _acts(spark, sf)
+
+
+@query("g10_first", f"SELECT {_PR} AS src, {_act('doc_id')} AS dst FROM documents")
+def g10_first(spark, sf):
+    return graph.act_edges(_acts(spark, sf))[0]
+
+
+@query("g10_then", f"SELECT {_act('doc_id')} AS src, {_act('doc_id + 1')} AS dst FROM documents")
+def g10_then(spark, sf):
+    return graph.act_edges(_acts(spark, sf))[1]
 
 
 @query("g11_governs", f"SELECT {uuid5_sql(chr(115) + 'ource || ' + chr(39) + '#instruction#' + chr(39) + ' || doc_id')} AS src, {uuid5_sql(chr(115) + 'ource || ' + chr(39) + '#' + chr(39) + ' || m')} AS dst FROM (SELECT source, doc_id, unnest([doc_id, doc_id + 1]) AS m FROM documents)")
@@ -284,4 +304,7 @@ def g17(spark, sf):
     return graph.predicates(placed(spark, sf))
 
 
-_ = (stream, strip_sql, NOW)
+
+@query("g17_has_predicate", f"WITH {PLACED} SELECT uuid AS src, {_PK} AS dst FROM placed")
+def g17_edges(spark, sf):
+    return graph.predicate_edges(graph.predicates(placed(spark, sf)))

@@ -1,7 +1,7 @@
 """Tables written between jobs, in the folder that the cluster shares.
 
 `spark.checkpoint.dir` names that folder. Only where it is unset (tests, a
-single machine) a temporary folder is made. A written table cuts the lineage:
+single machine) a temporary folder is made; on a cluster that is an error. A written table cuts the lineage:
 a lost executor costs the tasks in flight, not the stages before.
 """
 
@@ -21,6 +21,8 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="spark-graphloom-")
     return _own_root

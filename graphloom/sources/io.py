@@ -27,9 +27,9 @@ def figure_order(markdown: Column, known: Column) -> Column:
 
 
 def rewrite_figure_refs(markdown: Column, known: Column) -> Column:
-    """Each ![alt](id) of a known id becomes ![N](), N its place in order of first mention; other links stay."""
+    """Each ![alt](id) of a known id becomes ![N](), N its 1-based place in order of first mention; other links stay."""
     order = figure_order(markdown, known)
-    return F.aggregate(F.transform(order, lambda i, n: F.struct(i.alias("i"), n.alias("n"))), markdown, lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"!\[[^\]]*\]\(\Q"), x.i, F.lit(r"\E\)")), F.concat(F.lit("!["), x.n.cast("string"), F.lit("]()"))))
+    return F.aggregate(F.transform(order, lambda i, n: F.struct(i.alias("i"), (n + 1).alias("n"))), markdown, lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"!\[[^\]]*\]\(\Q"), x.i, F.lit(r"\E\)")), F.concat(F.lit("!["), x.n.cast("string"), F.lit("]()"))))
 
 
 def append_footer(markdown: Column, footer: Column) -> Column:
@@ -45,12 +45,12 @@ def select_pages(segments: DataFrame, pages: list[int]) -> DataFrame:
 
 
 def pictures(segments: DataFrame) -> DataFrame:
-    """(source, segment_index, index, image_id) of each figure; those not mentioned come after those that are."""
+    """(source, segment_index, index from 1, image_id) of each figure; those not mentioned come after those that are."""
     order = figure_order(F.col("markdown"), F.col("images.id"))
     rows = segments.withColumn("order", order).select("source", "segment_index", "order", F.posexplode("images.id").alias("place", "image_id"))
     rank = F.array_position("order", F.col("image_id"))
     w = Window.partitionBy("source", "segment_index").orderBy(F.when(rank == 0, None).otherwise(rank).asc_nulls_last(), "place")
-    return rows.select("source", "segment_index", (F.row_number().over(w) - 1).alias("index"), "image_id")
+    return rows.select("source", "segment_index", F.row_number().over(w).alias("index"), "image_id")
 
 
 def read_text_documents(documents: DataFrame, source: str = "source", index: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import canonical, graph, stream, text
+from graphloom.scratch import materialize
 from graphloom.sources import io
 
 PAGE_SCHEMA = "source string, segment_index long, content string"
@@ -57,10 +58,8 @@ def ingest_stream(spark: SparkSession, folder: str, store: NodeStore, checkpoint
 
 def incremental_canonicalize(batch: DataFrame, hubs: DataFrame, threshold: float = canonical.THRESHOLD, cut: float = canonical.THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(clusters of the batch's spokes, hubs with those added that aligned with none)."""
-    found = canonical.canonicalize(batch, hubs, threshold, cut)
-    placed = batch.join(canonical.clusters(batch, threshold).select(F.col("vertex").alias("id"), F.col("component").alias("cluster_id")), "id")
-    centres = canonical.centroid(placed, "cluster_id").withColumnRenamed("centroid", "embedding")
-    fresh = found.where("hub_uuid is null").join(centres, "cluster_id").select(graph.keys.uuid5(F.concat(F.lit("hub#"), F.col("cluster_id").cast("string"))).alias("hub_uuid"), "embedding")
+    found = materialize(canonical.canonicalize(batch, hubs, threshold, cut), "canonical")
+    fresh = found.where("hub_uuid is null").select(graph.keys.uuid5(F.concat(F.lit("hub#"), F.col("cluster_id").cast("string"))).alias("hub_uuid"), F.col("centroid").alias("embedding"))
     return found, append_results(hubs.select("hub_uuid", F.col("embedding").cast("array<double>").alias("embedding")), fresh)
 
 

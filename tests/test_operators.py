@@ -36,9 +36,9 @@ def test_text_rules(spark, rule, before, after):
 
 def test_figures(spark):
     md = "![a](i2) ![b](i1) ![c](i2) ![d](other)"
-    assert one(spark, io.rewrite_figure_refs(F.col("t"), F.array(*map(F.lit, ("i1", "i2", "i3")))), t=md) == "![0]() ![1]() ![0]() ![d](other)"
+    assert one(spark, io.rewrite_figure_refs(F.col("t"), F.array(*map(F.lit, ("i1", "i2", "i3")))), t=md) == "![1]() ![2]() ![1]() ![d](other)"
     pages = spark.createDataFrame([("s", [(md, " f ", [("i1", ""), ("i2", ""), ("i3", "")])])], "source string, " + io.PAGES.replace(":", ""))
-    assert {r.image_id: r["index"] for r in io.pictures(io.read_ocr_pages(pages)).collect()} == {"i2": 0, "i1": 1, "i3": 2}
+    assert {r.image_id: r["index"] for r in io.pictures(io.read_ocr_pages(pages)).collect()} == {"i2": 1, "i1": 2, "i3": 3}
 
 
 def test_edits_apply_in_order(spark):
@@ -139,9 +139,91 @@ def test_examples_gold_and_ingest(spark, tmp_path):
 
 def test_reports(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "type string")
-    assert checks.histogram_line(rows).first().line == "b=2, ?=1, a=1"
+    assert checks.histogram_line(rows).first().line == "b=2 ?=1 a=1"
+    assert checks.histogram_line(spark.createDataFrame([("",), (None,)], "type string")).first().line == "?=2"
+    assert checks.histogram_line(rows.limit(0)).first().line == "none"
+    assert one(spark, checks.snippet(F.col("t"), 3), t=" ab  cd ") == "ab …" and one(spark, checks.snippet(F.col("t"), 3), t=" abc ") == "abc"
+
+
+def test_upsert_applies_repeated_keys_in_order(spark):
+    rows = spark.createDataFrame([(1, "a", "x", None), (2, "a", None, "y"), (3, "a", "z", None), (1, "b", None, "q")], "n int, uuid string, p string, q string")
+    out = graph.upsert_vertices(graph.empty_like(rows.drop("n")), rows, F.current_timestamp(), order=F.col("n"))
+    assert sorted((r.uuid, r.p, r.q) for r in out.collect()) == [("a", "z", "y"), ("b", None, "q")]
+
+
+def test_longest_chain(spark):
+    nodes = spark.createDataFrame([(f"{s}{k}", s) for s in "abcd" for k in range(4)], "uuid string, source string")
+    edges = [("a0", "a1"), ("a1", "a2"), ("a2", "a3"), ("b0", "b1"), ("c0", "c1"), ("c0", "c2"), ("d0", "d1"), ("d1", "d0")]
+    got = checks.longest_chain(spark.createDataFrame(edges, "src string, dst string"), nodes).collect()
+    assert {r.source: r.length for r in got} == {"a": 3, "b": 1, "c": None, "d": None}
+
+
+@pytest.mark.parametrize("step", [3, 9, 40, 150])
+def test_bank_spans_against_a_loop(spark, step):
+    lengths = [(k * 37) % 700 for k in range(500)]
+    n = spark.createDataFrame([("s", i, "x" * k) for i, k in enumerate(lengths)], "source string, id long, content string")
+
+    def find(held):
+        at = [k for k, (i, _) in enumerate(held) if i % step == 0]
+        return [(a, (at[m + 1] if m + 1 < len(at) else len(held)) - 1) for m, a in enumerate(at)]
+
+    want, cursor = [], 0
+    while cursor < 500:
+        size = 2000
+        while True:
+            end, total = cursor, 0
+            while end < 500 and (end == cursor or total + lengths[end] // 4 + 1 <= size):
+                total += lengths[end] // 4 + 1
+                end += 1
+            spans = find([(i, "") for i in range(cursor, end)])
+            bounded = [s for s in spans if s[1] < end - cursor - 1]
+            if spans and not bounded and end < 500 and size < 8000:
+                size *= 2
+                continue
+            whole = not bounded or end == 500 or size >= 8000
+            want += [(cursor + a, cursor + b) for a, b in (spans if whole else bounded)]
+            cursor = end if whole else cursor + bounded[-1][1] + 1
+            break
+    assert sorted((r.start, r.end) for r in bank_spans(n, find).collect()) == sorted(want)
 
 
 def test_entry_and_every_oracle_has_a_query(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_gold_set_joins_texts(spark, tmp_path):
+    import json
+
+    (tmp_path / "texts").mkdir()
+    for name, body in (("a.md", "one\ntwo"), ("b.md", "three")):
+        (tmp_path / "texts" / name).write_text(body)
+    (tmp_path / "index.json").write_text(json.dumps({"records": [{"id": "x", "transcription": "a.md", "corrected": "b.md"}, {"id": "y", "transcription": "b.md", "corrected": "missing.md"}]}))
+    got = io.read_gold_set(spark, str(tmp_path / "index.json"), str(tmp_path / "texts"), "id: STRING, transcription: STRING, corrected: STRING").collect()
+    assert {r.id: (r.transcription_text, r.corrected_text) for r in got} == {"x": ("one\ntwo", "three"), "y": ("three", None)}
+
+
+def test_types_vectors_and_embeddings(spark):
+    t = spark.createDataFrame([(1, " Table "), (2, "Poem"), (3, None)], "id int, type string")
+    assert {r.id for r in text.invalid_types(t).collect()} == {2, 3}
+    with pytest.raises(Exception, match="unknown block type: Poem"):
+        text.require_types(t.where("id < 3")).collect()
+    v = spark.createDataFrame([("a", [1.0]), ("b", None)], "uuid string, embedding array<double>")
+    assert [r.uuid for r in canonical.require_embeddings(v.where("uuid = 'a'")).collect()] == ["a"]
+    with pytest.raises(Exception):
+        canonical.require_embeddings(v).collect()
+    from graphloom.operators import semantics
+
+    rows = spark.createDataFrame([(1, "a b a"), (2, "a b a"), (3, None), (4, "")], "id int, text string")
+    got = {r.id: r.embedding for r in semantics.attach_embeddings(rows).collect()}
+    assert got[1] == got[2] == semantics.hashed_vector("a b a").tolist() and got[3] is None and got[4] == [0.0] * 64
+
+
+def test_canonicalize_against_a_loop(spark):
+    vectors = {0: [1.0, 0.0, 0.0], 1: [0.99, 0.1, 0.0], 2: [0.0, 1.0, 0.0], 3: [0.0, 0.0, 1.0]}
+    spokes = spark.createDataFrame([(i, f"name{i}", f"about {i}", v, i) for i, v in vectors.items()], "id long, name string, description string, embedding array<double>, pos long")
+    hubs = spark.createDataFrame([("h", [0.0, 0.9, 0.1])], "hub_uuid string, embedding array<double>")
+    got = {r.cluster_id: (r.display_name, r.definition, r.hub_uuid) for r in canonical.canonicalize(spokes, hubs, 0.9, 0.9).collect()}
+    assert got == {0: ("name0", "about 0 about 1", None), 2: ("name2", "about 2", "h"), 3: ("name3", "about 3", None)}
+    known = incremental.incremental_canonicalize(spokes, hubs, 0.9, 0.9)[1].collect()
+    assert len(known) == 3 and "h" in {r.hub_uuid for r in known} and all(len(r.embedding) == 3 for r in known)
