@@ -139,7 +139,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out, lang_col="lang")
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
