@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +13,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes of text that a task works on at a time; one longer text makes a chunk alone.
 CHUNK_BYTES = 1 << 20
-#: Rows of an Arrow batch at most, as texts are long.
-BATCH_ROWS = 2000
+#: Rows of an Arrow batch, and of a batch of the Parquet reader, at most, as texts are long.
+BATCH_ROWS, SCAN_ROWS = 2000, 512
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -20,10 +22,18 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 
 
 def bound_batches(df: DataFrame) -> None:
-    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, for this and later queries."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's rows of a batch to BATCH_ROWS and SCAN_ROWS, for this and later queries."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)):
+        if not 0 < int(conf.get(key)) <= most:
+            conf.set(key, str(most))
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on after its task, beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,6 +96,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) ->
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+    del ids, texts
+    release()
 
 
 def keyed_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list, list]]:
@@ -105,6 +117,8 @@ def keyed_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) ->
                 ids, texts, third, size = [], [], [], 0
     if ids:
         yield ids, texts, third
+    del ids, texts, third
+    release()
 
 
 def _texts(column: pa.Array) -> Iterator[str]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bound_batches
+from graphloom.llm.common import bound_batches, release
 from graphloom.scratch import discard, materialize
 
 #: Hash buckets of n-grams, and the lengths of n-grams.
@@ -173,6 +173,8 @@ def _fit_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = (cls == a) | (cls == b)
         w, bias = fit_machine(x[rows].astype(np.float32), np.where(cls[rows] == a, 1, -1))
         out.append((int(pdf.level.iloc[0]), a, b, w.tobytes(), bias))
+    del x
+    release()
     return pd.DataFrame(out, columns=["level", "a", "b", "w", "bias"])
 
 

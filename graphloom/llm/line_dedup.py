@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import mix
+from graphloom.llm.common import bound_batches, mix
 from graphloom.scratch import discard, materialize
 
 #: Keys of a shard's filter on average at most.
@@ -240,5 +240,6 @@ def drop_lines(store: LineStore, docs: DataFrame, id_col: str = "doc_id", text_c
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`drop_lines` of documents by a store built from the same documents."""
+    bound_batches(docs)
     store = build_store(docs, min_docs, min_chars, id_col=id_col, text_col=text_col)
     return drop_lines(store, docs, id_col, text_col)

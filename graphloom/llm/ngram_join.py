@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import GOLDEN, bound_batches, combine, counted, distinct, doc_words, hash_words, keyed_chunks, mix, ragged, text_chunks, windows_hash
+from graphloom.llm.common import GOLDEN, bound_batches, combine, counted, distinct, doc_words, hash_words, keyed_chunks, mix, ragged, release, text_chunks, windows_hash
 from graphloom.llm.exact_dedup import golomb_decode, golomb_encode
 from graphloom.operators.components import connected_components
 from graphloom.scratch import discard, materialize, shuffle_width
@@ -526,6 +526,8 @@ def _compare(similarity: int):
             if len(at) > 1:
                 out += joining_links(cks[at], comp[at], [items[k] for k in at], similarity)
         u, v = np.array(out, np.int64).reshape(-1, 2).T
+        del cells, items
+        release()
         return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
     return compare
