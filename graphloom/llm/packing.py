@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bound_batches, ragged, text_chunks
+from graphloom.llm.common import bound_batches, ragged, release, text_chunks
 
 #: A unit ends where a character other than white space meets a space or a line feed, or a letter or digit meets ASCII
 #: punctuation: no token crosses these borders.
 UNIT = re.compile(r"[ \n]*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[!-/:-@\[-`{-~ \n]|$)|[ \n]*[^ \n]+|[ \n]+")
 #: White space of other kinds; a text that holds one, or an added token, is encoded whole.
 OTHER_SPACE = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-#: Units that a worker remembers at most.
-MEMO_UNITS = 1_200_000
+#: Units that a task remembers at most.
+MEMO_UNITS = 400_000
 
 PIECES = "doc_id long, start long, length long, bucket int, doc_tokens long, ids binary"
 
@@ -55,9 +55,9 @@ class UnitEncoder:
         # an added token is found before the text is cut in words
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.odd = re.compile("|".join([OTHER_SPACE.pattern, *map(re.escape, added)]))
-        self._reset()
+        self.forget()
 
-    def _reset(self):
+    def forget(self):
         self.memo, self.starts, self.lengths, self.pool = _Memo(), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -65,7 +65,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memo) > MEMO_UNITS:
-            self._reset()
+            self.forget()
         places: list[int] = []
         ends, odd = [], {}
         for k, t in enumerate(texts):
@@ -140,6 +140,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_length: int = 2048,
                 [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(lengths), pa.array(np.log2(lengths).astype(np.int32)), pa.array(total, pa.int64()), pa.array(blobs, pa.binary())],
                 names=["doc_id", "start", "length", "bucket", "doc_tokens", "ids"],
             )
+        enc.forget()
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     return rows.mapInArrow(cut, PIECES).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
