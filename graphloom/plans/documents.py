@@ -75,7 +75,7 @@ def b2(spark, sf):
 
 @query("b3_escape_currency")
 def b3(spark, sf):
-    made = F.concat(F.lit("costs $"), F.col("n_chars").cast("string"), F.lit(" or $x$, \\$5, $$y$$"))
+    made = F.concat("text", F.lit(" costs $"), F.col("n_chars").cast("string"), F.lit(" or $x$, \\$5, $$y$$"))
     return table(spark, sf, "documents").select("doc_id", text.escape_currency(made).alias("content"))
 
 
@@ -84,15 +84,15 @@ def b4(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.unicode_math_to_latex(F.concat(F.lit("α≤"), "text", F.lit("²₃"))).alias("content"))
 
 
-@query("b5_part_markers", r"SELECT doc_id, '(a) ' || lang || chr(10) || '(b) ' || source || chr(10) || '(c) x. y' AS content FROM documents")
+@query("b5_part_markers", r"SELECT doc_id, regexp_replace('(a) ' || lang || chr(10) || text || chr(10) || 'b) ' || source || chr(10) || 'c. x. y', '(?m)^([a-z])[.)] ', '(\1) ', 'g') AS content FROM documents")
 def b5(spark, sf):
-    made = F.concat(F.lit("ⓐ "), "lang", F.lit("\nb) "), "source", F.lit("\nc. x. y"))
+    made = F.concat(F.lit("ⓐ "), "lang", F.lit("\n"), "text", F.lit("\nb) "), "source", F.lit("\nc. x. y"))
     return table(spark, sf, "documents").select("doc_id", text.part_markers(made).alias("content"))
 
 
-@query("b6_markdown_markup", r"SELECT doc_id, '# ' || lang || chr(10) || '## ' || source || chr(10) || chr(10) || '- item' || chr(10) || '![0]()' AS content FROM documents")
+@query("b6_markdown_markup", r"SELECT doc_id, '# ' || lang || chr(10) || '## ' || source || chr(10) || chr(10) || regexp_replace(regexp_replace('* item' || chr(10) || text, '(?m)^[*+•] ', '- ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS content FROM documents")
 def b6(spark, sf):
-    made = F.concat("lang", F.lit("\n====\n"), "source", F.lit("\n----\n\n\n\n* item\n![0]()"))
+    made = F.concat("lang", F.lit("\n====\n"), "source", F.lit("\n----\n\n\n\n* item\n"), "text")
     return table(spark, sf, "documents").select("doc_id", text.markdown_markup(made).alias("content"))
 
 
