@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 
 from graphloom.llm.packing import pack_documents, piece_lengths
-from graphloom.llm.sentencepiece_codec import encode_documents
+from graphloom.llm.sentencepiece_codec import LONG_WORD, chunk_table, encode_documents
 
 ODD = [
     "", " ", "  ", "a", " a", "a ", "a  b", "\n", "\n\n a \n", "tab\tand\r\nline", "x\x1cy z", "no\xa0break", "　wide  space",
@@ -33,6 +33,24 @@ def test_sentencepiece_equals_the_library(docs_of, texts):
         assert got[i].decoded == sp.decode(ids), t
 
 
+@pytest.mark.parametrize("table_words", [30, 100_000])
+def test_sentencepiece_with_a_small_and_a_large_table(docs_of, texts, table_words):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = docs_of([*enumerate(texts), *enumerate(texts, 1000)]).repartition(3)
+    known = chunk_table(docs.select("doc_id", "text"), path, 2000, table_words).collect()
+    assert 0 < len(known) <= table_words and len({r.word for r in known}) == len(known) and all(len(r.word) <= LONG_WORD for r in known)
+    assert table_words == 30 or len(known) > 300
+    want = [sp.encode(t, add_bos=True, add_eos=True) for t in texts]
+    got = encode_documents(docs, path, stretch_bytes=2000, table_words=table_words).collect()
+    assert len(got) == 2 * len(texts)
+    for r in got:
+        ids = want[r.doc_id % 1000]
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded == sp.decode(ids)
+
+
 def test_packing_equals_the_tokenizer(docs_of, texts):
     from tokenizers import Tokenizer
 
