@@ -36,7 +36,7 @@ from graphloom.scratch import discard, materialize
 MARK = "▁"
 MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 #: Distinct marked words of the table at most, and other ones that a worker remembers at most.
-TABLE_WORDS, OWN_WORDS = 200_000, 200_000
+TABLE_WORDS, OWN_WORDS = 200_000, 400_000
 #: Characters of a word in the table at most: with TABLE_WORDS, the bound of what is sent to every task.
 LONG_WORD = 64
 #: Bytes of text of a stretch.
@@ -62,18 +62,18 @@ class ChunkCodec:
 
     def know(self, name, table: pa.Table | None):
         """Takes the words, ids and decoded texts of a table (none: an empty one)."""
-        self.name, self.table = name, table
+        words, ids, decoded = ([], [], []) if table is None else (table.column(c).to_pylist() for c in TABLE.names)
+        lengths = np.array([len(x) // 4 for x in ids], np.int64)
+        self.name = name
+        self.known = dict(zip(words, range(len(words)), strict=True)), np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(ids), "<u4"), decoded
         self._reset()
 
     def _reset(self):
-        self.memo, self.starts, self.lengths, self.pool, self.texts = _Memo(), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), []
-        if self.table is not None:
-            words, ids, decoded = (self.table.column(c).to_pylist() for c in TABLE.names)
-            self.memo.update(zip(words, range(len(words)), strict=True))
-            self.lengths = np.array([len(x) // 4 for x in ids], np.int64)
-            self.starts = np.cumsum(self.lengths) - self.lengths
-            self.pool, self.texts = np.frombuffer(b"".join(ids), "<u4"), decoded
-        self.most = len(self.memo) + OWN_WORDS
+        """Forgets all words but the table's."""
+        places, self.starts, self.lengths, self.pool, decoded = self.known
+        self.memo, self.texts = _Memo(), list(decoded)
+        self.memo.update(places)
+        self.most = len(places) + OWN_WORDS
 
     def segment(self, words: list[str]) -> tuple[list[list[int]], list[str]]:
         """Ids of marked words, and what they decode to (each marker a space)."""
