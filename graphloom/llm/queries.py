@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import mining_queries
 from graphloom.llm.ann import ann_search
 from graphloom.llm.chat_format import format_conversations, loss_text
 from graphloom.llm.exact_dedup import exact_dedup
@@ -200,8 +201,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
         "op10_language_id": op10_language_id,
+        **mining_queries.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_ngram_join": OP8_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_ngram_join": OP8_SQL, **mining_queries.SQL}
