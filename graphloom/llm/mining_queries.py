@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm.collocations import mine_phrases
+from graphloom.llm.prefix_trie import branch, pack_turns, prefix_trie
 from graphloom.llm.url_filters import MIN_SOFT, SOFT, STRICT, filter_urls
 from graphloom.tables import table
 
@@ -39,6 +41,52 @@ inner_ AS (
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
+#: A conversation takes fewer first turns than this from the first one of its hundred.
+SHARED = 6
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    conversations = turns.select("conv_id").where("conv_id is not null").distinct()
+    plan = conversations.select(
+        "conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("base_id"), (F.crc32(F.col("conv_id").cast("string").cast("binary")) % SHARED).cast("int").alias("h"),
+    )
+    return prefix_trie(branch(pack_turns(turns), plan, SHARED - 1), conversations)
+
+
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS p FROM turns
+), plan AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c.conv_id, t.p, 0 AS own, role, text FROM plan c JOIN placed t ON t.conv_id = c.base AND t.p <= c.h
+  UNION ALL SELECT c.conv_id, t.p, 1, role, text FROM plan c JOIN placed t ON t.conv_id = c.conv_id AND t.p > c.h
+), deep AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars,
+    string_agg(sha256(strlen(role) || ':' || role || text), '/') OVER (PARTITION BY conv_id ORDER BY own, p) AS path
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, p)
+), steps AS (
+  SELECT * FROM deep UNION ALL SELECT conv_id, 0, 0, '' FROM plan
+), ends AS (SELECT conv_id, arg_max(path, depth) AS path FROM steps GROUP BY conv_id),
+nodes AS (
+  SELECT path, any_value(depth) AS depth, any_value(chars) AS chars, count(*) AS n_convs, min(conv_id) AS conv_id,
+    CASE WHEN path = '' THEN NULL WHEN contains(path, '/') THEN left(path, length(path) - 65) ELSE '' END AS parent FROM steps GROUP BY path
+), children AS (SELECT parent AS path, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+worth AS (SELECT n.*, coalesce(c.n, 0) AS n_children, (n_convs - 1) * chars AS saved FROM nodes n LEFT JOIN children c USING (path)),
+sums AS (
+  SELECT s.path, sum((w.n_children = 0)::INT)::BIGINT AS n_leaves, sum(w.saved)::BIGINT AS saved_tokens
+  FROM worth w JOIN steps s ON s.conv_id = w.conv_id AND s.depth <= w.depth GROUP BY s.path
+), ending AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM ends GROUP BY path)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM worth w JOIN sums USING (path) LEFT JOIN nodes p ON p.path = w.parent LEFT JOIN ending e ON e.path = w.path
+"""
+
 #: (action, host, path): fixed values.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -72,5 +120,5 @@ SELECT page_id, host, path, rule, n_soft::INT AS n_soft, n_strict::INT AS n_stri
 FROM ruled
 """
 
-QUERIES = {"op11_collocations": op11_collocations, "op13_url_filters": op13_url_filters}
-SQL = {"op11_collocations": OP11_SQL, "op13_url_filters": OP13_SQL}
+QUERIES = {"op11_collocations": op11_collocations, "op12_prefix_trie": op12_prefix_trie, "op13_url_filters": op13_url_filters}
+SQL = {"op11_collocations": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_url_filters": OP13_SQL}
