@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.operators import keys
 
 ROLES = ("subject", "object")
+#: Other forms of a name that a hub carries at most.
+ALIASES = 1000
 
 
 def upsert_vertices(current: DataFrame, rows: DataFrame, now: Column, key: str = "uuid", order: Column | None = None) -> DataFrame:
@@ -155,16 +157,19 @@ def predicate_edges(predicate_table: DataFrame) -> DataFrame:
 
 
 def hubs(clusters: DataFrame, kind: str) -> DataFrame:
-    """(uuid, source, name, aliases) of clusters (source, component, uuid of a spoke, name): named by the most frequent form.
+    """(uuid, source, component, name, aliases, n_spokes) of clusters (source, component, uuid of a spoke, name): named by the most frequent form.
 
-    The key is that of the hub's smallest spoke and its number of spokes, so that no hub needs all its spokes in one row.
+    The key is that of the source and all spokes, sorted; they are digested in order
+    and never gathered in a row. Aliases are the other forms, up to ALIASES of them
+    (the most frequent), as a hub may have a form for each of its spokes; the whole
+    list is in the spokes' table.
     """
-    forms = clusters.groupBy("source", "component", "name").agg(F.count("*").alias("n"), F.min("uuid").alias("first"))
-    each = forms.groupBy("source", "component").agg(
-        F.min_by("name", F.struct((-F.col("n")).alias("n"), F.length("name").alias("l"), "name")).alias("name"), F.array_sort(F.collect_list("name")).alias("forms"), F.min("first").alias("first"), F.sum("n").alias("n")
-    )
-    spokes = F.array("first", F.col("n").cast("string"))
-    return each.select(keys.hub_key(F.col("source"), kind, spokes).alias("uuid"), "source", "component", "name", F.filter("forms", lambda f: f != F.col("name")).alias("aliases"))
+    forms = clusters.groupBy("source", "component", "name").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("source", "component").orderBy(F.desc("n"), F.length("name"), "name")
+    first = forms.withColumn("k", F.row_number().over(best)).where(F.col("k") <= ALIASES + 1)
+    named = first.groupBy("source", "component").agg(F.min_by("name", "k").alias("name"), F.array_sort(F.collect_list(F.when(F.col("k") > 1, F.col("name")))).alias("aliases"))
+    known = keys.member_keys(clusters.select("source", "component", F.col("uuid").alias("member")), f"#{kind}_hub#")
+    return known.join(named, ["source", "component"]).select("uuid", "source", "component", "name", "aliases", F.col("n").alias("n_spokes"))
 
 
 def canonical_edges(clusters: DataFrame, hub_table: DataFrame) -> DataFrame:
@@ -179,12 +184,36 @@ def definition_edges(definition_table: DataFrame) -> DataFrame:
     return definition_table.select(F.col("hub").alias("src"), F.col("uuid").alias("dst"))
 
 
-def communities(rows: DataFrame) -> DataFrame:
-    return rows.select(keys.community_key(F.col("source"), F.col("members")).alias("uuid"), "source", F.size("members").alias("n_members"))
+def communities(members: DataFrame) -> DataFrame:
+    """(uuid, source, component, n_members) of members (source, component, hub); the key is that of the source and all hubs, sorted."""
+    found = keys.member_keys(members.select("source", "component", F.col("hub").alias("member")), "#community#")
+    return found.select("uuid", "source", "component", F.col("n").alias("n_members"))
+
+
+def community_members(members: DataFrame, community_table: DataFrame) -> DataFrame:
+    """HAS_MEMBER: community to hub."""
+    return members.join(community_table.select("source", "component", "uuid"), ["source", "component"]).select(F.col("uuid").alias("src"), F.col("hub").alias("dst"))
+
 
+def community_evidence(triplets: DataFrame, community_table: DataFrame) -> DataFrame:
+    """COMMUNITY_EVIDENCE: community to the triplets (source, component, triplet_uuid) between its hubs."""
+    return triplets.join(community_table.select("source", "component", "uuid"), ["source", "component"]).select(F.col("uuid").alias("src"), F.col("triplet_uuid").alias("dst")).distinct()
 
-def community_members(rows: DataFrame) -> DataFrame:
-    return rows.select(keys.community_key(F.col("source"), F.col("members")).alias("src"), F.explode("members").alias("dst"))
+
+def move_spokes(canonical: DataFrame, spokes: DataFrame, now: Column) -> DataFrame:
+    """CANONICAL edges (src, dst, stamps) after spokes (uuid, hub) are merged into existing hubs: each spoke's edge leads to its hub.
+
+    An edge that leads there already keeps its creation stamp and gets a new
+    modification stamp; one that leads elsewhere goes, and a new one is made. Edges
+    of other spokes stay as they are.
+    """
+    wanted = spokes.groupBy(F.col("uuid").alias("src")).agg(F.min("hub").alias("hub"))
+    joined = canonical.join(wanted, "src", "full_outer").withColumn("same", F.col("dst").eqNullSafe(F.col("hub")))
+    stays = F.col("hub").isNull()
+    edges = joined.select(
+        "src", F.when(stays, F.col("dst")).otherwise(F.col("hub")).alias("dst"), F.when(stays | F.col("same"), F.coalesce("created_at", now)).otherwise(now).alias("created_at"), F.when(stays, F.col("modified_at")).otherwise(now).alias("modified_at"),
+    )
+    return edges.groupBy("src", "dst").agg(F.min("created_at").alias("created_at"), F.max("modified_at").alias("modified_at"))
 
 
 def triplet_hub_edges(assertions: DataFrame) -> dict[str, DataFrame]:

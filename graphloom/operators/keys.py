@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.digests import ordered_digest
+
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
 def uuid5(text: Column, namespace: str = URL_NAMESPACE) -> Column:
     """The version 5 UUID of a text in a namespace; null for null."""
-    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(text, "UTF-8")))
+    return of_sha1(F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(text, "UTF-8"))))
+
+
+def of_sha1(h: Column) -> Column:
+    """The version 5 UUID of a SHA-1 (hex) over namespace and text."""
     variant = F.substr(F.lit("89ab"), (F.conv(F.substr(h, F.lit(17), F.lit(1)), 16, 10).cast("int").bitwiseAND(3) + 1), F.lit(1))
     return F.concat(F.substr(h, F.lit(1), F.lit(12)), F.lit("5"), F.substr(h, F.lit(14), F.lit(3)), variant, F.substr(h, F.lit(18), F.lit(15)))
 
@@ -74,6 +80,21 @@ def hub_key(source: Column, kind: str, spokes: Column) -> Column:
     return _key(source, f"#{kind}_hub#", F.concat_ws("#", F.array_sort(spokes)))
 
 
+def member_keys(members: DataFrame, between: str) -> DataFrame:
+    """(source, component, uuid, n) of groups (source, component, member): the key of the source, `between` and the sorted members joined by `#`.
+
+    The same as `hub_key` or `community_key` of all members in one array, without
+    such an array: members are digested in order, so a group may have any size. A
+    group's members are distinct.
+    """
+    group = F.concat(F.length("source").cast("string"), F.lit(":"), "source", F.col("component").cast("string"))
+    rows = members.select(group.alias("key"), "source", F.col("member").cast("string").alias("member"))
+    head = F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(F.concat("source", F.lit(between)), "UTF-8"))
+    digests = ordered_digest(rows, "key", ["member"], F.col("member"), "sha1", "#", head)
+    groups = members.select("source", "component").distinct().withColumn("key", group)
+    return groups.join(digests, "key").select("source", "component", of_sha1(F.col("digest")).alias("uuid"), "n")
+
+
 def definition_key(hub: Column) -> Column:
     return _key(hub, "#definition")
 

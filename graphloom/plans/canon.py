@@ -140,17 +140,18 @@ def h16(spark, sf):
 
 def _graph(spark, sf):
     """Each name of the star triplets is a hub of its own; half of the hubs have definitions."""
-    t = star_triplets(spark, sf).withColumn("uuid", F.concat("source", F.lit("#"), C("fact_index").cast("string")))
+    t = materialize(star_triplets(spark, sf).withColumn("uuid", F.concat("source", F.lit("#"), C("fact_index").cast("string"))), "star")
     ends = {r: t.select(C("uuid").alias("src"), F.concat_ws("#", "uuid", F.lit(r)).alias("dst")) for r, _ in communities.ROLES}
     hub = lambda r: F.concat(F.lit(r[0]), C(r))
     canon = t.select(F.explode(F.array(*(F.struct(F.concat_ws("#", "uuid", F.lit(r)).alias("src"), hub(r).alias("dst")) for r, _ in communities.ROLES))).alias("e")).select("e.*")
     hubs = t.select(F.explode(F.array(*(F.struct(hub(r).alias("uuid"), C(r).alias("name")) for r, _ in communities.ROLES))).alias("h")).select("h.*").distinct()
+    hubs = materialize(hubs, "star-hubs")
     defs = hubs.where(F.length("name") % 2 == 0).select(C("uuid").alias("hub"), F.concat(F.lit("def "), "name").alias("text"))
     return t, ends, canon, hubs, defs
 
 
 def _hub_triplets(spark, sf):
-    return communities.canonical_hub_triplets(*_graph(spark, sf))
+    return materialize(communities.canonical_hub_triplets(*_graph(spark, sf)), "hub-triplets")
 
 
 HUBT = STAR + """, ht AS (
@@ -217,13 +218,13 @@ def i7(spark, sf):
     return communities.community_triplets(t, communities.community_of_hubs(t))
 
 
-@query("i8_community_definitions", f"WITH {OT} SELECT source, 'c' || g AS component, list_sort(list(DISTINCT pr)) AS definitions FROM ot GROUP BY source, g")
+@query("i8_community_definitions", f"WITH {OT} SELECT DISTINCT source, 'c' || g AS component, pr AS definition FROM ot")
 def i8(spark, sf):
     t = _order_triplets(spark, sf)
     return communities.community_definitions(t, communities.community_of_hubs(t))
 
 
-@query("i9_community_triplet_strings", f"WITH {OT} SELECT source, 'c' || g AS component, list_sort(list(DISTINCT {LINE})) AS lines FROM ot GROUP BY source, g")
+@query("i9_community_triplet_strings", f"WITH {OT} SELECT DISTINCT source, 'c' || g AS component, {LINE} AS line FROM ot")
 def i9(spark, sf):
     t = _order_triplets(spark, sf)
     return communities.community_triplet_strings(t, communities.community_of_hubs(t))
@@ -303,13 +304,14 @@ def j9(spark, sf):
 
 @query("j10_expand_entity_hubs", f"WITH {HUBT} SELECT subj_hub AS hub, triplet_uuid FROM ht WHERE subj_hub LIKE '%1' UNION SELECT obj_hub, triplet_uuid FROM ht WHERE obj_hub LIKE '%1'")
 def j10(spark, sf):
-    hubs = _graph(spark, sf)[3].where("uuid like '%1'").select(C("uuid").alias("hub"))
-    return search.expand_entity_hubs(hubs, _hub_triplets(spark, sf))
+    g = _graph(spark, sf)
+    return search.expand_entity_hubs(g[3].where("uuid like '%1'").select(C("uuid").alias("hub")), materialize(communities.canonical_hub_triplets(*g), "hub-triplets"))
 
 
 @query("j11_expand_predicate_hubs", f"WITH {HUBT} SELECT pred_hub AS hub, triplet_uuid FROM ht WHERE pred_hub = 'pA'")
 def j11(spark, sf):
-    return search.expand_predicate_hubs(_graph(spark, sf)[3].where("uuid = 'pA'").select(C("uuid").alias("hub")), _hub_triplets(spark, sf))
+    g = _graph(spark, sf)
+    return search.expand_predicate_hubs(g[3].where("uuid = 'pA'").select(C("uuid").alias("hub")), communities.canonical_hub_triplets(*g))
 
 
 @query("j12_hubs_in_community", f"WITH {OT} SELECT DISTINCT source, 'c' || g AS component, 'c' || g AS hub, name, NULL AS definition FROM ot UNION ALL SELECT DISTINCT source, 'c' || g, 'p' || g || st, st, NULL FROM ot UNION ALL SELECT DISTINCT source, 'c' || g, 'o' || k, 'order ' || k, pr FROM ot")
@@ -342,8 +344,9 @@ def k2(spark, sf):
 
 @query("k3_resolved_assertions", f"WITH {HUBT} SELECT DISTINCT subj_name, pred_name, obj_name, source FROM ht")
 def k3(spark, sf):
-    a = communities.triplet_hubs(_hub_triplets(spark, sf))
-    return checks.resolved_assertions(a, _graph(spark, sf)[3]).join(a.select("uuid", "source"), "uuid").select("subj_name", "pred_name", "obj_name", "source")
+    g = _graph(spark, sf)
+    a = materialize(communities.triplet_hubs(communities.canonical_hub_triplets(*g)), "assertions")
+    return checks.resolved_assertions(a, g[3]).join(a.select("uuid", "source"), "uuid").select("subj_name", "pred_name", "obj_name", "source")
 
 
 @query("k4_longest_chain", f"WITH {NODES} SELECT source, count(*) - 1 AS length FROM nodes GROUP BY source")
@@ -461,33 +464,43 @@ def m3(spark, sf):
 
 def _clusters(spark, sf):
     """Spokes by name: each supplier of the star is a component of its own."""
-    t = star_triplets(spark, sf)
+    t = materialize(star_triplets(spark, sf), "star")
     return t.select("source", C("subject").alias("component"), F.concat("source", F.lit("#"), C("fact_index").cast("string")).alias("uuid"), C("subject").alias("name"))
 
 
 def _names(role: str) -> str:
-    return f"(WITH {STAR} SELECT source, {role} AS name, count(*) AS n, min(source || '#' || fact_index) AS first FROM star GROUP BY ALL)"
+    return f"(WITH {STAR} SELECT source, {role} AS name, count(*) AS n, string_agg(source || '#' || fact_index, '#' ORDER BY source || '#' || fact_index) AS spokes FROM star GROUP BY ALL)"
 
 
 def _hub_sql(kind: str) -> str:
-    return uuid5_sql(f"source || '#{kind}_hub#' || array_to_string(list_sort([first, n::VARCHAR]), '#')")
+    return uuid5_sql(f"source || '#{kind}_hub#' || spokes")
 
 
-@query("g18_entity_hubs", f"SELECT {_hub_sql('entity')} AS uuid, source, name, 0 AS n_aliases FROM {_names('subject')}")
+@query("g18_entity_hubs", f"SELECT {_hub_sql('entity')} AS uuid, source, name, 0 AS n_aliases, n AS n_spokes FROM {_names('subject')}")
 def g18(spark, sf):
-    return graph.hubs(_clusters(spark, sf), "entity").select("uuid", "source", "name", F.size("aliases").alias("n_aliases"))
+    return graph.hubs(_clusters(spark, sf), "entity").select("uuid", "source", "name", F.size("aliases").alias("n_aliases"), "n_spokes")
 
 
 @query("g18_canonical_entities", f"WITH {STAR}, h AS (SELECT *, {_hub_sql('entity')} AS dst FROM {_names('subject')}) SELECT s.source || '#' || fact_index AS src, dst FROM star s JOIN h ON h.source = s.source AND h.name = s.subject")
 def g18b(spark, sf):
-    return graph.canonical_edges(_clusters(spark, sf), graph.hubs(_clusters(spark, sf), "entity"))
+    c = _clusters(spark, sf)
+    return graph.canonical_edges(c, graph.hubs(c, "entity"))
+
+
+def _predicate_clusters(spark, sf):
+    t = materialize(star_triplets(spark, sf), "star")
+    return t.select("source", C("predicate").alias("component"), F.concat("source", F.lit("#"), C("fact_index").cast("string")).alias("uuid"), C("predicate").alias("name"))
 
 
 @query("g19_predicate_hubs", f"SELECT {_hub_sql('predicate')} AS uuid, source, name FROM {_names('predicate')}")
 def g19(spark, sf):
-    t = star_triplets(spark, sf)
-    c = t.select("source", C("predicate").alias("component"), F.concat("source", F.lit("#"), C("fact_index").cast("string")).alias("uuid"), C("predicate").alias("name"))
-    return graph.hubs(c, "predicate").select("uuid", "source", "name")
+    return graph.hubs(_predicate_clusters(spark, sf), "predicate").select("uuid", "source", "name")
+
+
+@query("g19_canonical_predicates", f"WITH {STAR}, h AS (SELECT *, {_hub_sql('predicate')} AS dst FROM {_names('predicate')}) SELECT s.source || '#' || fact_index AS src, dst FROM star s JOIN h ON h.source = s.source AND h.name = s.predicate")
+def g19b(spark, sf):
+    c = _predicate_clusters(spark, sf)
+    return graph.canonical_edges(c, graph.hubs(c, "predicate"))
 
 
 def _hub_rows(spark, sf):
@@ -508,28 +521,38 @@ def g20b(spark, sf):
     return graph.definition_edges(graph.definitions(_hub_rows(spark, sf).where("uuid like 's%'"), C("name")))
 
 
-def _community_rows(spark, sf):
-    m = communities.community_of_hubs(_order_triplets(spark, sf))
-    return m.groupBy("source", "component").agg(F.array_sort(F.collect_list("hub")).alias("members"))
+def _communities(spark, sf):
+    """(triplets, hubs of communities, community table)."""
+    t = materialize(_order_triplets(spark, sf), "order-triplets")
+    m = materialize(communities.community_of_hubs(t), "community-hubs")
+    return t, m, graph.communities(m)
 
 
 _MEMBERS = f"{OT}, mb AS (SELECT source, g, list_sort(list(DISTINCT hub)) AS members FROM (SELECT source, g, unnest(['c' || g, 'p' || g || st, 'o' || k]) AS hub FROM ot) GROUP BY source, g), named AS (SELECT *, {uuid5_sql(chr(115) + 'ource || ' + chr(39) + '#community#' + chr(39) + ' || array_to_string(members, ' + chr(39) + '#' + chr(39) + ')')} AS uuid FROM mb)"
 
 
-@query("g21_communities", f"WITH {_MEMBERS} SELECT uuid, source, len(members)::INT AS n_members FROM named")
+@query("g21_communities", f"WITH {_MEMBERS} SELECT uuid, source, len(members)::BIGINT AS n_members FROM named")
 def g21(spark, sf):
-    return graph.communities(_community_rows(spark, sf)).select("uuid", "source", "n_members")
+    return _communities(spark, sf)[2].select("uuid", "source", "n_members")
 
 
 @query("g21_community_members", f"WITH {_MEMBERS} SELECT uuid AS src, unnest(members) AS dst FROM named")
 def g21b(spark, sf):
-    return graph.community_members(_community_rows(spark, sf))
+    _, m, c = _communities(spark, sf)
+    return graph.community_members(m, c)
+
+
+@query("g21_community_evidence", f"WITH {_MEMBERS} SELECT DISTINCT uuid AS src, k::VARCHAR AS dst FROM named JOIN ot ON ot.source = named.source AND ot.g = named.g")
+def g21c(spark, sf):
+    t, m, c = _communities(spark, sf)
+    return graph.community_evidence(communities.community_triplets(t, m), c)
 
 
 @query("g22_triplet_hub_edges", f"WITH {HUBT}, a AS (SELECT DISTINCT source, subj_hub, pred_hub, obj_hub FROM ht), k AS (SELECT *, {THUB} AS dst FROM a) SELECT 'CANONICAL_SUBJECT' AS type, subj_hub AS src, dst FROM k UNION ALL SELECT 'CANONICAL_PREDICATE', pred_hub, dst FROM k UNION ALL SELECT 'CANONICAL_OBJECT', obj_hub, dst FROM k")
 def g22(spark, sf):
     out = None
-    for name, edges in graph.triplet_hub_edges(communities.triplet_hubs(_hub_triplets(spark, sf))).items():
+    assertions = materialize(communities.triplet_hubs(_hub_triplets(spark, sf)), "assertions")
+    for name, edges in graph.triplet_hub_edges(assertions).items():
         one = edges.select(F.lit(name).alias("type"), "src", "dst")
         out = one if out is None else out.unionByName(one)
     return out
@@ -545,12 +568,18 @@ def g23(spark, sf):
     return graph.fact_hubs(communities.triplet_hubs(_hub_triplets(spark, sf))).select("text")
 
 
-@query("h14_merge_into_hub", "SELECT label AS uuid, CASE WHEN label < 5 THEN 'new ' || label ELSE 'old' END AS text, label < 5 AS touched FROM (SELECT DISTINCT label FROM embeddings)")
+MOVED = f"""WITH {STAR}, e AS (SELECT source || '#' || fact_index AS src, 's' || subject AS old, 'r' || predicate AS hub, fact_index % 3 AS k FROM star)
+SELECT src, CASE WHEN k = 0 THEN old WHEN k = 1 THEN hub ELSE old END AS dst, k = 1 AS created, k <> 0 AS touched FROM e"""
+
+
+@query("h14_merge_into_hub", MOVED)
 def h14(spark, sf):
-    hubs = _vectors(spark, sf).select(C("label").alias("uuid")).distinct()
-    old = hubs.select("uuid", F.lit("old").alias("text"), *(F.to_timestamp(F.lit("2019-01-01")).alias(c) for c in ("created_at", "modified_at")))
-    new = hubs.where("uuid < 5").select("uuid", F.concat(F.lit("new "), C("uuid").cast("string")).alias("text"))
-    return graph.upsert_vertices(old, new, F.to_timestamp(F.lit("2020-01-01"))).select("uuid", "text", (F.year("modified_at") == 2020).alias("touched"))
+    """Spokes by supplier; a third of them is merged into hubs by return flag, another third into the hub where it is."""
+    t = materialize(star_triplets(spark, sf), "star").select(F.concat("source", F.lit("#"), C("fact_index").cast("string")).alias("src"), F.concat(F.lit("s"), "subject").alias("old"), F.concat(F.lit("r"), "predicate").alias("hub"), (C("fact_index") % 3).alias("k"))
+    then, now = (F.to_timestamp(F.lit(f"{y}-01-01")) for y in (2019, 2020))
+    edges = t.select("src", C("old").alias("dst"), then.alias("created_at"), then.alias("modified_at"))
+    merged = t.where("k > 0").select(C("src").alias("uuid"), F.when(C("k") == 1, C("hub")).otherwise(C("old")).alias("hub"))
+    return graph.move_spokes(edges, merged, now).select("src", "dst", (F.year("created_at") == 2020).alias("created"), (F.year("modified_at") == 2020).alias("touched"))
 
 
 @query("i10_community_summary", f"WITH {COMMUNITY} SELECT source, 'c' || g AS component, summary_text FROM cm")
