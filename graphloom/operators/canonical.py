@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import similarity
 from graphloom.operators.components import connected_components
 from graphloom.scratch import materialize
 
 THRESHOLD, TOP_K, MIN_SCORE = 0.85, 5, 0.7
-#: Vectors of a block in the pairwise comparison.
-BLOCK = 2048
 
 
 def uncanonicalized(spokes: DataFrame, canonical: DataFrame, source: str | None = None) -> DataFrame:
@@ -35,35 +32,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of unequal length")).cast("double")).when(norms == 0, F.lit(0.0)).otherwise(_dot(a, b) / norms)
 
 
-def _pairs(threshold: float):
-    def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(left) or not len(right):
-            return out
-        unit = []
-        for vectors in (left.vec, right.vec2):
-            x = np.stack(vectors.map(np.asarray).tolist()).astype(np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            unit.append(x / np.where(n == 0, 1, n))
-        score = unit[0] @ unit[1].T
-        i, j = np.nonzero(score >= threshold)
-        a, b = left.id.to_numpy()[i], right.id2.to_numpy()[j]
-        keep = a < b
-        return pd.DataFrame({"a": a[keep], "b": b[keep], "score": score[i, j][keep]})
-
-    return pairs
-
-
-def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(a, b, score): all pairs a < b with cosine at or above the threshold, by products of blocks of vectors."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec")).where("vec is not null")
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    # ids are compared inside a pair of blocks, so each unordered pair of vectors is met in both orders of its blocks
-    left = dealt.withColumn("other", F.explode(every))
-    right = dealt.select(F.col("id").alias("id2"), F.col("vec").alias("vec2"), F.col("k").alias("other"), F.explode(every).alias("k"))
-    return left.groupBy("k", "other").cogroup(right.groupBy("k", "other")).applyInPandas(_pairs(threshold), "a long, b long, score double")
+def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = similarity.BLOCK, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """(a, b, score): all pairs a < b with cosine at or above the threshold, by a pruned join of blocks of vectors."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"))
+    return similarity.self_pairs(rows, threshold, block=block).where("a is not null").select("a", "b", "score")
 
 
 def clusters(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -90,30 +62,16 @@ def descriptions_of(spokes: DataFrame, group: str = "component") -> DataFrame:
 def candidate_hubs(cluster_vectors: DataFrame, definitions: DataFrame, top_k: int = TOP_K, min_score: float = MIN_SCORE, score_scale: str = "cosine") -> DataFrame:
     """(cluster_id, hub_uuid, score, rank): the nearest definitions of each cluster (cluster_id, centroid), ties by hub key.
 
-    Clusters and definitions meet in blocks; each block passes on its best `top_k`.
+    A join at `min_score` that is pruned by pivots; each block passes on a cluster's best `top_k`.
     """
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            m = [np.stack(p.vec.map(np.asarray).tolist()).astype(np.float64) for p in (left, right)]
-            m = [x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n) for x in m]
-            hubs = right.hub.to_numpy()
-            by_key = np.argsort(np.argsort(hubs, kind="stable"), kind="stable")
-            for cid, row in zip(left.cid, m[0] @ m[1].T, strict=True):
-                s = row if score_scale == "cosine" else (1 + row) / 2
-                near = np.flatnonzero(s >= max(min_score, np.partition(s, max(0, len(s) - top_k))[max(0, len(s) - top_k)]))
-                near = near[np.lexsort((by_key[near], -s[near]))][:top_k]
-                out += [(cid, hubs[k], float(s[k])) for k in near]
-        return pd.DataFrame(out, columns=["cluster_id", "hub_uuid", "score"])
-
-    left = cluster_vectors.select(F.col("cluster_id").cast("long").alias("cid"), F.col("centroid").alias("vec"))
-    right = definitions.select(F.col("hub_uuid").cast("string").alias("hub"), F.col("embedding").alias("vec"))
-    nl, nr = (max(1, -(-x.count() // BLOCK)) for x in (left, right))
-    a = left.withColumn("i", F.pmod(F.xxhash64("cid"), F.lit(nl)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    b = right.withColumn("j", F.pmod(F.xxhash64("hub"), F.lit(nr)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
-    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(best, "cluster_id long, hub_uuid string, score double")
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("score"), "hub_uuid"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    least = min_score if score_scale == "cosine" else 2 * min_score - 1
+    left = cluster_vectors.select(F.col("cluster_id").cast("string").alias("id"), F.col("centroid").cast("array<double>").alias("embedding"))
+    right = definitions.select(F.col("hub_uuid").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    found = similarity.pairs_above(left, right, least, "id", "id", k=top_k).where("a is not null")
+    score = F.col("score") if score_scale == "cosine" else (1 + F.col("score")) / 2
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc(F.round("score", 12)), "hub_uuid"))
+    kind = dict(cluster_vectors.dtypes)["cluster_id"]
+    return found.select(F.col("a").cast(kind).alias("cluster_id"), F.col("b").alias("hub_uuid"), score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
 def alignment_rule(candidates: DataFrame, cut: float = THRESHOLD) -> DataFrame:

@@ -2,85 +2,32 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.canonical import cosine
+from graphloom.operators import similarity
 
 TOP_K, TOP_N = 20, 5
 TARGETS = ("community", "entity_hub", "predicate_hub", "node", "fact")
-#: Queries that one task ranks against its rows at a time.
-QUERY_BLOCK = 1024
-
-
-def top_k(candidates: DataFrame, query: list[float], k: int = 10, threshold: float | None = None, key: str = "uuid", vector_col: str = "embedding") -> DataFrame:
-    """The k rows of highest cosine with the query, ties by key; with `score`."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    scored = candidates.where(F.col(vector_col).isNotNull()).withColumn("score", cosine(F.col(vector_col), q))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
-    return scored.orderBy(F.desc("score"), key).limit(k)
-
-
-def _rank(k: int, round_to: int):
-    def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            m = [np.stack(p.vec.map(np.asarray).tolist()).astype(np.float64) for p in (left, right)]
-            m = [x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n) for x in m]
-            keys = right.item.to_numpy()
-            for q, row in zip(left.q, m[0] @ m[1].T, strict=True):
-                s = np.round(row, round_to)
-                near = np.flatnonzero(s >= np.partition(s, max(0, len(s) - k))[max(0, len(s) - k)])
-                for at in near[np.lexsort((keys[near], -s[near]))][:k]:
-                    out.append((q, keys[at], float(row[at])))
-        return pd.DataFrame(out, columns=["query_id", "item_id", "score"])
-
-    return rank
-
-
-def _met(queries: DataFrame, items: DataFrame, work, query_id: str, item_id: str, vector_col: str, within: str | None) -> DataFrame:
-    """`work` on blocks of queries and items; with `within`, of one value of this column at a time."""
-    scope = (F.lit(0) if within is None else F.col(within)).alias("scope")
-    left = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).alias("vec"), scope).where("vec is not null")
-    right = items.select(F.col(item_id).cast("long").alias("item"), F.col(vector_col).alias("vec"), scope).where("vec is not null")
-    nl, nr = max(1, -(-left.count() // QUERY_BLOCK)), max(1, -(-right.count() // (8 * QUERY_BLOCK)))
-    a = left.withColumn("i", F.pmod(F.xxhash64("q"), F.lit(nl)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    b = right.withColumn("j", F.pmod(F.xxhash64("item"), F.lit(nr)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
-    by = ["scope", "i", "j"]
-    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(work, "query_id long, item_id long, score double")
 
 
 def block_scores(queries: DataFrame, items: DataFrame, threshold: float, query_id: str = "query_id", item_id: str = "item_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, item_id, score) of all pairs of at least this cosine: a product of matrices for each two blocks."""
+    """(query_id, item_id, score) of all pairs of at least this cosine."""
+    met = similarity.pairs_above(queries, items, threshold, query_id, item_id, vector_col)
+    return met.where("a is not null").select(F.col("a").alias("query_id"), F.col("b").alias("item_id"), "score")
 
-    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        m = [np.stack(p.vec.map(np.asarray).tolist()).astype(np.float64) for p in (left, right)]
-        m = [x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n) for x in m]
-        s = m[0] @ m[1].T
-        i, j = np.nonzero(s >= threshold)
-        return pd.DataFrame({"query_id": left.q.to_numpy()[i], "item_id": right.item.to_numpy()[j], "score": s[i, j]})
 
-    return _met(queries, items, work, query_id, item_id, vector_col, None)
+def knn_join(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector_col: str = "embedding", round_to: int = 12, within: str | None = None, threshold: float | None = None) -> DataFrame:
+    """(query_id, item_id, score, rank): the k nearest items of each query, in blocks of queries and items, ties by smaller item.
 
-
-def knn_join(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector_col: str = "embedding", round_to: int = 12, within: str | None = None) -> DataFrame:
-    """(query_id, item_id, score, rank): the k nearest items of each query, in blocks of queries and items.
-
-    With `within`, only items that have the query's value of this column.
+    With `within`, only items that have the query's value of this column; with
+    `threshold`, only items of at least this cosine.
     """
-    found = _met(queries, items, _rank(k, round_to), query_id, item_id, vector_col, within)
+    met = similarity.nearest(queries, items, k, query_id, item_id, vector_col, round_to, within).where("a is not null")
+    found = met.select(F.col("a").alias("query_id"), F.col("b").alias("item_id"), "score")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", round_to)), "item_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def search_table(candidates: DataFrame, query: list[float], source: str | None = None, k: int = TOP_K) -> DataFrame:
-    """Filter by book first, then the nearest k (communities, hub definitions, nodes or facts)."""
-    return top_k(candidates if source is None else candidates.where(F.col("source") == source), query, k)
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best if threshold is None else best.where(F.col("score") >= threshold)
 
 
 def token_overlap(query: Column, text: Column) -> Column:
@@ -104,19 +51,15 @@ def judge(candidates: DataFrame, verdicts: DataFrame, keep_relevant_only: bool =
     return out.where("judge_relevant") if keep_relevant_only else out
 
 
-def search(tables: dict[str, DataFrame], target: str, query: list[float], query_text: str, source: str | None = None, k: int = TOP_K, n: int = TOP_N) -> DataFrame:
-    """Nearest rows of the target's table (uuid, source, text, embedding), reranked by token overlap."""
-    if target not in TARGETS:
-        raise ValueError(f"unknown target: {target}")
-    found = search_table(tables[target], query, source, k)
-    return found.withColumn("_r", token_overlap(F.lit(query_text), F.col("text"))).orderBy(F.desc("_r"), F.desc("score"), "uuid").limit(n).drop("_r")
+def search(tables: dict[str, DataFrame], target: str, queries: DataFrame, k: int = TOP_K, n: int = TOP_N, within_source: bool = False) -> DataFrame:
+    """(query_id, item_id, score, rank): the nearest k rows of the target's table (uuid, source, text, embedding), reranked by token overlap to n.
 
-
-def search_many(tables: dict[str, DataFrame], target: str, queries: DataFrame, k: int = TOP_K, n: int = TOP_N) -> DataFrame:
-    """(query_id, item_id, rank, score): `search` for a table of queries (query_id, embedding, text)."""
+    `queries`: (query_id, embedding, text), with `within_source` also source: each
+    query then meets the rows of its book only.
+    """
     if target not in TARGETS:
         raise ValueError(f"unknown target: {target}")
-    found = knn_join(queries, tables[target], k, "query_id", "uuid")
+    found = knn_join(queries, tables[target], k, "query_id", "uuid", within="source" if within_source else None)
     texts = found.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(tables[target].select(F.col("uuid").alias("item_id"), F.col("text").alias("_t")), "item_id")
     return rerank(found, texts.select("query_id", "item_id", token_overlap(F.col("_q"), F.col("_t")).alias("relevance")), n)
 

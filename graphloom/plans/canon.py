@@ -255,7 +255,7 @@ def _asked(threshold: str, k: int, where: str = "true") -> str:
 @query("j1_top_k", _asked("0.1", 10))
 def j1(spark, sf):
     v = _vectors(spark, sf)
-    found = search.knn_join(v.where("id % 20 = 0"), v, 10, "id", "id").where("score >= 0.1")
+    found = search.knn_join(v.where("id % 20 = 0"), v, 10, "id", "id", threshold=0.1)
     return found.select("query_id", C("item_id").alias("uuid"), "rank")
 
 
@@ -292,7 +292,7 @@ SELECT query_id, uuid, row_number() OVER (PARTITION BY query_id ORDER BY r DESC,
 def j8(spark, sf):
     text = F.concat(F.lit("text "), C("id").cast("string"), F.lit(" of "), C("label").cast("string"))
     v = _vectors(spark, sf).select(C("id").alias("uuid"), "embedding", text.alias("text"))
-    return search.search_many({"node": v}, "node", v.where("uuid % 20 = 0").withColumnRenamed("uuid", "query_id")).select("query_id", C("item_id").alias("uuid"), "rank")
+    return search.search({"node": v}, "node", v.where("uuid % 20 = 0").withColumnRenamed("uuid", "query_id")).select("query_id", C("item_id").alias("uuid"), "rank")
 
 
 @query("j9_expand_communities", f"WITH {OT} SELECT source, 'c' || g AS component, {N_HUBS} AS n_hubs, count(DISTINCT k) AS n_triplets FROM ot GROUP BY source, g")

@@ -118,7 +118,7 @@ def test_bank_spans_and_unknown_target(spark):
     got = sorted((r.start, r.end) for r in bank_spans(n, find).collect())
     assert got == [(i, i + 2) for i in range(0, 60, 3)]
     with pytest.raises(ValueError):
-        search.search({}, "nothing", [1.0], "")
+        search.search({}, "nothing", n)
 
 
 def test_examples_gold_and_ingest(spark, tmp_path):
