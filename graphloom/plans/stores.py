@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph
+from graphloom.plans import canon
 from graphloom.plans.base import BLOCKS, NODES, nodes, pages, query, uuid5_sql
 from graphloom.scratch import scratch_root
 from graphloom.sources import io
-from graphloom.streaming import incremental
+from graphloom.streaming import incremental, stores
 from graphloom.tables import table
 
 
@@ -81,3 +82,13 @@ def m1(spark, sf):
     for run in range(2):
         incremental.ingest_stream(spark, f"{root}/pages", store, f"{root}/checkpoint{run}").awaitTermination()
     return store.read().select("uuid", "source", "segment_index", "pos", "type", "content")
+
+
+@query("m2_incremental_clusters", f"WITH {canon.COMPONENTS} SELECT * FROM comp")
+def m2_clusters(spark, sf):
+    """Vectors arrive in three files, one a batch."""
+    root = _folder(spark, "clusters")
+    table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).repartition(3, "id").write.parquet(f"{root}/arriving")
+    store = stores.ClusterStore(spark, f"{root}/store", canon.T, buckets=8)
+    stores.cluster_stream(spark, f"{root}/arriving", store, f"{root}/checkpoint").awaitTermination()
+    return store.labels()

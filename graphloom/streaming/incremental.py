@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import canonical, graph, stream, text
 from graphloom.scratch import materialize
 from graphloom.sources import io
+from graphloom.streaming.stores import BucketStore
 
 PAGE_SCHEMA = "source string, segment_index long, content string"
 
@@ -20,27 +21,15 @@ def append_results(*parts: DataFrame) -> DataFrame:
     return out
 
 
-class NodeStore:
-    """Versions of a vertex table in a folder; a batch writes the next version, readers use the last whole one."""
+class NodeStore(BucketStore):
+    """The vertex table, in buckets of stretches of pages: a batch rewrites the buckets of its pages."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str = "Node"):
-        self.spark, self.root, self.name = spark, root, name
+    def __init__(self, spark: SparkSession, root: str, name: str = "Node", buckets: int = 64, stretch: int = 256):
+        super().__init__(spark, root, name, F.pmod(F.xxhash64("source", F.floor(F.col("segment_index") / stretch)), F.lit(buckets)))
 
-    def _version(self) -> int:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.name}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        whole = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
-        done = [int(p.getName()[1:]) for p in whole if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=-1)
-
-    def read(self) -> DataFrame | None:
-        v = self._version()
-        return None if v < 0 else io.graph_read(self.spark, self.root, self.name, v)
-
-    def merge(self, rows: DataFrame) -> None:
-        current = self.read()
-        merged = graph.upsert_vertices(graph.empty_like(rows) if current is None else current, rows, F.current_timestamp())
-        io.graph_write(merged, self.root, self.name, self._version() + 1)
+    def upsert(self, rows: DataFrame) -> list[int]:
+        """Vertices (uuid, source, segment_index, ...) inserted or updated by uuid; the buckets that were written."""
+        return self.merge(rows, lambda current, new: graph.upsert_vertices(graph.empty_like(new) if current is None else current, new, F.current_timestamp()))
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
@@ -53,7 +42,7 @@ def page_nodes(pages: DataFrame) -> DataFrame:
 def ingest_stream(spark: SparkSession, folder: str, store: NodeStore, checkpoint: str):
     """Starts a query that upserts each batch of page files (Parquet) into the store; replays are idempotent by key."""
     pages = spark.readStream.schema(PAGE_SCHEMA).parquet(folder)
-    return pages.writeStream.foreachBatch(lambda df, _: store.merge(page_nodes(df))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pages.writeStream.foreachBatch(lambda df, _: store.upsert(page_nodes(df))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def incremental_canonicalize(batch: DataFrame, hubs: DataFrame, threshold: float = canonical.THRESHOLD, cut: float = canonical.THRESHOLD) -> tuple[DataFrame, DataFrame]:
