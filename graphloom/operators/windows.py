@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,69 +34,108 @@ def lookahead_window(nodes: DataFrame, cursors: DataFrame, budget: int = LOOKAHE
     return joined.where((F.col("id") == F.col("cursor")) | (F.col("before") + F.col("tokens") - F.col("origin") <= budget)).select("source", "cursor", "id")
 
 
-def _through(filled: np.ndarray, tokens: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """For windows filled so far (0: none begun): how full the last one is after these tokens, and how many were closed."""
-    closed = np.zeros(len(filled), np.int64)
-    for t in tokens:
-        over = (filled > 0) & (filled + t > budget)
-        closed += over
-        filled = np.minimum(np.where(over, t, filled + t), budget)  # a fuller window takes nothing more either
-    return filled, closed
+def _jumps(tokens: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a span's nodes: prefix sums; the start of the window after one that starts at each node (or the span's end); the last start that follows; how many follow.
+
+    The next start is found on the prefix sums; last starts and counts by pointer doubling.
+    """
+    n = len(tokens)
+    sums = np.concatenate([[0], np.cumsum(tokens)])
+    at = np.arange(n + 1)
+    after = np.append(np.maximum(np.searchsorted(sums[1:], sums[:-1] + budget, side="right"), at[1:]), n)
+    jump, follow = after, (after < n).astype(np.int64)
+    last = np.where(after < n, after, at)
+    while (jump < n).any():
+        follow = follow + follow[jump]
+        last = np.where(jump < n, last[jump], last)
+        jump = jump[jump]
+    return sums, after, last, follow
+
+
+def _through(tokens: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """For windows filled so far by 0 (none begun) to `budget` tokens: how full the last one is after these nodes, and how many were closed."""
+    sums, _, last, follow = _jumps(tokens, budget)
+    n, filled = len(tokens), np.arange(budget + 1)
+    first = np.searchsorted(sums[1:], budget - filled, side="right")
+    first[0] = 0
+    stays = first == n
+    out = np.where(stays, filled + sums[n], sums[n] - sums[last[first]])
+    closed = np.where(stays, 0, follow[first] + (filled > 0))
+    return np.minimum(out, budget), closed  # a fuller window takes nothing more either
+
+
+#: Spans, or groups of them, that are composed at a time.
+FANOUT = 64
+MAPS = "source string, span long, filled binary, closed binary"
 
 
 def _fold(budget: int):
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         """What a span does to a window of any fill."""
-        filled, closed = _through(np.arange(budget + 1), pdf.sort_values("id").tokens.to_numpy(), budget)
-        return pd.DataFrame({"source": pdf.source.iloc[:1], "span": pdf.span.iloc[:1], "filled": [filled.astype(np.int32).tobytes()], "closed": [closed.astype(np.int32).tobytes()]})
+        filled, closed = _through(pdf.sort_values("id").tokens.to_numpy(), budget)
+        return pd.DataFrame({"source": pdf.source.iloc[:1], "span": pdf.span.iloc[:1], "filled": [filled.astype(np.int32).tobytes()], "closed": [closed.astype(np.int64).tobytes()]})
 
     return fold
 
 
-def _enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted spans in: the fill and the number of the window with which each is entered."""
-    source, fill, window = None, 0, 0
-    for b in batches:
-        out = []
-        for s, filled, closed in zip(b.source, b.filled, b.closed, strict=True):
-            if s != source:
-                source, fill, window = s, 0, 0
-            out.append((fill, window))
-            window += int(np.frombuffer(closed, np.int32)[fill])
-            fill = int(np.frombuffer(filled, np.int32)[fill])
-        yield pd.DataFrame({"source": b.source, "span": b.span, "fill": [x for x, _ in out], "first": [x for _, x in out]})
-
-
-def _pack(budget: int):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted rows (source, span, id, tokens, fill, first) in; a window closes before the node that would exceed the budget."""
-        at, window, filled = None, 0, 0
-        for b in batches:
-            out = []
-            for s, k, t, fill, first in zip(b.source, b.span, b.tokens, b.fill, b["first"], strict=True):
-                if (s, k) != at:
-                    at, window, filled = (s, k), first, fill
-                if filled and filled + t > budget:
-                    window, filled = window + 1, 0
-                filled += t
-                out.append(window)
-            yield pd.DataFrame({"source": b.source, "id": b.id, "window_id": out})
-
-    return pack
-
-
-def pack_windows(weighed: DataFrame, budget: int, span: int = SPAN) -> DataFrame:
-    """(source, id, window_id): greedy windows.
-
-    A book's nodes are cut into spans of ids. Each span is folded for every fill
-    with which a window may enter it; one row a span then passes in order, which
-    tells each span its fill, and the spans are packed apart.
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What consecutive spans do together."""
+    filled = closed = None
+    for f, c in zip(*(pdf.sort_values("span")[x] for x in ("filled", "closed")), strict=True):
+        f, c = np.frombuffer(f, np.int32), np.frombuffer(c, np.int64)
+        filled, closed = (f, c) if filled is None else (f[filled], closed + c[filled])
+    return pd.DataFrame({"source": pdf.source.iloc[:1], "span": pdf.up.iloc[:1], "filled": [filled.tobytes()], "closed": [closed.tobytes()]})
+
+
+def _enter(maps: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+    """The fill and the number of the window with which each of a group's spans is entered."""
+    maps = maps.sort_values("span")
+    fill, window = (int(entry.fill.iloc[0]), int(entry["first"].iloc[0])) if len(entry) else (0, 0)
+    out = []
+    for f, c in zip(maps.filled, maps.closed, strict=True):
+        out.append((fill, window))
+        fill, window = int(np.frombuffer(f, np.int32)[fill]), window + int(np.frombuffer(c, np.int64)[fill])
+    return pd.DataFrame({"source": maps.source, "span": maps.span, "fill": [x for x, _ in out], "first": [x for _, x in out]})
+
+
+def _number(budget: int):
+    def number(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        """The window of each node of a span."""
+        rows = rows.sort_values("id")
+        fill, window = (int(entry.fill.iloc[0]), int(entry["first"].iloc[0])) if len(entry) else (0, 0)
+        tokens = rows.tokens.to_numpy()
+        sums, after, _, _ = _jumps(tokens, budget)
+        begins = np.zeros(len(tokens) + 1, np.int64)
+        at = int(np.searchsorted(sums[1:], budget - fill, side="right")) if fill else int(after[0])
+        while at < len(tokens):
+            begins[at] = 1
+            at = int(after[at])
+        return pd.DataFrame({"source": rows.source, "id": rows.id, "window_id": (window + np.cumsum(begins[:-1])).astype(np.int32)})
+
+    return number
+
+
+def pack_windows(weighed: DataFrame, budget: int, span: int = SPAN, fanout: int = FANOUT) -> DataFrame:
+    """(source, id, window_id): greedy windows; one closes before the node that would exceed the budget.
+
+    A book's nodes are cut into spans of ids. Jump pointers give, for every fill
+    with which a window may enter a span, the fill with which it is left and the
+    windows closed. These maps are composed in groups of `fanout`, then groups of
+    groups, so that no task needs all of a book; from the whole book back down, each
+    span is told its fill, and spans are numbered apart.
     """
     rows = materialize(weighed.select("source", "id", "tokens", F.floor(F.col("id") / span).alias("span")), "weights")
-    maps = rows.groupBy("source", "span").applyInPandas(_fold(budget), "source string, span long, filled binary, closed binary")
-    entries = maps.repartition("source").sortWithinPartitions("source", "span").mapInPandas(_enter, "source string, span long, fill long, first long")
-    placed = rows.join(materialize(entries, "entries"), ["source", "span"]).repartition("source", "span").sortWithinPartitions("source", "span", "id")
-    return placed.mapInPandas(_pack(budget), "source string, id long, window_id int")
+    levels = [materialize(rows.groupBy("source", "span").applyInPandas(_fold(budget), MAPS), "span-maps")]
+    most = levels[0].agg(F.max("span")).first()[0] or 0
+    up = lambda maps: maps.withColumn("up", F.floor(F.col("span") / fanout))
+    while most >= fanout:
+        levels.append(materialize(up(levels[-1]).groupBy("source", "up").applyInPandas(_compose, MAPS), "span-maps"))
+        most //= fanout
+    entry = rows.select("source", F.lit(0).cast("long").alias("span"), F.lit(0).cast("long").alias("fill"), F.lit(0).cast("long").alias("first")).limit(0)
+    for maps in reversed(levels):  # the topmost groups have no entry: a book is entered with no window begun
+        held = entry.withColumnRenamed("span", "up")
+        entry = materialize(up(maps).groupBy("source", "up").cogroup(held.groupBy("source", "up")).applyInPandas(_enter, "source string, span long, fill long, first long"), "entries")
+    return rows.groupBy("source", "span").cogroup(entry.groupBy("source", "span")).applyInPandas(_number(budget), "source string, id long, window_id int")
 
 
 def eligible(nodes: DataFrame) -> DataFrame:

@@ -89,6 +89,24 @@ def test_windows_against_a_loop(spark):
         assert before.get(i) == ("\n\n".join(parts[::-1]) or None)
 
 
+@pytest.mark.parametrize(("budget", "span", "fanout"), [(7, 5, 2), (1, 3, 3), (50, 16, 2), (20, 4096, 64)])
+def test_windows_over_many_spans(spark, budget, span, fanout):
+    import random
+
+    rng = random.Random(budget)
+    rows = [(s, i, rng.choice([1, 1, 2, 5, budget, budget + 3])) for s in ("a", "b") for i in sorted(rng.sample(range(400), 150))]
+    got = {(r.source, r.id): r.window_id for r in windows.pack_windows(spark.createDataFrame(rows, "source string, id long, tokens long"), budget, span, fanout).collect()}
+    want, filled, w, book = {}, 0, 0, None
+    for s, i, t in rows:
+        if s != book:
+            book, filled, w = s, 0, 0
+        if filled and filled + t > budget:
+            filled, w = 0, w + 1
+        filled += t
+        want[s, i] = w
+    assert got == want
+
+
 def test_partition_members_and_roles(spark):
     m = F.array(F.lit(7), F.lit(8), F.lit(9))
     assert one(spark, stream.partition_members(m, F.array(F.lit(2), F.lit(50))), t=1) == [9]
