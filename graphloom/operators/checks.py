@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
 from graphloom.operators.text import apply_edits, strip
-from graphloom.scratch import materialize
+from graphloom.scratch import discard, materialize
 
 
 def table_counts(tables: dict[str, DataFrame], name: str = "label") -> DataFrame:
@@ -51,9 +51,40 @@ def longest_chain(next_edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return each.groupBy("source").agg(F.when(F.bool_and(fine), F.max("e")).alias("length"))
 
 
-def walk_stream(nodes: DataFrame, source: str) -> DataFrame:
-    """The nodes of a book in order, from its head."""
-    return nodes.where(F.col("source") == source).orderBy("index")
+def stream_positions(heads: DataFrame, next_edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(uuid, head, position): how far each node lies behind its book's head, from HEAD (src, dst) and NEXT (src, dst) edges alone.
+
+    List ranking by pointer doubling: each round, a node's pointer and distance are
+    extended by those of the node that it points at, so a chain of n nodes takes
+    log2(n) rounds of one join; nodes that have come to their head drop out. A node
+    that no head leads to, that lies in or behind a circle, or in or behind a node
+    with two predecessors, has neither head nor position.
+    """
+    before = next_edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("uuid")).agg(F.min("src").alias("to"), F.count("*").alias("n"))
+    first = heads.select(F.col("dst").alias("uuid"), F.lit(True).alias("is_head")).distinct()
+    state = nodes.select("uuid").distinct().join(before, "uuid", "left").join(first, "uuid", "left")
+    # a head points at nothing, whatever leads to it; so does what has no or no single predecessor, and that has no head
+    ends = F.coalesce("is_head", F.lit(False)) | F.col("to").isNull() | (F.col("n") > 1)
+    state = state.select("uuid", F.when(~ends, F.col("to")).alias("to"), (~ends).cast("long").alias("distance"), F.when(F.col("is_head"), F.col("uuid")).alias("head"))
+    state = materialize(state, "positions")
+    open_ = state.where("to is not null").count()
+    rounds = max(1, open_).bit_length() + 1
+    for _ in range(rounds):
+        if not open_:
+            break
+        ahead = state.select(F.col("uuid").alias("to"), F.col("to").alias("to2"), F.col("distance").alias("more"), F.col("head").alias("head2"))
+        moved = state.where("to is not null").join(ahead, "to", "left").select("uuid", F.col("to2").alias("to"), (F.col("distance") + F.coalesce("more", F.lit(0))).alias("distance"), F.col("head2").alias("head"))
+        following = materialize(state.where("to is null").unionByName(moved), "positions")
+        discard(state)
+        state, open_ = following, following.where("to is not null").count()
+    known = F.col("to").isNull() & F.col("head").isNotNull()
+    return state.select("uuid", F.when(known, F.col("head")).alias("head"), F.when(known, F.col("distance")).alias("position"))
+
+
+def walk_stream(nodes: DataFrame, heads: DataFrame, next_edges: DataFrame, source: str | None = None) -> DataFrame:
+    """Nodes with their position behind the head of their book, in all books or one; those that the walk does not reach are left out."""
+    rows = nodes if source is None else nodes.where(F.col("source") == source)
+    return rows.join(stream_positions(heads, next_edges, rows).where("position is not null"), "uuid")
 
 
 def community_overview(communities: DataFrame) -> DataFrame:

@@ -329,9 +329,12 @@ def j13(spark, sf):
     return search.relation_types({"HAS_SUBJECT": ends["subject"], "HAS_OBJECT": ends["object"], "CANONICAL": canon, "NEXT": canon.limit(0)})
 
 
-@query("k1_label_counts", "SELECT 'Nation' AS label, count(*) AS n FROM nation UNION ALL SELECT 'Region', count(*) FROM region UNION ALL SELECT 'Supplier', count(*) FROM supplier")
+@query("k1_label_counts", f"WITH {NODES} SELECT 'Node' AS label, count(*) AS n FROM nodes UNION ALL SELECT 'Source', count(DISTINCT source) FROM documents UNION ALL SELECT 'HEAD', count(DISTINCT source) FROM nodes UNION ALL SELECT 'NEXT', count(*) - count(DISTINCT source) FROM nodes")
 def k1(spark, sf):
-    return checks.table_counts({n.title(): table(spark, sf, n) for n in ("nation", "region", "supplier")})
+    n = materialize(nodes(spark, sf), "nodes")
+    vertices = graph.nodes(n)
+    books = graph.sources(table(spark, sf, "documents").select("source").distinct())
+    return checks.table_counts({"Node": vertices, "Source": books, "HEAD": graph.head_edges(vertices), "NEXT": graph.next_edges(n)})
 
 
 @query("k2_resolved_triplets", f"WITH {STAR} SELECT source || '#' || fact_index AS uuid, CASE WHEN fact_index % 8 <> 1 THEN subject END AS subject, predicate, object FROM star")
@@ -355,9 +358,12 @@ def k4(spark, sf):
     return checks.longest_chain(graph.next_edges(n), graph.nodes(n))
 
 
-@query("k5_walk_stream", f"WITH {NODES} SELECT id AS \"index\", content FROM nodes WHERE source = 'src1'")
+@query("k5_walk_stream", f"WITH {NODES} SELECT source, id AS position, content FROM nodes")
 def k5(spark, sf):
-    return checks.walk_stream(graph.nodes(nodes(spark, sf)), "src1").select("index", "content")
+    """All books, from HEAD and NEXT edges; the nodes' own index is dropped."""
+    n = materialize(nodes(spark, sf), "nodes")
+    vertices = graph.nodes(n)
+    return checks.walk_stream(vertices.drop("index"), graph.head_edges(vertices), graph.next_edges(n)).select("source", "position", "content")
 
 
 @query("k6_community_overview", f"WITH {COMMUNITY} SELECT source, 'c' || g AS component, summary_text[1:120] AS summary, 64 AS vector_size FROM cm")

@@ -168,12 +168,14 @@ def g1(spark, sf):
     return out.select("uuid", "name", "bal", (F.year("created_at") == 2020).alias("inserted"), (F.year("modified_at") == 2020).alias("touched"))
 
 
-@query("g2_upsert_edges", "SELECT n_nationkey AS src, n_regionkey AS dst, n_nationkey % 2 = 0 AS old FROM nation WHERE n_regionkey < 4 OR n_nationkey % 2 = 0")
+@query("g2_upsert_edges", "SELECT o_orderkey AS src, o_custkey AS dst, o_orderkey % 2 = 0 AS old, o_orderkey % 3 = 0 AND o_custkey % 4 <> 0 AS touched FROM orders WHERE o_orderkey % 2 = 0 OR (o_orderkey % 3 = 0 AND o_custkey % 4 <> 0)")
 def g2(spark, sf):
-    n = table(spark, sf, "nation").select(C("n_nationkey").alias("src"), C("n_regionkey").alias("dst"))
-    regions = table(spark, sf, "region").select(C("r_regionkey").alias("uuid")).where("uuid < 4")
-    out = graph.upsert_edges(_stamped(n.where("src % 2 = 0")), n.unionByName(n), F.to_timestamp(F.lit("2020-01-01")), n.select(C("src").alias("uuid")), regions)
-    return out.select("src", "dst", (F.year("created_at") == 2019).alias("old"))
+    """Orders of customers: half of the edges are there; a third is written, twice, of which those to a quarter of the customers have no vertex."""
+    o = table(spark, sf, "orders").select(C("o_orderkey").alias("src"), C("o_custkey").alias("dst"))
+    customers = table(spark, sf, "customer").select(C("c_custkey").alias("uuid")).where("uuid % 4 <> 0")
+    new = o.where("src % 3 = 0")
+    out = graph.upsert_edges(_stamped(o.where("src % 2 = 0")), new.unionByName(new), F.to_timestamp(F.lit("2020-01-01")), o.select(C("src").alias("uuid")), customers)
+    return out.select("src", "dst", (F.year("created_at") == 2019).alias("old"), (F.year("modified_at") == 2020).alias("touched"))
 
 
 @query("g3_node_label", "SELECT doc_id, upper(lang[1:1]) || lang[2:] AS label FROM documents")
@@ -229,6 +231,11 @@ def g9(spark, sf):
     return graph.procedures(_spans(spark, sf))
 
 
+@query("g9_procedure_members", f"SELECT {uuid5_sql(chr(115) + 'ource || ' + chr(39) + '#' + chr(39) + ' || m')} AS src, pr AS dst FROM (SELECT source, unnest([doc_id, doc_id + 1]) AS m, {_PR} AS pr FROM documents)")
+def g9b(spark, sf):
+    return graph.procedure_members(_spans(spark, sf))
+
+
 def _acts(spark, sf):
     steps = _spans(spark, sf).select("source", keys.statement_key(C("source"), C("block")).alias("statement"), keys.procedure_key(C("source"), C("block"), C("index")).alias("procedure"), F.explode("members").alias("step"))
     return graph.acts(steps)
@@ -257,6 +264,11 @@ def g11(spark, sf):
     return graph.governs(_spans(spark, sf).withColumn("node_id", F.element_at("block", 1)))
 
 
+@query("g11_instructions", f"SELECT {uuid5_sql(chr(115) + 'ource || ' + chr(39) + '#instruction#' + chr(39) + ' || doc_id')} AS uuid, source, doc_id AS node_id, text, lang AS directive FROM documents")
+def g11b(spark, sf):
+    return graph.instructions(table(spark, sf, "documents").select("source", C("doc_id").alias("node_id"), "text", C("lang").alias("directive")))
+
+
 @query("g12_facts", f"WITH {PLACED} SELECT fact_uuid AS uuid, source, fact_index AS \"index\", concat_ws(' ', subject, predicate, object) AS text FROM placed")
 def g12(spark, sf):
     return graph.facts(star_facts(spark, sf))

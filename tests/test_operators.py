@@ -176,6 +176,17 @@ def test_longest_chain(spark):
     assert {r.source: r.length for r in got} == {"a": 3, "b": 1, "c": None, "d": None}
 
 
+def test_positions_from_edges(spark):
+    chain = [(f"a{k}", f"a{k + 1}") for k in range(299)]
+    odd = [("b0", "b1"), ("c0", "c1"), ("c1", "c2"), ("c2", "c1"), ("d0", "d2"), ("d1", "d2"), ("d2", "d3"), ("e1", "e2"), ("f0", "f1"), ("f1", "f0")]
+    edges = spark.createDataFrame(chain[::-1] + odd, "src string, dst string").repartition(5)
+    heads = spark.createDataFrame([(x, f"{x}0") for x in "abcdf"] + [("g", "g0")], "src string, dst string")
+    names = {x for e in chain + odd for x in e} | {"g0", "h0"}
+    got = {r.uuid: (r.head, r.position) for r in checks.stream_positions(heads, edges, spark.createDataFrame([(x,) for x in names], "uuid string")).collect()}
+    want = dict.fromkeys(names, (None, None)) | {f"a{k}": ("a0", k) for k in range(300)} | {"b0": ("b0", 0), "b1": ("b0", 1), "c0": ("c0", 0), "d0": ("d0", 0), "f0": ("f0", 0), "f1": ("f0", 1), "g0": ("g0", 0)}
+    assert got == want
+
+
 @pytest.mark.parametrize("step", [3, 9, 40, 150])
 def test_bank_spans_against_a_loop(spark, step):
     lengths = [(k * 37) % 700 for k in range(500)]
