@@ -72,6 +72,18 @@ def statements(rows: DataFrame) -> DataFrame:
     return rows.select(keys.statement_key(F.col("source"), F.col("block")).alias("uuid"), "source", keys.block_key(F.col("block")).alias("block"))
 
 
+def span_statements(members: DataFrame) -> DataFrame:
+    """Statement vertices (uuid, source, span_id, n) of spans of any size, given as members (source, span_id, id); keys as of `statements`."""
+    found = keys.member_keys(members.select("source", F.col("span_id").alias("component"), F.col("id").alias("member")), "#statement#", "member")
+    return found.select("uuid", "source", F.col("component").alias("span_id"), "n")
+
+
+def span_statement_members(members: DataFrame, statement_table: DataFrame) -> DataFrame:
+    """MEMBER_OF: node to statement."""
+    rows = members.join(statement_table.select("source", "span_id", "uuid"), ["source", "span_id"])
+    return rows.select(keys.node_key(F.col("source"), F.col("id")).alias("src"), F.col("uuid").alias("dst"))
+
+
 def statement_members(rows: DataFrame) -> DataFrame:
     m = rows.select("source", "block", F.explode("members").alias("m"))
     return m.select(keys.node_key(F.col("source"), F.col("m")).alias("src"), keys.statement_key(F.col("source"), F.col("block")).alias("dst")).distinct()

@@ -80,17 +80,17 @@ def hub_key(source: Column, kind: str, spokes: Column) -> Column:
     return _key(source, f"#{kind}_hub#", F.concat_ws("#", F.array_sort(spokes)))
 
 
-def member_keys(members: DataFrame, between: str) -> DataFrame:
-    """(source, component, uuid, n) of groups (source, component, member): the key of the source, `between` and the sorted members joined by `#`.
+def member_keys(members: DataFrame, between: str, order: str | None = None) -> DataFrame:
+    """(source, component, uuid, n) of groups (source, component, member): the key of the source, `between` and the members joined by `#` and sorted as texts, or by `order`.
 
-    The same as `hub_key` or `community_key` of all members in one array, without
+    The same as `hub_key`, `community_key` or `statement_key` of all members in one array, without
     such an array: members are digested in order, so a group may have any size. A
     group's members are distinct.
     """
     group = F.concat(F.length("source").cast("string"), F.lit(":"), "source", F.col("component").cast("string"))
-    rows = members.select(group.alias("key"), "source", F.col("member").cast("string").alias("member"))
+    rows = members.select(group.alias("key"), "source", F.col("member").cast("string").alias("member"), (F.col("member").cast("string") if order is None else F.col(order)).alias("by"))
     head = F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(F.concat("source", F.lit(between)), "UTF-8"))
-    digests = ordered_digest(rows, "key", ["member"], F.col("member"), "sha1", "#", head)
+    digests = ordered_digest(rows, "key", ["by"], F.col("member"), "sha1", "#", head)
     groups = members.select("source", "component").distinct().withColumn("key", group)
     return groups.join(digests, "key").select("source", "component", of_sha1(F.col("digest")).alias("uuid"), "n")
 

@@ -11,12 +11,19 @@ from graphloom.scratch import materialize
 #: Block types that are passed over at page edges.
 NOT_MERGEABLE = ["bibliographic", "note"]
 LEAD_IN = r"(?i)^(?:in|for) (?:exercises?|problems?)\b|^(?:find|solve|compute|evaluate|determine|use)\b.*:$"
-NUMBERED = r"^\s*[0-9]+[.)]? "
+NUMBER = "[0-9]+"
 LABEL = r"^(?:\*\*)?(?:Definition|Theorem|Lemma|Example|Exercise|Proof|Corollary|Proposition)\b"
+STATES = r"\b(?:Definition|Theorem|Lemma|Corollary|Proposition|Exercise|Example)\b"
+WORKS = r"\b(?:Proof|Solution|Example|Therefore|Hence)\b"
 #: Order values that one block of a running sum spans.
 SPAN = 4096
 
 
+def numbered(number: str = NUMBER) -> str:
+    """The pattern of a block that begins with a number (or what `number` matches)."""
+    return rf"^\s*(?:{number})[.)]? "
+
+
 def blocked_running_sum(rows: DataFrame, key: str, order: str, value: str, out: str, span: int = SPAN) -> DataFrame:
     """Adds the sum of `value` over rows of the key with a smaller order (an integer, unique within the key).
 
@@ -120,13 +127,14 @@ def heal_seams(blocks: DataFrame, decide=seam_decisions) -> DataFrame:
     return blocks
 
 
-def packed_pieces(nodes: DataFrame) -> DataFrame:
+def packed_pieces(nodes: DataFrame, number: str = NUMBER) -> DataFrame:
     """(source, id, piece, number, body) of blocks that pack two numbered items or more; a leading fragment has no number."""
-    pieces = F.filter(F.split("content", r"\n(?=\s*[0-9]+[.)]? )"), lambda x: strip(x) != "")
-    numbered = F.size(F.filter(pieces, lambda x: x.rlike(NUMBERED)))
-    rows = nodes.where(numbered >= 2).select("source", "id", F.posexplode(pieces).alias("piece", "text"))
-    number = F.regexp_extract("text", r"^\s*([0-9]+)[.)]? ", 1)
-    return rows.select("source", "id", "piece", F.when(number != "", number).alias("number"), strip(F.regexp_replace("text", NUMBERED, "")).alias("body"))
+    mark = numbered(number)
+    pieces = F.filter(F.split("content", rf"\n(?=\s*(?:{number})[.)]? )"), lambda x: strip(x) != "")
+    many = F.size(F.filter(pieces, lambda x: x.rlike(mark)))
+    rows = nodes.where(many >= 2).select("source", "id", F.posexplode(pieces).alias("piece", "text"))
+    found = F.regexp_extract("text", rf"^\s*({number})[.)]? ", 1)
+    return rows.select("source", "id", "piece", F.when(found != "", found).alias("number"), strip(F.regexp_replace("text", mark, "")).alias("body"))
 
 
 def rebuild_stream(nodes: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -140,8 +148,8 @@ def rebuild_stream(nodes: DataFrame, pieces: DataFrame) -> DataFrame:
     return every.join(offsets, ["source", "id"]).withColumn("id", (F.col("before") + F.col("piece")).cast("long")).drop("before", "piece")
 
 
-def tag_lead_ins(nodes: DataFrame) -> DataFrame:
-    lead = F.col("content").rlike(LEAD_IN) & ~F.col("content").rlike(NUMBERED)
+def tag_lead_ins(nodes: DataFrame, lead_in: str = LEAD_IN, number: str = NUMBER) -> DataFrame:
+    lead = F.col("content").rlike(lead_in) & ~F.col("content").rlike(numbered(number))
     return nodes.withColumn("type", F.when(lead, F.lit("instruction")).otherwise(F.col("type")))
 
 
@@ -160,9 +168,9 @@ def lead_in_candidates(nodes: DataFrame) -> DataFrame:
     return rest.select("source", "lead_in_id", "id", (F.col("id") - F.col("lead_in_id") - 1).cast("int").alias("position"), "content")
 
 
-def governed_run(candidates: DataFrame) -> DataFrame:
+def governed_run(candidates: DataFrame, number: str = NUMBER) -> DataFrame:
     """Default decision: the leading run of numbered blocks. (source, lead_in_id, governed_positions sorted, without repeats)."""
-    stop = F.min(F.when(~F.col("content").rlike(NUMBERED), F.col("position")))
+    stop = F.min(F.when(~F.col("content").rlike(numbered(number)), F.col("position")))
     runs = candidates.groupBy("source", "lead_in_id").agg(F.coalesce(stop, F.max("position") + 1).alias("n"))
     return runs.where("n > 0").select("source", "lead_in_id", F.sequence(F.lit(0), F.col("n") - 1).alias("governed_positions"))
 
@@ -187,32 +195,32 @@ def normalize_spans(spans: DataFrame) -> DataFrame:
     return spans.where("size > 0").withColumn("start", start).withColumn("end", F.greatest(clamp(F.col("end"), F.col("size")), F.col("start")))
 
 
-def find_units(nodes: DataFrame) -> DataFrame:
-    """Default decision: a labelled block up to the next label or heading. (source, span_id, start, end, member_ids)."""
-    labelled = F.col("content").rlike(LABEL)
-    flagged = nodes.withColumn("_cut", (labelled | (F.col("type") == "header")).cast("int")).withColumn("_label", labelled)
+def find_units(nodes: DataFrame, label: str = LABEL) -> DataFrame:
+    """Default decision: a labelled block up to the next label or heading. (source, span_id, start, end, n); members are `span_members`."""
+    labelled = F.col("content").rlike(label)
+    flagged = nodes.select("source", "id", (labelled | (F.col("type") == "header")).cast("int").alias("_cut"), labelled.alias("_label"))
     summed = blocked_running_sum(flagged, "source", "id", "_cut", "_unit").withColumn("_unit", F.col("_unit") + F.col("_cut"))
-    units = summed.groupBy("source", "_unit").agg(F.min("id").alias("start"), F.max("id").alias("end"), F.min_by("_label", "id").alias("_label"), F.array_sort(F.collect_list("id")).alias("member_ids"))
-    return units.where("_label").select("source", F.col("start").alias("span_id"), "start", "end", "member_ids")
+    units = summed.groupBy("source", "_unit").agg(F.min("id").alias("start"), F.max("id").alias("end"), F.min_by("_label", "id").alias("_label"), F.count("*").alias("n"))
+    return units.where("_label").select("source", F.col("start").alias("span_id"), "start", "end", "n")
 
 
 def span_members(spans: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Ids of the nodes of each span, in order of the document."""
-    rows = spans.select("source", "span_id", F.explode(F.sequence("start", "end")).alias("id"))
-    return rows.join(nodes.select("source", "id"), ["source", "id"]).groupBy("source", "span_id").agg(F.array_sort(F.collect_list("id")).alias("member_ids"))
+    """(source, span_id, id): the nodes of each span, one row each, as a span has any size; spans may overlap."""
+    cells = F.sequence(F.floor(F.col("start") / SPAN), F.floor(F.col("end") / SPAN))
+    cut = spans.select("source", "span_id", "start", "end", F.explode(cells).alias("_cell"))
+    met = cut.join(nodes.select("source", "id", F.floor(F.col("id") / SPAN).alias("_cell")), ["source", "_cell"])
+    return met.where("id between start and end").select("source", "span_id", "id")
 
 
-def span_contents(spans: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Member texts that are not blank, joined by a blank line."""
-    rows = spans.select("source", "span_id", F.posexplode("member_ids").alias("pos", "id")).join(nodes.select("source", "id", "content"), ["source", "id"]).where(strip(F.col("content")) != "")
-    return rows.groupBy("source", "span_id").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x.content)).alias("content"))
+def span_contents(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, span_id, id, content): member texts that are not blank, in order of id."""
+    return members.join(nodes.select("source", "id", "content"), ["source", "id"]).where(strip(F.col("content")) != "").select("source", "span_id", "id", "content")
 
 
-def type_roles(contents: DataFrame) -> DataFrame:
-    """Default decision: whether a span states something, and whether it works something out."""
-    states = F.col("content").rlike(r"\b(?:Definition|Theorem|Lemma|Corollary|Proposition|Exercise|Example)\b")
-    works = F.col("content").rlike(r"\b(?:Proof|Solution|Example|Therefore|Hence)\b")
-    return contents.select("source", "span_id", states.alias("has_statement"), works.alias("has_procedure"))
+def type_roles(contents: DataFrame, states: str = STATES, works: str = WORKS) -> DataFrame:
+    """Default decision: whether a span states something, and whether it works something out, from its members' texts."""
+    said = lambda pattern: F.bool_or(F.col("content").rlike(pattern))
+    return contents.groupBy("source", "span_id").agg(said(states).alias("has_statement"), said(works).alias("has_procedure"))
 
 
 def roleless(roles: DataFrame) -> DataFrame:
@@ -225,20 +233,24 @@ def require_roles(roles: DataFrame) -> DataFrame:
     return roles.withColumn("has_statement", F.when(fine, F.col("has_statement")).otherwise(F.raise_error(F.lit("a span has no role"))))
 
 
-def partition_members(members: Column, positions: Column) -> Column:
-    """Members at the positions; those out of range drop; nothing selected keeps all."""
-    chosen = F.filter(members, lambda m, k: F.array_contains(positions, k))
-    return F.when(F.size(chosen) == 0, members).otherwise(chosen)
+def select_members(members: DataFrame, positions: DataFrame) -> DataFrame:
+    """Members (source, span_id, id) at the chosen 0-based positions (source, span_id, position) of their span; those out of range drop, a span with nothing selected keeps all."""
+    keyed = members.withColumn("_key", F.concat("source", F.lit("#"), F.col("span_id").cast("string"))).withColumn("_one", F.lit(1))
+    placed = materialize(blocked_running_sum(keyed, "_key", "id", "_one", "position").select("source", "span_id", "id", "position"), "placed-members")
+    chosen = placed.join(positions.select("source", "span_id", "position").distinct(), ["source", "span_id", "position"], "left_semi").select("source", "span_id", "id")
+    whole = placed.join(chosen.select("source", "span_id").distinct(), ["source", "span_id"], "left_anti").select("source", "span_id", "id")
+    return chosen.unionByName(whole)
 
 
 def build_hubs(spans: DataFrame, roles: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(statements, procedures) of spans whose first node exists; `block` keeps the span as it is."""
-    first = nodes.select("source", F.col("id").alias("_first"))
-    known = spans.withColumn("_first", F.element_at("member_ids", 1)).join(first, ["source", "_first"], "left_semi").join(roles, ["source", "span_id"])
-    base = known.select("source", F.col("member_ids").alias("block"), F.col("member_ids").alias("members"), "has_statement", "has_procedure")
-    index = F.lit(0).alias("index")
-    return base.where("has_statement").select("source", "block", "members"), base.where("has_procedure").select("source", "block", index, "members")
+    """(statements, procedures) of spans whose first node exists: (source, span_id, start, end), procedures with their index. All members of a span are its block."""
+    first = nodes.select("source", F.col("id").alias("start"))
+    known = spans.join(first, ["source", "start"], "left_semi").join(roles, ["source", "span_id"])
+    columns = ["source", "span_id", "start", "end"]
+    return known.where("has_statement").select(*columns), known.where("has_procedure").select(*columns, F.lit(0).alias("index"))
 
 
 def both_blocks(statements: DataFrame, procedures: DataFrame) -> DataFrame:
-    return statements.select("source", "block").join(procedures.select("source", "block"), ["source", "block"], "left_semi").distinct()
+    """Blocks (source, start, end) that are statement and procedure."""
+    at = ["source", "start", "end"]
+    return statements.select(*at).join(procedures.select(*at), at, "left_semi").distinct()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import stream, text, windows
+from graphloom.operators import graph, stream, text, windows
 from graphloom.plans.base import BLOCKS, NODES, WEIGHED, blocks, nodes, pages, query, strip_sql, uuid5_sql
+from graphloom.scratch import materialize
 from graphloom.sources import io
 from graphloom.tables import table
 
@@ -235,72 +236,76 @@ def c7(spark, sf):
     return nodes(spark, sf).select("source", "segment_index", "pos", "id")
 
 
-def _packed(spark, sf):
-    """Every fifth node packs two numbered items."""
-    made = F.concat(F.lit("Lead\n"), F.col("id").cast("string"), F.lit(" first\n"), (F.col("id") + 1).cast("string"), F.lit(". second"))
-    return nodes(spark, sf).withColumn("content", F.when(F.col("id") % 5 == 0, made).otherwise(F.col("content")))
+#: What stands for numbers, lead-ins, labels and roles in the given texts, which have none of the default forms: short first words.
+ITEM, LEADS = "[A-Z][a-z]{0,2}", r"^(?:To|For|From|Dans|Pour|Para|Von)[ ,.]"
+LABELS, STATED, WORKED = r"^(?:The|That|Les|Die|Los)[ ,.]", "(?:^| )(?:the|les|die|los)[ ,.]", "(?:^| )(?:from|est|der|para)[ ,.]"
+NUMBERED = stream.numbered(ITEM)
 
 
-PACKED = NODES + r""", packed AS (SELECT source, id, segment_index, CASE WHEN id % 5 = 0 THEN 'Lead' || chr(10) || id || ' first' || chr(10) || (id + 1) || '. second' ELSE content END AS content FROM nodes),
-cut AS (SELECT *, string_split(regexp_replace(content, '\n(\s*[0-9]+[.)]? )', chr(1) || '\1', 'g'), chr(1)) AS parts FROM packed),
+def _texts(spark, sf):
+    """Whole texts as blocks of many lines."""
+    return table(spark, sf, "documents").select("source", F.col("doc_id").alias("id"), F.col("doc_id").alias("segment_index"), F.col("text").alias("content"))
+
+
+PACKED = rf"""cut AS (SELECT source, doc_id AS id, doc_id AS segment_index, string_split(regexp_replace(text, '\n(\s*(?:{ITEM})[.)]? )', chr(1) || '\1', 'g'), chr(1)) AS parts FROM documents),
 pieces AS (SELECT source, id, segment_index, list_filter(parts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') AS parts FROM cut),
-several AS (SELECT *, len(list_filter(parts, lambda x: regexp_matches(x, '^\s*[0-9]+[.)]? '))) >= 2 AS many FROM pieces)"""
+several AS (SELECT *, len(list_filter(parts, lambda x: regexp_matches(x, '{NUMBERED}'))) >= 2 AS many FROM pieces)"""
 
 
 @query("c8_split_packed", f"""WITH {PACKED}, each AS (SELECT source, id, unnest(parts) AS t, generate_subscripts(parts, 1) - 1 AS piece FROM several WHERE many)
-SELECT source, id, piece, nullif(regexp_extract(t, '^\\s*([0-9]+)[.)]? ', 1), '') AS number, {strip_sql("regexp_replace(t, '^\\s*[0-9]+[.)]? ', '')")} AS body FROM each""")
+SELECT source, id, piece, nullif(regexp_extract(t, '^\\s*({ITEM})[.)]? ', 1), '') AS number, {strip_sql(f"regexp_replace(t, '{NUMBERED}', '')")} AS body FROM each""")
 def c8(spark, sf):
-    return stream.packed_pieces(_packed(spark, sf))
+    return stream.packed_pieces(_texts(spark, sf), ITEM)
 
 
-@query("c9_rebuild_stream", f"WITH {PACKED}, e AS (SELECT source, id, segment_index, unnest(range(CASE WHEN many THEN len(parts) ELSE 1 END)) AS piece FROM several) SELECT source, segment_index, row_number() OVER (PARTITION BY source ORDER BY id, piece) - 1 AS id FROM e")
+@query("c9_rebuild_stream", f"""WITH {PACKED}, e AS (SELECT source, id, segment_index, unnest(range(CASE WHEN many THEN len(parts) ELSE 1 END)) AS piece FROM several)
+SELECT source, segment_index, row_number() OVER (PARTITION BY source ORDER BY e.id, piece) - 1 AS id FROM e""")
 def c9(spark, sf):
-    n = _packed(spark, sf)
-    return stream.rebuild_stream(n, stream.packed_pieces(n)).select("source", "segment_index", "id")
+    n = _texts(spark, sf)
+    return stream.rebuild_stream(n, stream.packed_pieces(n, ITEM)).select("source", "segment_index", "id")
 
 
 def _led(spark, sf):
-    """Every eleventh node is a lead-in, those after it are numbered for a while."""
-    k = F.col("id") % 11
-    made = F.when(k == 0, F.lit("In Exercises 1-3, find the sum.")).when(k <= 3, F.concat(k.cast("string"), F.lit(". item"))).otherwise(F.col("content"))
-    return stream.tag_lead_ins(nodes(spark, sf).withColumn("content", made))
+    return stream.tag_lead_ins(nodes(spark, sf), LEADS, ITEM)
+
+
+LED = NODES + f""", led AS (SELECT *, regexp_matches(content, '{LEADS}') AND NOT regexp_matches(content, '{NUMBERED}') AS lead FROM nodes),
+grouped AS (SELECT *, sum(lead::INT) OVER (PARTITION BY source ORDER BY id) AS g FROM led),
+cand AS (SELECT r.source, l.id AS lead_in_id, r.id, (r.id - l.id - 1)::INT AS position, r.content FROM grouped r JOIN grouped l ON l.source = r.source AND l.g = r.g AND l.lead WHERE NOT r.lead),
+governed AS (SELECT source, lead_in_id, coalesce(min(position) FILTER (NOT regexp_matches(content, '{NUMBERED}')), max(position) + 1) AS n FROM cand GROUP BY ALL),
+hubs AS (SELECT c.source, c.lead_in_id AS node_id, list(c.id ORDER BY c.id) AS members FROM cand c JOIN governed v ON v.source = c.source AND v.lead_in_id = c.lead_in_id AND c.position < v.n GROUP BY ALL)"""
 
 
-@query("c10_tag_lead_ins", rf"""WITH {NODES}, led AS (SELECT source, id, CASE WHEN id % 11 = 0 THEN 'In Exercises 1-3, find the sum.' WHEN id % 11 <= 3 THEN (id % 11) || '. item' ELSE content END AS content FROM nodes)
-SELECT source, id FROM led WHERE regexp_matches(content, '(?i)^(?:in|for) (?:exercises?|problems?)\b|^(?:find|solve|compute|evaluate|determine|use)\b.*:$') AND NOT regexp_matches(content, '^\s*[0-9]+[.)]? ')""")
+@query("c10_tag_lead_ins", f"WITH {LED} SELECT source, id FROM led WHERE lead")
 def c10(spark, sf):
     return _led(spark, sf).where("type = 'instruction'").select("source", "id")
 
 
-@query("c11_lead_in_candidates", f"WITH {NODES} SELECT source, id - id % 11 AS lead_in_id, id, (id % 11 - 1)::INT AS position FROM nodes WHERE id % 11 <> 0")
+@query("c11_lead_in_candidates", f"WITH {LED} SELECT source, lead_in_id, id, position FROM cand")
 def c11(spark, sf):
-    led = _led(spark, sf).withColumn("type", F.when(F.col("id") % 11 == 0, "instruction").otherwise("paragraph"))
-    return stream.lead_in_candidates(led).select("source", "lead_in_id", "id", "position")
-
-
-GOVERNED = f"WITH {NODES} SELECT source, id - id % 11 AS node_id, list(id ORDER BY id) AS members FROM nodes WHERE id % 11 BETWEEN 1 AND 3 GROUP BY ALL"
+    return stream.lead_in_candidates(_led(spark, sf)).select("source", "lead_in_id", "id", "position")
 
 
 def _hubs(spark, sf):
-    led = _led(spark, sf).withColumn("type", F.when(F.col("id") % 11 == 0, "instruction").otherwise("paragraph")).withColumn("content", F.when(F.col("id") % 11 > 3, "x").otherwise(F.col("content")))
-    cand = stream.lead_in_candidates(led)
-    return stream.instruction_hubs(led, cand, stream.governed_run(cand))
+    led = materialize(_led(spark, sf), "led")
+    cand = materialize(stream.lead_in_candidates(led), "lead-in-candidates")
+    return stream.instruction_hubs(led, cand, stream.governed_run(cand, ITEM))
 
 
-@query("c12_governed_run", GOVERNED)
+@query("c12_governed_run", f"WITH {LED} SELECT source, node_id, members FROM hubs")
 def c12(spark, sf):
     return _hubs(spark, sf).select("source", "node_id", "members")
 
 
-@query("c13_instruction_hubs", f"WITH g AS ({GOVERNED}) SELECT source, node_id, 'In Exercises 1-3, find the sum.' AS text, 'find the sum.' AS directive, members FROM g")
+@query("c13_instruction_hubs", rf"""WITH {LED}, said AS (SELECT h.source, node_id, content AS text, {strip_sql("regexp_replace(content, '(?i)^(?:in|for) (?:exercises?|problems?)[^,:]*[,:]', '')")} AS d, members FROM hubs h JOIN nodes n ON n.source = h.source AND n.id = h.node_id)
+SELECT source, node_id, text, nullif(d, '') AS directive, members FROM said""")
 def c13(spark, sf):
     return _hubs(spark, sf)
 
 
-@query("c14_drop_lead_ins", f"WITH {NODES} SELECT source, id FROM nodes WHERE id % 11 <> 0")
+@query("c14_drop_lead_ins", f"WITH {LED} SELECT source, id FROM led WHERE NOT lead")
 def c14(spark, sf):
-    led = _led(spark, sf).withColumn("type", F.when(F.col("id") % 11 == 0, "instruction").otherwise("paragraph"))
-    return stream.drop_lead_ins(led).select("source", "id")
+    return stream.drop_lead_ins(_led(spark, sf)).select("source", "id")
 
 
 @query("c15_normalize_spans", 'SELECT doc_id, least(greatest(doc_id % 30 - 10, 0), 11) AS start, greatest(least(greatest(doc_id % 17 - 2, 0), 11), least(greatest(doc_id % 30 - 10, 0), 11)) AS "end" FROM documents')
@@ -309,19 +314,22 @@ def c15(spark, sf):
     return stream.normalize_spans(spans).select("doc_id", "start", "end")
 
 
-def _labelled(spark, sf):
-    """Every ninth node is labelled, every twentieth is a heading."""
-    made = F.when(F.col("id") % 9 == 0, F.concat(F.lit("Example "), F.col("id").cast("string"))).otherwise(F.col("content"))
-    return nodes(spark, sf).withColumn("content", made).withColumn("type", F.when((F.col("id") % 20 == 5) & (F.col("id") % 9 != 0), "header").otherwise("paragraph"))
+UNITS = NODES + f""", cut AS (SELECT *, regexp_matches(content, '{LABELS}') AS lab, sum((regexp_matches(content, '{LABELS}') OR type = 'header')::INT) OVER (PARTITION BY source ORDER BY id) AS u FROM nodes),
+units AS (SELECT source, min(id) AS s, max(id) AS e, count(*) AS n, u FROM cut GROUP BY source, u HAVING arg_min(lab, id)),
+parts AS (SELECT c.source, s AS span_id, id, content, row_number() OVER (PARTITION BY c.source, s ORDER BY id) - 1 AS pos FROM cut c JOIN units x ON x.source = c.source AND x.u = c.u),
+roles AS (SELECT source, span_id, bool_or(regexp_matches(content, '{STATED}')) AS has_statement, bool_or(regexp_matches(content, '{WORKED}')) AS has_procedure FROM parts WHERE {strip_sql('content')} <> '' GROUP BY ALL)"""
 
 
-UNITS = NODES + """, cut AS (SELECT *, id % 9 = 0 AS lab, sum((id % 9 = 0 OR id % 20 = 5)::INT) OVER (PARTITION BY source ORDER BY id) AS u FROM nodes),
-units AS (SELECT source, u, min(id) AS s, max(id) AS e, arg_min(lab, id) AS lab, list(id ORDER BY id) AS member_ids FROM cut WHERE NOT (content LIKE 'Example%' AND id % 9 <> 0) GROUP BY source, u)"""
+def _units(spark, sf):
+    """(nodes, spans, their members)."""
+    n = materialize(nodes(spark, sf), "nodes")
+    spans = materialize(stream.find_units(n, LABELS), "units")
+    return n, spans, materialize(stream.span_members(spans, n), "unit-members")
 
 
-@query("c16_find_units", f'WITH {UNITS} SELECT source, s AS span_id, s AS start, e AS "end", member_ids FROM units WHERE lab')
+@query("c16_find_units", f'WITH {UNITS} SELECT source, s AS span_id, s AS start, e AS "end", n FROM units')
 def c16(spark, sf):
-    return stream.find_units(_labelled(spark, sf))
+    return stream.find_units(nodes(spark, sf), LABELS)
 
 
 @query("c17_bank_spans")
@@ -335,52 +343,69 @@ def c17(spark, sf):
     return bank_spans(nodes(spark, sf), find)
 
 
-@query("c18_span_members", f"WITH {UNITS} SELECT source, s AS span_id, member_ids FROM units WHERE lab")
+@query("c18_span_members", f"WITH {UNITS} SELECT source, span_id, id FROM parts")
 def c18(spark, sf):
-    n = _labelled(spark, sf)
-    return stream.span_members(stream.find_units(n), n)
+    return _units(spark, sf)[2]
 
 
-@query("c19_span_contents", f"WITH {UNITS}, x AS (SELECT source, s, unnest(member_ids) AS id FROM units WHERE lab) SELECT x.source, x.s AS span_id, string_agg(CASE WHEN x.id % 9 = 0 THEN 'Example ' || x.id ELSE content END, chr(10) || chr(10) ORDER BY x.id) AS content FROM x JOIN nodes n ON n.source = x.source AND n.id = x.id GROUP BY ALL")
+@query("c19_span_contents", f"WITH {UNITS} SELECT source, span_id, id, content FROM parts WHERE {strip_sql('content')} <> ''")
 def c19(spark, sf):
-    n = _labelled(spark, sf)
-    return stream.span_contents(stream.find_units(n), n)
+    n, _, m = _units(spark, sf)
+    return stream.span_contents(m, n)
 
 
 def _roles(spark, sf):
-    n = _labelled(spark, sf)
-    s = stream.find_units(n)
-    return n, s, s.select("source", "span_id", (F.col("span_id") % 2 == 0).alias("has_statement"), (F.col("span_id") % 3 == 0).alias("has_procedure"))
+    n, s, m = _units(spark, sf)
+    return n, s, stream.type_roles(stream.span_contents(m, n), STATED, WORKED)
 
 
-@query("c20_type_roles", f"WITH {UNITS} SELECT source, s AS span_id, true AS has_statement FROM units WHERE lab")
+@query("c20_type_roles", f"WITH {UNITS} SELECT * FROM roles")
 def c20(spark, sf):
-    n = _labelled(spark, sf)
-    return stream.type_roles(stream.span_contents(stream.find_units(n), n)).select("source", "span_id", "has_statement")
+    return _roles(spark, sf)[2]
 
 
-@query("c21_check_roles", f"WITH {UNITS} SELECT source, s AS span_id FROM units WHERE lab AND s % 2 <> 0 AND s % 3 <> 0")
+@query("c21_check_roles", f"WITH {UNITS} SELECT source, span_id FROM roles WHERE NOT has_statement AND NOT has_procedure")
 def c21(spark, sf):
     return stream.roleless(_roles(spark, sf)[2]).select("source", "span_id")
 
 
-@query("c22_build_hubs", f"WITH {UNITS} SELECT source, 'statement' AS kind, member_ids AS block FROM units WHERE lab AND s % 2 = 0 UNION ALL SELECT source, 'procedure', member_ids FROM units WHERE lab AND s % 3 = 0")
+_HUBS = "SELECT r.source, r.span_id, '{0}' AS kind, s AS start, e AS \"end\" FROM roles r JOIN units u ON u.source = r.source AND u.s = r.span_id WHERE has_{0}"
+
+
+@query("c22_build_hubs", f"WITH {UNITS} {_HUBS.format('statement')} UNION ALL {_HUBS.format('procedure')}")
 def c22(spark, sf):
     n, s, r = _roles(spark, sf)
-    st, pr = stream.build_hubs(s, r, n)
-    return st.select("source", F.lit("statement").alias("kind"), "block").unionByName(pr.select("source", F.lit("procedure").alias("kind"), "block"))
+    st, pr = stream.build_hubs(s, materialize(r, "roles"), n)
+    columns = ["source", "span_id", "start", "end"]
+    return st.select(*columns, F.lit("statement").alias("kind")).unionByName(pr.select(*columns, F.lit("procedure").alias("kind")))
 
 
-@query("c23_partition_members", f"WITH {UNITS} SELECT source, s AS span_id, CASE WHEN len(member_ids) >= 3 THEN [member_ids[1], member_ids[3]] ELSE [member_ids[1]] END AS members FROM units WHERE lab")
+@query("c23_partition_members", f"WITH {UNITS} SELECT p.source, p.span_id, id FROM parts p JOIN units u ON u.source = p.source AND u.s = p.span_id WHERE pos IN (1, 3) OR n < 2")
 def c23(spark, sf):
-    s = stream.find_units(_labelled(spark, sf))
-    return s.select("source", "span_id", stream.partition_members(F.col("member_ids"), F.array(F.lit(0), F.lit(2), F.lit(99))).alias("members"))
+    """The second and fourth member of each unit, and one that no unit has; units of one member keep it."""
+    _, s, m = _units(spark, sf)
+    positions = s.select("source", "span_id", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 3, 1 << 40)))).alias("position"))
+    return stream.select_members(m, positions)
 
 
-@query("c24_both_blocks", f"WITH {UNITS} SELECT source, member_ids AS block FROM units WHERE lab AND s % 6 = 0")
+@query("c24_both_blocks", f'WITH {UNITS} SELECT r.source, s AS start, e AS "end" FROM roles r JOIN units u ON u.source = r.source AND u.s = r.span_id WHERE has_statement AND has_procedure')
 def c24(spark, sf):
     n, s, r = _roles(spark, sf)
-    return stream.both_blocks(*stream.build_hubs(s, r, n))
+    return stream.both_blocks(*stream.build_hubs(s, materialize(r, "roles"), n))
+
+
+_UNIT_KEYS = f"""{UNITS}, named AS (SELECT source, span_id, n, {uuid5_sql("source || '#statement#' || block")} AS uuid FROM (SELECT source, span_id, count(*) AS n, string_agg(id::VARCHAR, '#' ORDER BY id) AS block FROM parts GROUP BY ALL))"""
+
+
+@query("g8_unit_statements", f"WITH {_UNIT_KEYS} SELECT uuid, source, span_id, n FROM named")
+def g8_units(spark, sf):
+    return graph.span_statements(_units(spark, sf)[2])
+
+
+@query("g8_unit_members", f"WITH {_UNIT_KEYS} SELECT {uuid5_sql("p.source || '#' || p.id")} AS src, uuid AS dst FROM parts p JOIN named k ON k.source = p.source AND k.span_id = p.span_id")
+def g8_unit_members(spark, sf):
+    m = _units(spark, sf)[2]
+    return graph.span_statement_members(m, graph.span_statements(m))
 
 
 @query("d1_estimate_tokens", "SELECT doc_id, length(coalesce(text, '')) // 4 + 1 AS tokens FROM documents")

@@ -107,10 +107,26 @@ def test_windows_over_many_spans(spark, budget, span, fanout):
     assert got == want
 
 
-def test_partition_members_and_roles(spark):
-    m = F.array(F.lit(7), F.lit(8), F.lit(9))
-    assert one(spark, stream.partition_members(m, F.array(F.lit(2), F.lit(50))), t=1) == [9]
-    assert one(spark, stream.partition_members(m, F.array(F.lit(50))), t=1) == [7, 8, 9]
+def test_units_members_and_roles(spark):
+    rows = [("s", i, "header" if i == 7 else "paragraph", t) for i, t in enumerate(["intro", "Theorem 1", "it holds", " ", "Proof of it", "Hence", "Example 2", "Part", "prose", "Lemma 3"])]
+    n = spark.createDataFrame(rows, "source string, id long, type string, content string").where("id <> 5")
+    spans = stream.find_units(n)
+    assert sorted((r.start, r.end, r.n) for r in spans.collect()) == [(1, 3, 3), (4, 4, 1), (6, 6, 1), (9, 9, 1)]
+    m = stream.span_members(spans, n)
+    assert sorted((r.span_id, r.id) for r in m.collect()) == [(1, 1), (1, 2), (1, 3), (4, 4), (6, 6), (9, 9)]
+    assert 3 not in {r.id for r in stream.span_contents(m, n).collect()}
+    roles = stream.type_roles(stream.span_contents(m, n))
+    assert {r.span_id: (r.has_statement, r.has_procedure) for r in roles.collect()} == {1: (True, False), 4: (False, True), 6: (True, True), 9: (True, False)}
+    st, pr = stream.build_hubs(spans, roles, n)
+    assert {r.span_id for r in st.collect()} == {1, 6, 9} and {r.span_id for r in pr.collect()} == {4, 6}
+    assert [(r.start, r.end) for r in stream.both_blocks(st, pr).collect()] == [(6, 6)]
+    chosen = spark.createDataFrame([("s", 1, 2), ("s", 1, 50), ("s", 4, 50)], "source string, span_id long, position long")
+    assert sorted((r.span_id, r.id) for r in stream.select_members(m, chosen).collect()) == [(1, 3), (4, 4), (6, 6), (9, 9)]
+    keys_of = {r.span_id: r.uuid for r in graph.span_statements(m).collect()}
+    assert keys_of[1] == uuid.uuid5(uuid.NAMESPACE_URL, "s#statement#1#2#3").hex
+    wide = spark.createDataFrame([("s", 0, 0, 20_000)], "source string, span_id long, start long, end long")
+    many = spark.range(0, 30_000, 7).select(F.lit("s").alias("source"), "id")
+    assert stream.span_members(wide, many).count() == 20_000 // 7 + 1
 
 
 def test_upsert_twice_is_once(spark):
