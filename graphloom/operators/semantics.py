@@ -14,8 +14,21 @@ from graphloom.operators.text import strip
 
 #: Block types that yield no facts.
 NO_FACTS = ["header", "bibliographic", "caption"]
-#: Verbs that part a fact into subject and object; fixed values of the default rule.
-VERBS = ["is", "are", "was", "has", "have", "contains", "implies", "equals", "denotes", "of", "de", "und", "que", "et"]
+#: Words of the default clause rule: verbs, conjunctions before a verb, openings of conditions and of reasons, and what a verb takes along.
+VERBS = ["is", "are", "was", "were", "has", "have", "had", "contains", "implies", "equals", "denotes", "ist", "sind", "war", "hat", "est", "sont", "es", "son", "tiene"]
+JOINS, IFS, REASONS = "and|or|und|oder|et|ou|y|o", "if|iff|when|whenever|wenn|falls|si|cuando", "because|since|weil|parce que|porque"
+VERB = "|".join(VERBS)
+#: A negation, a naming or comparing word, `a ... of`, or a word with a preposition belongs to the predicate.
+PHRASE = rf"^((?:{VERB})(?: (?:not|NOT|nicht|pas|no))?(?: (?:called|known as|defined as|equal to)| (?:a|an|the) [a-z]+ of| [a-z]+ (?:at|on|by|to|from|in|as|with))?) (.+)$"
+#: `has` with a noun before a formula.
+MEASURE = r"^((?:has|have|had) [a-z]+) (\$.+)$"
+FRAME, SO = "^(?:Prove|Show|Verify|Check) that ", ",? (?:and )?if so(?:,| |$).*$"
+REQUEST = "(?i)^(?:if|when|given|assuming|what|which|how|find|compute|determine|evaluate)(?: |,|$)"
+ASKED = r"^(Is|Are|Was|Were) (.+) ([^ ]+)$"
+#: Subjects that name nothing by themselves.
+EMPTY = "(?i)^(?:there|it|this|that|such|these|those|he|she|they|we)(?: .*)?$|^(?i:the resulting) .*$"
+#: A noun with its symbol goes by the symbol; an equation is a relation.
+SYMBOL, EQUATION = r"^(?:A|An|The|a|an|the) [a-z]+ (\$[^$]+\$)$", r"^\$([^$=]+?) = ([^$=]+)\$$"
 DIMENSIONS = 64
 
 
@@ -38,12 +51,54 @@ def dedup_facts(facts: DataFrame, window: str = "window_id") -> DataFrame:
     return facts.groupBy("source", window, "text").agg(F.min("index").alias("index"))
 
 
+def _triplet(subject: Column, predicate: Column, object_: Column) -> Column:
+    return F.struct(subject.alias("subject"), predicate.alias("predicate"), object_.alias("object"))
+
+
+def _relation(subject: Column, phrase: Column) -> Column:
+    """The triplet of a subject and what is said of it; parts that are missing are empty."""
+    measured = phrase.rlike(MEASURE)
+    part = lambda k: F.when(measured, F.regexp_extract(phrase, MEASURE, k)).otherwise(F.regexp_extract(phrase, PHRASE, k))
+    named = F.regexp_extract(subject, SYMBOL, 1)
+    clean = lambda c: F.regexp_replace(c, "^[ ,;:]+|[ ,;:]+$", "")
+    return _triplet(clean(F.when(named != "", named).otherwise(subject)), part(1), clean(part(2)))
+
+
+def _clauses(part: Column) -> Column:
+    """The triplets of a sentence or a condition: the first verb ends the subject; verbs after a conjunction share it."""
+    opening = rf"^(.+?) (?:{VERB}) "
+    subject = F.regexp_extract(part, opening, 1)
+    rest = F.substr(part, F.length(subject) + 2)
+    phrases = F.split(F.regexp_replace(rest, rf",? (?:{JOINS}) ({VERB}) ", "\u0001$1 "), "\u0001")
+    equation = F.array(_triplet(F.regexp_extract(part, EQUATION, 1), F.lit("equals"), F.regexp_extract(part, EQUATION, 2)))
+    return F.when(part.rlike(EQUATION), equation).when(subject != "", F.transform(phrases, lambda p: _relation(subject, p))).otherwise(F.array().cast("array<struct<subject:string,predicate:string,object:string>>"))
+
+
+def fact_triplets(text: Column) -> Column:
+    """array of struct(subject, predicate, object): the relations of a fact; subjects and objects are substrings of it.
+
+    A parser of clauses: end marks, a frame (`Prove that`) and a follow-up question
+    go, reasons go with their conjunction. A question (`Is X Y?`) states its
+    relation. A request for a value, a clause about a property and a subject that
+    names nothing (`there`, `it`, `such ...`) have none. Conditions are clauses of
+    their own; verbs joined by a conjunction share their subject; a negation and a
+    preposition stay with the verb.
+    """
+    bare = F.regexp_replace(text, "[.!?]+$", "")
+    framed = F.regexp_replace(bare, FRAME, "")
+    told = F.regexp_replace(F.regexp_replace(framed, SO, ""), rf",? (?:{REASONS}) .*$", "")
+    asked = F.array(_triplet(F.regexp_extract(told, ASKED, 2), F.lower(F.regexp_extract(told, ASKED, 1)), F.regexp_extract(told, ASKED, 3)))
+    parts = F.split(F.regexp_replace(told, rf",? (?:{IFS}) ", "\u0001"), "\u0001")
+    stated = F.flatten(F.transform(parts, _clauses))
+    none = told.rlike(REQUEST) | F.contains(told, F.lit("property that"))
+    found = F.when(none, F.array().cast("array<struct<subject:string,predicate:string,object:string>>")).when(F.endswith(text, F.lit("?")) & told.rlike(ASKED), asked).otherwise(stated)
+    return F.array_distinct(F.filter(found, lambda t: (t.subject != "") & (t.predicate != "") & (t.object != "") & ~t.subject.rlike(EMPTY)))
+
+
 def extract_triplets(facts: DataFrame) -> DataFrame:
-    """Default decision: up to one (subject, predicate, object) by the first listed verb of the fact."""
-    pattern = r"^(.+?) (" + "|".join(VERBS) + r") (.+?)[.!?]?$"
-    parts = [F.regexp_extract("text", pattern, k) for k in (1, 2, 3)]
-    rows = facts.select("source", F.col("index").alias("fact_index"), *(p.alias(n) for p, n in zip(parts, ("subject", "predicate", "object"), strict=True)))
-    return rows.where("subject <> '' and object <> ''")
+    """Default decision: (source, fact_index, subject, predicate, object), several for a fact, by its clauses (`fact_triplets`)."""
+    rows = facts.select("source", F.col("index").alias("fact_index"), F.explode(fact_triplets(F.col("text"))).alias("t"))
+    return rows.select("source", "fact_index", "t.subject", "t.predicate", "t.object")
 
 
 def not_verbatim(triplets: DataFrame, facts: DataFrame) -> DataFrame:

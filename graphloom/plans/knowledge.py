@@ -11,9 +11,6 @@ from graphloom.tables import table
 FACTS = NODES + rf""", said AS (SELECT source, id, string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM nodes WHERE type NOT IN ('header', 'bibliographic', 'caption')),
 sentences AS (SELECT source, id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS raw FROM said),
 facts AS (SELECT source, id, pos, {strip_sql('raw')} AS text, row_number() OVER (PARTITION BY source ORDER BY id, pos) - 1 AS index FROM sentences WHERE {strip_sql('raw')} <> '')"""
-VERB = f"'^(.+?) ({'|'.join(semantics.VERBS)}) (.+?)[.!?]?$'"
-
-
 def _facts(spark, sf):
     return semantics.index_facts(semantics.extract_facts(nodes(spark, sf)))
 
@@ -34,7 +31,28 @@ def e3(spark, sf):
     return semantics.dedup_facts(t)
 
 
-@query("e4_extract_triplets", f"WITH {FACTS}, t AS (SELECT source, index AS fact_index, regexp_extract(text, {VERB}, 1) AS subject, regexp_extract(text, {VERB}, 2) AS predicate, regexp_extract(text, {VERB}, 3) AS object FROM facts) SELECT * FROM t WHERE subject <> '' AND object <> ''")
+def _re(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+#: The clause rule of `fact_triplets`, step by step over the facts.
+TRIPLETS = FACTS + f""", bare AS (SELECT source, index AS fact_index, text, regexp_replace(regexp_replace(text, '[.!?]+$', ''), {_re(semantics.FRAME)}, '') AS t FROM facts),
+told AS (SELECT source, fact_index, text, regexp_replace(regexp_replace(t, {_re(semantics.SO)}, ''), ',? (?:{semantics.REASONS}) .*$', '') AS t FROM bare),
+open_facts AS (SELECT *, ends_with(text, '?') AND regexp_matches(t, {_re(semantics.ASKED)}) AS asked FROM told WHERE NOT regexp_matches(t, {_re(semantics.REQUEST)}) AND NOT contains(t, 'property that')),
+conditions AS (SELECT source, fact_index, unnest(string_split(regexp_replace(t, ',? (?:{semantics.IFS}) ', chr(1), 'g'), chr(1))) AS part FROM open_facts WHERE NOT asked),
+subjects AS (SELECT *, regexp_extract(part, '^(.+?) (?:{semantics.VERB}) ', 1) AS subject, regexp_matches(part, {_re(semantics.EQUATION)}) AS equation FROM conditions),
+phrases AS (SELECT source, fact_index, subject, unnest(string_split(regexp_replace(substr(part, length(subject) + 2), ',? (?:{semantics.JOINS}) ({semantics.VERB}) ', chr(1) || '\\1 ', 'g'), chr(1))) AS phrase FROM subjects WHERE NOT equation AND subject <> ''),
+related AS (SELECT source, fact_index, CASE WHEN regexp_extract(subject, {_re(semantics.SYMBOL)}, 1) <> '' THEN regexp_extract(subject, {_re(semantics.SYMBOL)}, 1) ELSE subject END AS s,
+  CASE WHEN regexp_matches(phrase, {_re(semantics.MEASURE)}) THEN regexp_extract(phrase, {_re(semantics.MEASURE)}, 1) ELSE regexp_extract(phrase, {_re(semantics.PHRASE)}, 1) END AS predicate,
+  CASE WHEN regexp_matches(phrase, {_re(semantics.MEASURE)}) THEN regexp_extract(phrase, {_re(semantics.MEASURE)}, 2) ELSE regexp_extract(phrase, {_re(semantics.PHRASE)}, 2) END AS o FROM phrases),
+every AS (
+  SELECT source, fact_index, regexp_replace(s, '^[ ,;:]+|[ ,;:]+$', '', 'g') AS subject, predicate, regexp_replace(o, '^[ ,;:]+|[ ,;:]+$', '', 'g') AS object FROM related
+  UNION ALL SELECT source, fact_index, regexp_extract(part, {_re(semantics.EQUATION)}, 1), 'equals', regexp_extract(part, {_re(semantics.EQUATION)}, 2) FROM subjects WHERE equation
+  UNION ALL SELECT source, fact_index, regexp_extract(t, {_re(semantics.ASKED)}, 2), lower(regexp_extract(t, {_re(semantics.ASKED)}, 1)), regexp_extract(t, {_re(semantics.ASKED)}, 3) FROM open_facts WHERE asked
+), fact_triplets AS (SELECT DISTINCT * FROM every WHERE subject <> '' AND predicate <> '' AND object <> '' AND NOT regexp_matches(subject, {_re(semantics.EMPTY)}))"""
+
+
+@query("e4_extract_triplets", f"WITH {TRIPLETS} SELECT * FROM fact_triplets")
 def e4(spark, sf):
     return semantics.extract_triplets(_facts(spark, sf))
 

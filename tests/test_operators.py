@@ -129,6 +129,32 @@ def test_units_members_and_roles(spark):
     assert stream.span_members(wide, many).count() == 20_000 // 7 + 1
 
 
+@pytest.mark.parametrize("fact, want", [
+    ("The area of $T$ is $ab/2$.", [("The area of $T$", "is", "$ab/2$")]),
+    ("The group $G$ is abelian and has order $n^2$.", [("$G$", "is", "abelian"), ("$G$", "has order", "$n^2$")]),
+    ("A map $h$ is injective on $X$ if $h(x) = h(y)$ implies $x = y$.", [("$h$", "is injective on", "$X$"), ("$h(x) = h(y)$", "implies", "$x = y$")]),
+    ("A curve $c$ is flat if $k(t) = 0$.", [("$c$", "is", "flat"), ("k(t)", "equals", "0")]),
+    ("Show that each open set is measurable.", [("each open set", "is", "measurable")]),
+    ("Is the series $s_n$ divergent?", [("the series $s_n$", "is", "divergent")]),
+    ("Is the series $s_n$ finite, and if so, what is its sum?", [("the series $s_n$", "is", "finite")]),
+    ("If the series is finite, what is its sum?", []),
+    ("The ring is not commutative because there are two such products.", [("The ring", "is not", "commutative")]),
+    ("There is no path from here.", []),
+    ("$K$ is not a subset of $L$.", [("$K$", "is not a subset of", "$L$")]),
+    ("Such curves are closed.", []),
+    ("The field has the property that every sum is finite.", []),
+    ("Graphs without circles are called forests.", [("Graphs without circles", "are called", "forests")]),
+    ("No relation here", []),
+    ("", []),
+])
+def test_triplets_of_facts(spark, fact, want):
+    from graphloom.operators import semantics
+
+    got = [(t.subject, t.predicate, t.object) for t in one(spark, semantics.fact_triplets(F.col("t")), t=fact)]
+    assert sorted(got) == sorted(want)
+    assert all(s in fact and o in fact for s, _, o in got)
+
+
 def test_upsert_twice_is_once(spark):
     rows = spark.createDataFrame([("a", "x"), ("b", None)], "uuid string, name string")
     now = lambda y: F.to_timestamp(F.lit(f"{y}-01-01"))
