@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import base, canon, documents, knowledge, stores
+from graphloom.plans import base, canon, documents, knowledge, stores, whole
 
 
-LOADED = (canon, documents, knowledge, stores)
+LOADED = (canon, documents, knowledge, stores, whole)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

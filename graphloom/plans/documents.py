@@ -223,6 +223,7 @@ healed{n} AS (SELECT k.* REPLACE (coalesce(merged, content) AS content) FROM {bl
   WHERE NOT EXISTS (SELECT 1 FROM agreed{n} h WHERE h.source = k.source AND h.next = k.segment_index AND h.head_pos = k.pos))"""
 
 
+HEALED_BLOCKS = f"{BLOCKS}, {_pass('blocks', 0, 0)}, {_pass('healed0', 1, 1)}"
 HEALED = f"WITH {BLOCKS}, {_pass('blocks', 0, 0)}, {_pass('healed0', 1, 1)} SELECT source, segment_index, pos, content FROM healed1"
 
 
