@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import graph
 from graphloom.plans import canon
 from graphloom.plans.base import BLOCKS, NODES, nodes, pages, query, uuid5_sql
+from graphloom.plans.documents import _responses
 from graphloom.scratch import scratch_root
 from graphloom.sources import io
 from graphloom.streaming import incremental, stores
@@ -55,6 +56,27 @@ def a11(spark, sf):
     return io.graph_read(spark, root, "Node").select("uuid", "source", "type", "index")
 
 
+@query("a11_graph_by_book", f"WITH {NODES} SELECT source, count(*) AS n, min(content) AS first FROM nodes GROUP BY source")
+def a11_books(spark, sf):
+    """The node table, in folders by book; each book is read on its own."""
+    root = _folder(spark, "graph")
+    io.graph_write(graph.nodes(nodes(spark, sf)), root, "Node", parts=16)
+    out = None
+    for book in sorted(r.source for r in table(spark, sf, "documents").select("source").distinct().collect()):
+        one = io.graph_read(spark, root, "Node", parts=16, source=book).groupBy("source").agg(F.count("*").alias("n"), F.min("content").alias("first"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("a1_read_ocr_json", "SELECT (page_id // 10)::VARCHAR AS source, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS segment_index, html AS markdown, url AS footer, 'img-' || page_id AS image FROM pages")
+def a1_json(spark, sf):
+    """Responses written as JSON lines, image bytes and all, and read without these."""
+    path = _folder(spark, "responses")
+    filled = lambda p: p.withField("images", F.transform(p.images, lambda i: i.withField("image_base64", F.base64(F.encode(p.markdown, "UTF-8")))))
+    _responses(spark, sf).withColumn("pages", F.transform("pages", filled)).write.json(path)
+    return io.read_ocr_json(spark, path).select("source", "segment_index", "markdown", "footer", F.col("images")[0].id.alias("image"))
+
+
 @query("g24_persist_all", f"WITH {NODES} SELECT 'Node' AS name, {NODE_KEY} AS src, NULL AS dst FROM nodes UNION ALL SELECT 'HEAD', {uuid5_sql('source')}, {NODE_KEY} FROM nodes WHERE id = 0 UNION ALL SELECT 'NEXT', {NODE_KEY}, {uuid5_sql("source || '#' || (id + 1)")} FROM nodes n WHERE EXISTS (SELECT 1 FROM nodes m WHERE m.source = n.source AND m.id = n.id + 1)")
 def g24(spark, sf):
     """All tables of the stream, written twice and read again."""

@@ -17,8 +17,15 @@ def read_ocr_pages(responses: DataFrame) -> DataFrame:
     return responses.select("source", F.posexplode("pages").alias("segment_index", "p")).select("source", "segment_index", "p.markdown", "p.footer", "p.images")
 
 
-def read_ocr_json(spark: SparkSession, path: str, source: str) -> DataFrame:
-    return read_ocr_pages(spark.read.schema(PAGES).json(path, multiLine=True).withColumn("source", F.lit(source)))
+def read_ocr_json(spark: SparkSession, path: str, source: str | None = None, image_bytes: bool = False) -> DataFrame:
+    """Segments of response files: one file a response (`source` given), or lines of responses that name their source.
+
+    Images' encoded bytes, most of such files, are parsed only with `image_bytes`.
+    """
+    schema = PAGES if image_bytes else PAGES.replace(", image_base64: STRING", "")
+    if source is not None:
+        return read_ocr_pages(spark.read.schema(schema).json(path, multiLine=True).withColumn("source", F.lit(source)))
+    return read_ocr_pages(spark.read.schema(f"source STRING, {schema}").json(path))
 
 
 def figure_order(markdown: Column, known: Column) -> Column:
@@ -88,9 +95,25 @@ def read_gold_set(spark: SparkSession, manifest: str, folder: str, schema: str)
     return out
 
 
-def graph_write(table: DataFrame, root: str, name: str, version: int = 0) -> None:
-    table.write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
+def _part(source, parts: int):
+    return F.pmod(F.xxhash64(source), F.lit(parts)).cast("int")
+
+
+def graph_write(table: DataFrame, root: str, name: str, version: int = 0, parts: int = 0) -> None:
+    """Writes a vertex or edge table; with `parts` in so many folders by book (`source`), each book in one."""
+    path = f"{root}/{name}/v{version}"
+    if parts:
+        table.withColumn("_part", _part(F.col("source"), parts)).repartition("_part", "source").write.mode("overwrite").partitionBy("_part").parquet(path)
+    else:
+        table.write.mode("overwrite").parquet(path)
 
 
-def graph_read(spark: SparkSession, root: str, name: str, version: int = 0) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}/v{version}")
+def graph_read(spark: SparkSession, root: str, name: str, version: int = 0, parts: int = 0, source: str | None = None) -> DataFrame:
+    """Reads a table; with the `parts` that it was written with, a `source` is read from its folder only."""
+    rows = spark.read.parquet(f"{root}/{name}/v{version}")
+    if source is not None:
+        rows = rows.where(F.col("source") == source)
+        if parts:
+            at = spark.range(1).select(_part(F.lit(source), parts).alias("p")).first().p
+            rows = rows.where(F.col("_part") == at)
+    return rows.drop("_part") if parts else rows
