@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import bound_batches, mix
-from graphloom.scratch import discard, materialize
+from graphloom.scratch import discard, materialize, shuffle_width
 
 #: Keys of a shard's filter on average at most.
 SHARD_KEYS = 100_000
-#: Filters of this size in all are sent to every task; beyond it all lines are looked up by a join.
-BROADCAST_FILTER_BYTES = 32 << 20
+#: Filters of this size in all are sent to every task; beyond it keys are sent to their shard's filter, in so many parts a shard.
+BROADCAST_FILTER_BYTES, SHARD_PARTS = 32 << 20, 16
 #: (document, key) rows up to this number (about 40 bytes each) are broadcast to the documents; beyond it they are joined by a shuffle.
 BROADCAST_HITS = 1_000_000
 
@@ -139,6 +139,12 @@ def _build_filters(hot: DataFrame, shards: int) -> DataFrame:
 
 
 def build_store(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> LineStore:
+    """The store of documents: how many hold each line key, and a filter of the keys that `min_docs` or more hold for each shard.
+
+    A document counts a key once; rows that repeat an id are documents each. Rows
+    without id are left out; a null or empty text and lines under `min_chars` have no
+    keys. A long text is split in its task. An empty table gives a store of nothing.
+    """
     refs = materialize(_counts(docs, id_col, text_col, min_chars), "line-refs")
     hot = refs.where(F.col("n") >= min_docs).select("h1", "h2")
     shards = shards or max(1, -(-hot.count() // SHARD_KEYS))
@@ -146,7 +152,13 @@ def build_store(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shards:
 
 
 def update_store(store: LineStore, inserted: DataFrame | None = None, deleted: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> LineStore:
-    """The store after documents were added or deleted; the store given is left as it is."""
+    """The store after documents were added or deleted; the store given is left as it is.
+
+    Deleting a document that was added gives the counts and filters' answers of
+    before. One added twice counts twice and is to be deleted twice; one deleted
+    that was never added takes its keys from other documents' counts, down to none.
+    Null texts and rows without id change nothing.
+    """
     parts = [store.refs.select("h1", "h2", F.col("n").alias("old"), F.lit(0).cast("long").alias("step"))]
     for docs, sign in ((inserted, 1), (deleted, -1)):
         if docs is not None:
@@ -201,6 +213,34 @@ def _probe(filters: dict[int, bytes], shards: int):
     return probe
 
 
+def _probe_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, id, h1, h2, slots) sorted so that a shard's filter comes before the keys that it is asked for: the keys that it may hold."""
+    at, held = None, None
+    for batch in batches:
+        shard, given = batch.column(0).to_numpy(), batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (given[1:] != given[:-1]), [True]])) if len(shard) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if shard[a] != at:
+                at, held = shard[a], None
+            if given[a]:
+                held = CuckooFilter.from_bytes(batch.column(4)[int(a)].as_py())
+            elif held is not None:  # a shard without hot keys has no filter
+                part = [batch.column(c).slice(a, b - a) for c in (1, 2, 3)]
+                hit = pa.array(held.contains(part[1].to_numpy(), part[2].to_numpy()))
+                yield pa.RecordBatch.from_arrays([c.filter(hit) for c in part], names=["id", "h1", "h2"])
+
+
+def _probe_shards(store: LineStore, keyed: DataFrame) -> DataFrame:
+    """Keys (id, h1, h2) that the filters may hold, each probed where its shard's filter is; a shard is cut in parts by document, as one line may be in a third of them."""
+    width = max(shuffle_width(keyed.sparkSession), store.shards)
+    part = F.pmod(F.xxhash64("id"), F.lit(SHARD_PARTS)).cast("int")
+    asked = keyed.select("id", F.explode("keys").alias("k")).select(F.pmod("k.h1", F.lit(store.shards)).cast("int").alias("shard"), part.alias("part"), "id", "k.h1", "k.h2", F.lit(None).cast("binary").alias("slots"))
+    none = F.lit(None).cast("long")
+    filters = store.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARD_PARTS - 1))).alias("part"), none.alias("id"), none.alias("h1"), none.alias("h2"), "slots")
+    met = asked.unionByName(filters).repartition(width, "shard", "part").sortWithinPartitions("shard", "part", F.col("slots").isNull())
+    return met.select((F.col("shard") * SHARD_PARTS + F.col("part")).alias("shard"), "id", "h1", "h2", "slots").mapInArrow(_probe_sorted, "id long, h1 long, h2 long")
+
+
 def drop_lines(store: LineStore, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, n_lines, n_dropped, kept, row (all columns as they came).
 
@@ -208,7 +248,8 @@ def drop_lines(store: LineStore, docs: DataFrame, id_col: str = "doc_id", text_c
     others stay, joined by line feeds. A null or empty text is one empty line,
     which stays: keys under one code point are never counted. A row without id
     takes no part. Rows that repeat an id count as further documents and are
-    cleaned alike. Extra columns may have any name.
+    cleaned alike. Extra columns may have any name. A long text is split in its task;
+    an empty table gives an empty result.
     """
     rows = _rows(docs, id_col, text_col)
     keyed = _keys(rows.select("id", "text"), store.min_chars).select("id", "keys")
@@ -217,7 +258,7 @@ def drop_lines(store: LineStore, docs: DataFrame, id_col: str = "doc_id", text_c
         filters = {r.shard: bytes(r.slots) for r in store.filters.collect()}
         probed = keyed.mapInArrow(_probe(filters, store.shards), "id long, h1 long, h2 long")
     else:
-        probed = keyed.select("id", F.explode("keys").alias("k")).select("id", "k.h1", "k.h2")
+        probed = _probe_shards(store, keyed)
     hot = store.refs.where(F.col("n") >= store.min_docs).select("h1", "h2")
     hits = materialize(probed.join(hot, ["h1", "h2"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("hot")), "line-hits")
     n_hits = hits.agg(F.sum(F.size("hot"))).first()[0] or 0

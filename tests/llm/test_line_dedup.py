@@ -1,7 +1,9 @@
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from graphloom.llm import line_dedup
 from graphloom.llm.line_dedup import CuckooFilter, build_store, dedup_lines, drop_lines, update_store
@@ -31,6 +33,23 @@ def test_against_brute_force(docs_of):
     assert result(dedup_lines(docs_of(PAIRS, hot="h", row="r", keys="k", lines="l"))) == brute(PAIRS, 10)
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_filters_probed_by_shard(docs_of, monkeypatch, parts):
+    rnd = random.Random(7)
+    docs = docs_of([(i, "\n".join(f"Line {rnd.randrange(60)}" for _ in range(rnd.randrange(12)))) for i in range(120)] + [(900, None), (901, "line 3\nonly here")]).repartition(5)
+    store = line_dedup.build_store(docs, min_docs=11, shards=7)
+    rows = lambda: sorted((r.doc_id, r.n_dropped, r.kept) for r in line_dedup.drop_lines(store, docs).collect())
+    sent = rows()
+    asked = line_dedup._keys(line_dedup._rows(docs, "doc_id", "text").select("id", "text"), 1).select("id", "keys")
+    monkeypatch.setattr(line_dedup, "BROADCAST_FILTER_BYTES", -1)
+    monkeypatch.setattr(line_dedup, "SHARD_PARTS", parts)
+    assert rows() == sent and sum(r[1] for r in sent) > 0
+    hot = {(r.h1, r.h2) for r in store.refs.where("n >= 11").collect()}
+    every = {(r.id, k.h1, k.h2) for r in asked.collect() for k in r["keys"]}
+    found = {(r.id, r.h1, r.h2) for r in line_dedup._probe_shards(store, asked).collect()}
+    assert {x for x in every if x[1:] in hot} <= found <= every and len(found) < len(every)
+
+
 def test_join_path_gives_the_same(docs_of, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_FILTER_BYTES", -1)
     monkeypatch.setattr(line_dedup, "BROADCAST_HITS", -1)
