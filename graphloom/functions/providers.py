@@ -6,6 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.scratch import discard, materialize
+
+#: Requests of a task of a round of calls, about.
+TASK_REQUESTS = 20_000
 
 
 def decisions_from_table(requests: DataFrame, recorded: DataFrame, on: list[str]) -> DataFrame:
@@ -13,15 +19,28 @@ def decisions_from_table(requests: DataFrame, recorded: DataFrame, on: list[str]
     return requests.join(recorded, on, "left")
 
 
-def decisions_from_function(requests: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, parallelism: int = 16, batch: int = 200) -> DataFrame:
-    """A user's function over batches of requests, in so many partitions at a time."""
+def decisions_from_function(requests: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, parallelism: int = 16, batch: int = 200, task_requests: int = TASK_REQUESTS) -> DataFrame:
+    """A user's function over batches of requests, at most `parallelism` calls at a time.
+
+    Requests are asked in rounds of `parallelism` tasks with about `task_requests`
+    each; a round's decisions are written before the next begins, so that a lost
+    executor costs the tasks in flight and no decision is asked for twice.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), batch):
                 yield function(b.iloc[at : at + batch])
 
-    return requests.repartition(parallelism).mapInPandas(run, schema)
+    held = materialize(requests, "requests")
+    rounds = max(1, -(-held.count() // (parallelism * task_requests)))
+    out = None
+    for k in range(rounds):
+        turn = held if rounds == 1 else held.where(F.pmod(F.xxhash64(*held.columns), F.lit(rounds)) == k)
+        one = materialize(turn.repartition(parallelism).mapInPandas(run, schema), "decisions")
+        out = one if out is None else out.unionByName(one)
+    discard(held)
+    return out
 
 
 def fold_per_stream(rows: DataFrame, step: Callable, initial: Callable, schema: str, key: str = "source", order: str = "id") -> DataFrame:

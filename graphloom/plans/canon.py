@@ -212,6 +212,24 @@ def i6(spark, sf):
     return communities.community_of_hubs(_order_triplets(spark, sf)).groupBy("source", "component").agg(F.count("*").alias("n_hubs"))
 
 
+def _chain_triplets(spark, sf):
+    """Each order with the next: the first third is one chain, after it a chain ends at every fiftieth customer."""
+    o = table(spark, sf, "orders").select(C("o_orderkey").alias("k"), "o_custkey")
+    n = o.count()
+    near = o.join(o.select((C("k") - 1).alias("k")), "k").where((C("k") < n // 3) | (C("o_custkey") % 50 != 0))
+    hub = lambda kind, k: F.concat(F.lit(kind), k.cast("string"))
+    return near.select(F.lit("orders").alias("source"), C("k").cast("string").alias("triplet_uuid"), hub("o", C("k")).alias("subj_hub"), hub("n", C("k")).alias("pred_hub"), hub("o", C("k") + 1).alias("obj_hub"))
+
+
+@query("i6_communities_of_chains", """WITH edges AS (SELECT a.o_orderkey AS k FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey < (SELECT count(*) FROM orders) // 3 OR a.o_custkey % 50 <> 0),
+chains AS (SELECT k, k - row_number() OVER (ORDER BY k) AS g FROM edges),
+hubs AS (SELECT DISTINCT g, unnest(['o' || k, 'n' || k, 'o' || (k + 1)]) AS hub FROM chains)
+SELECT 'orders' AS source, min(hub) AS component, count(*) AS n_hubs FROM hubs GROUP BY g""")
+def i6_chains(spark, sf):
+    t = materialize(_chain_triplets(spark, sf), "chains")
+    return communities.community_of_hubs(t).groupBy("source", "component").agg(F.count("*").alias("n_hubs"))
+
+
 @query("i7_community_triplets", f"WITH {OT} SELECT DISTINCT source, 'c' || g AS component, k::VARCHAR AS triplet_uuid FROM ot")
 def i7(spark, sf):
     t = _order_triplets(spark, sf)

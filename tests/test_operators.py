@@ -218,6 +218,28 @@ def test_longest_chain(spark):
     assert {r.source: r.length for r in got} == {"a": 3, "b": 1, "c": None, "d": None}
 
 
+def test_decisions_in_rounds(spark):
+    from graphloom.functions.providers import decisions_from_function
+
+    ask = lambda pdf: pdf[["id"]].assign(n=pdf.id * 2)
+    got = decisions_from_function(spark.range(300), ask, "id long, n long", 2, 7, task_requests=40)
+    assert sorted((r.id, r.n) for r in got.collect()) == [(i, 2 * i) for i in range(300)]
+
+
+def test_tables_by_book_and_responses_without_bytes(spark, tmp_path):
+    books = spark.range(200).select(F.concat(F.lit("b"), (F.col("id") % 30).cast("string")).alias("source"), "id")
+    io.graph_write(books, str(tmp_path), "Node", parts=8)
+    one = io.graph_read(spark, str(tmp_path), "Node", parts=8, source="b7")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_part" in plan and sorted(r.id for r in one.collect()) == list(range(7, 200, 30))
+    assert io.graph_read(spark, str(tmp_path), "Node", parts=8).count() == 200
+    (tmp_path / "r.json").write_text('{"source": "s", "pages": [{"markdown": "m", "footer": null, "images": [{"id": "i", "image_base64": "QUJD"}]}]}\n')
+    pages = io.read_ocr_json(spark, str(tmp_path / "r.json"))
+    assert "image_base64" not in pages._jdf.queryExecution().executedPlan().toString()
+    assert [(r.source, r.segment_index, r.markdown, [i.id for i in r.images]) for r in pages.collect()] == [("s", 0, "m", ["i"])]
+    assert io.read_ocr_json(spark, str(tmp_path / "r.json"), image_bytes=True).first().images[0].image_base64 == "QUJD"
+
+
 def test_positions_from_edges(spark):
     chain = [(f"a{k}", f"a{k + 1}") for k in range(299)]
     odd = [("b0", "b1"), ("c0", "c1"), ("c1", "c2"), ("c2", "c1"), ("d0", "d2"), ("d1", "d2"), ("d2", "d3"), ("e1", "e2"), ("f0", "f1"), ("f1", "f0")]
