@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import similarity
+from graphloom.operators import keys, similarity
 from graphloom.operators.components import connected_components
 from graphloom.scratch import materialize
 
@@ -109,3 +109,55 @@ def canonicalize(spokes: DataFrame, hub_definitions: DataFrame, threshold: float
     aligned = align_clusters(centres.select("cluster_id"), found, alignment_rule(found, cut))
     text = display_name(placed, "cluster_id").join(descriptions_of(placed, "cluster_id"), "cluster_id")
     return aligned.join(text, "cluster_id").join(centres, "cluster_id").select("cluster_id", "display_name", new_definition(F.col("descriptions"), F.col("display_name")).alias("definition"), "hub_uuid", "review", "centroid")
+
+
+KINDS = ("entity", "predicate")
+
+
+def canonicalize_spokes(
+    spokes: DataFrame, hubs: DataFrame, threshold: float = THRESHOLD, cut: float = THRESHOLD, top_k: int = TOP_K, min_score: float = MIN_SCORE, source: str | None = None, cross_source: bool = False, kinds: tuple = KINDS,
+) -> dict[str, DataFrame]:
+    """A run over uncanonicalized spokes (uuid, source, kind, name, description, embedding), of all books or one, of some kinds.
+
+    Spokes of a book and kind are clustered at `threshold`. A cluster is aligned
+    with existing hubs (hub_uuid, source, kind, text, embedding) of its kind, of its
+    own book or with `cross_source` of any. Aligned clusters join their hub, whose
+    definition takes in their descriptions; the others become new hubs, with the
+    key of their spokes. Returns `clusters` (source, kind, component, n_spokes,
+    hub_uuid, merged), `edges` (src, dst: CANONICAL), `definitions` (hub_uuid, text,
+    merged) and `report` (kind, merged, new_hubs, review_flagged, total_spokes).
+    """
+    rows = spokes.where(F.col("kind").isin(*kinds) & F.col("embedding").isNotNull())
+    rows = rows if source is None else rows.where(F.col("source") == source)
+    group = F.concat("kind", F.lit("#"), "source")
+    rows = materialize(rows.select("uuid", "source", "kind", "name", "description", F.col("embedding").cast("array<double>").alias("embedding"), group.alias("scope"), F.monotonically_increasing_id().alias("id")), "run-spokes")
+    pairs = similarity.self_pairs(rows, threshold, within="scope").where("a is not null").select("a", "b")
+    found = connected_components(pairs, rows.select("id"))
+    placed = materialize(rows.join(found.select(F.col("vertex").alias("id"), "component"), "id"), "run-placed")
+    known = materialize(placed.groupBy("component", "source", "kind").agg(F.count("*").alias("n_spokes")), "run-clusters")
+
+    reach = F.col("kind") if cross_source else group
+    centres = centroid(placed, "component").join(known, "component").select(F.col("component").alias("id"), F.col("centroid").alias("embedding"), reach.alias("scope"))
+    targets = hubs.where(F.col("kind").isin(*kinds)).select(F.col("hub_uuid").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), reach.alias("scope"))
+    met = similarity.pairs_above(centres, targets, min_score, "id", "id", k=top_k, within="scope").where("a is not null").select(F.col("a").alias("cluster_id"), F.col("b").alias("hub_uuid"), "score")
+    order = Window.partitionBy("cluster_id").orderBy(F.desc(F.round("score", 12)), "hub_uuid")
+    candidates = materialize(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k), "run-candidates")
+    aligned = align_clusters(known.select(F.col("component").alias("cluster_id")), candidates, alignment_rule(candidates, cut)).withColumnRenamed("cluster_id", "component").withColumnRenamed("hub_uuid", "into")
+
+    fresh = None
+    for kind in kinds:
+        own = placed.where(F.col("kind") == kind).select("source", "component", F.col("uuid").alias("member"))
+        one = keys.member_keys(own, f"#{kind}_hub#").select("component", F.col("uuid").alias("made"))
+        fresh = one if fresh is None else fresh.unionByName(one)
+    clusters_ = known.join(aligned, "component").join(fresh, "component")
+    clusters_ = materialize(clusters_.select("source", "kind", "component", "n_spokes", F.coalesce("into", "made").alias("hub_uuid"), F.col("into").isNotNull().alias("merged"), "review"), "run-aligned")
+
+    text = display_name(placed.withColumn("pos", F.col("id")), "component").join(placed.groupBy("component").agg(F.collect_set(F.when(F.trim("description") != "", F.col("description"))).alias("descriptions")), "component")
+    said = clusters_.join(text, "component").groupBy("hub_uuid", "merged").agg(F.array_distinct(F.flatten(F.collect_list("descriptions"))).alias("descriptions"), F.min("display_name").alias("display_name"))
+    old = said.join(hubs.select(F.col("hub_uuid").cast("string").alias("hub_uuid"), F.col("text").alias("old")), "hub_uuid", "left")
+    definition = F.when(F.col("merged"), update_definition(F.coalesce("old", "display_name"), F.col("descriptions"))).otherwise(new_definition(F.col("descriptions"), F.col("display_name")))
+    report = clusters_.groupBy("kind").agg(F.count_if("merged").alias("merged"), F.count_if(~F.col("merged")).alias("new_hubs"), F.count_if(F.col("review") > 0).alias("review_flagged"), F.sum("n_spokes").alias("total_spokes"))
+    return {
+        "clusters": clusters_.drop("review"), "edges": placed.join(clusters_.select("component", "hub_uuid"), "component").select(F.col("uuid").alias("src"), F.col("hub_uuid").alias("dst")),
+        "definitions": old.select("hub_uuid", definition.alias("text"), "merged"), "report": report,
+    }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import keys
 from graphloom.operators.components import connected_components
+from graphloom.operators.semantics import attach_embeddings
 from graphloom.scratch import materialize
 
 ROLES = (("subject", "subj"), ("predicate", "pred"), ("object", "obj"))
@@ -43,6 +44,11 @@ def triplet_hubs(hub_triplets: DataFrame) -> DataFrame:
     return grouped.withColumn("uuid", keys.triplet_hub_key(F.col("source"), *(F.col(h) for h in hubs)))
 
 
+def with_vectors(assertions: DataFrame, provider=None) -> DataFrame:
+    """Assertions with the vector of their text (`embedding`); equal texts are embedded once."""
+    return attach_embeddings(assertions, "fact_text", provider)
+
+
 def supported_by(hub_triplets: DataFrame) -> DataFrame:
     key = keys.triplet_hub_key(F.col("source"), F.col("subj_hub"), F.col("pred_hub"), F.col("obj_hub"))
     return hub_triplets.select(key.alias("src"), F.col("triplet_uuid").alias("dst")).distinct()

@@ -138,6 +138,40 @@ def h16(spark, sf):
     return canonical.canonicalize_report(_aligned(spark, sf))
 
 
+_SPOKES = "spokes AS (SELECT vec_id AS id, 's' || vec_id AS uuid, 'b' || (vec_id % 2) AS source, CASE WHEN label < 5 THEN 'entity' ELSE 'predicate' END AS kind, label, embedding FROM embeddings)"
+
+
+def _run_sql(cross: bool) -> str:
+    """Clusters of each book and kind, aligned with the centroids of labels, of a book by parity."""
+    near = "list_cosine_similarity(c.v, h.v)"
+    return f"""WITH RECURSIVE {_SPOKES}, {HUBV}, hubs AS (SELECT 'hub' || label AS hub, 'b' || (label % 2) AS source, CASE WHEN label < 5 THEN 'entity' ELSE 'predicate' END AS kind, v FROM hubv),
+pairs AS (SELECT a.id AS a, b.id AS b FROM spokes a JOIN spokes b ON a.source = b.source AND a.kind = b.kind AND a.id <> b.id AND {COS} >= {T}),
+reach AS (SELECT id AS v, id AS w FROM spokes UNION SELECT v, b FROM reach JOIN pairs ON w = a), comp AS (SELECT v AS id, min(w) AS component FROM reach GROUP BY v),
+cl AS (SELECT component, source, kind, count(*) AS n_spokes, string_agg(uuid, '#' ORDER BY uuid) AS block FROM comp JOIN spokes USING (id) GROUP BY ALL),
+centre AS (SELECT component, list(x ORDER BY dim) AS v FROM (SELECT component, dim, avg(x) AS x FROM (SELECT component, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM comp JOIN spokes USING (id)) GROUP BY ALL) GROUP BY component),
+cand AS (SELECT component, h.hub, {near} AS score FROM cl JOIN centre c USING (component) JOIN hubs h ON h.kind = cl.kind AND {'true' if cross else 'h.source = cl.source'} WHERE {near} >= 0.2 QUALIFY row_number() OVER (PARTITION BY component ORDER BY round({near}, 12) DESC, h.hub) <= 5),
+best AS (SELECT component, arg_max(hub, score) AS hub FROM cand WHERE score >= 0.3 GROUP BY component)
+SELECT {cross} AS cross_source, source, kind, n_spokes, coalesce(hub, {uuid5_sql("source || '#' || kind || '_hub#' || block")}) AS hub_uuid, hub IS NOT NULL AS merged FROM cl LEFT JOIN best USING (component)"""
+
+
+def _run(spark, sf, cross: bool):
+    v = _vectors(spark, sf)
+    kind = F.when(C("label") < 5, "entity").otherwise("predicate")
+    spokes = v.select(F.concat(F.lit("s"), C("id").cast("string")).alias("uuid"), F.concat(F.lit("b"), (C("id") % 2).cast("string")).alias("source"), kind.alias("kind"), C("label").cast("string").alias("name"), F.lit("").alias("description"), "embedding")
+    label = F.substring("hub_uuid", 4, 5).cast("int")
+    hubs = _hub_vectors(spark, sf).select("hub_uuid", F.concat(F.lit("b"), (label % 2).cast("string")).alias("source"), F.when(label < 5, "entity").otherwise("predicate").alias("kind"), C("hub_uuid").alias("text"), "embedding")
+    return canonical.canonicalize_spokes(spokes, hubs, T, 0.3, 5, 0.2, cross_source=cross)
+
+
+for _name, _cross in (("h15_canonicalize_by_source", False), ("h15_canonicalize_across_sources", True)):
+
+    def _canonicalized(spark, sf, cross=_cross):
+        """All clusters of each book and kind, with the hub that they join or become."""
+        return _run(spark, sf, cross)["clusters"].select(F.lit(cross).alias("cross_source"), "source", "kind", "n_spokes", "hub_uuid", "merged")
+
+    query(_name, _run_sql(_cross))(_canonicalized)
+
+
 def _graph(spark, sf):
     """Each name of the star triplets is a hub of its own; half of the hubs have definitions."""
     t = materialize(star_triplets(spark, sf).withColumn("uuid", F.concat("source", F.lit("#"), C("fact_index").cast("string"))), "star")

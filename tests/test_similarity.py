@@ -86,3 +86,27 @@ def test_empty_tables(spark):
     for a, b in ((none, some), (some, none)):
         assert search.knn_join(a, b, 3, "id", "id").count() == 0
         assert search.block_scores(a, b, 0.5, "id", "id").count() == 0
+
+
+def test_canonicalize_by_book_and_kind(spark):
+    v = {"a": [1.0, 0.0, 0.0], "b": [0.99, 0.1, 0.0], "c": [0.0, 1.0, 0.0]}
+    rows = [("u1", "x", "entity", "Alpha", "first", v["a"]), ("u2", "x", "entity", "alpha", "again", v["b"]), ("u3", "x", "entity", "C", "", v["c"]), ("u4", "y", "entity", "Alpha", "first", v["a"]), ("u5", "x", "predicate", "is", "", v["a"]), ("u6", "x", "entity", "none", "", None)]
+    spokes = spark.createDataFrame(rows, "uuid string, source string, kind string, name string, description string, embedding array<double>")
+    hubs = spark.createDataFrame([("h1", "x", "entity", "old", v["a"]), ("h2", "y", "entity", "other", v["c"])], "hub_uuid string, source string, kind string, text string, embedding array<double>")
+
+    def run(**how):
+        out = canonical.canonicalize_spokes(spokes, hubs, 0.9, 0.9, **how)
+        edges = {r.src: r.dst for r in out["edges"].collect()}
+        return edges, {r.hub_uuid: (r.text, r.merged) for r in out["definitions"].collect()}, {r.kind: tuple(r)[1:] for r in out["report"].collect()}
+
+    import uuid
+
+    key = lambda source, kind, *spokes: uuid.uuid5(uuid.NAMESPACE_URL, f"{source}#{kind}_hub#{'#'.join(spokes)}").hex
+    edges, texts, report = run()
+    assert edges == {"u1": "h1", "u2": "h1", "u3": key("x", "entity", "u3"), "u4": key("y", "entity", "u4"), "u5": key("x", "predicate", "u5")}
+    assert texts == {"h1": ("old again first", True), edges["u3"]: ("C", False), edges["u4"]: ("first", False), edges["u5"]: ("is", False)}
+    assert report == {"entity": (1, 2, 0, 4), "predicate": (0, 1, 0, 1)}
+    edges, texts, report = run(cross_source=True, kinds=("entity",))
+    assert edges == {"u1": "h1", "u2": "h1", "u3": "h2", "u4": "h1"} and report == {"entity": (3, 0, 0, 4)}
+    assert texts["h1"] == ("old again first", True) and texts["h2"] == ("other", True)
+    assert set(run(source="y")[0]) == {"u4"}
