@@ -159,7 +159,11 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The true nearest rows of each query, in blocks: (query_id, rank, vec_id, score)."""
+    """The true nearest rows of each query, in blocks: (query_id, rank, vec_id, score).
+
+    Null and odd vectors, ids, ties, repeated rows, other columns and empty tables
+    are treated as in `ann_search`.
+    """
     one = lambda df: usable(df, id_col, vector_col).mapInArrow(_hash(1, 1, 0), HASHED).withColumn("bucket", F.lit(0))
     return _best(_blocks(one(vectors), one(queries), k), k)
 

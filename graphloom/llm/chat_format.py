@@ -76,8 +76,10 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     code points of each assistant text as it stands in `formatted`, so escaped
     where `escaped` holds. A null text or role counts as empty; rows without
     conversation id form a conversation of their own; rows with the same turn
-    number are ordered by role and text, rows without one come first. An empty
-    table gives an empty result.
+    number are ordered by role and text, rows without one come first; repeated rows
+    are turns each. A conversation is put together in one row, so its texts, of any
+    length, are held by one task. Other columns do not matter. An empty table gives
+    an empty result.
     """
     source = (
         rows.select(

@@ -126,8 +126,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when their bytes are; of equal texts the largest id is kept.
     A null text counts as empty. A row without id takes no part and is not
     returned. Rows that repeat an id with the same text count in group_size,
-    and each is returned with the same values. Other columns are ignored. An
-    empty table gives an empty result.
+    and each is returned with the same values. Texts of any length are hashed where
+    they are read; only suspects' texts are moved, one row each. Other columns are
+    ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")

@@ -205,7 +205,9 @@ def _fit_families(sample: DataFrame, families: list[list[str]]) -> LanguageModel
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """A model of every language from rows with a language and a text that has a letter.
 
-    About `per_language` documents of a language are taken at most, by their hashes.
+    About `per_language` documents of a language are taken at most, by their hashes;
+    rows of equal hash, as repeated ones, are taken or left together. Texts are read
+    whole. Without such rows, as in an empty table, the model knows no language.
     """
     bound_batches(labelled)
     rows = labelled.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -229,7 +231,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     A text that is null or has no letter is `und` with score 0, as is every text
     if the model knows no language. Nothing but the text is looked at. A row
     without id takes no part; repeated rows get the same answer. Extra columns
-    may have any name.
+    may have any name. A long text is read whole in its task; of languages with equal
+    votes that with the larger margins is taken. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("row")).where("doc_id is not null")
     bound_batches(docs)

@@ -40,3 +40,9 @@ def test_repeated_rows_and_empty_table(docs_of):
     got = exact_dedup(docs_of([(1, "a"), (1, "a"), (2, "a"), (3, "b")])).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 2, 3, False), (1, 2, 3, False), (2, 2, 3, True), (3, 3, 1, True)]
     assert exact_dedup(docs_of([])).collect() == []
+
+
+def test_very_long_texts_that_differ_at_their_end(docs_of):
+    long = "long text, " * 400_000  # 4.4 MB
+    got = {r.doc_id: r.keep_id for r in exact_dedup(docs_of([(1, long), (2, long), (3, long + "x"), (4, None)])).collect()}
+    assert got == {1: 2, 2: 2, 3: 3, 4: 4}

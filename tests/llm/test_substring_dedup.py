@@ -84,3 +84,10 @@ def test_equal_windows_have_equal_anchors():
             seen.setdefault(tuple(words[starts[doc] + i : starts[doc] + i + 50]), set()).add(int(sym))
     assert all(len(x) == 1 for x in seen.values())
     assert len(o["a"]) < 0.15 * sum(max(0, n - 49) for n in np.diff(starts))
+
+
+def test_a_very_long_text_and_a_passage_of_it(docs_of):
+    words = [f"w{i % 9973}x{i // 9973}" for i in range(300_000)]
+    pairs = [(1, " ".join(words)), (2, "before " + " ".join(words[123_456:123_556]) + " after"), (3, " ".join(words[:49])), (4, "")]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in dedup_substrings(docs_of(pairs)).select("doc_id", "n_words", "n_removed", "kept").collect()}
+    assert got == {1: (300_000, 0, pairs[0][1]), 2: (102, 100, "before after"), 3: (49, 0, pairs[2][1]), 4: (0, 0, "")}
