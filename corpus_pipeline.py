@@ -24,6 +24,19 @@ from graphloom.tables import table
 BROADCAST_IDS = 2_000_000
 #: The language stage rejects what it predicts with a smaller score.
 LANGUAGE_SCORE = 0.5
+#: Bytes of an Arrow batch at most.
+BATCH_BYTES = 2 << 20
+
+
+def _lean(spark: SparkSession) -> None:
+    """Keeps executors small over many stages, for this and later queries of the session.
+
+    Buffers of Arrow batches and of the default Parquet codec lie outside the heap and
+    stay with the executor: batches are bounded in bytes, tables compressed by a
+    codec that works in the heap.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
 
 
 def _with_text(columns: list[str], row: str, text) -> list:
@@ -42,6 +55,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Repeated ids and rows are judged one by one. Other columns, of any name, and
     texts pass as they are. An empty table gives an empty result.
     """
+    _lean(spark)
     kept = identify(docs, train(docs)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE))
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
@@ -54,6 +68,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n_chars becomes the length of the text that is left. An empty table gives an
     empty result.
     """
+    _lean(spark)
     out = dedup_lines(docs, min_docs=10, min_chars=1)
     return out.select(*_with_text(docs.columns, "row", F.when(F.col("n_dropped") == 0, F.col("row.text")).otherwise(F.col("kept"))))
 
@@ -66,6 +81,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     an id only are judged one by one. Rows without id stay. Other columns pass.
     An empty table gives an empty result.
     """
+    _lean(spark)
     gone = materialize(jaccard_groups(docs).where("not first").select("doc_id", "text_key").distinct(), "gone")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
@@ -80,6 +96,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     returned with its own text. Other columns pass; n_chars becomes the length of
     the text that is left. An empty table gives an empty result.
     """
+    _lean(spark)
     return dedup_substrings(docs, as_it_was=True).select(*_with_text(docs.columns, "rest", F.col("kept")))
 
 
@@ -91,6 +108,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     import public_tokenizers
 
+    _lean(spark)
     pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
