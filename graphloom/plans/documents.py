@@ -330,7 +330,7 @@ def _units(spark, sf):
 
 @query("c16_find_units", f'WITH {UNITS} SELECT source, s AS span_id, s AS start, e AS "end", n FROM units')
 def c16(spark, sf):
-    return stream.find_units(nodes(spark, sf), LABELS)
+    return stream.find_units(materialize(nodes(spark, sf), "nodes"), LABELS)
 
 
 @query("c17_bank_spans")
