@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch, and of a batch of the Parquet reader, at most, as texts are long.
 BATCH_ROWS, SCAN_ROWS = 2000, 512
+#: Bytes of an Arrow batch at most, where buffers are to be lean.
+BATCH_BYTES = 2 << 20
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -29,6 +31,12 @@ def bound_batches(df: DataFrame) -> None:
             conf.set(key, str(most))
 
 
+def lean_buffers(df: DataFrame) -> None:
+    """Bounds the session's Arrow batches in bytes and compresses tables in the heap, for this and later queries: buffers outside it stay with the executor."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    df.sparkSession.conf.set("spark.sql.parquet.compression.codec", "zstd")
+
+
 def release() -> None:
     """Gives freed memory back to the system: a worker lives on after its task, beside the next stages."""
     pa.default_memory_pool().release_unused()

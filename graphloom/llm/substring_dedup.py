@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import bound_batches, combine, doc_words, hash_words, keyed_chunks, mix, ragged
+from graphloom.llm.common import bound_batches, combine, doc_words, hash_words, keyed_chunks, lean_buffers, mix, ragged
 from graphloom.scratch import discard, materialize
 
 WIDTH = 50
@@ -285,6 +285,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS,
     text. Extra columns may have any name. An empty table gives an empty result.
     """
     bound_batches(docs)
+    lean_buffers(docs)
     ranges = repeated_ranges(docs, width, rounds, id_col, text_col)
     others = [c for c in docs.columns if c != text_col]
     rest = F.struct(*(F.col(f"`{c}`") for c in others))
