@@ -328,9 +328,29 @@ def _units(spark, sf):
     return n, spans, materialize(stream.span_members(spans, n), "unit-members")
 
 
-@query("c16_find_units", f'WITH {UNITS} SELECT source, s AS span_id, s AS start, e AS "end", n FROM units')
+#: The same rule on a stream where every ninth node opens a unit and every twentieth is a heading, whatever the texts are.
+PLANTED = f"""planted AS (SELECT source, id, CASE WHEN id % 9 = 0 THEN 'Example ' || id ELSE content END AS content, id % 20 = 5 AND id % 9 <> 0 AS heads FROM nodes),
+planted_cut AS (SELECT *, regexp_matches(content, '{stream.LABEL}') AS lab, sum((regexp_matches(content, '{stream.LABEL}') OR heads)::INT) OVER (PARTITION BY source ORDER BY id) AS u FROM planted),
+planted_units AS (SELECT source, min(id) AS s, max(id) AS e, count(*) AS n, u FROM planted_cut GROUP BY source, u HAVING arg_min(lab, id))"""
+
+
+def _planted(n):
+    made = F.when(F.col("id") % 9 == 0, F.concat(F.lit("Example "), F.col("id").cast("string"))).otherwise(F.col("content"))
+    return n.withColumn("content", made).withColumn("type", F.when((F.col("id") % 20 == 5) & (F.col("id") % 9 != 0), "header").otherwise("paragraph"))
+
+
+@query("c16_find_units", f"""WITH {UNITS}, {PLANTED}
+SELECT 'given' AS labels, c.source, s AS span_id, s AS start, e AS "end", n, id FROM cut c JOIN units x ON x.source = c.source AND x.u = c.u
+UNION ALL SELECT 'planted', c.source, s, s, e, n, id FROM planted_cut c JOIN planted_units x ON x.source = c.source AND x.u = c.u""")
 def c16(spark, sf):
-    return stream.find_units(materialize(nodes(spark, sf), "nodes"), LABELS)
+    """A row for each member of each unit, as a unit has any size: by first words of the given texts, and by planted labels."""
+    n = materialize(nodes(spark, sf), "nodes")
+    out = []
+    for labels, spans in (("given", stream.find_units(n, LABELS)), ("planted", stream.find_units(_planted(n)))):
+        spans = materialize(spans, "units")
+        members = stream.span_members(spans, n).join(spans, ["source", "span_id"])
+        out.append(members.select(F.lit(labels).alias("labels"), "source", "span_id", "start", "end", "n", "id"))
+    return out[0].unionByName(out[1])
 
 
 @query("c17_bank_spans")
