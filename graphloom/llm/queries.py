@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from graphloom.llm import mining_queries
 from graphloom.llm.ann import ann_search
 from graphloom.llm.chat_format import format_conversations, loss_text
+from graphloom.llm.context_mixing import mix_documents
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.language_id import identify, train
 from graphloom.llm.line_dedup import dedup_lines
-from graphloom.llm.lm_scoring import score_documents
 from graphloom.llm.ngram_join import jaccard_groups
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.sentencepiece_codec import encode_documents
@@ -140,7 +140,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out, lang_col="lang")
+    out = mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
