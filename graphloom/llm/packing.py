@@ -59,13 +59,25 @@ class UnitEncoder:
 
     def forget(self):
         self.memo, self.starts, self.lengths, self.pool = _Memo(), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.uses = np.empty(0, np.int64)
+
+    def trim(self):
+        """Keeps the units met several times, half of what the memo holds at most, and halves what counts for them."""
+        kept = np.flatnonzero(self.uses >= 2)
+        if len(kept) > MEMO_UNITS // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: MEMO_UNITS // 2]])
+        units, starts, lengths, pool, uses = list(self.memo), self.starts[kept], self.lengths[kept], self.pool, self.uses[kept]
+        self.forget()
+        self.memo.update((units[k], place) for place, k in enumerate(kept.tolist()))
+        self.pool = pool[ragged(starts, lengths)]
+        self.starts, self.lengths, self.uses = np.cumsum(lengths) - lengths, lengths, uses // 2
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memo) > MEMO_UNITS:
-            self.forget()
+            self.trim()
         places: list[int] = []
         ends, odd = [], {}
         for k, t in enumerate(texts):
@@ -82,6 +94,7 @@ class UnitEncoder:
             self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
             self.memo.new = []
         at = np.array(places, np.int64)
+        self.uses = np.append(self.uses, np.zeros(len(self.lengths) - len(self.uses), np.int64)) + np.bincount(at, minlength=len(self.lengths))
         lengths = self.lengths[at]
         flat = self.pool[ragged(self.starts[at], lengths)]
         cuts = np.concatenate([[0], np.cumsum(lengths)])[np.array([0, *ends], np.int64)]
@@ -140,7 +153,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_length: int = 2048,
                 [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(lengths), pa.array(np.log2(lengths).astype(np.int32)), pa.array(total, pa.int64()), pa.array(blobs, pa.binary())],
                 names=["doc_id", "start", "length", "bucket", "doc_tokens", "ids"],
             )
-        enc.forget()
+        enc.trim()  # the worker's next task goes on with the frequent ones
         release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
