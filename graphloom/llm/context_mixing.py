@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import GOLDEN, bound_batches, combine, hash_words, lean_buffers, mix, ragged, text_chunks
+from graphloom.llm.common import GOLDEN, bound_batches, combine, counted, hash_words, lean_buffers, mix, ragged, text_chunks
 from graphloom.llm.language_id import LanguageModel
 from graphloom.llm.lm_scoring import LN10, MULTIPLIER, fit, word_counts
 from graphloom.scratch import discard, materialize
@@ -36,6 +36,8 @@ HEAD_WORDS, CONTEXT_BITS, PART = 1 << 18, 21, 1 << 16
 #: Words of a text after which its weights are corrected, and bytes of text that are mixed side by side.
 BLOCK, MIX_BYTES = 64, 1 << 19
 INPUTS, LEVELS = 5, 24
+#: Steps of a logit in a context table.
+STEPS = 512
 PRIOR, RATE, MAP_PRIOR = 0.4, 0.15, 30.0
 #: Weights of a text's first words: for each input (no context, one word, two words, the text itself, constant) by gate (how
 #: much two words have seen, 0 to 3, by how much one word has).
@@ -49,41 +51,95 @@ START = np.array([
 
 
 class WordCode:
-    """Codes of words by their hashes, of the escape and of the end."""
+    """Codes of words by their hashes, of the escape and of the end: Huffman's lengths, shorter codes before longer ones.
+
+    The inner nodes of the tree are numbered by depth, then prefix. What tasks are sent is a
+    hash and a length for each word and a logit for each node; the rest is derived from that.
+    """
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, escapes: float, ends: float):
-        self.words = pd.Index(hashes)
+        self.hashes = hashes
         weight = np.concatenate([counts, [max(escapes, 0.5), max(ends, 0.5)]]).astype(np.float64)
         self.escape, self.end = len(counts), len(counts) + 1
-        length = np.maximum(1, np.ceil(np.log2(weight.sum() / weight) - 1e-9)).astype(np.int64)
-        order = np.argsort(length, kind="stable")
-        most = int(length.max())
-        places = np.left_shift(np.int64(1), most - length[order])
-        first = np.cumsum(places) - places
-        code = np.empty(len(weight), np.int64)
-        code[order] = first >> (most - length[order])
-        self.length, self.start = length, np.cumsum(length) - length
-        # a node's words stand side by side in the order of codes
-        sums, parts = np.concatenate([[0.0], np.cumsum(weight[order])]), []
-        for at in range(0, len(weight), 1 << 14):  # bounded memory: the driver builds this
-            own = length[at : at + (1 << 14)]
-            size = np.repeat(own, own)
-            bits = np.repeat(code[at : at + (1 << 14)], own)
-            depth = ragged(np.zeros(len(own), np.int64), own)
-            node = (bits | (np.int64(1) << size)) >> (size - depth)
-            span = np.int64(1) << (most - depth)
-            begin = bits << (most - size)
-            begin -= begin % span
-            low, middle, high = (sums[np.searchsorted(first, begin + part)] for part in (0, span // 2, span))
-            logit = np.log((high - middle + PRIOR) / (middle - low + PRIOR)).astype(np.float32)
-            parts.append(((bits >> (size - 1 - depth) & 1).astype(np.uint8), (mix(node.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32), logit))
-        self.value, self.node, self.base = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.length = huffman_lengths(np.maximum(weight, weight.sum() / 2**30))  # bounded lengths
+        order, code, depth, prefix = self._tree()
+        most = int(self.length.max())
+        first, sums = code[order] << (most - self.length[order]), np.concatenate([[0.0], np.cumsum(weight[order])])
+        begin, span = prefix << (most - depth), np.int64(1) << (most - depth)
+        low, middle, high = (sums[np.searchsorted(first, begin + part)] for part in (0, span // 2, span))
+        self.base = np.log((high - middle + PRIOR) / (middle - low + PRIOR)).astype(np.float32)
+        self._derived: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"length": self.length.astype(np.uint8), "_derived": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"length": state["length"].astype(np.int64)})
+
+    def _tree(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols in the order of codes, their codes, and depth and prefix of each node."""
+        order = np.argsort(self.length, kind="stable")
+        code, depth, prefix, at, begin = np.empty(len(order), np.int64), [], [], 0, 0
+        self._node = []  # for each depth what a prefix is off its node's number by
+        numbered = 0
+        for d, n in enumerate(np.bincount(self.length).tolist()):
+            code[order[at : at + n]] = begin + np.arange(n)
+            at, begin = at + n, begin + n
+            inner = (1 << d) - begin
+            self._node.append(numbered - begin)
+            depth.append(np.full(inner, d, np.int64))
+            prefix.append(begin + np.arange(inner, dtype=np.int64))
+            numbered, begin = numbered + inner, begin * 2
+        return order, code, np.concatenate(depth), np.concatenate(prefix)
+
+    def derived(self) -> tuple[pd.Index, np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the hashes; start of each symbol's bits; of each bit node * 2 + value; of each node its place in tables."""
+        if self._derived is None:
+            _, code, depth, prefix = self._tree()
+            length = self.length
+            size, bits = np.repeat(length, length), np.repeat(code, length)
+            at = ragged(np.zeros(len(length), np.int64), length)
+            path = (np.array(self._node)[at] + (bits >> (size - at))) * 2 + (bits >> (size - 1 - at) & 1)
+            # three levels lie side by side, so that a context's slots share a cache line
+            below = depth % 3
+            top = (np.int64(1) << (depth - below)) | (prefix >> below)
+            place = (mix(top.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) & ~7 | (1 << below) | (prefix & ((1 << below) - 1))
+            self._derived = pd.Index(self.hashes), np.cumsum(length) - length, path.astype(np.int32), place.astype(np.uint32)
+        return self._derived
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
-        at = self.words.get_indexer(h) if len(self.words) else np.full(len(h), -1)
+        at = self.derived()[0].get_indexer(h) if len(self.hashes) else np.full(len(h), -1)
         return np.where(at < 0, self.escape, at)
 
 
+def huffman_lengths(weight: np.ndarray) -> np.ndarray:
+    """Lengths of Huffman's codes for these weights (two at least), by two queues."""
+    order = np.argsort(weight, kind="stable")
+    n = len(order)
+    leaves, inner = weight[order].tolist(), []
+    parent = np.empty(2 * n - 1, np.int64)
+    leaf = node = 0
+    for new in range(n - 1):
+        total = 0.0
+        for _ in range(2):
+            if node >= new or (leaf < n and leaves[leaf] <= inner[node]):
+                total += leaves[leaf]
+                parent[leaf] = n + new
+                leaf += 1
+            else:
+                total += inner[node]
+                parent[n + node] = n + new
+                node += 1
+        inner.append(total)
+    depth = [0] * (2 * n - 1)
+    up = parent.tolist()
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[up[k]] + 1
+    out = np.empty(n, np.int64)
+    out[order] = depth[:n]
+    return out
+
+
 class Places:
     """The bits of a set of texts, block after block: (word hashes of all texts, where each text's begin)."""
 
@@ -91,93 +147,123 @@ class Places:
         n = len(starts) - 1
         size = np.diff(starts) + 1  # with the end
         self.rank = np.argsort(-size, kind="stable")  # long texts first: those that reach a block are the first ones
-        doc = np.repeat(np.arange(n), size)
-        place = ragged(np.zeros(n, np.int64), size)
-        last = place == size[doc] - 1
-        own = np.zeros(len(doc), np.uint64)
-        own[~last] = h.view(np.uint64)
-        symbol = np.full(len(doc), code.end)
-        symbol[~last] = code.symbols(h)
+        size = size[self.rank]
+        doc, place = np.repeat(np.arange(n), size), ragged(np.zeros(n, np.int64), size)
+        ends = np.cumsum(size) - 1
+        source = ragged(starts[:-1][self.rank], size)
+        source[ends] = len(h)
+        own, symbol = np.append(h.view(np.uint64), np.uint64(0))[source], np.append(code.symbols(h), code.end)[source]
         one, two = np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.uint64)
-        one[1:] = np.where(place[1:] >= 1, own[:-1], np.uint64(0))
-        two[2:] = np.where(place[2:] >= 2, own[:-2], np.uint64(0))
+        one[1:] = own[:-1]  # an end is 0, as what is before a text
+        two[2:] = own[:-2]
+        two[ends - size + 1] = 0
         order = np.argsort(place // BLOCK, kind="stable")
-        number = np.empty(n, np.int64)
-        number[self.rank] = np.arange(n)
-        symbol, doc, one, two = symbol[order], number[doc[order]], one[order], two[order]
-        length = code.length[symbol]
-        self.token = np.repeat(np.arange(len(symbol)), length)
-        self.at = ragged(code.start[symbol], length)
-        self.value, self.doc, self.docs = code.value[self.at], doc[self.token], n
-        ends = np.cumsum(length)
+        symbol, self._doc, one, two = symbol[order], doc[order], one[order], two[order]
         of_block = np.bincount(place // BLOCK)
-        self.reach = np.searchsorted(-size[self.rank], -BLOCK * np.arange(len(of_block)))
-        self.cuts = np.concatenate([[0], ends[np.cumsum(of_block) - 1]])
-        self.node = code.node[self.at].astype(np.uint64) * GOLDEN
-        pair = combine(one, two)
-        self.slots = [((mix(c)[self.token] ^ self.node) * MULTIPLIER >> np.uint64(64 - table_bits)).astype(np.int64) for c in (one, pair)]
-
-    def shown(self) -> tuple[np.ndarray, np.ndarray]:
-        """(zeros, ones) that the text itself has shown at the same node before."""
+        self.reach = np.searchsorted(-size, -BLOCK * np.arange(len(of_block)))
+        self._length = code.length[symbol]
+        begins = np.flatnonzero(np.diff(self._doc, prepend=-1) | (np.diff(place[order] // BLOCK, prepend=-1) != 0))
+        self.segments = np.add.reduceat(self._length, begins)  # bits of each text in each block that it reaches
+        self.cuts = np.concatenate([[0], np.cumsum(self._length)[np.cumsum(of_block) - 1]])
+        _, start, path, node_place = code.derived()
+        path = path[ragged(start[symbol], self._length)]
+        self.value, self.node, self.docs = (path & 1).astype(np.uint8), path >> 1, n
+        spread, most = node_place.take(self.node), np.uint32((1 << table_bits) - 1)
+        self.slots = [(np.repeat((mix(c) >> np.uint64(32)).astype(np.uint32), self._length) ^ spread) & most for c in (one, combine(one, two))]
+
+    def shown(self) -> np.ndarray:
+        """The logit of what the text itself has shown at the same node before."""
         n = len(self.value)
-        key = self.node ^ mix(np.arange(1, self.docs + 1, dtype=np.uint64))[self.doc]
-        width = max(1, int(n - 1).bit_length())
-        x = np.sort((key * MULTIPLIER >> np.uint64(width)) << np.uint64(width) | np.arange(n, dtype=np.uint64))
-        at = (x & np.uint64((1 << width) - 1)).astype(np.int64)
+        doc = mix(np.arange(1, self.docs + 1, dtype=np.uint64))[self._doc]
+        width = int(n).bit_length() + 1
+        x = np.repeat(doc, self._length)
+        x ^= self.node.astype(np.uint64) * GOLDEN
+        x *= MULTIPLIER
+        x &= ~np.uint64((1 << width) - 1)
+        x |= np.arange(n, dtype=np.uint64) << np.uint64(1)
+        x |= self.value
+        x.sort()
+        v = (x & np.uint64(1)).astype(np.int32)
+        at = ((x & np.uint64((1 << width) - 1)) >> np.uint64(1)).astype(np.int64)
         x >>= np.uint64(width)
-        first = np.ones(n, bool)
-        first[1:] = x[1:] != x[:-1]
-        begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        v = self.value[at]
-        before = np.cumsum(v, dtype=np.int64) - v
-        ones = before - before[begin]
-        out = np.empty((2, n), np.float32)
-        out[0, at], out[1, at] = np.arange(n) - begin - ones, ones
-        return out[0], out[1]
-
-    def inputs(self, code: WordCode, tables: list[Frozen]) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the predictors (and a constant) and the gate of each bit."""
-        x = np.ones((INPUTS, len(self.value)), np.float32)
-        x[0] = code.base[self.at]
-        for k, (slot, (logit, _)) in enumerate(zip(self.slots, tables, strict=True), start=1):
-            x[k] = logit[slot]
-        zeros, ones = self.shown()
-        x[3] = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
-        return x, tables[1][1][self.slots[1]] * np.uint8(4) + tables[0][1][self.slots[0]]
+        begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        many = np.diff(np.append(begin, n))
+        before = np.cumsum(v, dtype=np.int32)
+        before -= v
+        before -= np.repeat(before[begin], many)
+        ones = before.astype(np.float32)
+        zeros = np.arange(n, dtype=np.int32)
+        zeros -= np.repeat(begin.astype(np.int32), many)
+        zeros -= before
+        ones += np.float32(PRIOR)
+        ones /= zeros.astype(np.float32) + np.float32(PRIOR)
+        out = np.empty(n, np.float32)
+        out[at] = np.log(ones)
+        return out
+
+    def inputs(self, code: WordCode, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the predictors (without the constant) and the gate of each bit."""
+        x = np.empty((INPUTS - 1, len(self.value)), np.float32)
+        x[0] = code.base.take(self.node)
+        seen = []
+        for k, (slot, table) in enumerate(zip(self.slots, tables, strict=True), start=1):
+            cell = table.take(slot.astype(np.int64))
+            seen.append((cell & 3).astype(np.uint8))
+            np.multiply(cell >> 2, np.float32(1 / STEPS), out=x[k], casting="unsafe")
+        x[3] = self.shown()
+        return x, seen[1] * np.uint8(4) + seen[0]
 
     def log(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Natural log of each text's probability; weights and map are corrected along each text."""
-        own = np.zeros((INPUTS, self.docs), np.float32)
+        own, gates = np.zeros((INPUTS, self.docs), np.float32), START.shape[1]
         middle = 1 / (1 + np.exp(-(np.arange(LEVELS) - LEVELS // 2) / 1.5))
         ones, every = np.tile(MAP_PRIOR * middle, self.docs), np.full(self.docs * LEVELS, MAP_PRIOR)
-        total = np.zeros(self.docs)
+        total, at = np.zeros(self.docs), 0
         for a, b, n in zip(self.cuts[:-1], self.cuts[1:], self.reach, strict=True):
-            part, v, doc, chosen = x[:, a:b], self.value[a:b], self.doc[a:b], gate[a:b]
-            logit = np.zeros(b - a, np.float32)
-            for k in range(INPUTS):
-                logit += (START[k][chosen] + own[k][doc]) * part[k]
+            bits = self.segments[at : at + n]
+            begin, doc, at = np.cumsum(bits) - bits, np.repeat(np.arange(n), bits), at + n
+            part, v = x[:, a:b], self.value[a:b]
+            weights = (START[:, None] + own[:, :n, None]).reshape(INPUTS, -1)
+            chosen = doc * gates
+            chosen += gate[a:b]
+            logit = weights[-1].take(chosen)
+            for k in range(INPUTS - 1):
+                logit += weights[k].take(chosen) * part[k]
             np.clip(logit, -16, 16, out=logit)
-            mixed = 1 / (1 + np.exp(-logit))
-            cell = doc * LEVELS + (np.clip(logit * np.float32(1.5) + np.float32(LEVELS // 2 + 0.5), 0, LEVELS - 1)).astype(np.int64)
-            prob = np.clip(0.75 * mixed + 0.25 * (ones[cell] / every[cell]), 1e-6, 1 - 1e-6)
-            total[:n] += np.bincount(doc, np.log(np.where(v == 1, prob, 1 - prob)), minlength=n)
+            mixed = np.exp(-logit)
+            mixed += 1
+            np.reciprocal(mixed, out=mixed)
+            logit *= np.float32(1.5)
+            logit += np.float32(LEVELS // 2 + 0.5)
+            cell = doc * LEVELS
+            cell += np.clip(logit, 0, LEVELS - 1, out=logit).astype(np.int64)
+            prob = (0.25 * ones[: n * LEVELS] / every[: n * LEVELS]).astype(np.float32).take(cell)
+            prob += np.float32(0.75) * mixed
+            np.clip(prob, 1e-6, 1 - 1e-6, out=prob)
+            prob += v
+            prob -= 1
+            np.abs(prob, out=prob)
+            total[:n] += np.add.reduceat(np.log(prob, out=prob), begin, dtype=np.float64)
             wrong = v - mixed
-            for k in range(INPUTS):
-                own[k, :n] += RATE / BLOCK * np.bincount(doc, wrong * part[k], minlength=n)
-            ones[: n * LEVELS] += np.bincount(cell, v, minlength=n * LEVELS)
-            every[: n * LEVELS] += np.bincount(cell, minlength=n * LEVELS)
+            for k in range(INPUTS - 1):
+                own[k, :n] += np.float32(RATE / BLOCK) * np.add.reduceat(wrong * part[k], begin)
+            own[-1, :n] += np.float32(RATE / BLOCK) * np.add.reduceat(wrong, begin)
+            cell *= 2
+            cell += v
+            met = np.bincount(cell, minlength=2 * n * LEVELS)
+            ones[: n * LEVELS] += met[1::2]
+            every[: n * LEVELS] += met[::2] + met[1::2]
         out = np.empty(self.docs)
         out[self.rank] = total
         return out
 
 
-Frozen = tuple[np.ndarray, np.ndarray]
-
-
-def frozen(counts: np.ndarray, strong: float) -> Frozen:
-    """The logit of each slot of a table, and the step of the gate: how much it has seen."""
+def frozen(counts: np.ndarray, strong: float) -> np.ndarray:
+    """Of each slot of a table its logit in 1/STEPS, times 4, and the step of the gate: how much it has seen."""
     a, b = counts[::2].astype(np.float32), counts[1::2].astype(np.float32)
-    return np.log((b + np.float32(PRIOR)) / (a + np.float32(PRIOR))).astype(np.float16), np.minimum(3, np.log2(1 + a + b) / strong).astype(np.uint8)
+    seen = np.minimum(3, np.log2(1 + a + b) / strong).astype(np.int16)
+    logit = np.log((b + np.float32(PRIOR)) / (a + np.float32(PRIOR)))
+    return np.clip(np.rint(logit * STEPS), -8191, 8191).astype(np.int16) * np.int16(4) + seen
 
 
 def _split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -195,7 +281,8 @@ def _count_contexts(shared, bits: int):
             h, starts, _ = _split(texts)
             p = Places(code, h, starts, bits)
             for t, slot in zip(tables, p.slots, strict=True):
-                np.add.at(t, 2 * slot + p.value, np.uint32(1))
+                at, times = counted(slot * np.uint32(2) + p.value)
+                t[at] += times.astype(np.uint32)
         for k, t in enumerate(tables):
             for at in range(0, len(t), PART):
                 blob = pa.compress(t[at : at + PART].tobytes(), codec="zstd", asbytes=True)
@@ -305,13 +392,15 @@ def mix_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", tex
     size = min(PART, 2 << bits)
     for r in parts.repartition("k", "at").mapInArrow(_sum_parts(size), "k int, at int, blob binary").collect():
         tables[r.k][r.at : r.at + size] = np.frombuffer(pa.decompress(r.blob, size * 4, codec="zstd", asbytes=True), np.uint32)
-    shared.unpersist()
+    shared.destroy()
     shared = sc.broadcast((code, [frozen(t, strong) for t, strong in zip(tables, (3, 1.5), strict=True)], c_head, c_end))
     speller = sc.broadcast(model)
     escaped = once.where((F.octet_length("word") > 0) & (F.col("c") < least))
     scored = materialize(escaped.mapInArrow(_escaped(speller, (discount * tail_types + 1) / (tail_tokens + 1), discount, tail_tokens + 1), "h long, c long, s double"), "word-scores")
+    speller.destroy()
     rows = usable.select(F.struct(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id")).alias("key"), F.col(text_col).alias("text"))
     mixed = materialize(rows.mapInArrow(_mix_texts(shared, bits), "uid long, id long, size long, n_tokens long, n_known long, h long, n long, base double, s double"), "doc-scores")
+    shared.destroy()
     discard(words, once)
     rare = (
         mixed.where("h is not null").select("uid", "h", "n").join(scored.withColumnRenamed("s", "s2"), "h").groupBy("uid")

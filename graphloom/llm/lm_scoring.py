@@ -140,6 +140,15 @@ class MixModel:
     spelled: np.ndarray
     _frozen: tuple | None = None
 
+    def __getstate__(self) -> dict:
+        """Tables are sent compressed: every executor keeps what is sent to it on its disk."""
+        blobs = [[pa.compress(t.tobytes(), codec="zstd", asbytes=True) for t in pair] for pair in self.tables]
+        return self.__dict__ | {"tables": list(zip(self.slot_bits, blobs, strict=True)), "_frozen": None}
+
+    def __setstate__(self, state: dict) -> None:
+        tables = [tuple(np.frombuffer(pa.decompress(b, 4 << bits, codec="zstd", asbytes=True), np.float32) for b in blobs) for bits, blobs in state["tables"]]
+        self.__dict__.update(state | {"tables": tables})
+
     @property
     def slot_bits(self) -> tuple:
         return tuple(len(zeros).bit_length() - 1 for zeros, _ in self.tables)
@@ -152,17 +161,29 @@ class MixModel:
 
     def inputs(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the predictors (and a constant) and the gate of each bit, by counts without this occurrence of it."""
-        x = np.ones((INPUTS, len(bits.value)))
+        x = np.ones((INPUTS, len(bits.value)), np.float32)
+        one = bits.value.astype(np.float32)
+        zero = 1 - one
         seen = {}
         for k, (slot, (zeros, ones)) in enumerate(zip(bits.slots, self.tables, strict=True)):
-            n0 = np.maximum(zeros[slot].astype(np.float64) - (bits.value == 0), 0)
-            n1 = np.maximum(ones[slot].astype(np.float64) - (bits.value == 1), 0)
-            x[k] = np.log((n1 + PRIOR) / (n0 + PRIOR))
-            seen[k] = n0 + n1
+            n0, n1 = zeros.take(slot), ones.take(slot)
+            n0 -= zero
+            n1 -= one
+            np.maximum(n0, 0, out=n0)
+            np.maximum(n1, 0, out=n1)
+            if k in (2, 5):
+                seen[k] = n0 + n1
+            n0 += np.float32(PRIOR)
+            n1 += np.float32(PRIOR)
+            n1 /= n0
+            np.log(n1, out=x[k])
         return x, long_gate(seen[5]) * 4 + short_gate(seen[2])
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((self.weights[gate].T * x).sum(axis=0), -18, 18)
+        logit = np.zeros(len(gate), np.float32)
+        for w, row in zip(self.weights.astype(np.float32).T, x, strict=True):
+            logit += np.ascontiguousarray(w).take(gate) * row
+        return np.clip(logit, -18, 18, out=logit)
 
     def level(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return gate * LEVELS + np.clip(np.rint(logit * 1.5) + LEVELS // 2, 0, LEVELS - 1).astype(np.int64)
@@ -255,15 +276,13 @@ def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_bits(code: tuple, slot_bits: tuple):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [(np.zeros(1 << b), np.zeros(1 << b)) for b in slot_bits]
+        tables = [np.zeros(2 << b) for b in slot_bits]
         for words, kind, c in _word_batches(batches):
             bits = Bits(words, kind, code, slot_bits)
             w = c[bits.word].astype(np.float64)
-            for slot, pair in zip(bits.slots, tables, strict=True):
-                for v in (0, 1):
-                    chosen = bits.value == v
-                    np.add.at(pair[v], slot[chosen], w[chosen])
-        for k, (zeros, ones) in enumerate(tables):
+            for slot, table in zip(bits.slots, tables, strict=True):
+                np.add.at(table, 2 * slot + bits.value, w)
+        for k, (zeros, ones) in enumerate((t[::2], t[1::2]) for t in tables):
             slots = np.flatnonzero(zeros + ones)
             for at in range(0, len(slots), 50_000):
                 s = slots[at : at + 50_000]
@@ -355,13 +374,13 @@ def fit(words: DataFrame, kinds: int) -> MixModel:
         m = np.frombuffer(r.mass)
         total += np.frombuffer(r.weights).reshape(GATES, INPUTS) * m[:, None]
         mass += m
+    shared.destroy()
     model = replace(model, weights=np.where(mass[:, None] > 0, total / np.maximum(mass, 1e-12)[:, None], start))
-    shared.unpersist()
     shared = spark.sparkContext.broadcast(model)
     ones, every = model.map_ones.copy(), model.map_all.copy()
     for r in types.mapInArrow(_count_map(shared), "at int, ones double, every double").groupBy("at").agg(F.sum("ones").alias("ones"), F.sum("every").alias("every")).collect():
         ones[r.at], every[r.at] = r.ones, r.every
-    shared.unpersist()
+    shared.destroy()
     return replace(model, map_ones=ones, map_all=every)
 
 
@@ -449,6 +468,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     shared_model = spark.sparkContext.broadcast(model)
     once = words.groupBy("word").agg(F.sum("c").alias("c"), *(F.sum(F.when(F.col("kind") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(len(names))))
     scored = materialize(once.mapInArrow(_score_words(shared_model), f"h long, c long, {', '.join(f'{s} double' for s in names)}"), "word-scores")
+    shared_model.destroy()
     n, v = (x or 0 for x in scored.where("c > 0").agg(F.sum("c"), F.count("*")).first())
     least, room = 1 << 62, HEAD_SCORES // len(names)  # the largest head of whole count classes that has room
     for r in scored.groupBy(F.least("c", F.lit(1000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
@@ -467,6 +487,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     columns = ["uid", "id", "size", "n_tokens", "n_known", "h", "n", "base", *names]
     kinds = ", ".join(f"{c} {'double' if c == 'base' or c in names else 'long'}" for c in columns)
     parts = materialize(rows.mapInArrow(_score_docs(shared, (c_end, model.word_log10([b""], c_ends)[0]), columns), kinds), "doc-scores")
+    shared.destroy()
     rare = (
         parts.where("h is not null").select("uid", "h", "n").join(scored, "h").groupBy("uid")
         .agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("b2"), *(F.sum(F.col("n") * F.col(s)).alias(f"{s}2") for s in names))

@@ -1,4 +1,7 @@
+import heapq
 import math
+import os
+import pickle
 import random
 import zlib
 
@@ -8,7 +11,8 @@ from pyspark.sql import functions as F
 from graphloom.llm import context_mixing, queries
 from graphloom.llm.common import hash_words
 from graphloom.llm.context_mixing import Places, WordCode, frozen, mix_documents
-from graphloom.llm.lm_scoring import score_documents
+from graphloom.llm.language_id import LanguageModel
+from graphloom.llm.lm_scoring import MixModel, score_documents
 
 
 def held(i):
@@ -70,3 +74,48 @@ def test_no_training_rows_and_empty_table(docs_of):
     rows = mix_documents(docs_of([(1, "a b"), (1, "a b"), (2, None)]), F.lit(None).cast("boolean")).collect()
     assert len(rows) == 3 and all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in rows)
     assert mix_documents(docs_of([]), F.lit(True)).collect() == []
+
+
+def test_what_tasks_are_sent_is_small(spark, docs_of, monkeypatch):
+    """Every executor keeps a broadcast on its disk, and the driver until it is destroyed."""
+    sent = []
+    put = type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        sent.append((put(self, value), value))
+        return sent[-1][0]
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    rng = random.Random(5)
+    docs = docs_of([(k, " ".join(f"w{rng.randrange(30_000)}" for _ in range(300))) for k in range(400)])
+    assert mix_documents(docs, F.col("doc_id") % 5 != 1).count() == 400
+    large = [b for b, v in sent if not isinstance(v, LanguageModel)]
+    assert len(large) >= 5 and not any(os.path.exists(b._path) for b in large)
+    model, code = (next(v for _, v in sent if isinstance(v, kind)) for kind in (MixModel, WordCode))
+    words = len(code.length) - 2
+    assert words > 10_000 and len(pickle.dumps(code)) < 16 * words
+    assert len(pickle.dumps(model)) < sum(z.nbytes + o.nbytes for z, o in model.tables) / 2
+    again = pickle.loads(pickle.dumps(model))
+    assert all(np.array_equal(a, b) for x, y in zip(model.tables, again.tables, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_codes_are_those_of_huffman():
+    for counts in (np.arange(1.0, 40), np.ones(7), 1.2 ** np.arange(60), np.empty(0)):
+        n = len(counts)
+        code = WordCode(hash_words([b"w%d" % k for k in range(n)]).view(np.int64), counts, 3.0, 2.0)
+        weight = np.append(counts, [3.0, 2.0])
+        heap, cost = sorted(weight), 0.0
+        while len(heap) > 1:
+            a = heapq.heappop(heap) + heapq.heappop(heap)
+            heapq.heappush(heap, a)
+            cost += a
+        length = code.length.astype(int)
+        assert (2.0**-length).sum() == 1 and length.max() < 50
+        assert math.isclose((length * weight).sum(), cost, rel_tol=1e-6)
+        _, start, path, place = pickle.loads(pickle.dumps(code)).derived()
+        assert len(place) == n + 1 == len(code.base)
+        paths = [tuple(path[a : a + b]) for a, b in zip(start, length, strict=True)]
+        assert len(set(paths)) == n + 2 and all(p[0] >> 1 == 0 for p in paths)
+        for node in range(n + 1):  # a node's logit is that of the weights below it
+            zeros, ones = (sum(w for p, w in zip(paths, weight, strict=True) if node * 2 + v in p) for v in (0, 1))
+            assert math.isclose(code.base[node], math.log((ones + 0.4) / (zeros + 0.4)), rel_tol=1e-3, abs_tol=1e-4)
