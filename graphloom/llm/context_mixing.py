@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import GOLDEN, bound_batches, combine, counted, hash_words, lean_buffers, mix, ragged, text_chunks
+from graphloom.llm.common import GOLDEN, bound_batches, combine, hash_words, lean_buffers, mix, ragged, text_chunks
 from graphloom.llm.language_id import LanguageModel
-from graphloom.llm.lm_scoring import LN10, MULTIPLIER, fit, word_counts
+from graphloom.llm.lm_scoring import LN10, MULTIPLIER, PART_SCHEMA, fit, sum_tables, table_parts, word_counts
 from graphloom.scratch import discard, materialize
 
-#: Words that have a code of their own at most, log2 of the slots of a context table at most, and table entries in a row.
-HEAD_WORDS, CONTEXT_BITS, PART = 1 << 18, 21, 1 << 16
+#: Words that have a code of their own at most, and log2 of the slots of a context table at most.
+HEAD_WORDS, CONTEXT_BITS = 1 << 18, 21
 #: Words of a text after which its weights are corrected, and bytes of text that are mixed side by side.
 BLOCK, MIX_BYTES = 64, 1 << 19
 INPUTS, LEVELS = 5, 24
@@ -184,7 +184,7 @@ class Places:
         x |= self.value
         x.sort()
         v = (x & np.uint64(1)).astype(np.int32)
-        at = ((x & np.uint64((1 << width) - 1)) >> np.uint64(1)).astype(np.int64)
+        at = ((x & np.uint64((1 << width) - 1)) >> np.uint64(1)).view(np.int64)
         x >>= np.uint64(width)
         begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
         many = np.diff(np.append(begin, n))
@@ -281,29 +281,14 @@ def _count_contexts(shared, bits: int):
             h, starts, _ = _split(texts)
             p = Places(code, h, starts, bits)
             for t, slot in zip(tables, p.slots, strict=True):
-                at, times = counted(slot * np.uint32(2) + p.value)
-                t[at] += times.astype(np.uint32)
-        for k, t in enumerate(tables):
-            for at in range(0, len(t), PART):
-                blob = pa.compress(t[at : at + PART].tobytes(), codec="zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([blob], pa.binary())], names=["k", "at", "blob"])
+                at = slot.astype(np.int64) * 2
+                at += p.value
+                np.add.at(t, at, np.uint32(1))
+        yield from table_parts(tables)
 
     return count
 
 
-def _sum_parts(size: int):
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for k, at, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(pa.decompress(blob, size * 4, codec="zstd", asbytes=True), np.uint32)
-                sums[k, at] = sums[k, at] + part if (k, at) in sums else part
-        for (k, at), part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["k", "at", "blob"])
-
-    return total
-
-
 def _mix_texts(shared, bits: int):
     names = ["uid", "id", "size", "n_tokens", "n_known", "h", "n", "base", "s"]
 
@@ -361,9 +346,8 @@ def mix_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", tex
     bound_batches(docs)
     lean_buffers(docs)
     learnt = usable.where(F.coalesce(training, F.lit(False))).select(F.lit(0).alias("key"), F.col(text_col).alias("text"))
-    words = materialize(word_counts(usable, training, LanguageModel([], [], []), [], text_col), "words")
-    model = fit(words, 1)
-    once = materialize(words.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
+    once = materialize(word_counts(usable, training, LanguageModel([], [], []), [], text_col, by=("word",)), "word-counts")
+    model = fit(once.select("word", F.lit(0).alias("kind"), "c"), 1)
     group = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.pow(F.lit(2.0), F.length(F.bin("c")) - 1).cast("long"))
     classes = once.where(F.octet_length("word") > 0).groupBy(group.alias("least")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).orderBy(F.desc("least")).collect()
     least, room, tokens, types = 1 << 62, HEAD_WORDS, 0, 0
@@ -387,11 +371,7 @@ def mix_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", tex
     code = WordCode(hashes, c_head - discount, tail_tokens + discount * len(c_head), c_end)
     bits = min(CONTEXT_BITS, max(10, (8 * n).bit_length()))
     shared = sc.broadcast(code)
-    parts = learnt.mapInArrow(_count_contexts(shared, bits), "k int, at int, blob binary")
-    tables = [np.zeros(2 << bits, np.uint32) for _ in range(2)]
-    size = min(PART, 2 << bits)
-    for r in parts.repartition("k", "at").mapInArrow(_sum_parts(size), "k int, at int, blob binary").collect():
-        tables[r.k][r.at : r.at + size] = np.frombuffer(pa.decompress(r.blob, size * 4, codec="zstd", asbytes=True), np.uint32)
+    tables = sum_tables(learnt.mapInArrow(_count_contexts(shared, bits), PART_SCHEMA), [2 << bits] * 2)
     shared.destroy()
     shared = sc.broadcast((code, [frozen(t, strong) for t, strong in zip(tables, (3, 1.5), strict=True)], c_head, c_end))
     speller = sc.broadcast(model)
@@ -401,7 +381,7 @@ def mix_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", tex
     rows = usable.select(F.struct(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id")).alias("key"), F.col(text_col).alias("text"))
     mixed = materialize(rows.mapInArrow(_mix_texts(shared, bits), "uid long, id long, size long, n_tokens long, n_known long, h long, n long, base double, s double"), "doc-scores")
     shared.destroy()
-    discard(words, once)
+    discard(once)
     rare = (
         mixed.where("h is not null").select("uid", "h", "n").join(scored.withColumnRenamed("s", "s2"), "h").groupBy("uid")
         .agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("b2"), F.sum(F.col("n") * F.col("s2")).alias("s2"))

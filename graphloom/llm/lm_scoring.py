@@ -55,6 +55,8 @@ COUNT_WORDS, HEAD_SCORES = 500_000, 1 << 21
 BATCH_WORDS, MIXER_WORDS = 1024, 150_000
 GATES, INPUTS, LEVELS = 32, len(SLOT_BITS) + 1, 33
 PRIOR = 0.2
+#: Entries of a table in a row, where tables are summed over tasks.
+PART, PART_SCHEMA = 1 << 16, "k int, at int, blob binary"
 MULTIPLIER = np.uint64(0xD1342543DE82EF95)
 CLOSE = 0x20
 LN10 = float(np.log(10))
@@ -139,11 +141,12 @@ class MixModel:
     tokens: np.ndarray
     spelled: np.ndarray
     _frozen: tuple | None = None
+    _pairs: list | None = None
 
     def __getstate__(self) -> dict:
         """Tables are sent compressed: every executor keeps what is sent to it on its disk."""
         blobs = [[pa.compress(t.tobytes(), codec="zstd", asbytes=True) for t in pair] for pair in self.tables]
-        return self.__dict__ | {"tables": list(zip(self.slot_bits, blobs, strict=True)), "_frozen": None}
+        return self.__dict__ | {"tables": list(zip(self.slot_bits, blobs, strict=True)), "_frozen": None, "_pairs": None}
 
     def __setstate__(self, state: dict) -> None:
         tables = [tuple(np.frombuffer(pa.decompress(b, 4 << bits, codec="zstd", asbytes=True), np.float32) for b in blobs) for bits, blobs in state["tables"]]
@@ -161,22 +164,19 @@ class MixModel:
 
     def inputs(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the predictors (and a constant) and the gate of each bit, by counts without this occurrence of it."""
+        if self._pairs is None:
+            self._pairs = [np.stack(pair, axis=1).astype(np.float32).view(np.complex64)[:, 0] for pair in self.tables]
         x = np.ones((INPUTS, len(bits.value)), np.float32)
-        one = bits.value.astype(np.float32)
-        zero = 1 - one
+        own = np.stack([bits.value == 0, bits.value == 1], axis=1).astype(np.float32)
         seen = {}
-        for k, (slot, (zeros, ones)) in enumerate(zip(bits.slots, self.tables, strict=True)):
-            n0, n1 = zeros.take(slot), ones.take(slot)
-            n0 -= zero
-            n1 -= one
-            np.maximum(n0, 0, out=n0)
-            np.maximum(n1, 0, out=n1)
+        for k, (slot, pairs) in enumerate(zip(bits.slots, self._pairs, strict=True)):
+            n = pairs.take(slot).view(np.float32).reshape(-1, 2)
+            n -= own
+            np.maximum(n, 0, out=n)
             if k in (2, 5):
-                seen[k] = n0 + n1
-            n0 += np.float32(PRIOR)
-            n1 += np.float32(PRIOR)
-            n1 /= n0
-            np.log(n1, out=x[k])
+                seen[k] = n[:, 0] + n[:, 1]
+            n += np.float32(PRIOR)
+            np.log(n[:, 1] / n[:, 0], out=x[k])
         return x, long_gate(seen[5]) * 4 + short_gate(seen[2])
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -276,21 +276,44 @@ def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_bits(code: tuple, slot_bits: tuple):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << b) for b in slot_bits]
-        for words, kind, c in _word_batches(batches):
+        tables = [np.zeros(2 << b, np.uint32) for b in slot_bits]
+        for words, kind, _ in _word_batches(batches):
             bits = Bits(words, kind, code, slot_bits)
-            w = c[bits.word].astype(np.float64)
             for slot, table in zip(bits.slots, tables, strict=True):
-                np.add.at(table, 2 * slot + bits.value, w)
-        for k, (zeros, ones) in enumerate((t[::2], t[1::2]) for t in tables):
-            slots = np.flatnonzero(zeros + ones)
-            for at in range(0, len(slots), 50_000):
-                s = slots[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k, np.int32)), pa.array(s.astype(np.int32)), pa.array(zeros[s].astype(np.float32)), pa.array(ones[s].astype(np.float32))], names=["k", "slot", "n0", "n1"])
+                np.add.at(table, 2 * slot + bits.value, np.uint32(1))
+        yield from table_parts(tables)
 
     return count
 
 
+def table_parts(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The tables' counts as rows of PART_SCHEMA."""
+    for k, t in enumerate(tables):
+        for at in range(0, len(t), PART):
+            blob = pa.compress(t[at : at + PART].tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([blob], pa.binary())], names=["k", "at", "blob"])
+
+
+def sum_tables(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
+    """The sums of tables of these sizes that tasks have counted, from rows of `table_parts`."""
+
+    def opened(k: int, blob: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(blob, 4 * min(PART, sizes[k]), codec="zstd", asbytes=True), np.uint32)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for k, at, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[k, at] = sums[k, at] + opened(k, blob) if (k, at) in sums else opened(k, blob)
+        for (k, at), part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["k", "at", "blob"])
+
+    tables = [np.zeros(n, np.uint32) for n in sizes]
+    for r in parts.repartition("k", "at").mapInArrow(total, PART_SCHEMA).collect():
+        tables[r.k][r.at : r.at + PART] = opened(r.k, r.blob)
+    return tables
+
+
 def _train_mixer(shared):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: MixModel = shared.value
@@ -329,11 +352,11 @@ def _count_map(shared):
     return count
 
 
-def word_counts(docs: DataFrame, training: Column, model: LanguageModel, names: list[str], text_col: str = "text") -> DataFrame:
-    """(word, kind, c): distinct tokens of all documents with their counts in training ones of each kind; the end is the empty word."""
+def word_counts(docs: DataFrame, training: Column, model: LanguageModel, names: list[str], text_col: str = "text", by: tuple = ("word", "kind")) -> DataFrame:
+    """(word, kind, c), or what `by` names: distinct tokens of all documents with their counts in training ones of each kind; the end is the empty word."""
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_count_words(shared, names), "word binary, kind int, c long").groupBy("word", "kind").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(_count_words(shared, names), "word binary, kind int, c long").groupBy(*by).agg(F.sum("c").alias("c"))
 
 
 def fit(words: DataFrame, kinds: int) -> MixModel:
@@ -354,14 +377,8 @@ def fit(words: DataFrame, kinds: int) -> MixModel:
     n_words = known.count()
     slot_bits = tuple(min(b, max(10, (SLOTS_A_WORD * n_words).bit_length())) for b in SLOT_BITS)
     ordered = materialize(types.repartitionByRange(max(1, n_words // COUNT_WORDS), "word"), "ordered-words")
-    sums = ordered.mapInArrow(_count_bits(code, slot_bits), "k int, slot int, n0 float, n1 float").groupBy("k", "slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1"))
-    tables = [(np.zeros(1 << b, np.float32), np.zeros(1 << b, np.float32)) for b in slot_bits]
-    got = sums.toArrow()
-    k, slot, n0, n1 = (got.column(c).to_numpy() for c in ("k", "slot", "n0", "n1"))
-    for t, pair in enumerate(tables):
-        chosen = k == t
-        pair[0][slot[chosen]] = n0[chosen]
-        pair[1][slot[chosen]] = n1[chosen]
+    sums = sum_tables(ordered.mapInArrow(_count_bits(code, slot_bits), PART_SCHEMA), [2 << b for b in slot_bits])
+    tables = [(t[::2].astype(np.float32), t[1::2].astype(np.float32)) for t in sums]
     discard(ordered)
     start = np.full((GATES, INPUTS), 0.15)
     start[:, 5], start[:, -1] = 0.5, 0
