@@ -66,10 +66,13 @@ def hub_adjacency(hub_triplets: DataFrame) -> DataFrame:
 
 
 def community_of_hubs(hub_triplets: DataFrame) -> DataFrame:
-    """(source, hub, component)."""
+    """(source, hub, component).
+
+    A triplet's hubs are one by two of its three edges; loops and repeats of edges do no harm.
+    """
     glue = lambda c: F.concat_ws("\u0001", "source", c)
-    adjacent = hub_adjacency(hub_triplets)
-    found = connected_components(adjacent.where("a < b").select(glue("a"), glue("b")), adjacent.select(glue("a")))
+    ends = F.array(*(F.struct(glue("subj_hub").alias("a"), glue(c).alias("b")) for c in ("obj_hub", "pred_hub")))
+    found = connected_components(hub_triplets.select(F.explode(ends).alias("e")).select("e.a", "e.b"))
     part = lambda c, k: F.element_at(F.split(c, "\u0001"), k)
     return found.select(part("vertex", 1).alias("source"), part("vertex", 2).alias("hub"), part("component", 2).alias("component"))
 

@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom.operators import components
 from graphloom.operators.components import connected_components
 
 
@@ -34,3 +36,25 @@ def test_strings_nulls_and_no_edges(spark):
     e = spark.createDataFrame([("b", "a"), ("c", None), ("b", "d")], "x string, y string")
     assert {tuple(r) for r in connected_components(e).collect()} == {("a", "a"), ("b", "a"), ("d", "a")}
     assert connected_components(e.limit(0)).collect() == []
+
+
+def test_long_chains_by_contraction(spark, monkeypatch):
+    """Chains whose names are in no order along them, stars and singletons; tasks of a few edges, so that rounds are needed."""
+    monkeypatch.setattr(components, "TASK_EDGES", 40)
+    seen = []
+    moves = components._moves
+    monkeypatch.setattr(components, "_moves", lambda edges, seed: seen.append(seed) or moves(edges, seed))
+    names = [f"v{i}" for i in range(1500)]
+    random.Random(5).shuffle(names)
+    edges = [(names[i], names[i + 1]) for i in range(700) if i % 350 != 349] + [(names[800], names[801 + i]) for i in range(200)] + [(names[1100], names[1100])] + [(names[3], names[2])] * 5
+    rows = spark.createDataFrame(edges, "a string, b string").repartition(8)
+    got = {r.vertex: r.component for r in connected_components(rows, spark.createDataFrame([(names[1200],), (names[0],)], "v string")).collect()}
+    assert got == union_find(edges, [names[1200], names[0]])
+    assert 0 < len(seen) < 20  # halved each time, not by one vertex
+
+
+def test_mixing_is_a_permutation(spark):
+    v = F.col("v")
+    rows = spark.createDataFrame([(0,), (1,), (-1,), (2**63 - 1,), (-(2**63),), (5 << 33,)], "v long")
+    for seed in range(3):
+        assert rows.where(components._restored(components._mixed(v, seed), seed) != v).count() == 0
