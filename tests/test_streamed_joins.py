@@ -74,3 +74,24 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert files() <= before + 8  # those of the count itself
     assert spark.conf.get(CLEANUP) == "false"
+
+
+def test_links_are_no_more_than_vectors(spark, monkeypatch):
+    """Alike vectors make a pair for each two, but an edge for each one in a task; components stay."""
+    monkeypatch.setattr(similarity, "CHUNK_BYTES", 60 * 8 * 8)
+    x = clustered(9, 200)
+    s = cosines(x, x)
+    links = similarity.self_links(frame(spark, x).coalesce(1), 0.8).collect()
+    pairs = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= 0.8]
+    assert len(links) < 2000 < len(pairs)
+
+    def groups(edges):
+        label = list(range(len(x)))
+        for _ in range(len(x)):
+            before = list(label)
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+            if label == before:
+                return label
+
+    assert groups([(r.a, r.b) for r in links]) == groups(pairs)
